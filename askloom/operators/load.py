@@ -149,7 +149,7 @@ def _column_value(position: int, name: str, default: str | None) -> Column:
 
 
 def type_rows(rows: DataFrame, columns: list[tuple[str, str, str | None]]) -> DataFrame:
-    """Rows of one table with its columns cast, plus ``error`` where that fails."""
+    """struct ``row`` with the columns of one table, and ``error`` where it cannot be had."""
     raw = {n: _column_value(i, n, default) for i, (n, _, default) in enumerate(columns)}
     cast = {n: raw[n].try_cast(kind) for n, kind, _ in columns}
     unknown = F.size(F.array_except(F.coalesce("names", F.array().cast("array<string>")),
@@ -164,7 +164,8 @@ def type_rows(rows: DataFrame, columns: list[tuple[str, str, str | None]]) -> Da
         .when(F.col("names").isNull() & (F.size("values") != len(columns)), "wrong number of values")
         .when(bad_cast, "value does not fit its column")
     )
-    return rows.select(*[cast[n].alias(n) for n in raw], error.alias("error"), "source")
+    row = F.struct(*[cast[n].alias(n) for n in raw])
+    return rows.select(row.alias("row"), error.alias("error"), "source")
 
 
 @dataclass
@@ -203,7 +204,7 @@ def load_dump(statements: DataFrame, staging: str | None = None) -> LoadedDump:
     tables, rejects = {}, []
     for name, columns in declared.items():
         typed = type_rows(stored.where(F.col("table_name") == name), columns)
-        tables[name] = typed.where(F.col("error").isNull()).drop("error", "source")
+        tables[name] = typed.where(F.col("error").isNull()).select("row.*")
         rejects.append(
             typed.where(F.col("error").isNotNull()).select(F.lit(name).alias("table_name"), "error", "source")
         )

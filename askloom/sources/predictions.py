@@ -53,17 +53,26 @@ def completed_indices(predictions: DataFrame, retry_errors: bool = False) -> Dat
     return done.select(F.col("index").cast("long").alias("index")).distinct()
 
 
+# White space at the ends of a text is part of it; CSV drops it unless told not to.
+CSV = {
+    "header": "true",
+    "multiLine": "true",
+    "escape": '"',
+    "encoding": "UTF-8",
+    "emptyValue": "",
+    "nullValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def export_csv(predictions: DataFrame, path: str, mode: str = "append") -> None:
     """The table as CSV, for tools that cannot read Parquet."""
-    predictions.select(PREDICTIONS.fieldNames()).write.mode(mode).options(
-        header="true", escape='"', encoding="UTF-8", emptyValue="", nullValue=""
-    ).csv(path)
+    predictions.select(PREDICTIONS.fieldNames()).write.mode(mode).options(**CSV).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Predictions from CSV. Empty texts come back from CSV as nulls, so they are refilled."""
-    table = spark.read.schema(PREDICTIONS).options(
-        header="true", multiLine="true", escape='"', encoding="UTF-8"
-    ).csv(path)
+    table = spark.read.schema(PREDICTIONS).options(**CSV).csv(path)
     texts = [f.name for f in PREDICTIONS.fields if isinstance(f.dataType, T.StringType)]
     return table.fillna("", subset=texts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.model import GENERATION, Model, ModelSettings, predict
@@ -42,14 +43,18 @@ def stream_predictions(
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        folder = f"stream_{run}/batch_{batch_id}"
         questions = coerce_fields(batch)
         if resume and table_exists(spark, output):
-            done = completed_indices(read_predictions(spark, output))
-            questions = resume_anti_join(questions, done)
+            # A repeated batch must not take its own earlier rows for finished work.
+            others = read_predictions(spark, output).where(
+                ~F.col("_metadata.file_path").contains(f"/{folder}/")
+            )
+            questions = resume_anti_join(questions, completed_indices(others))
         ready = validate_rows(attach_schema(questions, schema_by_db))
         predictions = predict(ready, model, dialect, settings, batch_size, concurrency)
         predictions.select(PREDICTIONS.fieldNames()).write.mode("overwrite").parquet(
-            f"{output}/stream_{run}/batch_{batch_id}"
+            f"{output}/{folder}"
         )
 
     return (
