@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import WHITESPACE, strip
@@ -42,27 +42,40 @@ def json_payload(reply: Column) -> Column:
     return F.when(inside, F.substring(text, first, last - first + 1))
 
 
-def extract_json_payload(reply: Column) -> Column:
-    """The reply's JSON object as struct<sql_query, summary>, null where it has none.
+def extract_payloads(df: DataFrame, reply: str = "reply", out: str = "payload") -> DataFrame:
+    """Add the reply's JSON object as struct<sql_query, summary>, null where it has none.
 
     JSON readers stop at the end of the first value, so text after it would slip
-    through. The payload is read twice, once as the only element of an array and
-    once as the value of a key: what may follow a first element cannot follow the
-    value of a key, so both succeed only if nothing follows the object.
+    through. The payload is read twice, once as the value of a key and once as the
+    only element of an array: what may follow the value of a key cannot follow an
+    element, so both succeed only if nothing follows the object.
+
+    Each step is a column of its own, since expressions that are used several times
+    would otherwise be evaluated several times.
     """
-    payload = json_payload(reply)
     options = {"allowSingleQuotes": "false"}
     fields = "struct<sql_query:string,summary:string>"
-    element = F.from_json(
-        F.concat(F.lit("["), payload, F.lit("]")), "array<struct<sql_query:string>>", options
-    )
     value = F.from_json(
-        F.concat(F.lit('{"v":'), payload, F.lit("}")),
+        F.concat(F.lit('{"v":'), "_payload", F.lit("}")),
         f"struct<v:{fields},_corrupt_record:string>",
         options,
     )
-    sound = (F.size(element) == 1) & value["_corrupt_record"].isNull()
-    return F.when(sound, value["v"])
+    element = F.from_json(
+        F.concat(F.lit("["), "_payload", F.lit("]")), "array<struct<sql_query:string>>", options
+    )
+    return (
+        df.withColumn("_payload", json_payload(F.col(reply)))
+        .withColumn("_value", F.when(F.col("_payload").isNotNull(), value))
+        .withColumn(
+            "_alone",
+            F.when(
+                F.col("_value._corrupt_record").isNull() & F.col("_value.v").isNotNull(),
+                F.size(element) == 1,
+            ),
+        )
+        .withColumn(out, F.when(F.col("_alone"), F.col("_value.v")))
+        .drop("_payload", "_value", "_alone")
+    )
 
 
 def clean_sql_reply(reply: Column) -> Column:
@@ -80,25 +93,31 @@ def clean_sql_reply(reply: Column) -> Column:
     return strip(F.substring_index(text, "/*", 1))
 
 
-def parse_reply(reply: Column) -> Column:
-    """struct<predicted_sql, summary, status, error> of a generation reply."""
-    text = strip(reply)
-    payload = extract_json_payload(text)
-    from_json = strip(payload["sql_query"])
-    has_json = F.coalesce(from_json != "", F.lit(False))
-    fallback = clean_sql_reply(text)
-    has_sql = has_json | (fallback != "")
+def parse_replies(df: DataFrame, reply: str = "reply", out: str = "parsed") -> DataFrame:
+    """Add struct<predicted_sql, summary, status, error> for each generation reply."""
     failure = F.concat(
-        F.lit(GENERATION_FAILED + NO_SQL_FOUND), F.substring(text, 1, NO_SQL_FOUND_CHARS)
+        F.lit(GENERATION_FAILED + NO_SQL_FOUND), F.substring("_reply", 1, NO_SQL_FOUND_CHARS)
     )
-    return F.struct(
-        F.when(has_json, from_json).otherwise(fallback).alias("predicted_sql"),
-        F.when(has_json, strip(F.coalesce(payload["summary"], F.lit(DEFAULT_SUMMARY))))
-        .when(has_sql, F.lit(FALLBACK_SUMMARY))
-        .otherwise(F.lit(""))
+    no_sql = F.col("_sql") == ""
+    parsed = F.struct(
+        F.col("_sql").alias("predicted_sql"),
+        F.when(no_sql, F.lit(""))
+        .when(F.col("_from_json"), strip(F.coalesce("_object.summary", F.lit(DEFAULT_SUMMARY))))
+        .otherwise(F.lit(FALLBACK_SUMMARY))
         .alias("summary"),
-        F.when(has_sql, F.lit("ok")).otherwise(F.lit("error")).alias("status"),
-        F.when(has_sql, F.lit("")).otherwise(failure).alias("error"),
+        F.when(no_sql, F.lit("error")).otherwise(F.lit("ok")).alias("status"),
+        F.when(no_sql, failure).otherwise(F.lit("")).alias("error"),
+    )
+    df = extract_payloads(df.withColumn("_reply", strip(F.col(reply))), "_reply", "_object")
+    return (
+        df.withColumn("_json_sql", strip(F.col("_object.sql_query")))
+        .withColumn("_from_json", F.coalesce(F.col("_json_sql") != "", F.lit(False)))
+        .withColumn(
+            "_sql",
+            F.when(F.col("_from_json"), F.col("_json_sql")).otherwise(clean_sql_reply(F.col("_reply"))),
+        )
+        .withColumn(out, parsed)
+        .drop("_reply", "_object", "_json_sql", "_from_json", "_sql")
     )
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ddl import LITERAL, statement_kind, strip_comments, table_name
@@ -20,8 +22,9 @@ _CONSTRAINT = (
     r"unique\s*\(|unique\s+(?:key|index)\b|(?:key|index|fulltext|spatial)\s+[`\"\w]*\s*\()"
 )
 _COLUMN = r"(?isU)^(?:[`\"]([^`\"]+)[`\"]|(\S+))\s*(.*)$"
-_INSERT = r"(?isU)^insert\s+into\s+" + _NAME + r"\s*(\([^()]*\))?\s*values\s*(.*)$"
-_FIELD = LITERAL + r"|[^',\s][^',]*+"
+_INSERT = r"(?iU)^insert\s+into\s+" + _NAME + r"\s*(\([^()]*\))?\s*values\s*"
+_TUPLE_OR_REST = _NESTED + r"|[^\s,(][^(]*+|\("
+_FIELD = LITERAL + r"|[^',\s](?:[^',]*[^',\s])?"
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 _DEFAULT = r"(?isU)\bdefault\s+(" + LITERAL + r"|[+-]?[\d.]+)"
 
@@ -32,15 +35,28 @@ DOUBLES = ("float", "double", "real")
 
 
 def _names(text: Column) -> Column:
-    return F.transform(
-        F.split(F.regexp_replace(text, r"[()`\"]", ""), ","), lambda n: F.lower(strip(n))
+    """A column list in lower case, joined by commas alone."""
+    return F.lower(F.regexp_replace(text, r"[()`\"\s]", ""))
+
+
+def _value(field: Column) -> Column:
+    """The text of a constant: unquoted, with NULL as null."""
+    quoted = F.startswith(field, F.lit("'"))
+    inner = F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit("''"), F.lit("'"))
+    return F.when(quoted, inner).when(F.upper(field) != "NULL", field)
+
+
+def _is_constant(field: Column) -> Column:
+    return (
+        F.startswith(field, F.lit("'")) | (F.upper(field) == "NULL") | field.rlike(_NUMBER)
     )
 
 
 def dump_columns(statements: DataFrame) -> DataFrame:
-    """(path, table_name, col_no, col_name, spark_type, default) of the declared tables."""
+    """(path, stmt_no, part_no, table_name, col_no, col_name, spark_type, default)."""
+    ids = ["path", "stmt_no", "part_no"]
     tables = statements.where(statement_kind(F.col("stmt")) == "create_table").select(
-        "path",
+        *ids,
         F.lower(table_name(F.col("stmt"))).alias("table_name"),
         F.regexp_extract(strip_comments(F.col("stmt")), _CREATE, 1).alias("body"),
     )
@@ -48,7 +64,9 @@ def dump_columns(statements: DataFrame) -> DataFrame:
         F.transform(F.regexp_extract_all("body", F.lit(_ITEM), F.lit(0)), strip),
         lambda item: (item != "") & ~F.rlike(item, F.lit(_CONSTRAINT)),
     )
-    columns = tables.select("path", "table_name", F.posexplode(items).alias("col_no", "item"))
+    columns = tables.select(
+        *ids, "table_name", F.posexplode_outer(items).alias("col_no", "item")
+    ).where(F.col("col_no").isNotNull())
     rest = F.regexp_extract("item", _COLUMN, 3)
     kind = F.lower(F.regexp_extract(rest, r"^\w+", 0))
     size = F.regexp_extract(rest, r"^\w+\s*\(\s*(\d+\s*(?:,\s*\d+)?)\s*\)", 1)
@@ -60,117 +78,110 @@ def dump_columns(statements: DataFrame) -> DataFrame:
         .otherwise("string")
     )
     return columns.select(
-        "path",
+        *ids,
         "table_name",
         "col_no",
         F.concat(F.regexp_extract("item", _COLUMN, 1), F.regexp_extract("item", _COLUMN, 2)).alias("col_name"),
         F.regexp_replace(spark_type, r"\s+", "").alias("spark_type"),
-        _value(F.nullif(F.regexp_extract(rest, _DEFAULT, 1), F.lit(""))).alias("default"),
-    )
-
-
-def _value(field: Column) -> Column:
-    """The text of a field: unquoted, with NULL as null."""
-    quoted = F.startswith(field, F.lit("'"))
-    inner = F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit("''"), F.lit("'"))
-    return F.when(quoted, inner).when(F.upper(field) != "NULL", field)
-
-
-def _is_constant(field: Column) -> Column:
-    return (
-        F.startswith(field, F.lit("'")) | (F.upper(field) == "NULL") | F.rlike(field, F.lit(_NUMBER))
+        F.nullif(F.regexp_extract(rest, _DEFAULT, 1), F.lit("")).alias("default"),
     )
 
 
 def dump_rows(statements: DataFrame) -> DataFrame:
-    """(path, stmt_no, part_no, table_name, names, row_no, values, error, source).
+    """(path, stmt_no, part_no, table_name, names, row_no, fields, error, source).
 
     One row per tuple of each INSERT INTO. ``names`` is the column list if the
-    statement has one. What cannot be read has an ``error`` and its ``source`` text.
+    statement has one, and ``fields`` the constants as written. What is no tuple
+    becomes a row with an ``error``; ``source`` is the text of each row.
     """
-    parts = statements.where(statement_kind(F.col("stmt")) == "insert").select(
-        "path",
-        "stmt_no",
-        "part_no",
-        F.lower(table_name(F.col("stmt"))).alias("table_name"),
-        strip_comments(F.col("stmt")).alias("stmt"),
-    )
-    names = F.regexp_extract("stmt", _INSERT, 1)
-    parts = parts.select(
-        "path",
-        "stmt_no",
-        "part_no",
-        "table_name",
-        F.when(names != "", _names(names)).alias("names"),
-        F.regexp_extract("stmt", _INSERT, 2).alias("body"),
-        "stmt",
-    )
-    tuples = F.transform(
-        F.regexp_extract_all("body", F.lit(_NESTED), F.lit(0)),
-        lambda t: F.struct(t.alias("source"), F.lit(False).alias("left_over")),
-    )
-    rest = strip(F.regexp_replace(F.regexp_replace("body", _NESTED, ""), ",", " "))
-    unread = F.when((rest != "") | (F.size(tuples) == 0), F.array(
-        F.struct(F.col("stmt").alias("source"), F.lit(True).alias("left_over"))
-    )).otherwise(F.slice(tuples, 1, 0))
-    rows = parts.select(
-        "path", "stmt_no", "part_no", "table_name", "names",
-        F.posexplode(F.concat(tuples, unread)).alias("row_no", "tuple"),
-    )
-    inner = F.expr("substring(tuple.source, 2, length(tuple.source) - 2)")
-    fields = F.transform(
-        F.regexp_extract_all(inner, F.lit(_FIELD), F.lit(0)),
-        lambda f: F.when(F.startswith(f, F.lit("'")), f).otherwise(strip(f)),
-    )
-    rows = rows.withColumn("fields", F.when(~F.col("tuple.left_over"), fields))
-    error = (
-        F.when(F.col("tuple.left_over"), "unread text in statement")
-        .when(~F.forall("fields", _is_constant), "not a constant")
-        .when(F.size("fields") != F.size(F.coalesce("names", "fields")), "wrong number of values")
+    ids = ["path", "stmt_no", "part_no", "table_name"]
+    stmt = F.col("stmt")
+    has_comment = stmt.contains("--") | stmt.contains("/*")
+    items = F.regexp_extract_all("body", F.lit(_TUPLE_OR_REST), F.lit(0))
+    rows = (
+        statements.where(statement_kind(stmt) == "insert")
+        .select(
+            *ids[:3],
+            F.lower(table_name(stmt)).alias("table_name"),
+            F.when(has_comment, strip_comments(stmt)).otherwise(stmt).alias("stmt"),
+        )
+        .withColumn("head", F.regexp_extract("stmt", _INSERT, 0))
+        .withColumn("list", F.regexp_extract("head", _INSERT, 1))
+        .withColumn("body", F.when(F.col("head") != "", F.expr("substring(stmt, length(head) + 1)")))
+        .withColumn("names", F.when(F.col("list") != "", _names(F.col("list"))))
+        .withColumn("items", F.coalesce(items, F.array().cast("array<string>")))
+        .withColumn("items", F.when(F.size("items") == 0, F.array("stmt")).otherwise(F.col("items")))
+        # A plain explode would first filter on the array's size, and so build it twice.
+        .select(*ids, "names", F.posexplode_outer("items").alias("row_no", "source"))
     )
+    is_tuple = F.startswith("source", F.lit("(")) & F.endswith("source", F.lit(")"))
+    inner = F.expr("substring(source, 2, length(source) - 2)")
     return rows.select(
-        "path",
-        "stmt_no",
-        "part_no",
-        "table_name",
+        *ids,
         "names",
         "row_no",
-        F.transform("fields", _value).alias("values"),
-        error.alias("error"),
-        F.col("tuple.source").alias("source"),
+        F.when(is_tuple, F.regexp_extract_all(inner, F.lit(_FIELD), F.lit(0))).alias("fields"),
+        F.when(~is_tuple, "unread text in statement").alias("error"),
+        "source",
     )
 
 
-def _column_value(position: int, name: str, default: str | None) -> Column:
-    at = F.array_position("names", F.lit(name.lower())).cast("int")
-    given = F.get("values", F.when(F.col("names").isNull(), position).otherwise(at - 1))
-    left_out = F.col("names").isNotNull() & (at == 0)
-    return F.when(left_out, F.lit(default)).otherwise(given)
+def type_rows(rows: DataFrame, columns: list[tuple[str, str, str | None]]) -> DataFrame:
+    """The columns of one table, with ``__error`` and ``__source`` for what it cannot take.
+
+    ``columns`` gives name, type and default. Each row's constants are put in the
+    order of the columns and unquoted as arrays; what is left per column is a cast,
+    which keeps the generated code of wide tables small.
+    """
+    declared = ",".join(name.lower() for name, _, _ in columns)
+    catalog = F.array(
+        *[
+            F.struct(F.lit(name.lower()).alias("name"), F.lit(default).cast("string").alias("default"))
+            for name, _, default in columns
+        ]
+    )
+    in_order = F.col("names").isNull() | (F.col("names") == declared)
+    given = F.split("names", ",")
 
+    def constant(column: Column) -> Column:
+        place = F.array_position(given, column["name"]).cast("int")
+        return F.when(place > 0, F.get("fields", place - 1)).otherwise(column["default"])
 
-def type_rows(rows: DataFrame, columns: list[tuple[str, str, str | None]]) -> DataFrame:
-    """struct ``row`` with the columns of one table, and ``error`` where it cannot be had."""
-    raw = {n: _column_value(i, n, default) for i, (n, _, default) in enumerate(columns)}
-    cast = {n: raw[n].try_cast(kind) for n, kind, _ in columns}
-    unknown = F.size(F.array_except(F.coalesce("names", F.array().cast("array<string>")),
-                                    F.array(*[F.lit(n.lower()) for n in raw]))) > 0
-    bad_cast = F.lit(False)
-    for n, kind, _ in columns:
-        if kind != "string":
-            bad_cast = bad_cast | (raw[n].isNotNull() & cast[n].isNull())
-    error = (
+    expected = F.when(F.col("names").isNull(), len(columns)).otherwise(F.size(given))
+    unknown = F.size(F.array_except(given, F.split(F.lit(declared), ","))) > 0
+    constants = F.forall("fields", _is_constant)
+    early = (
         F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(unknown, "unknown column")
-        .when(F.col("names").isNull() & (F.size("values") != len(columns)), "wrong number of values")
-        .when(bad_cast, "value does not fit its column")
+        .when(F.size("fields") != expected, "wrong number of values")
+        .when(~in_order & unknown, "unknown column")
+        .when(~constants, "not a constant")
+    )
+    ordered = F.when(in_order, F.col("fields")).otherwise(F.transform(catalog, constant))
+    rows = (
+        rows.withColumn("_early", early)
+        .withColumn("_texts", F.when(F.col("_early").isNull(), F.transform(ordered, _value)))
+        .withColumn("_nulls", F.size(F.filter("_texts", lambda t: t.isNull())))
+    )
+    cast = {
+        f"_cast_{i}": F.get("_texts", F.lit(i)).try_cast(kind)
+        for i, (_, kind, _) in enumerate(columns)
+    }
+    rows = rows.withColumns(cast)
+    # A cast that fails gives one null more than the row was written with.
+    nulls = sum((F.col(name).isNull().cast("int") for name in cast), F.lit(0))
+    error = F.when(F.col("_early").isNotNull(), F.col("_early")).when(
+        nulls != F.col("_nulls"), "value does not fit its column"
+    )
+    return rows.withColumn("__error", error).select(
+        *[F.col(c).alias(name) for c, (name, _, _) in zip(cast, columns)],
+        "__error",
+        F.when(F.col("__error").isNotNull(), F.col("source")).alias("__source"),
     )
-    row = F.struct(*[cast[n].alias(n) for n in raw])
-    return rows.select(row.alias("row"), error.alias("error"), "source")
 
 
 @dataclass
 class LoadedDump:
-    """Tables by their lower-case name, and the rows that none of them could take."""
+    """Tables by their lower-case name, and what none of them could take."""
 
     tables: dict[str, DataFrame]
     rejects: DataFrame
@@ -182,36 +193,57 @@ class LoadedDump:
         return sorted(self.tables)
 
 
-def load_dump(statements: DataFrame, staging: str | None = None) -> LoadedDump:
-    """The tables of one database.
+def declared_tables(statements: DataFrame) -> dict[str, list[tuple[str, str, str | None]]]:
+    """The columns of each table of one database; of two declarations the first counts."""
+    first = F.min(F.struct("path", "stmt_no", "part_no")).over(W.partitionBy("table_name"))
+    columns = (
+        dump_columns(statements)
+        .withColumn("first", first)
+        .where(F.struct("path", "stmt_no", "part_no") == F.col("first"))
+        .orderBy("table_name", "col_no")
+    )
+    tables: dict[str, list[tuple[str, str, str | None]]] = {}
+    for c in columns.toLocalIterator():
+        tables.setdefault(c["table_name"], []).append((c["col_name"], c["spark_type"], c["default"]))
+    return tables
+
+
+def load_dump(statements: DataFrame, folder: str | None = None, concurrency: int = 4) -> LoadedDump:
+    """The tables of one database, written below ``folder`` as Parquet.
 
-    Only the table declarations reach the driver. The rows are written once, one
-    folder per table, so each table reads its own rows and all later queries
-    start from Parquet.
+    Only the table declarations reach the driver. The INSERT statements are first
+    written apart by table, so that each table's job reads its own; it parses and
+    casts them in one pass and without a shuffle.
     """
     spark = statements.sparkSession
-    staging = staging or new_folder(spark, "dump-rows")
-    rows = dump_rows(statements)
-    rows.write.mode("overwrite").partitionBy("table_name").parquet(staging)
-    stored = spark.read.schema(rows.schema).parquet(staging)
-
-    declared: dict[str, list[tuple[str, str, str | None]]] = {}
-    for c in dump_columns(statements).orderBy("path", "table_name", "col_no").toLocalIterator():
-        columns = declared.setdefault(c["table_name"], [])
-        if c["col_name"] not in [n for n, _, _ in columns]:
-            columns.append((c["col_name"], c["spark_type"], c["default"]))
-
-    tables, rejects = {}, []
-    for name, columns in declared.items():
-        typed = type_rows(stored.where(F.col("table_name") == name), columns)
-        tables[name] = typed.where(F.col("error").isNull()).select("row.*")
-        rejects.append(
-            typed.where(F.col("error").isNotNull()).select(F.lit(name).alias("table_name"), "error", "source")
-        )
-    known = F.coalesce("table_name", F.lit("")).isin(list(declared))
-    lost = stored.where(~known).select(
+    folder = folder or new_folder(spark, "dump-tables")
+    inserts = statements.where(statement_kind(F.col("stmt")) == "insert").withColumn(
+        "for_table", F.lower(table_name(F.col("stmt")))
+    )
+    inserts.write.mode("overwrite").partitionBy("for_table").parquet(f"{folder}/inserts")
+    apart = spark.read.schema(inserts.schema).parquet(f"{folder}/inserts")
+    declared = declared_tables(statements)
+
+    def load(name: str) -> None:
+        rows = dump_rows(apart.where(F.col("for_table") == name).drop("for_table"))
+        type_rows(rows, declared[name]).write.mode("overwrite").parquet(f"{folder}/tables/{name}")
+
+    with ThreadPoolExecutor(concurrency) as pool:
+        list(pool.map(load, declared))
+
+    strangers = ~F.coalesce("for_table", F.lit("")).isin(list(declared))
+    rejects = dump_rows(apart.where(strangers).drop("for_table")).select(
         "table_name", F.lit("no such table").alias("error"), "source"
     )
-    for part in rejects:
-        lost = lost.unionByName(part)
-    return LoadedDump(tables, lost)
+    tables = {}
+    for name in declared:
+        written = spark.read.parquet(f"{folder}/tables/{name}")
+        tables[name] = written.where(F.col("__error").isNull()).drop("__error", "__source")
+        rejects = rejects.unionByName(
+            written.where(F.col("__error").isNotNull()).select(
+                F.lit(name).alias("table_name"),
+                F.col("__error").alias("error"),
+                F.col("__source").alias("source"),
+            )
+        )
+    return LoadedDump(tables, rejects)

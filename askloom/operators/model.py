@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prompts import build_prompt
-from ..functions.replies import GENERATION_FAILED, parse_reply
+from ..functions.replies import GENERATION_FAILED, parse_replies
 from ..sources.predictions import PREDICTIONS
 
 CALL = "reply string, error string, elapsed_sec double"
@@ -107,7 +107,7 @@ def predict(
         ),
     ).drop("schema_text", "has_schema_file")
     called = generate_batch(tried, model, settings, batch_size, concurrency)
-    parsed = called.withColumn("parsed", parse_reply(F.coalesce("call.reply", F.lit(""))))
+    parsed = parse_replies(called.withColumn("reply", F.coalesce("call.reply", F.lit(""))))
     failed = F.col("call.error").isNotNull()
     valid = F.col("status") == "ok"
 

@@ -147,7 +147,7 @@ def split_statements(statements: DataFrame) -> DataFrame:
         F.contains("stmt", F.lit(";")), F.regexp_extract_all("stmt", F.lit(_ONE_STATEMENT), F.lit(0))
     ).otherwise(F.array("stmt"))
     return (
-        statements.select("path", "stmt_no", F.posexplode(several).alias("part_no", "part"))
+        statements.select("path", "stmt_no", F.posexplode_outer(several).alias("part_no", "part"))
         .select("path", "stmt_no", "part_no", strip_leading_comments(F.col("part")).alias("stmt"))
         .where(F.col("stmt") != "")
     )

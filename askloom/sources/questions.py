@@ -14,14 +14,20 @@ NOT_A_LIST = "Unsupported dataset format. Expected a list of examples."
 def samples(text: Column) -> Column:
     """The samples of one JSON array; the query fails if the text is no array."""
     parsed = F.from_json(text, f"array<{SAMPLE}>", {"allowSingleQuotes": "false"})
-    is_list = F.startswith(F.ltrim(F.regexp_replace(text, r"^\s+", "")), F.lit("["))
-    return F.when(is_list & parsed.isNotNull(), parsed).otherwise(F.raise_error(F.lit(NOT_A_LIST)))
+    return F.coalesce(
+        F.when(text.rlike(r"^\s*\["), parsed), F.raise_error(F.lit(NOT_A_LIST)).cast(f"array<{SAMPLE}>")
+    )
 
 
 def explode_samples(df: DataFrame, text: str = "value") -> DataFrame:
-    """One row per sample; ``index`` is the sample's position in its array."""
+    """One row per sample; ``index`` is the sample's position in its array.
+
+    The outer form of explode with a filter after it parses each array once; the
+    plain form has the optimizer put a filter on the parsed array before it.
+    """
     others = [c for c in df.columns if c != text]
-    return df.select(*others, F.posexplode(samples(F.col(text))).alias("pos", "sample")).select(
+    exploded = df.select(*others, F.posexplode_outer(samples(F.col(text))).alias("pos", "sample"))
+    return exploded.where(F.col("pos").isNotNull()).select(
         *others, F.col("pos").cast("long").alias("index"), "sample.*"
     )
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from askloom.functions.replies import (
     clean_sql_reply,
-    extract_json_payload,
-    parse_reply,
+    extract_payloads,
+    parse_replies,
     parse_verdict,
     review_fold,
 )
@@ -120,7 +120,7 @@ def replies(spark):
 
 
 def test_payload(replies):
-    got = replies.select("reply", extract_json_payload(F.col("reply")).alias("p")).collect()
+    got = extract_payloads(replies, out="p").collect()
     for row in got:
         want = py_payload(row["reply"])
         assert (row["p"] is None) == (want is None), row["reply"]
@@ -134,7 +134,7 @@ def test_clean_sql(replies):
 
 
 def test_parse_reply(replies):
-    for row in replies.select("reply", parse_reply(F.col("reply")).alias("p")).collect():
+    for row in parse_replies(replies, out="p").collect():
         assert tuple(row["p"]) == py_parse(row["reply"]), repr(row["reply"])
 
 
@@ -142,7 +142,7 @@ def test_null_fields_count_as_missing(spark):
     df = spark.createDataFrame(
         [('{"sql_query": null}',), ('{"sql_query": "a", "summary": null}',)], "r string"
     )
-    first, second = df.select(parse_reply(F.col("r")).alias("p")).collect()
+    first, second = parse_replies(df, "r", "p").collect()
     assert first["p"]["predicted_sql"] == '{"sql_query": null}'
     assert second["p"]["summary"] == "SQL query generated successfully"
 

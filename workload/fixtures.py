@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.functions.replies import parse_reply
+from askloom.functions.replies import parse_replies
 from askloom.storage import new_folder
 
 TABLES = (
@@ -154,6 +154,21 @@ def article_dump(spark: SparkSession, sf_dir: str) -> str:
     return _write_dump(read(spark, sf_dir, "documents"), "doc_id", "article", ARTICLE, 20, 200)
 
 
+LINE = (
+    "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+    "l_quantity DECIMAL(12,2), l_extendedprice DECIMAL(12,2), l_discount DOUBLE, l_tax DOUBLE, "
+    "l_returnflag VARCHAR(1), l_linestatus VARCHAR(1), l_shipdate DATETIME, "
+    "PRIMARY KEY (l_orderkey, l_linenumber)"
+)
+
+
+def line_dump(spark: SparkSession, sf_dir: str) -> str:
+    """Order lines, those of 50 orders to an INSERT and of 2,000 to a file."""
+    rows = read(spark, sf_dir, "lineitem")
+    rows = rows.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
+    return _write_dump(rows, "l_orderkey", "line", LINE, 50, 2000)
+
+
 # -- Questions ----------------------------------------------------------------------
 
 
@@ -247,7 +262,7 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prediction for each order, with the seconds taken from the event of that id."""
-    parsed = replies(spark, sf_dir).withColumn("parsed", parse_reply(F.col("reply")))
+    parsed = parse_replies(replies(spark, sf_dir)).drop("reply")
     seconds = read(spark, sf_dir, "events").selectExpr(
         "event_id AS index", "round(abs(value), 3) AS elapsed_sec"
     )

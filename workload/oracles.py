@@ -260,6 +260,9 @@ ORACLES = {
     "classify_statements": f"SELECT shard, stmt_no, kind FROM ({CLIENT_STATEMENTS}) s",
     "load_dump_rows": CLIENTS,
     "load_dump_articles": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "load_dump_lines": """
+        SELECT * REPLACE (CAST(l_linenumber AS BIGINT) AS l_linenumber, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate)
+        FROM lineitem""",
     "list_tables": f"SELECT db_id, 'part_' || p_partkey AS table_name FROM ({NORMALIZED}) d WHERE NOT is_view",
     "normalize_ddl": f"SELECT p_partkey, doc AS ddl FROM ({NORMALIZED}) d",
     "clean_ddl": CLEANED,

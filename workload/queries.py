@@ -9,8 +9,8 @@ from askloom.functions.ddl import clean_ddl, normalize_ddl, statement_kind
 from askloom.functions.prompts import REVIEW_SEPARATOR, build_prompt, build_review_prompt
 from askloom.functions.replies import (
     clean_sql_reply,
-    extract_json_payload,
-    parse_reply,
+    extract_payloads,
+    parse_replies,
     parse_verdict,
     review_fold,
 )
@@ -72,6 +72,11 @@ def load_dump_articles(spark: Spark, sf_dir: str) -> DataFrame:
     return load_dump(scan_dump(spark, fx.article_dump(spark, sf_dir))).tables["article"]
 
 
+def load_dump_lines(spark: Spark, sf_dir: str) -> DataFrame:
+    lines = load_dump(scan_dump(spark, fx.line_dump(spark, sf_dir))).tables["line"]
+    return lines.withColumns({c: F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice")})
+
+
 def resolve_schema_file(spark: Spark, sf_dir: str) -> DataFrame:
     """Three files, of five kinds, for each database."""
     db_id = "concat(source, '_', doc_id div 60)"
@@ -236,7 +241,7 @@ def reviewed(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: Spark, sf_dir: str) -> DataFrame:
-    found = fx.replies(spark, sf_dir).withColumn("p", extract_json_payload(F.col("reply")))
+    found = extract_payloads(fx.replies(spark, sf_dir), out="p")
     return found.select("index", "p.*", F.col("p").isNotNull().alias("is_object"))
 
 
@@ -245,12 +250,12 @@ def clean_sql(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: Spark, sf_dir: str) -> DataFrame:
-    found = fx.replies(spark, sf_dir).withColumn("p", parse_reply(F.col("reply")))
+    found = parse_replies(fx.replies(spark, sf_dir), out="p")
     return found.select("index", "p.*")
 
 
 def parsed_documents(spark: Spark, sf_dir: str) -> DataFrame:
-    found = fx.document_replies(spark, sf_dir).withColumn("p", parse_reply(F.col("reply")))
+    found = parse_replies(fx.document_replies(spark, sf_dir), out="p")
     return found.select("index", "p.*")
 
 
@@ -371,6 +376,7 @@ QUERIES = {
     "classify_statements": classify_statements,
     "load_dump_rows": load_dump_rows,
     "load_dump_articles": load_dump_articles,
+    "load_dump_lines": load_dump_lines,
     "list_tables": list_tables,
     "normalize_ddl": normalize,
     "clean_ddl": clean,
