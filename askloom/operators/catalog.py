@@ -9,15 +9,21 @@ from pyspark.sql import types as T
 
 from ..functions.ddl import normalize_ddl, statement_kind, table_name
 from ..functions.prompts import GENERATION_SEPARATOR
+from ..storage import read_or_empty, written
 
 SCHEMA_DOCS = T.StructType(
     [
+        T.StructField("db_id", T.StringType()),
         T.StructField("doc_no", T.IntegerType()),
         T.StructField("doc_id", T.StringType()),
         T.StructField("doc", T.StringType()),
-        T.StructField("db_id", T.StringType()),
     ]
 )
+STORED_DOCS = T.StructType([*SCHEMA_DOCS.fields, T.StructField("bucket", T.IntegerType())])
+
+# Databases are kept in this many folders, by a hash of their id: a folder for each
+# would mean as many files as databases. It must not change once a store exists.
+BUCKETS = 64
 
 
 def file_stem(path: Column) -> Column:
@@ -62,37 +68,49 @@ def list_views(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
 
 
+def _bucket(db_id: Column) -> Column:
+    return F.pmod(F.xxhash64(db_id), F.lit(BUCKETS)).cast("int")
+
+
 def read_schema_docs(spark: SparkSession, path: str, db_id: str | None = None) -> DataFrame:
-    """All documents, or those of one database, whose folder alone is then read."""
-    docs = spark.read.schema(SCHEMA_DOCS).parquet(path)
-    return docs if db_id is None else docs.where(F.col("db_id") == db_id)
+    """All documents, or those of one database; an empty table before the first store.
+
+    One database's folder is known from its id, and within it files and row groups
+    are sorted by database, so that most of the store is never read.
+    """
+    docs = read_or_empty(spark, path, STORED_DOCS)
+    if db_id is not None:
+        docs = docs.where((F.col("bucket") == _bucket(F.lit(db_id))) & (F.col("db_id") == db_id))
+    return docs.select(SCHEMA_DOCS.fieldNames())
 
 
 def store_schema_docs(docs: DataFrame, path: str, refresh: bool = False) -> None:
     """Write documents once per database; ``refresh`` replaces those of the given databases.
 
     Databases that already have documents are skipped, even when the new ones differ.
-    The rebalance hint gives each database one file and splits one that is too big.
+    A refresh writes the buckets of the given databases anew, with the other
+    databases in them as they are. The rebalance hint gathers each bucket into few
+    files and splits one that is too big.
     """
     spark = docs.sparkSession
-    docs = docs.select(SCHEMA_DOCS.fieldNames())
-    mode = "overwrite"
-    if not refresh:
-        mode = "append"
-        if _exists(spark, path):
-            stored = read_schema_docs(spark, path).select("db_id").distinct()
-            docs = docs.join(stored, "db_id", "left_anti").select(SCHEMA_DOCS.fieldNames())
-    docs.hint("rebalance", "db_id").write.mode(mode).option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("db_id").parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.schema(SCHEMA_DOCS).parquet(path).limit(1).collect()
-        return True
-    except Exception:
-        return False
+    docs = docs.select(SCHEMA_DOCS.fieldNames()).withColumn("bucket", _bucket(F.col("db_id")))
+    stored = read_or_empty(spark, path, STORED_DOCS)
+    if refresh:
+        docs = written(docs, "new-schema-docs")
+        others = stored.join(docs.select("bucket").distinct(), "bucket", "left_semi").join(
+            docs.select("db_id").distinct(), "db_id", "left_anti"
+        )
+        docs = written(docs.unionByName(others), "all-schema-docs")
+    else:
+        docs = docs.join(stored.select("db_id").distinct(), "db_id", "left_anti")
+    (
+        docs.hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "db_id", "doc_no")
+        .write.mode("overwrite" if refresh else "append")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
+        .parquet(path)
+    )
 
 
 def schema_text_by_db(docs: DataFrame, separator: str = GENERATION_SEPARATOR) -> DataFrame:

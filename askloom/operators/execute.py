@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import islice
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE
+from ..storage import read_or_empty
+from .joins import lookup_join
 
 # What stands before the text of a failure.
 EXECUTION_ERROR = "Execution error: "
@@ -60,12 +61,13 @@ def as_json_rows(rows: DataFrame) -> DataFrame:
     return renamed.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("row_json"))
 
 
-def sql_key(sql: str, db_id: str = "") -> str:
-    return hashlib.sha256(f"{db_id}\n{sql}".encode()).hexdigest()[:32]
+def sql_key(db_id: Column, sql: Column) -> Column:
+    """A short name for a text in a database, under which its rows are kept."""
+    return F.substring(F.sha2(F.concat(db_id, F.lit("\n"), sql), 256), 1, 32)
 
 
-def _run_into(spark: SparkSession, db_id: str, sql: str, folder: str, by_database: bool):
-    key = sql_key(sql, db_id)
+def _run_into(spark: SparkSession, text: Row, folder: str, by_database: bool) -> tuple:
+    db_id, sql, key = text["db_id"], text["sql"], text["sql_key"]
     try:
         session = spark
         if by_database:
@@ -84,16 +86,6 @@ def _chunks(rows: Iterator, size: int) -> Iterator[list]:
         yield chunk
 
 
-def _readable(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at ``path``, empty if nothing has been written there yet."""
-    try:
-        table = spark.read.schema(schema).parquet(path)
-        table.limit(1).collect()
-        return table
-    except PySparkException:
-        return spark.createDataFrame([], schema)
-
-
 def execute_batch(
     predictions: DataFrame,
     folder: str,
@@ -117,32 +109,32 @@ def execute_batch(
     wanted = predictions.where(F.col(sql) != "").select(
         "index", db.alias("db_id"), F.col(sql).alias("sql")
     )
-    texts = wanted.select("db_id", "sql").distinct()
-    noted = _readable(spark, f"{folder}/outcomes", OUTCOMES)
-    pending = texts.join(noted.select("db_id", "sql"), ["db_id", "sql"], "left_anti")
+    wanted = wanted.withColumn("sql_key", sql_key(F.col("db_id"), F.col("sql")))
+    noted = read_or_empty(spark, f"{folder}/outcomes", OUTCOMES)
+    texts = wanted.select("db_id", "sql", "sql_key").distinct()
+    pending = texts.join(noted.select("sql_key"), "sql_key", "left_anti")
     with ThreadPoolExecutor(concurrency) as pool:
         for some in _chunks(pending.toLocalIterator(), chunk):
-            done = list(
-                pool.map(lambda r: _run_into(spark, r["db_id"], r["sql"], folder, by_database), some)
-            )
+            done = list(pool.map(lambda text: _run_into(spark, text, folder, by_database), some))
             spark.createDataFrame(done, OUTCOMES).coalesce(1).write.mode("append").parquet(
                 f"{folder}/outcomes"
             )
 
-    noted = _readable(spark, f"{folder}/outcomes", OUTCOMES)
+    noted = read_or_empty(spark, f"{folder}/outcomes", OUTCOMES)
     sizes = result_rows(spark, folder).groupBy("sql_key").agg(F.count(F.lit(1)).alias("n_rows"))
     n_rows = F.coalesce("n_rows", F.lit(0)).cast("long")
     outcome = (
         F.when(F.col("error").isNotNull(), "error").when(n_rows == 0, "empty").otherwise("rows")
     )
     outcomes = noted.join(sizes, "sql_key", "left").select(
-        "db_id", "sql", "sql_key", outcome.alias("outcome"), n_rows.alias("n_rows"), "error"
+        "sql_key", outcome.alias("outcome"), n_rows.alias("n_rows"), "error"
     )
-    return wanted.join(outcomes, ["db_id", "sql"]).select(
+    # Many questions may share one text, so this join must bear a hot key.
+    return lookup_join(wanted.select("index", "sql_key"), outcomes, "sql_key", "index").select(
         "index", "sql_key", "outcome", "n_rows", "error"
     )
 
 
 def result_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(sql_key, row_json) of all results that ``execute_batch`` wrote below ``folder``."""
-    return _readable(spark, f"{folder}/rows", RESULT_ROWS)
+    return read_or_empty(spark, f"{folder}/rows", RESULT_ROWS)

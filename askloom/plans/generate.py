@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import (
-    SCHEMA_DOCS,
     read_schema_docs,
     schema_docs,
     schema_text_by_db,
@@ -28,9 +29,9 @@ from ..sources.predictions import (
     append_predictions,
     completed_indices,
     read_predictions,
-    table_exists,
 )
 from ..sources.schema_files import list_schema_files, resolve_schema_files
+from ..storage import written
 
 
 def schema_of_databases(
@@ -48,24 +49,16 @@ def schema_of_databases(
     files = files.select("db_id", "path")
     fresh = files
     if not refresh:
-        fresh = files.join(_stored(spark, store).select("db_id").distinct(), "db_id", "left_anti")
+        stored = read_schema_docs(spark, store).select("db_id").distinct()
+        fresh = files.join(stored, "db_id", "left_anti")
     if not fresh.isEmpty():
         statements = scan_dump(spark, f"{root.rstrip('/')}/database/*/*.sql")
         docs = schema_docs(statements.join(fresh, "path"), F.col("db_id"))
         store_schema_docs(docs, store, refresh)
-    texts = schema_text_by_db(_stored(spark, store))
+    texts = schema_text_by_db(read_schema_docs(spark, store))
     return files.select("db_id").join(texts, "db_id", "left")
 
 
-def _stored(spark: SparkSession, store: str) -> DataFrame:
-    try:
-        docs = read_schema_docs(spark, store)
-        docs.limit(1).collect()
-        return docs
-    except Exception:
-        return spark.createDataFrame([], SCHEMA_DOCS)
-
-
 def run_batch(
     samples: DataFrame,
     schema_by_db: DataFrame,
@@ -75,6 +68,7 @@ def run_batch(
     limit: int = 0,
     resume: bool = False,
     retry_errors: bool = False,
+    flush_every: int = 0,
     dialect: str = "SQL",
     settings: ModelSettings = GENERATION,
     batch_size: int = 32,
@@ -82,15 +76,30 @@ def run_batch(
 ) -> DataFrame:
     """Predict, append to the table at ``output``, and report on the whole table.
 
-    Everything up to the write is one job, so each question is asked once; the
-    report reads the written table.
+    Rows are appended by jobs of ``flush_every`` indices each, by one job if it is 0
+    or less. What has been appended stays when a later job fails, and a run with
+    ``resume`` goes on from there. Nothing reads predictions before they are
+    written, so no question is asked twice.
     """
     spark = samples.sparkSession
     questions = require_rows(slice_questions(coerce_fields(samples), start, limit))
-    if resume and table_exists(spark, output):
+    if resume:
         done = completed_indices(read_predictions(spark, output), retry_errors)
-        questions = resume_anti_join(questions, done)
-    ready = validate_rows(attach_schema(questions, schema_by_db))
-    predictions = predict(ready, model, dialect, settings, batch_size, concurrency)
-    append_predictions(predictions, output)
+        questions = written(resume_anti_join(questions, done), "questions")
+    schema_by_db = written(schema_by_db, "schema-texts")
+    for part in _parts(questions, flush_every):
+        ready = validate_rows(attach_schema(part, schema_by_db))
+        predictions = predict(ready, model, dialect, settings, batch_size, concurrency)
+        append_predictions(predictions, output)
     return run_report(read_predictions(spark, output))
+
+
+def _parts(questions: DataFrame, size: int) -> Iterator[DataFrame]:
+    """Ranges of the index, each a filter that the scan can use."""
+    if size <= 0:
+        yield questions
+        return
+    ends = questions.agg(F.min("index").alias("lo"), F.max("index").alias("hi")).first()
+    if ends["lo"] is not None:
+        for lo in range(ends["lo"], ends["hi"] + 1, size):
+            yield questions.where((F.col("index") >= lo) & (F.col("index") < lo + size))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import read_or_empty
+
 # The columns of the prediction table, in order.
 PREDICTIONS = T.StructType(
     [
@@ -23,8 +25,11 @@ PREDICTIONS = T.StructType(
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """The table, also of runs that the streaming job wrote into sub-folders."""
-    return spark.read.schema(PREDICTIONS).option("recursiveFileLookup", True).parquet(path)
+    """The table, also of runs that the streaming job wrote into sub-folders.
+
+    Before the first run it is empty.
+    """
+    return read_or_empty(spark, path, PREDICTIONS, recursiveFileLookup="true")
 
 
 def append_predictions(predictions: DataFrame, path: str) -> None:
@@ -32,19 +37,6 @@ def append_predictions(predictions: DataFrame, path: str) -> None:
     predictions.select(PREDICTIONS.fieldNames()).write.mode("append").parquet(path)
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a run has written here before; an unreadable table counts as none."""
-    try:
-        read_predictions(spark, path).select("index").limit(1).collect()
-        return True
-    except Exception:
-        return False
-
-
-def no_predictions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], PREDICTIONS)
-
-
 def completed_indices(predictions: DataFrame, retry_errors: bool = False) -> DataFrame:
     """Indices that need no further run. Rows with an error count as done unless retried."""
     done = predictions.where(F.col("index").isNotNull())

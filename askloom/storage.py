@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
@@ -41,6 +43,18 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_or_empty(
+    spark: SparkSession, path: str, schema: StructType | str, **options: str
+) -> DataFrame:
+    """The Parquet table at ``path``, empty if nothing has been written there yet."""
+    try:
+        return spark.read.schema(schema).options(**options).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Exact number of bytes that the columns of ``df`` hold as text."""
     row = F.lit(0).cast("long")

@@ -10,8 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.model import GENERATION, Model, ModelSettings, predict
 from ..operators.questions import attach_schema, coerce_fields, resume_anti_join, validate_rows
-from ..sources.predictions import PREDICTIONS, completed_indices, read_predictions, table_exists
+from ..sources.predictions import PREDICTIONS, completed_indices, read_predictions
 from ..sources.questions import QUESTION_LINES
+from ..storage import written
 
 
 def read_question_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -39,13 +40,14 @@ def stream_predictions(
     named after the checkpoint too, so streams with different checkpoints can share
     a table.
     """
+    schema_by_db = written(schema_by_db, "schema-texts")
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         folder = f"stream_{run}/batch_{batch_id}"
         questions = coerce_fields(batch)
-        if resume and table_exists(spark, output):
+        if resume:
             # A repeated batch must not take its own earlier rows for finished work.
             others = read_predictions(spark, output).where(
                 ~F.col("_metadata.file_path").contains(f"/{folder}/")

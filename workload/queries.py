@@ -205,7 +205,7 @@ def batch(spark: Spark, sf_dir: str) -> DataFrame:
     """The job in three runs: a slice, the rest by resuming, and one with nothing left."""
     folder = new_folder(spark, "predictions")
     rows, schemas = fx.samples(spark, sf_dir), _schemas(spark, sf_dir)
-    run_batch(rows, schemas, folder, fx.counting_model, limit=1000)
+    run_batch(rows, schemas, folder, fx.counting_model, limit=1000, flush_every=400)
     run_batch(rows, schemas, folder, fx.counting_model, resume=True)
     run_batch(rows, schemas, folder, fx.counting_model, resume=True)
     return table.read_predictions(spark, folder).drop("elapsed_sec")
