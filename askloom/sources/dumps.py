@@ -1,170 +1,269 @@
 """SQL dumps as DataFrames of statements.
 
 A dump is read in pieces that end at ``;`` + newline, in parallel over the splits
-of every file. A piece ends a statement unless the separator stands inside a
-literal. Whether it does depends on all the text before it, which is settled in
-two steps so that no task ever handles a whole file: within each split by running
-windows, and across the splits of a file by running windows over one small row
-per split.
+of every file. Nearly every piece is one statement and goes straight through. Only
+where a separator stands inside a literal or a comment do pieces belong together.
+Whether it does depends on all the text before it, so the state at the end of each
+piece is followed through the file: for the few pieces that change it, first within
+each split and then over one small row per split. The text itself is never
+shuffled, but for the pieces that have to be put together.
 """
 
-from __future__ import annotations
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ddl import strip_leading_comments
-from ..storage import written
+from ..storage import small_enough, written
 
-_TOKENS = (
-    r"[^;'\"`/-]++|'[^']*+'|\"[^\"]*+\"|`[^`]*+`|--[^\n]*+|/\*.*?\*/|"
-)
-_OPEN_LITERAL = r"(?s)^(?:" + _TOKENS + r"[;/\"`-])*+(')?"
-_ONE_STATEMENT = r"(?s)(?:" + _TOKENS + r"[/\"'`-])++"
+# States between two pieces: outside, in a literal, in a block comment. A change is
+# the three states that a piece ends in when it starts in each of these.
+STATES = "NSB"
+OUTSIDE = "N"
 
+# What stands for a backslash and the character after it.
+ESCAPES = {
+    "\\'": "''",
+    '\\"': '"',
+    "\\n": "\n",
+    "\\r": "\r",
+    "\\t": "\t",
+    "\\b": "\b",
+    "\\0": "\0",
+    "\\Z": "\x1a",
+}
 
-def _ends_in_literal(text: Column) -> Column:
-    """Whether text that starts outside a literal ends inside one."""
-    return F.regexp_extract(text, _OPEN_LITERAL, 1) != ""
 
+def _tokens(backslash: bool) -> str:
+    literal = r"'(?:[^'\\]++|\\.)*+'" if backslash else r"'[^']*+'"
+    return r"[^;'\"`/-]++|" + literal + r"|\"[^\"]*+\"|`[^`]*+`|--[^\n]*+|/\*.*?\*/"
 
-def _flip(state: Column, flips: Column) -> Column:
-    return state.bitwiseXOR((flips % 2).cast("int"))
 
+def _state_after(text: Column, backslash: bool) -> Column:
+    """The state in which a text that starts outside ends."""
+    opener = r"(?s)^(?:" + _tokens(backslash) + r"|[;\"`-]|/(?!\*))*+('|/\*)?"
+    left_open = F.regexp_extract(text, opener, 1)
+    return F.when(left_open == "'", "S").when(left_open == "/*", "B").otherwise(OUTSIDE)
 
-def scan_pieces(spark: SparkSession, paths: str | list[str], line_sep: str = ";\n") -> DataFrame:
-    """Raw pieces in file order: (path, block, seq, piece, from_outside, from_inside).
 
-    ``block`` is the offset of the file split, ``seq`` the order within it. The last
-    two columns say whether the piece ends inside a literal (1) or not (0), had it
-    started outside or inside one.
+def scan_pieces(
+    spark: SparkSession,
+    paths: str | list[str],
+    line_sep: str = ";\n",
+    backslash_escapes: bool = False,
+) -> DataFrame:
+    """Raw pieces in file order: (path, block, seq, piece, after).
+
+    ``block`` is the offset of the file split, ``seq`` counts on within it, and
+    ``after`` is the state at the end of the piece if it starts outside.
     """
-    rows = spark.read.text(paths, lineSep=line_sep).select(
+    return spark.read.text(paths, lineSep=line_sep).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("piece"),
-    )
-    return rows.select(
-        "*",
-        _ends_in_literal(F.col("piece")).cast("int").alias("from_outside"),
-        _ends_in_literal(F.concat(F.lit("'"), F.col("piece"))).cast("int").alias("from_inside"),
+        _state_after(F.col("value"), backslash_escapes).alias("after"),
     )
 
 
-def number_pieces(pieces: DataFrame) -> DataFrame:
-    """Give each piece its statement: (path, block, seq, piece, stmt_no, whole).
+def state_changes(pieces: DataFrame, backslash_escapes: bool = False) -> DataFrame:
+    """Pieces that may change the state: (path, block, seq, change).
 
-    A piece either forces a state at its end or keeps or flips the state it
-    started in, so the state at its end is the last forced one before it, flipped
-    once for each flip since. Both are running windows. Pieces of the same
-    statement get the same ``stmt_no``; ``whole`` marks a statement of one piece.
+    A file in which no piece leaves the outside has none; its text is not looked
+    at again, as long as the list of the other files is small enough to broadcast.
     """
-    order = ["path", "block"]
-    keys = W.partitionBy(*order)
-    so_far = keys.orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = keys.orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-
-    forced = F.col("from_outside") == F.col("from_inside")
-    flips = ((F.col("from_outside") == 1) & (F.col("from_inside") == 0)).cast("int")
-
-    def within_splits(df: DataFrame) -> DataFrame:
-        df = df.withColumn("flips", F.sum(flips).over(so_far))
-        df = df.withColumn("anchor", F.when(forced, _flip(F.col("from_outside"), F.col("flips"))))
-        return df.select(
-            "*",
-            F.last("anchor", ignorenulls=True).over(so_far).alias("anchor_after"),
-            F.last("anchor", ignorenulls=True).over(before).alias("anchor_before"),
-            F.coalesce(F.last("flips").over(before), F.lit(0)).alias("flips_before"),
-        )
-
-    def starts_inside(split_starts_inside: Column) -> Column:
-        return _flip(F.coalesce(F.col("anchor_before"), split_starts_inside), F.col("flips_before"))
-
-    narrow = within_splits(pieces.select("path", "block", "seq", "from_outside", "from_inside"))
-    splits = narrow.groupBy(*order).agg(
-        F.max_by("anchor_after", "seq").alias("split_anchor"),
-        F.max("flips").alias("split_flips"),
-        F.sum((starts_inside(F.lit(0)) == 0).cast("long")).alias("begun_from_outside"),
-        F.sum((starts_inside(F.lit(1)) == 0).cast("long")).alias("begun_from_inside"),
+    unclear = pieces.where(F.col("after") != OUTSIDE).select("path").distinct()
+    rows = pieces
+    if small_enough(unclear):
+        rows = pieces.join(F.broadcast(unclear), "path", "left_semi")
+    change = F.concat(
+        "after",
+        _state_after(F.concat(F.lit("'"), "piece"), backslash_escapes),
+        _state_after(F.concat(F.lit("/*"), "piece"), backslash_escapes),
     )
+    changes = rows.select("path", "block", "seq", change.alias("change"))
+    return changes.where(F.col("change") != STATES)
+
+
+def _in_turn() -> Callable[[str, str], str]:
+    """Two changes, one after the other, as one."""
+    known: dict[tuple[str, str], str] = {}
+
+    def then(first: str, second: str) -> str:
+        if (first, second) not in known:
+            known[first, second] = first.translate(str.maketrans("NSB", second))
+        return known[first, second]
+
+    return then
+
+
+def _within_splits(changes: DataFrame) -> DataFrame:
+    """For each changing piece, the change from the start of its split to its end."""
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        then, so_far, out = _in_turn(), "NSB", []
+        rows = rows.sort_values("seq")
+        for change in rows["change"]:
+            so_far = then(so_far, change)
+            out.append(so_far)
+        return rows.assign(change=out)
+
+    schema = "path string, block long, seq long, change string"
+    return changes.groupBy("path", "block").applyInPandas(follow, schema)
+
+
+def _across_splits(splits: DataFrame) -> DataFrame:
+    """The state at the start of each split, and the number of pieces before it.
+
+    Some 8,000 rows for each TB of a file.
+    """
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        state, n, starts, befores = "N", 0, [], []
+        rows = rows.sort_values("block")
+        for change, pieces in zip(rows["change"], rows["n"]):
+            starts.append(state)
+            befores.append(n)
+            state, n = change["NSB".index(state)], n + pieces
+        return rows.assign(start=starts, n_before=befores).drop(columns="change")
+
+    schema = "path string, block long, first long, n long, start string, n_before long"
+    return splits.groupBy("path").applyInPandas(follow, schema)
 
-    # One row per split from here: a file of 1 TB has some 8,000 of them.
-    per_file = W.partitionBy("path").orderBy("block")
-    earlier = per_file.rowsBetween(W.unboundedPreceding, -1)
-    splits = splits.withColumn("all_flips", F.sum("split_flips").over(per_file))
-    splits = splits.withColumn(
-        "file_anchor",
-        F.col("split_anchor").bitwiseXOR(
-            ((F.col("all_flips") - F.col("split_flips")) % 2).cast("int")
-        ),
+
+def _broadcast_if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if small_enough(df) else df
+
+
+def _fragments(changes: DataFrame, splits: DataFrame) -> DataFrame:
+    """The pieces of statements of several pieces: (path, block, seq, stmt_no).
+
+    The state only changes at the given pieces, so that the pieces between two of
+    them are known from their numbers.
+    """
+    split = ["path", "block"]
+    spots = changes.join(_broadcast_if_small(splits), split).select(
+        *split,
+        "seq",
+        F.substring("change", F.instr(F.lit(STATES), F.col("start")), F.lit(1)).alias("after"),
+        (F.col("n_before") + F.col("seq") - F.col("first")).alias("piece_no"),
     )
-    splits = splits.withColumn(
-        "inside",
-        _flip(
-            F.coalesce(F.last("file_anchor", ignorenulls=True).over(earlier), F.lit(0)),
-            F.coalesce(F.last("all_flips").over(earlier), F.lit(0)),
-        ),
+    # A split that starts inside gets a spot just before its first piece.
+    entered = splits.where(F.col("start") != OUTSIDE).select(
+        *split, (F.col("first") - 1).alias("seq"), F.col("start").alias("after"), F.lit(None).cast("long").alias("piece_no")
     )
-    begun = F.when(F.col("inside") == 0, F.col("begun_from_outside")).otherwise(
-        F.col("begun_from_inside")
+    order = W.partitionBy(*split).orderBy("seq")
+    spots = spots.unionByName(entered)
+    spots = spots.withColumn("before", F.lag("after", 1, OUTSIDE).over(order))
+    spots = spots.withColumn(
+        "opened",
+        F.when((F.col("before") == OUTSIDE) & (F.col("after") != OUTSIDE), F.col("piece_no")),
     )
-    splits = splits.select(
-        *order, "inside", F.coalesce(F.sum(begun).over(earlier), F.lit(0)).alias("begun_before")
+    spots = spots.select(
+        "*",
+        F.last("opened", ignorenulls=True).over(order).alias("stmt_no"),
+        F.lead("seq").over(order).alias("next"),
     )
 
-    rows = within_splits(pieces).join(splits, order)
-    rows = rows.withColumn("starts_inside", starts_inside(F.col("inside")))
-    ends_inside = _flip(F.coalesce(F.col("anchor_after"), F.col("inside")), F.col("flips"))
-    number = F.col("begun_before") + F.sum((F.col("starts_inside") == 0).cast("long")).over(so_far)
-    return rows.select(
-        *order,
-        "seq",
-        "piece",
-        (number - 1).alias("stmt_no"),
-        ((F.col("starts_inside") == 0) & (ends_inside == 0)).alias("whole"),
+    # What is open at the start of a split was opened last in the splits before it.
+    last_opened = spots.groupBy(*split).agg(F.max("opened").alias("opened"))
+    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = splits.join(last_opened, split, "left").select(
+        *split,
+        (F.col("first") + F.col("n")).alias("end"),
+        F.last("opened", ignorenulls=True).over(earlier).alias("carried"),
+    )
+    inside = F.col("after") != OUTSIDE
+    first = F.when(
+        F.col("piece_no").isNotNull() & (inside | (F.col("before") != OUTSIDE)), F.col("seq")
+    ).otherwise(F.col("seq") + 1)
+    last = F.when(inside, F.coalesce("next", "end") - 1).otherwise(F.col("seq"))
+    return (
+        spots.join(carried, split)
+        .select(*split, F.coalesce("stmt_no", "carried").alias("stmt_no"), first.alias("lo"), last.alias("hi"))
+        .where(F.col("lo") <= F.col("hi"))
+        .select(*split, F.explode(F.sequence("lo", "hi")).alias("seq"), "stmt_no")
     )
 
 
-def fold_pieces(numbered: DataFrame, line_sep: str = ";\n") -> DataFrame:
-    """Put statements of several pieces together; only their pieces are shuffled."""
-    columns = ["path", "stmt_no", "stmt"]
-    whole = numbered.where("whole").withColumnRenamed("piece", "stmt").select(*columns)
+def fold_pieces(
+    pieces: DataFrame, line_sep: str = ";\n", backslash_escapes: bool = False
+) -> DataFrame:
+    """(path, stmt_no, stmt): pieces as statements, those that belong together joined.
+
+    ``stmt_no`` is the number in the file of a statement's first piece.
+    """
+    split, columns = ["path", "block"], ["path", "stmt_no", "stmt"]
+    changes = written(
+        _within_splits(state_changes(pieces, backslash_escapes)), "dump-state-changes"
+    )
+    splits = pieces.groupBy(*split).agg(F.min("seq").alias("first"), F.count("seq").alias("n"))
+    at_end = changes.groupBy(*split).agg(F.max_by("change", "seq").alias("change"))
+    splits = splits.join(at_end, split, "left").fillna({"change": STATES})
+    splits = written(_across_splits(splits), "dump-splits")
+    fragments = written(_fragments(changes, splits), "dump-fragments")
+
+    numbered = pieces.join(_broadcast_if_small(splits.select(*split, "first", "n_before")), split)
+    number = F.col("n_before") + F.col("seq") - F.col("first")
+    numbered = numbered.select(*split, "seq", number.alias("stmt_no"), F.col("piece").alias("stmt"))
+    if fragments.isEmpty():
+        return numbered.select(*columns)
+    fragments = _broadcast_if_small(fragments)
+    whole = numbered.join(fragments, [*split, "seq"], "left_anti").select(*columns)
     parts = F.sort_array(F.collect_list(F.struct("block", "seq", "piece")))
     folded = (
-        numbered.where(~F.col("whole"))
+        pieces.join(fragments, [*split, "seq"])
         .groupBy("path", "stmt_no")
         .agg(F.array_join(parts["piece"], line_sep).alias("stmt"))
-        .select(*columns)
     )
-    return whole.unionByName(folded)
+    return whole.unionByName(folded.select(*columns))
 
 
-def split_statements(statements: DataFrame) -> DataFrame:
+def standard_quotes(stmt: Column) -> Column:
+    """A statement with the escapes of its literals written the standard way."""
+
+    def unescape(part: Column) -> Column:
+        for escape, text in ESCAPES.items():
+            part = F.replace(part, F.lit(escape), F.lit(text))
+        return part
+
+    # Doubled backslashes are taken out first: what follows them is not escaped.
+    parts = F.transform(F.split(stmt, r"\\\\"), unescape)
+    return F.when(F.contains(stmt, F.lit("\\")), F.array_join(parts, "\\")).otherwise(stmt)
+
+
+def split_statements(statements: DataFrame, backslash_escapes: bool = False) -> DataFrame:
     """Split what still holds several statements, and drop blanks and mere comments."""
+    one = r"(?s)(?:" + _tokens(backslash_escapes) + r"|[/\"'`-])++"
     several = F.when(
-        F.contains("stmt", F.lit(";")), F.regexp_extract_all("stmt", F.lit(_ONE_STATEMENT), F.lit(0))
+        F.contains("stmt", F.lit(";")), F.regexp_extract_all("stmt", F.lit(one), F.lit(0))
     ).otherwise(F.array("stmt"))
-    return (
+    parts = (
         statements.select("path", "stmt_no", F.posexplode_outer(several).alias("part_no", "part"))
         .select("path", "stmt_no", "part_no", strip_leading_comments(F.col("part")).alias("stmt"))
         .where(F.col("stmt") != "")
     )
+    return parts.withColumn("stmt", standard_quotes(F.col("stmt"))) if backslash_escapes else parts
 
 
 def scan_dump(
     spark: SparkSession,
     paths: str | list[str],
     line_sep: str = ";\n",
+    backslash_escapes: bool = False,
     staging: str | None = None,
 ) -> DataFrame:
     """The statements of SQL dumps: (path, stmt_no, part_no, stmt), without their ``;``.
 
     (stmt_no, part_no) is the order in the file; part_no counts statements that
     share a line. The pieces are written once to ``staging`` (by default below
-    ``spark.checkpoint.dir``), since their order must not be derived twice. Use
-    ``line_sep=";\\r\\n"`` for dumps with Windows line ends.
+    ``spark.checkpoint.dir``), since their numbers must not be derived twice. Use
+    ``line_sep=";\\r\\n"`` for dumps with Windows line ends, and
+    ``backslash_escapes`` for dumps that write a quote as ``\\'``.
     """
-    pieces = written(scan_pieces(spark, paths, line_sep), "dump-pieces", staging)
-    return split_statements(fold_pieces(number_pieces(pieces), line_sep))
+    pieces = scan_pieces(spark, paths, line_sep, backslash_escapes)
+    pieces = written(pieces, "dump-pieces", staging)
+    return split_statements(fold_pieces(pieces, line_sep, backslash_escapes), backslash_escapes)

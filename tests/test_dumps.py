@@ -31,8 +31,8 @@ def py_statements(text):
             piece = rest[: rest.index(rest[0], 1) + 1]
         elif rest.startswith("--"):
             piece = rest.split("\n")[0]
-        elif rest.startswith("/*") and "*/" in rest:
-            piece = rest[: rest.index("*/") + 2]
+        elif rest.startswith("/*") and "*/" in rest[2:]:
+            piece = rest[: rest.index("*/", 2) + 2]
         elif rest[0] == ";":
             out.append(now)
             now, at = "", at + 1
@@ -43,6 +43,18 @@ def py_statements(text):
     return [*out, now]
 
 
+def py_leading(stmt):
+    """Without the comments before it."""
+    while True:
+        stmt = stmt.strip()
+        if stmt.startswith("--"):
+            stmt = stmt.partition("\n")[2]
+        elif stmt.startswith("/*") and "*/" in stmt[2:]:
+            stmt = stmt[stmt.index("*/", 2) + 2 :]
+        else:
+            return stmt
+
+
 MIXED = """-- it's a dump; really
 DROP TABLE IF EXISTS t;
 /*!40101 SET NAMES utf8 */;
@@ -71,6 +83,44 @@ def test_mixed_dump(spark, tmp_path):
     assert "'it''s;\n''; -- not a comment;\n'" in got[2]
 
 
+COMMENTED = """CREATE TABLE t (a INT);
+/* not now:
+INSERT INTO t VALUES (1, 'it''s');
+-- */ INSERT INTO t VALUES (2);
+/* INSERT INTO t VALUES (3);
+it's off;
+/* still off */ INSERT INTO t VALUES (4, '/* text;
+*/'); /* end;
+*/
+INSERT INTO t VALUES (5);
+"""
+
+
+def test_separators_in_comments(spark, tmp_path):
+    got = statements(spark, write(tmp_path, "c.sql", COMMENTED))
+    assert got == [
+        "CREATE TABLE t (a INT)",
+        "INSERT INTO t VALUES (2)",
+        "INSERT INTO t VALUES (4, '/* text;\n*/')",
+        "INSERT INTO t VALUES (5)",
+    ]
+
+
+ESCAPED = r"""CREATE TABLE t (a INT, b TEXT);
+INSERT INTO t VALUES (1, 'it\'s;
+'), (2, 'c:\\'), (3, 'a\nb \\n \"q\" (x)');
+INSERT INTO t VALUES (4, '\\\'');
+"""
+
+
+def test_backslash_escapes(spark, tmp_path):
+    path = write(tmp_path, "e.sql", ESCAPED)
+    loaded = load_dump(scan_dump(spark, path, backslash_escapes=True))
+    rows = sorted(tuple(r) for r in loaded.tables["t"].collect())
+    assert rows == [(1, "it's;\n"), (2, "c:\\"), (3, 'a\nb \\n "q" (x)'), (4, "\\'")]
+    assert loaded.rejects.count() == 0
+
+
 def test_windows_line_ends(spark, tmp_path):
     path = write(tmp_path, "w.sql", MIXED.replace("\n", "\r\n"))
     assert len(statements(spark, path, line_sep=";\r\n")) == 6
@@ -80,7 +130,8 @@ def test_windows_line_ends(spark, tmp_path):
 @pytest.mark.parametrize("split_bytes", [64, 257, 4096])
 def test_any_split_size_gives_the_same(spark, tmp_path, split_bytes):
     rng = random.Random(split_bytes)
-    parts = ["'a;\nb'", "'it''s'", "';\n;\n'", "' -- x'", "-- it's ok\n", "/* it's; */", "x", " ", "''"]
+    parts = ["'a;\nb'", "'it''s'", "';\n;\n'", "' -- x'", "-- it's ok\n", "/* it's; */",
+             "/* a;\nb' */", "x", " ", "''", "/", "*/", "'/*'"]
     texts = []
     for n in range(6):
         made = []
@@ -99,7 +150,7 @@ def test_any_split_size_gives_the_same(spark, tmp_path, split_bytes):
         mine = sorted(
             (r["stmt_no"], r["part_no"], r["stmt"]) for r in rows if r["path"].endswith(f"d{n}.sql")
         )
-        want = [s.strip() for s in py_statements(text) if s.strip()]
+        want = [py_leading(s) for s in py_statements(text) if py_leading(s)]
         assert [s for _, _, s in mine] == want
 
 

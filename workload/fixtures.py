@@ -5,6 +5,8 @@ Each fixture covers its whole table; a key modulo n only chooses the shape of a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    for table in TABLES:
+def register(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """Views of the tables that a text names."""
+    for table in set(re.findall(r"\w+", sql)) & set(TABLES):
         read(spark, sf_dir, table).createOrReplaceTempView(table)
 
 

@@ -105,15 +105,16 @@ CLIENT_STATEMENTS = f"""
       || ', ' || c_nationkey || ', ' || c_acctbal || ', ''' || c_mktsegment || ''')' AS t
     FROM ({CLIENTS}) c
   ), statements AS (
-    SELECT c_custkey // 500 AS shard, 2 + c_custkey // 100 AS ord, 'insert' AS kind,
+    SELECT c_custkey // 500 AS shard, 2 + c_custkey // 100 AS ord,
+      1 + count(*) FILTER (c_custkey % 6 = 3) AS n_pieces, 'insert' AS kind,
       'INSERT INTO client (c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) VALUES' || chr(10)
         || string_agg(t, ',' || chr(10) ORDER BY c_custkey) AS stmt
     FROM tuples GROUP BY 1, 2
-    UNION ALL SELECT DISTINCT c_custkey // 500, 0, 'other', 'DROP TABLE IF EXISTS client' FROM customer
-    UNION ALL SELECT DISTINCT c_custkey // 500, 1, 'create_table', {_text("CREATE TABLE client (" + _CLIENT_DDL + ")")} FROM customer
-    UNION ALL SELECT DISTINCT c_custkey // 500, 1000000000000, 'other', 'UPDATE client SET a = ''b''' FROM customer
+    UNION ALL SELECT DISTINCT c_custkey // 500, 0, 1, 'other', 'DROP TABLE IF EXISTS client' FROM customer
+    UNION ALL SELECT DISTINCT c_custkey // 500, 1, 1, 'create_table', {_text("CREATE TABLE client (" + _CLIENT_DDL + ")")} FROM customer
+    UNION ALL SELECT DISTINCT c_custkey // 500, 1000000000000, 1, 'other', 'UPDATE client SET a = ''b''' FROM customer
   )
-  SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY ord) - 1 AS stmt_no, kind, stmt FROM statements"""
+  SELECT shard, CAST(sum(n_pieces) OVER (PARTITION BY shard ORDER BY ord) - n_pieces AS BIGINT) AS stmt_no, kind, stmt FROM statements"""
 
 # -- Questions ------------------------------------------------------------------------
 

@@ -317,7 +317,7 @@ def preview(spark: Spark, sf_dir: str) -> DataFrame:
 
 def _conformance(key: str):
     def run(spark: Spark, sf_dir: str) -> DataFrame:
-        fx.register(spark, sf_dir)
+        fx.register(spark, sf_dir, spark_sql(key))
         result = execute_query(spark, spark_sql(key))
         if result.rows is None:
             raise ValueError(result.error)
@@ -328,7 +328,7 @@ def _conformance(key: str):
 
 def _executed(spark: Spark, sf_dir: str) -> tuple[DataFrame, str]:
     """A predicted SQL for each customer, of six kinds; equal texts are run once."""
-    fx.register(spark, sf_dir)
+    fx.register(spark, sf_dir, "customer nation")
     sql = F.expr(
         "CASE c_custkey % 6 WHEN 0 THEN concat('SELECT c_nationkey, count(*) AS n FROM customer"
         " WHERE c_mktsegment = \\'', c_mktsegment, '\\' GROUP BY c_nationkey')"
