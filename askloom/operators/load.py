@@ -211,28 +211,31 @@ def declared_tables(statements: DataFrame) -> dict[str, list[tuple[str, str, str
 def load_dump(statements: DataFrame, folder: str | None = None, concurrency: int = 4) -> LoadedDump:
     """The tables of one database, written below ``folder`` as Parquet.
 
-    Only the table declarations reach the driver. The INSERT statements are first
-    written apart by table, so that each table's job reads its own; it parses and
-    casts them in one pass and without a shuffle.
+    The statements are first written apart by kind and table, so that each table's
+    job reads its own; it parses and casts them in one pass and without a shuffle.
+    Only the table declarations reach the driver.
     """
     spark = statements.sparkSession
     folder = folder or new_folder(spark, "dump-tables")
-    inserts = statements.where(statement_kind(F.col("stmt")) == "insert").withColumn(
-        "for_table", F.lower(table_name(F.col("stmt")))
-    )
-    inserts.write.mode("overwrite").partitionBy("for_table").parquet(f"{folder}/inserts")
-    apart = spark.read.schema(inserts.schema).parquet(f"{folder}/inserts")
-    declared = declared_tables(statements)
+    kept = statements.select(
+        "*",
+        statement_kind(F.col("stmt")).alias("kind"),
+        F.lower(table_name(F.col("stmt"))).alias("for_table"),
+    ).where(F.col("kind") != "other")
+    kept.write.mode("overwrite").partitionBy("kind", "for_table").parquet(f"{folder}/statements")
+    apart = spark.read.schema(kept.schema).parquet(f"{folder}/statements")
+    declared = declared_tables(apart.where(F.col("kind") == "create_table").drop("kind", "for_table"))
+    inserts = apart.where(F.col("kind") == "insert").drop("kind")
 
     def load(name: str) -> None:
-        rows = dump_rows(apart.where(F.col("for_table") == name).drop("for_table"))
+        rows = dump_rows(inserts.where(F.col("for_table") == name).drop("for_table"))
         type_rows(rows, declared[name]).write.mode("overwrite").parquet(f"{folder}/tables/{name}")
 
     with ThreadPoolExecutor(concurrency) as pool:
         list(pool.map(load, declared))
 
     strangers = ~F.coalesce("for_table", F.lit("")).isin(list(declared))
-    rejects = dump_rows(apart.where(strangers).drop("for_table")).select(
+    rejects = dump_rows(inserts.where(strangers).drop("for_table")).select(
         "table_name", F.lit("no such table").alias("error"), "source"
     )
     tables = {}

@@ -69,13 +69,24 @@ def scan_pieces(
     )
 
 
-def state_changes(pieces: DataFrame, backslash_escapes: bool = False) -> DataFrame:
+def _splits(pieces: DataFrame) -> DataFrame:
+    """The first number and the count of each split, and the pieces before it in its file.
+
+    One small row per split, some 8,000 for each TB of a file.
+    """
+    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sizes = pieces.groupBy("path", "block").agg(
+        F.min("seq").alias("first"), F.count("seq").alias("n")
+    )
+    return sizes.withColumn("n_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+
+def _changes(pieces: DataFrame, unclear: DataFrame, backslash_escapes: bool) -> DataFrame:
     """Pieces that may change the state: (path, block, seq, change).
 
-    A file in which no piece leaves the outside has none; its text is not looked
-    at again, as long as the list of the other files is small enough to broadcast.
+    Only ``unclear`` files are looked at again, if their list is small enough to
+    broadcast, else all files.
     """
-    unclear = pieces.where(F.col("after") != OUTSIDE).select("path").distinct()
     rows = pieces
     if small_enough(unclear):
         rows = pieces.join(F.broadcast(unclear), "path", "left_semi")
@@ -116,21 +127,17 @@ def _within_splits(changes: DataFrame) -> DataFrame:
 
 
 def _across_splits(splits: DataFrame) -> DataFrame:
-    """The state at the start of each split, and the number of pieces before it.
-
-    Some 8,000 rows for each TB of a file.
-    """
+    """The state at the start of each split, from the changes of the splits before it."""
 
     def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        state, n, starts, befores = "N", 0, [], []
+        state, starts = "N", []
         rows = rows.sort_values("block")
-        for change, pieces in zip(rows["change"], rows["n"]):
+        for change in rows["change"]:
             starts.append(state)
-            befores.append(n)
-            state, n = change["NSB".index(state)], n + pieces
-        return rows.assign(start=starts, n_before=befores).drop(columns="change")
+            state = change["NSB".index(state)]
+        return rows.assign(start=starts).drop(columns="change")
 
-    schema = "path string, block long, first long, n long, start string, n_before long"
+    schema = "path string, block long, first long, n long, n_before long, start string"
     return splits.groupBy("path").applyInPandas(follow, schema)
 
 
@@ -197,20 +204,23 @@ def fold_pieces(
     ``stmt_no`` is the number in the file of a statement's first piece.
     """
     split, columns = ["path", "block"], ["path", "stmt_no", "stmt"]
+    splits = written(_splits(pieces), "dump-splits")
+    numbered = pieces.join(_broadcast_if_small(splits), split).select(
+        *split,
+        "seq",
+        (F.col("n_before") + F.col("seq") - F.col("first")).alias("stmt_no"),
+        F.col("piece").alias("stmt"),
+    )
+    unclear = pieces.where(F.col("after") != OUTSIDE).select("path").distinct()
+    if unclear.isEmpty():
+        return numbered.select(*columns)
+
     changes = written(
-        _within_splits(state_changes(pieces, backslash_escapes)), "dump-state-changes"
+        _within_splits(_changes(pieces, unclear, backslash_escapes)), "dump-state-changes"
     )
-    splits = pieces.groupBy(*split).agg(F.min("seq").alias("first"), F.count("seq").alias("n"))
     at_end = changes.groupBy(*split).agg(F.max_by("change", "seq").alias("change"))
-    splits = splits.join(at_end, split, "left").fillna({"change": STATES})
-    splits = written(_across_splits(splits), "dump-splits")
-    fragments = written(_fragments(changes, splits), "dump-fragments")
-
-    numbered = pieces.join(_broadcast_if_small(splits.select(*split, "first", "n_before")), split)
-    number = F.col("n_before") + F.col("seq") - F.col("first")
-    numbered = numbered.select(*split, "seq", number.alias("stmt_no"), F.col("piece").alias("stmt"))
-    if fragments.isEmpty():
-        return numbered.select(*columns)
+    entered = _across_splits(splits.join(at_end, split, "left").fillna({"change": STATES}))
+    fragments = written(_fragments(changes, written(entered, "dump-split-states")), "dump-fragments")
     fragments = _broadcast_if_small(fragments)
     whole = numbered.join(fragments, [*split, "seq"], "left_anti").select(*columns)
     parts = F.sort_array(F.collect_list(F.struct("block", "seq", "piece")))
