@@ -23,6 +23,11 @@ def shorten(c: Column, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("..."))).otherwise(c)
 
 
+def file_path(c: Column) -> Column:
+    """A path as the file system knows it; in file metadata it is percent-encoded."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def fill(template: str, **values: Column) -> Column:
     """Put columns into the ``{name}`` slots of a template."""
     parts, rest = [], template

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.ddl import normalize_ddl, statement_kind, table_name
 from ..functions.prompts import GENERATION_SEPARATOR
+from ..functions.text import file_path
 from ..storage import read_or_empty, written
 
 SCHEMA_DOCS = T.StructType(
@@ -28,7 +29,7 @@ BUCKETS = 64
 
 def file_stem(path: Column) -> Column:
     """The file name without its extension: the default name of a database."""
-    name = F.url_decode(F.element_at(F.split(path, "/"), -1))
+    name = F.element_at(F.split(file_path(path), "/"), -1)
     return F.regexp_replace(name, r"(?s)(.)\.[^.]*$", "$1")
 
 

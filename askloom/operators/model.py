@@ -85,9 +85,13 @@ def generate_batch(
     batch_size: int = 32,
     concurrency: int | None = None,
 ) -> DataFrame:
-    """Add the column ``call`` to rows with a ``prompt``; at most ``concurrency`` calls at once."""
+    """Add the column ``call`` to rows with a ``prompt``; at most ``concurrency`` calls at once.
+
+    The bound joins tasks rather than moving prompts between them. To have more
+    tasks, repartition the questions before their schemas are attached.
+    """
     if concurrency:
-        prompts = prompts.repartition(concurrency)
+        prompts = prompts.coalesce(concurrency)
     return prompts.withColumn("call", ask_model(F.col("prompt"), model, settings, batch_size))
 
 

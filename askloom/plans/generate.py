@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import file_path
 from ..operators.catalog import (
     read_schema_docs,
     schema_docs,
@@ -39,8 +40,9 @@ def schema_of_databases(
 ) -> DataFrame:
     """(db_id, schema_text) of the databases asked about that have a schema file.
 
-    Their dumps are read below ``<root>/database/<db_id>/`` and their documents kept
-    in ``store``. Databases already there are not read again.
+    Their dumps lie below ``<root>/database/<db_id>/``; only those files are read
+    whose databases are not yet in ``store``. The driver holds their list, as it does
+    for any table of files.
     """
     spark = questions.sparkSession
     files = resolve_schema_files(list_schema_files(spark, root)).join(
@@ -51,9 +53,9 @@ def schema_of_databases(
     if not refresh:
         stored = read_schema_docs(spark, store).select("db_id").distinct()
         fresh = files.join(stored, "db_id", "left_anti")
-    if not fresh.isEmpty():
-        statements = scan_dump(spark, f"{root.rstrip('/')}/database/*/*.sql")
-        docs = schema_docs(statements.join(fresh, "path"), F.col("db_id"))
+    paths = [row["path"] for row in fresh.select(file_path(F.col("path")).alias("path")).toLocalIterator()]
+    if paths:
+        docs = schema_docs(scan_dump(spark, paths).join(fresh, "path"), F.col("db_id"))
         store_schema_docs(docs, store, refresh)
     texts = schema_text_by_db(read_schema_docs(spark, store))
     return files.select("db_id").join(texts, "db_id", "left")
@@ -88,6 +90,7 @@ def run_batch(
         questions = written(resume_anti_join(questions, done), "questions")
     schema_by_db = written(schema_by_db, "schema-texts")
     for part in _parts(questions, flush_every):
+        part = part.repartition(concurrency) if concurrency else part
         ready = validate_rows(attach_schema(part, schema_by_db))
         predictions = predict(ready, model, dialect, settings, batch_size, concurrency)
         append_predictions(predictions, output)

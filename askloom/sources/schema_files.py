@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import file_path
+
 
 def list_schema_files(spark: SparkSession, root: str) -> DataFrame:
     """The ``*.sql`` files under ``<root>/database/<db_id>/``: (db_id, file_name, path)."""
@@ -14,11 +16,9 @@ def list_schema_files(spark: SparkSession, root: str) -> DataFrame:
         .load(f"{root.rstrip('/')}/database/*/*.sql")
         .select(F.col("_metadata.file_path").alias("path"))
     )
-    parts = F.split("path", "/")
+    parts = F.split(file_path(F.col("path")), "/")
     return files.select(
-        F.url_decode(F.element_at(parts, -2)).alias("db_id"),
-        F.url_decode(F.element_at(parts, -1)).alias("file_name"),
-        "path",
+        F.element_at(parts, -2).alias("db_id"), F.element_at(parts, -1).alias("file_name"), "path"
     )
 
 

@@ -53,6 +53,7 @@ def stream_predictions(
                 ~F.col("_metadata.file_path").contains(f"/{folder}/")
             )
             questions = resume_anti_join(questions, completed_indices(others))
+        questions = questions.repartition(concurrency) if concurrency else questions
         ready = validate_rows(attach_schema(questions, schema_by_db))
         predictions = predict(ready, model, dialect, settings, batch_size, concurrency)
         predictions.select(PREDICTIONS.fieldNames()).write.mode("overwrite").parquet(

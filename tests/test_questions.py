@@ -190,6 +190,7 @@ def test_schema_files(spark, tmp_path):
         "two": ["two.sql", "a.sql"],
         "three": ["b.sql", "a.sql", "notes.txt"],
         "with space": ["x y.sql"],
+        "a+b%": ["c+d é.sql"],
         "none": ["notes.txt"],
     }
     for db, names in layout.items():
@@ -199,4 +200,5 @@ def test_schema_files(spark, tmp_path):
     files = resolve_schema_files(list_schema_files(spark, str(tmp_path))).collect()
     assert {r["db_id"]: r["file_name"] for r in files} == {
         "one": "schema.sql", "two": "two.sql", "three": "a.sql", "with space": "x y.sql",
+        "a+b%": "c+d é.sql",
     }

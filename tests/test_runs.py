@@ -130,6 +130,7 @@ def root(tmp_path):
     """A question set over three databases with dumps, one without tables."""
     dumps = {
         "shop": "CREATE TABLE items (id INT);\nINSERT INTO items VALUES (1);\nCREATE TABLE sales (id INT);\n",
+        "a+b é": "CREATE TABLE plus (id INT);\n",
         "zoo": "-- no tables; it's empty\nDROP TABLE x;\n",
     }
     for db, text in dumps.items():
@@ -147,10 +148,11 @@ def samples(spark, n=10):
 
 def test_schema_of_databases(spark, root):
     store = str(root / "store")
-    asked = samples(spark)
+    asked = samples(spark).union(spark.sql("SELECT 99L, 'a+b é', 'q', ''"))
     for refresh in (False, False, True):
         got = schema_of_databases(asked, str(root), store, refresh).orderBy("db_id").collect()
         assert [tuple(r) for r in got] == [
+            ("a+b é", "CREATE TABLE plus (id INT);"),
             ("shop", "CREATE TABLE items (id INT);\n\nCREATE TABLE sales (id INT);"),
             ("zoo", None),
         ]
