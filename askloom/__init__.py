@@ -2,7 +2,7 @@
 
 from .operators.execute import execute_batch, execute_query, result_rows
 from .operators.model import GENERATION, REVIEW, ModelSettings
-from .plans.ask import Answer, answer_questions, ask, open_dump
+from .plans.ask import Answer, answer_batch, answer_questions, ask, open_dump
 from .plans.generate import run_batch, schema_of_databases
 from .sources.dumps import scan_dump
 from .sources.questions import scan_question_lines, scan_questions
@@ -13,6 +13,7 @@ __all__ = [
     "REVIEW",
     "Answer",
     "ModelSettings",
+    "answer_batch",
     "answer_questions",
     "ask",
     "execute_batch",

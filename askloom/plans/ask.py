@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import REVIEW_SEPARATOR
 from ..operators.catalog import schema_docs, schema_text_by_db
-from ..operators.execute import execute_query
+from ..operators.execute import execute_batch, execute_query
 from ..operators.load import LoadedDump, load_dump
 from ..operators.model import Model, predict
 from ..operators.questions import attach_schema, coerce_fields, validate_rows
@@ -44,6 +44,25 @@ def answer_questions(
     return review(to_review, reviewer).drop("schema_text", "has_schema_file")
 
 
+def answer_batch(
+    samples: DataFrame,
+    docs: DataFrame,
+    folder: str,
+    model: Model,
+    reviewer: Model | None = None,
+    by_database: bool = False,
+) -> DataFrame:
+    """Generate, review and run for many questions; none that fails stops the others.
+
+    Returns the predictions with ``sql_key``, ``outcome``, ``n_rows`` and ``run_error``;
+    the rows are below ``folder`` (see ``result_rows``). Questions without SQL have
+    none of these.
+    """
+    answers = written(answer_questions(samples, docs, model, reviewer), "answers")
+    ran = execute_batch(answers, folder, "sql", by_database=by_database)
+    return answers.join(ran.withColumnRenamed("error", "run_error"), "index", "left")
+
+
 def open_dump(spark: SparkSession, path: str) -> tuple[LoadedDump, DataFrame]:
     """Load a dump, register its tables and return it with its schema documents."""
     statements = written(scan_dump(spark, path), "dump-statements")

@@ -317,6 +317,26 @@ def limiting_reviewer(settings):
     return lambda prompts: [check(p) for p in prompts]
 
 
+def region_model(settings):
+    """Counts regions below a number taken from the prompt's length; at times says nothing of use."""
+    kinds = [
+        "SELECT r_regionkey FROM region WHERE r_regionkey < {}",
+        "```sql\nSELECT r_name FROM region WHERE r_regionkey > {}\n```",
+        "SELECT nothing FROM region -- {}",
+    ]
+    return lambda prompts: [kinds[len(p) % 3].format(len(p) % 7) for p in prompts]
+
+
+def region_reviewer(settings):
+    """Has the names in capitals, and finds no fault with the rest."""
+
+    def check(prompt):
+        sql = prompt.split("Generated SQL Query:\n", 1)[1].split("\n\nPlease respond", 1)[0]
+        return "FIXED: " + sql.replace("r_name", "upper(r_name) AS name") if "SELECT r_name" in sql else "VALID"
+
+    return lambda prompts: [check(p) for p in prompts]
+
+
 def segment_model(settings):
     """Always counts the clients of each segment."""
     sql = "SELECT c_mktsegment, count(*) AS n, count(c_name) AS named FROM client GROUP BY c_mktsegment"

@@ -245,6 +245,22 @@ EXECUTED_ROWS = f"""
   SELECT substr(sha256(chr(10) || 'WITH n AS (SELECT n_name FROM nation) SELECT * FROM n'), 1, 32),
     '{{"n_name":"' || n_name || '"}}' FROM nation"""
 
+# Here a database counts only if it has documents, so one without them is not found.
+_SPARK_PROMPT = _filled(
+    GENERATION_PROMPT.replace("{dialect}", "Spark SQL"), schema="schema_text", question="question"
+)
+ANSWERED = f"""
+  SELECT index, CASE WHEN n IS NULL THEN 'error' ELSE 'ok' END AS status,
+    CASE n % 3 WHEN 0 THEN 'SELECT r_regionkey FROM region WHERE r_regionkey < ' || n % 7
+      WHEN 1 THEN 'SELECT upper(r_name) AS name FROM region WHERE r_regionkey > ' || n % 7
+      WHEN 2 THEN 'SELECT nothing FROM region -- ' || n % 7 ELSE '' END AS sql,
+    n IS NOT NULL AS reviewed,
+    CASE n % 3 WHEN 0 THEN CASE WHEN n % 7 = 0 THEN 'empty' ELSE 'rows' END
+      WHEN 1 THEN CASE WHEN n % 7 >= 4 THEN 'empty' ELSE 'rows' END WHEN 2 THEN 'error' END AS outcome,
+    CASE n % 3 WHEN 0 THEN (SELECT count(*) FROM region WHERE r_regionkey < n % 7)
+      WHEN 1 THEN (SELECT count(*) FROM region WHERE r_regionkey > n % 7) WHEN 2 THEN 0 END AS n_rows
+  FROM (SELECT index, CASE WHEN error = '' THEN length({_SPARK_PROMPT}) END AS n FROM ({VALIDATED}) v) m"""
+
 ORACLES = {
     "scan_questions": """
         SELECT 'db' || conv_id || '_' || turn AS db_id, unnest(string_split(text, chr(10))) AS question, role AS query,
@@ -327,6 +343,7 @@ ORACLES = {
     "execute_outcomes": f"SELECT outcome, count(*) AS n, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM ({EXECUTED}) e GROUP BY outcome",
     "execute_batch": EXECUTED,
     "execute_batch_rows": EXECUTED_ROWS,
+    "answer_batch": ANSWERED,
     "ask": f"SELECT c_mktsegment, count(*) AS n, count(c_name) AS named FROM ({CLIENTS}) c GROUP BY c_mktsegment",
     **{key: check_sql(key) for key in SQL},
 }

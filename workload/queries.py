@@ -19,7 +19,7 @@ from askloom.operators.execute import execute_batch, execute_query, result_rows
 from askloom.operators.load import load_dump
 from askloom.operators.model import generate_batch, predict
 from askloom.operators.review import review
-from askloom.plans.ask import ask, open_dump
+from askloom.plans.ask import answer_batch, ask, open_dump
 from askloom.plans.generate import run_batch
 from askloom.sources import predictions as table
 from askloom.sources.dumps import scan_dump
@@ -360,6 +360,16 @@ def executed_rows(spark: Spark, sf_dir: str) -> DataFrame:
     return result_rows(spark, folder)
 
 
+def answered(spark: Spark, sf_dir: str) -> DataFrame:
+    """All questions: generated, reviewed and run over the tables."""
+    fx.register(spark, sf_dir, "region")
+    answers = answer_batch(
+        fx.samples(spark, sf_dir), _docs(spark, sf_dir), new_folder(spark, "answered"),
+        fx.region_model, fx.region_reviewer,
+    )
+    return answers.select("index", "status", "sql", "reviewed", "outcome", "n_rows")
+
+
 def ask_dump(spark: Spark, sf_dir: str) -> DataFrame:
     """From a dump of the customers to the rows that answer a question about it."""
     _, docs = open_dump(spark, fx.client_dump(spark, sf_dir))
@@ -415,6 +425,7 @@ QUERIES = {
     "execute_outcomes": execute_outcomes,
     "execute_batch": executed,
     "execute_batch_rows": executed_rows,
+    "answer_batch": answered,
     "ask": ask_dump,
     **{key: _conformance(key) for key in SQL},
 }

@@ -78,20 +78,20 @@ SQL = {
         FROM customer JOIN spent ON o_custkey = c_custkey""",
     "sql_scalars": (
         """
-        SELECT o_orderkey, upper(substr(o_orderpriority, 3)) AS priority, length(o_orderpriority) AS n,
+        SELECT o_orderkey, upper(substr(o_orderpriority, 3)) AS priority, CAST(length(o_orderpriority) AS BIGINT) AS n,
                o_orderstatus || '-' || CAST(o_custkey AS STRING) AS tag,
                CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m,
                date_format(o_orderdate, 'yyyy-MM-dd') AS day,
-               floor(o_totalprice / 7) * 1.0 AS seventh, abs(o_totalprice - 1000) AS off,
+               CAST(floor(o_totalprice / 7) AS DOUBLE) AS seventh, abs(o_totalprice - 1000) AS off,
                CASE WHEN o_totalprice > 100000 THEN 'high' WHEN o_totalprice > 1000 THEN 'mid' ELSE 'low' END AS band,
                coalesce(nullif(o_orderstatus, 'O'), 'open') AS state
         FROM orders""",
         """
-        SELECT o_orderkey, upper(substr(o_orderpriority, 3)) AS priority, length(o_orderpriority) AS n,
+        SELECT o_orderkey, upper(substr(o_orderpriority, 3)) AS priority, CAST(length(o_orderpriority) AS BIGINT) AS n,
                o_orderstatus || '-' || CAST(o_custkey AS VARCHAR) AS tag,
                CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m,
                strftime(o_orderdate, '%Y-%m-%d') AS day,
-               floor(o_totalprice / 7) * 1.0 AS seventh, abs(o_totalprice - 1000) AS off,
+               CAST(floor(o_totalprice / 7) AS DOUBLE) AS seventh, abs(o_totalprice - 1000) AS off,
                CASE WHEN o_totalprice > 100000 THEN 'high' WHEN o_totalprice > 1000 THEN 'mid' ELSE 'low' END AS band,
                coalesce(nullif(o_orderstatus, 'O'), 'open') AS state
         FROM orders""",
