@@ -81,7 +81,8 @@ def clean_ddl(stmt: Column) -> Column:
 
 
 def strip_leading_comments(stmt: Column) -> Column:
-    return strip(F.regexp_replace(stmt, LEADING_COMMENTS, ""))
+    bare = F.regexp_replace(stmt, LEADING_COMMENTS, "")
+    return strip(F.when(stmt.rlike(r"^(?:\s|--|/\*)"), bare).otherwise(stmt))
 
 
 def strip_comments(stmt: Column) -> Column:

@@ -41,10 +41,17 @@ def query(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(text)
 
 
-def execute_query(spark: SparkSession, sql: str) -> QueryResult:
-    """Run one query; a failure found while planning it becomes an error value."""
+def execute_query(spark: SparkSession, sql: str, check: bool = False) -> QueryResult:
+    """Run one query; a failure becomes an error value.
+
+    The rows are lazy, so what fails only on some value would fail later, where they
+    are used. ``check`` runs the query once beforehand to have that error here too.
+    """
     try:
-        return QueryResult(query(spark, sql))
+        rows = query(spark, sql)
+        if check:
+            rows.write.format("noop").mode("overwrite").save()
+        return QueryResult(rows)
     except PySparkException as problem:
         return QueryResult(None, f"{EXECUTION_ERROR}{problem}")
 

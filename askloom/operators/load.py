@@ -26,7 +26,7 @@ _INSERT = r"(?iU)^insert\s+into\s+" + _NAME + r"\s*(\([^()]*\))?\s*values\s*"
 _TUPLE_OR_REST = _NESTED + r"|[^\s,(][^(]*+|\("
 _FIELD = LITERAL + r"|[^',\s](?:[^',]*[^',\s])?"
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
-_DEFAULT = r"(?isU)\bdefault\s+(" + LITERAL + r"|[+-]?[\d.]+)"
+_DEFAULT = r"(?isU)\bdefault\s+(" + LITERAL + r"|[+-]?[\d.]+|current_timestamp\b)"
 
 # Column types of dumps and the Spark types they are read as.
 INTEGERS = ("int", "integer", "bigint", "smallint", "mediumint", "tinyint")
@@ -87,6 +87,14 @@ def dump_columns(statements: DataFrame) -> DataFrame:
     )
 
 
+def _default(constant: str | None) -> Column:
+    """A default as a constant; the time, in UTC, is that of loading."""
+    if constant is None or constant.upper() != "CURRENT_TIMESTAMP":
+        return F.lit(constant).cast("string")
+    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return F.date_format(utc, "''yyyy-MM-dd HH:mm:ss''")
+
+
 def dump_rows(statements: DataFrame) -> DataFrame:
     """(path, stmt_no, part_no, table_name, names, row_no, fields, error, source).
 
@@ -136,7 +144,7 @@ def type_rows(rows: DataFrame, columns: list[tuple[str, str, str | None]]) -> Da
     declared = ",".join(name.lower() for name, _, _ in columns)
     catalog = F.array(
         *[
-            F.struct(F.lit(name.lower()).alias("name"), F.lit(default).cast("string").alias("default"))
+            F.struct(F.lit(name.lower()).alias("name"), _default(default).alias("default"))
             for name, _, default in columns
         ]
     )

@@ -77,13 +77,17 @@ def ask(
     docs: DataFrame,
     model: Model,
     reviewer: Model | None = None,
+    check: bool = False,
 ) -> Answer:
-    """Generate, review and run the SQL for one question over the registered tables."""
+    """Generate, review and run the SQL for one question over the registered tables.
+
+    ``check`` is that of ``execute_query``.
+    """
     sample = spark.createDataFrame(
         [(0, "dump", question, "")], "index long, db_id string, question string, query string"
     )
     row = answer_questions(sample, docs, model, reviewer).first()
     if row["status"] == "error":
         return Answer("", "", False, None, row["error"])
-    result = execute_query(spark, row["sql"])
+    result = execute_query(spark, row["sql"], check)
     return Answer(row["sql"], row["summary"], row["reviewed"], result.rows, result.error)

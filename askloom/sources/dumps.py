@@ -90,10 +90,13 @@ def _changes(pieces: DataFrame, unclear: DataFrame, backslash_escapes: bool) ->
     rows = pieces
     if small_enough(unclear):
         rows = pieces.join(F.broadcast(unclear), "path", "left_semi")
+    piece = F.col("piece")
+    from_literal = _state_after(F.concat(F.lit("'"), piece), backslash_escapes)
+    from_comment = _state_after(F.concat(F.lit("/*"), piece), backslash_escapes)
     change = F.concat(
         "after",
-        _state_after(F.concat(F.lit("'"), "piece"), backslash_escapes),
-        _state_after(F.concat(F.lit("/*"), "piece"), backslash_escapes),
+        F.when(piece.contains("'"), from_literal).otherwise("S"),
+        F.when(piece.contains("*/"), from_comment).otherwise("B"),
     )
     changes = rows.select("path", "block", "seq", change.alias("change"))
     return changes.where(F.col("change") != STATES)

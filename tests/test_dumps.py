@@ -1,6 +1,7 @@
 """Statements and rows of SQL dumps."""
 
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -11,6 +12,9 @@ from askloom.operators.load import load_dump
 from askloom.sources.dumps import scan_dump
 
 
+CLOCK = re.compile(r"20\d\d-\d\d-\d\d \d\d:\d\d:\d\d")
+
+
 def write(folder, name, text):
     path = folder / name
     path.write_text(text, encoding="utf-8", newline="")
@@ -193,14 +197,17 @@ def test_load(spark, tmp_path):
         "id": "bigint", "name": "string", "price": "decimal(10,2)", "rate": "double",
         "status": "string", "gdp": "bigint", "made": "string",
     }
-    rows = [tuple(r) for r in spark.sql("SELECT * FROM shop ORDER BY id").collect()]
+    rows = [
+        tuple("now" if isinstance(v, str) and CLOCK.fullmatch(v) else v for v in r)
+        for r in spark.sql("SELECT * FROM shop ORDER BY id").collect()
+    ]
     assert rows == [
         (1, "plain", Decimal("12.50"), 1500.0, "open", 188681000000, "2020-01-01"),
         (2, "it's, (odd) ;\n-- text", None, -0.5, "NULL", -3, None),
         (3, "", Decimal("0.10"), 1.0, "", 0, ""),
-        (4, "short", None, None, "pen'ding", None, None),
+        (4, "short", None, None, "pen'ding", None, "now"),
         (5, "all", Decimal("1.00"), 2.0, "s", 3, "m"),
-        (9, "good", None, None, "pen'ding", None, None),
+        (9, "good", None, None, "pen'ding", None, "now"),
     ]
     rejects = sorted((r["table_name"], r["error"]) for r in loaded.rejects.collect())
     assert rejects == [

@@ -58,6 +58,14 @@ def test_errors_are_values_and_change_nothing(numbers, sql):
     assert "numbers" in list_views(numbers)
 
 
+def test_errors_of_values(numbers):
+    sql = "SELECT 1 / (id - 3) AS x FROM numbers"
+    assert execute_query(numbers, sql).error is None
+    checked = execute_query(numbers, sql, check=True)
+    assert checked.rows is None and "DIVIDE_BY_ZERO" in checked.error
+    assert execute_query(numbers, "SELECT id FROM numbers", check=True).rows.count() == 5
+
+
 def test_json_rows(spark):
     df = spark.sql("SELECT 1 AS a, 2 AS a, NULL AS `b``c`, 'x' AS A")
     assert json.loads(as_json_rows(df).first()["row_json"]) == {"a": 1, "a_2": 2, "b`c": None, "A_3": "x"}
