@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE
-from ..storage import read_or_empty
+from ..storage import read_or_empty, written
 from .joins import lookup_join
 
 # What stands before the text of a failure.
@@ -117,6 +117,8 @@ def execute_batch(
         "index", db.alias("db_id"), F.col(sql).alias("sql")
     )
     wanted = wanted.withColumn("sql_key", sql_key(F.col("db_id"), F.col("sql")))
+    # Read several times below, and the predictions may come straight from a model.
+    wanted = written(wanted, "texts-to-run")
     noted = read_or_empty(spark, f"{folder}/outcomes", OUTCOMES)
     texts = wanted.select("db_id", "sql", "sql_key").distinct()
     pending = texts.join(noted.select("sql_key"), "sql_key", "left_anti")

@@ -6,7 +6,6 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ddl import LITERAL, statement_kind, strip_comments, table_name
@@ -203,13 +202,11 @@ class LoadedDump:
 
 def declared_tables(statements: DataFrame) -> dict[str, list[tuple[str, str, str | None]]]:
     """The columns of each table of one database; of two declarations the first counts."""
-    first = F.min(F.struct("path", "stmt_no", "part_no")).over(W.partitionBy("table_name"))
-    columns = (
-        dump_columns(statements)
-        .withColumn("first", first)
-        .where(F.struct("path", "stmt_no", "part_no") == F.col("first"))
-        .orderBy("table_name", "col_no")
+    named = statements.where(statement_kind(F.col("stmt")) == "create_table").groupBy(
+        F.lower(table_name(F.col("stmt"))).alias("table_name")
     )
+    first = named.agg(F.min(F.struct("path", "stmt_no", "part_no", "stmt")).alias("first"))
+    columns = dump_columns(first.select("first.*")).orderBy("table_name", "col_no")
     tables: dict[str, list[tuple[str, str, str | None]]] = {}
     for c in columns.toLocalIterator():
         tables.setdefault(c["table_name"], []).append((c["col_name"], c["spark_type"], c["default"]))

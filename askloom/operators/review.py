@@ -24,7 +24,8 @@ def review(
     ``schema_text`` joins the documents with one newline. A row leaves the loop as
     soon as its SQL is called valid; a fixed SQL is reviewed again; anything else,
     a failed call included, is asked again. After the last round the SQL stays as it
-    is and ``reviewed`` is false. All rounds run in one stage, with no shuffle.
+    is and ``reviewed`` is false. All rounds run in one stage, with no shuffle; write
+    the result before using it twice, or the model is asked again.
     """
     rows = rows.withColumn("sql", F.col("predicted_sql")).withColumn("reviewed", F.lit(False))
     for _ in range(rounds):

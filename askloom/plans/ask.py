@@ -32,7 +32,10 @@ class Answer:
 def answer_questions(
     samples: DataFrame, docs: DataFrame, model: Model, reviewer: Model | None = None
 ) -> DataFrame:
-    """Predictions with their reviewed ``sql``, for any number of questions and databases."""
+    """Predictions with their reviewed ``sql``, for any number of questions and databases.
+
+    The result is a written table, so using it twice asks the model no second time.
+    """
     ready = validate_rows(attach_schema(coerce_fields(samples), schema_text_by_db(docs)))
     predictions = written(predict(ready, model, DIALECT), "predictions")
     if reviewer is None:
@@ -41,7 +44,8 @@ def answer_questions(
         )
     texts = schema_text_by_db(docs, REVIEW_SEPARATOR)
     to_review = attach_schema(predictions, texts)
-    return review(to_review, reviewer).drop("schema_text", "has_schema_file")
+    reviewed = review(to_review, reviewer).drop("schema_text", "has_schema_file")
+    return written(reviewed, "reviewed-predictions")
 
 
 def answer_batch(
@@ -58,7 +62,7 @@ def answer_batch(
     the rows are below ``folder`` (see ``result_rows``). Questions without SQL have
     none of these.
     """
-    answers = written(answer_questions(samples, docs, model, reviewer), "answers")
+    answers = answer_questions(samples, docs, model, reviewer)
     ran = execute_batch(answers, folder, "sql", by_database=by_database)
     return answers.join(ran.withColumnRenamed("error", "run_error"), "index", "left")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import file_path
@@ -26,13 +26,9 @@ from ..operators.questions import (
 )
 from ..operators.report import run_report
 from ..sources.dumps import scan_dump
-from ..sources.predictions import (
-    append_predictions,
-    completed_indices,
-    read_predictions,
-)
+from ..sources.predictions import append_predictions, completed_indices, read_predictions
 from ..sources.schema_files import list_schema_files, resolve_schema_files
-from ..storage import written
+from ..storage import broadcast_if_small, written
 
 
 def schema_of_databases(
@@ -55,7 +51,8 @@ def schema_of_databases(
         fresh = files.join(stored, "db_id", "left_anti")
     paths = [row["path"] for row in fresh.select(file_path(F.col("path")).alias("path")).toLocalIterator()]
     if paths:
-        docs = schema_docs(scan_dump(spark, paths).join(fresh, "path"), F.col("db_id"))
+        statements = scan_dump(spark, paths).join(broadcast_if_small(fresh), "path")
+        docs = schema_docs(statements, F.col("db_id"))
         store_schema_docs(docs, store, refresh)
     texts = schema_text_by_db(read_schema_docs(spark, store))
     return files.select("db_id").join(texts, "db_id", "left")
@@ -87,7 +84,9 @@ def run_batch(
     questions = require_rows(slice_questions(coerce_fields(samples), start, limit))
     if resume:
         done = completed_indices(read_predictions(spark, output), retry_errors)
-        questions = written(resume_anti_join(questions, done), "questions")
+        questions = resume_anti_join(questions, done)
+    if resume or flush_every > 0:
+        questions = written(questions, "questions")
     schema_by_db = written(schema_by_db, "schema-texts")
     for part in _parts(questions, flush_every):
         part = part.repartition(concurrency) if concurrency else part

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ddl import strip_leading_comments
-from ..storage import small_enough, written
+from ..storage import broadcast_if_small, small_enough, written
 
 # States between two pieces: outside, in a literal, in a block comment. A change is
 # the three states that a piece ends in when it starts in each of these.
@@ -144,10 +144,6 @@ def _across_splits(splits: DataFrame) -> DataFrame:
     return splits.groupBy("path").applyInPandas(follow, schema)
 
 
-def _broadcast_if_small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small_enough(df) else df
-
-
 def _fragments(changes: DataFrame, splits: DataFrame) -> DataFrame:
     """The pieces of statements of several pieces: (path, block, seq, stmt_no).
 
@@ -155,7 +151,7 @@ def _fragments(changes: DataFrame, splits: DataFrame) -> DataFrame:
     them are known from their numbers.
     """
     split = ["path", "block"]
-    spots = changes.join(_broadcast_if_small(splits), split).select(
+    spots = changes.join(broadcast_if_small(splits), split).select(
         *split,
         "seq",
         F.substring("change", F.instr(F.lit(STATES), F.col("start")), F.lit(1)).alias("after"),
@@ -208,7 +204,7 @@ def fold_pieces(
     """
     split, columns = ["path", "block"], ["path", "stmt_no", "stmt"]
     splits = written(_splits(pieces), "dump-splits")
-    numbered = pieces.join(_broadcast_if_small(splits), split).select(
+    numbered = pieces.join(broadcast_if_small(splits), split).select(
         *split,
         "seq",
         (F.col("n_before") + F.col("seq") - F.col("first")).alias("stmt_no"),
@@ -224,7 +220,7 @@ def fold_pieces(
     at_end = changes.groupBy(*split).agg(F.max_by("change", "seq").alias("change"))
     entered = _across_splits(splits.join(at_end, split, "left").fillna({"change": STATES}))
     fragments = written(_fragments(changes, written(entered, "dump-split-states")), "dump-fragments")
-    fragments = _broadcast_if_small(fragments)
+    fragments = broadcast_if_small(fragments)
     whole = numbered.join(fragments, [*split, "seq"], "left_anti").select(*columns)
     parts = F.sort_array(F.collect_list(F.struct("block", "seq", "piece")))
     folded = (

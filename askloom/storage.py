@@ -65,3 +65,8 @@ def size_in_bytes(df: DataFrame) -> int:
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
     return size_in_bytes(df) <= limit
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has been measured to be small, else as it is."""
+    return F.broadcast(df) if small_enough(df) else df

@@ -5,7 +5,6 @@ import re
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from askloom.operators.catalog import list_tables, schema_docs
 from askloom.operators.load import load_dump

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from askloom import ask, execute_batch, execute_query, open_dump, result_rows
+from askloom import answer_batch, ask, execute_batch, execute_query, open_dump, result_rows
 from askloom.operators.catalog import list_views
 from askloom.operators.execute import as_json_rows
 
@@ -114,6 +114,58 @@ def test_one_database_per_question(spark, tmp_path):
     ]
 
 
+STORE_TABLES = {
+    "customers": "customer_id INTEGER PRIMARY KEY AUTOINCREMENT, first_name VARCHAR(50) NOT NULL, created_at TEXT DEFAULT CURRENT_TIMESTAMP",
+    "products": "product_id INTEGER PRIMARY KEY AUTOINCREMENT, name VARCHAR(100) NOT NULL, price DECIMAL(10,2) NOT NULL",
+    "orders": "order_id INTEGER PRIMARY KEY AUTOINCREMENT, customer_id INTEGER, total_amount DECIMAL(10,2), FOREIGN KEY (customer_id) REFERENCES customers(customer_id)",
+}
+STORE_ROWS = {
+    "customers": [f"({i}, 'First{i}', '2025-07-23 16:24:19')" for i in range(1, 51)],
+    "products": [f"({i}, 'Product {i}', {20 * i}.{i % 100:02d})" for i in range(1, 51)],
+    "orders": [f"({i}, {(i - 1) % 20 + 1}, {i}.50)" for i in range(1, 51)],
+}
+# What the demo asks, the SQL a model would give, and the number of rows expected.
+DEMO = [
+    ("List all customers", "SELECT * FROM customers", 50),
+    ("Show orders for customer with id 5", "SELECT * FROM orders WHERE customer_id = 5", 3),
+    ("Find expensive products over $100", "SELECT * FROM products WHERE price > 100", 46),
+]
+
+
+def demo_model(settings):
+    answers = {question: sql for question, sql, _ in DEMO}
+
+    def ask(prompts):
+        asked = [p.split("QUESTION: ")[1].split("\n")[0] for p in prompts]
+        return ['result={"sql_query": "%s", "summary": "%s"}' % (answers[q], q) for q in asked]
+
+    return ask
+
+
+def test_demo_questions(spark, tmp_path):
+    text = "-- A store; three tables\n"
+    for name, columns in STORE_TABLES.items():
+        names = ", ".join(c.split()[0] for c in columns.split(", ") if not c.startswith("FOREIGN"))
+        text += f"DROP TABLE IF EXISTS {name};\nCREATE TABLE {name} (\n  {columns}\n);\n\n"
+        text += f"-- the {name}' rows\nINSERT INTO {name} ({names}) VALUES\n" + ",\n".join(STORE_ROWS[name]) + ";\n\n"
+    path = tmp_path / "store.sql"
+    path.write_text(text)
+    loaded, docs = open_dump(spark, str(path))
+    assert {n: t.count() for n, t in loaded.tables.items()} == dict.fromkeys(STORE_TABLES, 50)
+    assert [d["doc"].split(" (")[0] for d in docs.orderBy("doc_no").collect()] == [
+        f"CREATE TABLE {name}" for name in STORE_TABLES
+    ]
+    for question, sql, n in DEMO:
+        answer = ask(spark, question, docs, demo_model, lambda settings: lambda prompts: ["VALID"] * len(prompts))
+        assert (answer.sql, answer.summary, answer.reviewed, answer.rows.count()) == (sql, question, True, n)
+
+    samples = spark.createDataFrame(
+        [(i, "dump", q, "") for i, (q, _, _) in enumerate(DEMO)], "index long, db_id string, question string, query string"
+    )
+    rows = answer_batch(samples, docs, str(tmp_path / "answers"), demo_model).orderBy("index").collect()
+    assert [(r["outcome"], r["n_rows"]) for r in rows] == [("rows", n) for _, _, n in DEMO]
+
+
 SHOP = """
 CREATE TABLE products (id INTEGER PRIMARY KEY, name VARCHAR(9), price DECIMAL(10,2));
 INSERT INTO products VALUES (1, 'pen', 1.5), (2, 'car', 2000), (3, 'bike', 300.25);
