@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ddl import LITERAL, statement_kind, strip_comments, table_name
 from ..functions.text import strip
-from ..storage import new_folder
+from ..storage import broadcast_if_small, new_folder, written
 
 _NESTED = r"\((?:[^'()]++|" + LITERAL + r"|\((?:[^'()]++|" + LITERAL + r")*+\))*+\)"
 _NAME = r"(?:[`\"]?\w+[`\"]?\.)?[`\"]?\w+[`\"]?"
@@ -20,6 +22,7 @@ _CONSTRAINT = (
     r"(?isU)^(?:constraint\s|primary\s+key|foreign\s+key|check\s*\(|"
     r"unique\s*\(|unique\s+(?:key|index)\b|(?:key|index|fulltext|spatial)\s+[`\"\w]*\s*\()"
 )
+_KEY = r"(?isU)^(?:constraint\s+\S+\s+)?primary\s+key\s*\(\s*[`\"]?(\w+)[`\"]?\s*\)"
 _COLUMN = r"(?isU)^(?:[`\"]([^`\"]+)[`\"]|(\S+))\s*(.*)$"
 _INSERT = r"(?iU)^insert\s+into\s+" + _NAME + r"\s*(\([^()]*\))?\s*values\s*"
 _TUPLE_OR_REST = _NESTED + r"|[^\s,(][^(]*+|\("
@@ -29,10 +32,16 @@ _DEFAULT = r"(?isU)\bdefault\s+(" + LITERAL + r"|[+-]?[\d.]+|current_timestamp\b
 
 # Column types of dumps and the Spark types they are read as.
 INTEGERS = ("int", "integer", "bigint", "smallint", "mediumint", "tinyint")
+NUMBERED = ("int", "integer", "bigint", "tinyint")
 DECIMALS = ("decimal", "numeric")
 DOUBLES = ("float", "double", "real")
 
 
+# The place of a row in its dump.
+PLACE = ["path", "stmt_no", "part_no", "row_no"]
+STATEMENTS_PER_GROUP = 100
+
+
 def _names(text: Column) -> Column:
     """A column list in lower case, joined by commas alone."""
     return F.lower(F.regexp_replace(text, r"[()`\"\s]", ""))
@@ -52,20 +61,25 @@ def _is_constant(field: Column) -> Column:
 
 
 def dump_columns(statements: DataFrame) -> DataFrame:
-    """(path, stmt_no, part_no, table_name, col_no, col_name, spark_type, default)."""
+    """(path, stmt_no, part_no, table_name, col_no, col_name, spark_type, default, numbered).
+
+    ``numbered`` marks an integer primary key: a row without one gets the next number.
+    """
     ids = ["path", "stmt_no", "part_no"]
     tables = statements.where(statement_kind(F.col("stmt")) == "create_table").select(
         *ids,
         F.lower(table_name(F.col("stmt"))).alias("table_name"),
         F.regexp_extract(strip_comments(F.col("stmt")), _CREATE, 1).alias("body"),
     )
-    items = F.filter(
-        F.transform(F.regexp_extract_all("body", F.lit(_ITEM), F.lit(0)), strip),
-        lambda item: (item != "") & ~F.rlike(item, F.lit(_CONSTRAINT)),
+    items = F.transform(F.regexp_extract_all("body", F.lit(_ITEM), F.lit(0)), strip)
+    keys = F.filter("items", lambda item: F.rlike(item, F.lit(_KEY)))
+    names = F.filter("items", lambda item: (item != "") & ~F.rlike(item, F.lit(_CONSTRAINT)))
+    columns = (
+        tables.withColumn("items", items)
+        .withColumn("key", F.lower(F.regexp_extract(F.get(keys, F.lit(0)), _KEY, 1)))
+        .select(*ids, "table_name", "key", F.posexplode_outer(names).alias("col_no", "item"))
+        .where(F.col("col_no").isNotNull())
     )
-    columns = tables.select(
-        *ids, "table_name", F.posexplode_outer(items).alias("col_no", "item")
-    ).where(F.col("col_no").isNotNull())
     rest = F.regexp_extract("item", _COLUMN, 3)
     kind = F.lower(F.regexp_extract(rest, r"^\w+", 0))
     size = F.regexp_extract(rest, r"^\w+\s*\(\s*(\d+\s*(?:,\s*\d+)?)\s*\)", 1)
@@ -76,16 +90,26 @@ def dump_columns(statements: DataFrame) -> DataFrame:
         .when(kind.isin(*DOUBLES), "double")
         .otherwise("string")
     )
+    name = F.concat(F.regexp_extract("item", _COLUMN, 1), F.regexp_extract("item", _COLUMN, 2))
+    is_key = rest.rlike(r"(?i)\bprimary\s+key\b") | (F.lower(name) == F.col("key"))
     return columns.select(
         *ids,
         "table_name",
         "col_no",
-        F.concat(F.regexp_extract("item", _COLUMN, 1), F.regexp_extract("item", _COLUMN, 2)).alias("col_name"),
+        name.alias("col_name"),
         F.regexp_replace(spark_type, r"\s+", "").alias("spark_type"),
         F.nullif(F.regexp_extract(rest, _DEFAULT, 1), F.lit("")).alias("default"),
+        F.coalesce(kind.isin(*NUMBERED) & (size == "") & is_key, F.lit(False)).alias("numbered"),
     )
 
 
+class TableColumn(NamedTuple):
+    name: str
+    type: str
+    default: str | None = None
+    numbered: bool = False
+
+
 def _default(constant: str | None) -> Column:
     """A default as a constant; the time, in UTC, is that of loading."""
     if constant is None or constant.upper() != "CURRENT_TIMESTAMP":
@@ -133,18 +157,18 @@ def dump_rows(statements: DataFrame) -> DataFrame:
     )
 
 
-def type_rows(rows: DataFrame, columns: list[tuple[str, str, str | None]]) -> DataFrame:
-    """The columns of one table, with ``__error`` and ``__source`` for what it cannot take.
+def type_rows(rows: DataFrame, columns: list[TableColumn]) -> DataFrame:
+    """The columns of one table, with the place of each row and the ``__error`` it has.
 
-    ``columns`` gives name, type and default. Each row's constants are put in the
-    order of the columns and unquoted as arrays; what is left per column is a cast,
-    which keeps the generated code of wide tables small.
+    Each row's constants are put in the order of the columns and unquoted as arrays;
+    what is left per column is a cast, which keeps the generated code of wide tables
+    small.
     """
-    declared = ",".join(name.lower() for name, _, _ in columns)
+    declared = ",".join(c.name.lower() for c in columns)
     catalog = F.array(
         *[
-            F.struct(F.lit(name.lower()).alias("name"), _default(default).alias("default"))
-            for name, _, default in columns
+            F.struct(F.lit(c.name.lower()).alias("name"), _default(c.default).alias("default"))
+            for c in columns
         ]
     )
     in_order = F.col("names").isNull() | (F.col("names") == declared)
@@ -170,8 +194,7 @@ def type_rows(rows: DataFrame, columns: list[tuple[str, str, str | None]]) -> Da
         .withColumn("_nulls", F.size(F.filter("_texts", lambda t: t.isNull())))
     )
     cast = {
-        f"_cast_{i}": F.get("_texts", F.lit(i)).try_cast(kind)
-        for i, (_, kind, _) in enumerate(columns)
+        f"_cast_{i}": F.get("_texts", F.lit(i)).try_cast(c.type) for i, c in enumerate(columns)
     }
     rows = rows.withColumns(cast)
     # A cast that fails gives one null more than the row was written with.
@@ -180,12 +203,47 @@ def type_rows(rows: DataFrame, columns: list[tuple[str, str, str | None]]) -> Da
         nulls != F.col("_nulls"), "value does not fit its column"
     )
     return rows.withColumn("__error", error).select(
-        *[F.col(c).alias(name) for c, (name, _, _) in zip(cast, columns)],
+        *[F.col(value).alias(c.name) for value, c in zip(cast, columns)],
+        *[F.col(c).alias(f"__{c}") for c in PLACE],
         "__error",
         F.when(F.col("__error").isNotNull(), F.col("source")).alias("__source"),
     )
 
 
+def number_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Fill in missing keys: each gets one more than the largest key before it.
+
+    With c rows without a key up to a row, the largest key so far is c plus the
+    largest of 0 and e - c over the keys e given so far. Both are running values:
+    over groups of statements first, and then over one row per group.
+    """
+    group = [F.col("__path"), (F.col("__stmt_no") / STATEMENTS_PER_GROUP).cast("long")]
+    rows = rows.withColumns(dict(zip(["__file", "__group"], group)))
+    so_far = (
+        W.partitionBy("__file", "__group")
+        .orderBy("__stmt_no", "__part_no", "__row_no")
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    good = F.col("__error").isNull()
+    missing = (good & F.col(f"`{key}`").isNull()).cast("long")
+    rows = rows.withColumn("__c", F.sum(missing).over(so_far))
+    given = F.when(good, F.col(f"`{key}`") - F.col("__c"))
+    rows = rows.withColumn("__top", F.max(given).over(so_far))
+
+    groups = rows.groupBy("__file", "__group").agg(F.max("__c").alias("n"), F.max("__top").alias("top"))
+    earlier = W.orderBy("__file", "__group").rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    groups = groups.withColumn("top_before", F.max(F.col("top") - F.col("before")).over(earlier))
+    groups = groups.select("__file", "__group", "before", "top_before")
+
+    rows = rows.join(broadcast_if_small(groups), ["__file", "__group"])
+    top = F.greatest(F.lit(0), F.col("__top") - F.col("before"), F.col("top_before"))
+    number = F.when(good, F.col("__c") + F.col("before") + top)
+    return rows.withColumn(key, F.coalesce(f"`{key}`", number)).drop(
+        "__file", "__group", "__c", "__top", "before", "top_before"
+    )
+
+
 @dataclass
 class LoadedDump:
     """Tables by their lower-case name, and what none of them could take."""
@@ -199,17 +257,24 @@ class LoadedDump:
             table.createOrReplaceTempView(name)
         return sorted(self.tables)
 
+    def save(self, database: str) -> None:
+        """Keep the tables in a database, for queries that name it or run in it."""
+        for name, table in self.tables.items():
+            table.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+            table.write.mode("overwrite").saveAsTable(f"`{database}`.`{name}`")
+
 
-def declared_tables(statements: DataFrame) -> dict[str, list[tuple[str, str, str | None]]]:
+def declared_tables(statements: DataFrame) -> dict[str, list[TableColumn]]:
     """The columns of each table of one database; of two declarations the first counts."""
     named = statements.where(statement_kind(F.col("stmt")) == "create_table").groupBy(
         F.lower(table_name(F.col("stmt"))).alias("table_name")
     )
     first = named.agg(F.min(F.struct("path", "stmt_no", "part_no", "stmt")).alias("first"))
     columns = dump_columns(first.select("first.*")).orderBy("table_name", "col_no")
-    tables: dict[str, list[tuple[str, str, str | None]]] = {}
+    tables: dict[str, list[TableColumn]] = {}
     for c in columns.toLocalIterator():
-        tables.setdefault(c["table_name"], []).append((c["col_name"], c["spark_type"], c["default"]))
+        column = TableColumn(c["col_name"], c["spark_type"], c["default"], c["numbered"])
+        tables.setdefault(c["table_name"], []).append(column)
     return tables
 
 
@@ -232,26 +297,28 @@ def load_dump(statements: DataFrame, folder: str | None = None, concurrency: int
     declared = declared_tables(apart.where(F.col("kind") == "create_table").drop("kind", "for_table"))
     inserts = apart.where(F.col("kind") == "insert").drop("kind")
 
-    def load(name: str) -> None:
+    def load(name: str) -> DataFrame:
         rows = dump_rows(inserts.where(F.col("for_table") == name).drop("for_table"))
-        type_rows(rows, declared[name]).write.mode("overwrite").parquet(f"{folder}/tables/{name}")
+        table = written(type_rows(rows, declared[name]), name, f"{folder}/tables/{name}")
+        for c in declared[name]:
+            lacking = F.col("__error").isNull() & F.col(f"`{c.name}`").isNull()
+            if c.numbered and not table.where(lacking).isEmpty():
+                table = written(number_rows(table, c.name), name, f"{folder}/numbered/{name}")
+        return table
 
     with ThreadPoolExecutor(concurrency) as pool:
-        list(pool.map(load, declared))
+        loaded = dict(zip(declared, pool.map(load, declared)))
 
     strangers = ~F.coalesce("for_table", F.lit("")).isin(list(declared))
     rejects = dump_rows(inserts.where(strangers).drop("for_table")).select(
-        "table_name", F.lit("no such table").alias("error"), "source"
+        "table_name", *PLACE, F.lit("no such table").alias("error"), "source"
     )
+    own = [f"__{c}" for c in (*PLACE, "error", "source")]
     tables = {}
-    for name in declared:
-        written = spark.read.parquet(f"{folder}/tables/{name}")
-        tables[name] = written.where(F.col("__error").isNull()).drop("__error", "__source")
+    for name, table in loaded.items():
+        tables[name] = table.where(F.col("__error").isNull()).drop(*own)
+        wrong = table.where(F.col("__error").isNotNull())
         rejects = rejects.unionByName(
-            written.where(F.col("__error").isNotNull()).select(
-                F.lit(name).alias("table_name"),
-                F.col("__error").alias("error"),
-                F.col("__source").alias("source"),
-            )
+            wrong.select(F.lit(name).alias("table_name"), *[F.col(c).alias(c[2:]) for c in own])
         )
     return LoadedDump(tables, rejects)

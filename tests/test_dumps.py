@@ -219,6 +219,51 @@ def test_load(spark, tmp_path):
     ]
 
 
+def py_numbers(keys):
+    out, top = [], 0
+    for k in keys:
+        out.append(top + 1 if k is None else k)
+        top = max(top, out[-1])
+    return out
+
+
+@pytest.mark.parametrize("declaration", ["id INTEGER PRIMARY KEY", "id int NOT NULL, PRIMARY KEY (`id`)"])
+def test_missing_keys_are_numbered(spark, tmp_path, declaration):
+    rng = random.Random(5)
+    text, keys, n = f"CREATE TABLE t ({declaration}, v INT);\n", [], 0
+    for i in range(700):
+        rows = rng.randint(1, 3)
+        if rng.random() < 0.6:
+            given = [None] * rows
+            values = [f"({n + j})" for j in range(rows)]
+            text += f"INSERT INTO t (v) VALUES {', '.join(values)};\n"
+        else:
+            given = [None if rng.random() < 0.3 else rng.choice([len(keys) + j, 5000 + i, -7]) for j in range(rows)]
+            values = [f"({'NULL' if k is None else k}, {n + j})" for j, k in enumerate(given)]
+            text += f"INSERT INTO t VALUES {','.join(values)};\n"
+        keys, n = keys + given, n + rows
+    loaded = load_dump(scan_dump(spark, write(tmp_path, "t.sql", text)))
+    got = loaded.tables["t"].orderBy("v").collect()
+    assert [r["id"] for r in got] == py_numbers(keys)
+    assert loaded.tables["t"].columns == ["id", "v"]
+
+
+def test_other_keys_stay_null(spark, tmp_path):
+    text = """CREATE TABLE t (id int(11) PRIMARY KEY, v INT);
+INSERT INTO t (v) VALUES (1);
+CREATE TABLE u (id INTEGER, w INTEGER, PRIMARY KEY (id, w));
+INSERT INTO u (id) VALUES (1);
+"""
+    loaded = load_dump(scan_dump(spark, write(tmp_path, "t.sql", text)))
+    assert [tuple(r) for r in loaded.tables["t"].collect()] == [(None, 1)]
+    assert [tuple(r) for r in loaded.tables["u"].collect()] == [(1, None)]
+
+
+def test_save(spark, tmp_path):
+    load_dump(scan_dump(spark, write(tmp_path, "shop.sql", DUMP))).save("saved_dump")
+    assert spark.sql("SELECT count(*) FROM saved_dump.shop").first()[0] == 6
+
+
 SAMPLES = {
     "world": """-- Drop table if it already exists
 DROP TABLE IF EXISTS World;

@@ -157,6 +157,15 @@ def article_dump(spark: SparkSession, sf_dir: str) -> str:
     return _write_dump(read(spark, sf_dir, "documents"), "doc_id", "article", ARTICLE, 20, 200)
 
 
+VISIT = "v_id INTEGER PRIMARY KEY AUTOINCREMENT, c_custkey BIGINT, c_name VARCHAR(60)"
+
+
+def visit_dump(spark: SparkSession, sf_dir: str) -> str:
+    """Customers as rows of a table whose key the inserts leave out."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return _write_dump(rows, "c_custkey", "visit", VISIT, 10, 500)
+
+
 LINE = (
     "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
     "l_quantity DECIMAL(12,2), l_extendedprice DECIMAL(12,2), l_discount DOUBLE, l_tax DOUBLE, "

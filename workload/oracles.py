@@ -277,6 +277,9 @@ ORACLES = {
     "classify_statements": f"SELECT shard, stmt_no, kind FROM ({CLIENT_STATEMENTS}) s",
     "load_dump_rows": CLIENTS,
     "load_dump_articles": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "load_dump_numbered": """
+        SELECT row_number() OVER (ORDER BY CAST(c_custkey // 500 AS VARCHAR), c_custkey) AS v_id, c_custkey, c_name
+        FROM customer""",
     "load_dump_lines": """
         SELECT * REPLACE (CAST(l_linenumber AS BIGINT) AS l_linenumber, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate)
         FROM lineitem""",

@@ -72,6 +72,10 @@ def load_dump_articles(spark: Spark, sf_dir: str) -> DataFrame:
     return load_dump(scan_dump(spark, fx.article_dump(spark, sf_dir))).tables["article"]
 
 
+def load_dump_numbered(spark: Spark, sf_dir: str) -> DataFrame:
+    return load_dump(scan_dump(spark, fx.visit_dump(spark, sf_dir))).tables["visit"]
+
+
 def load_dump_lines(spark: Spark, sf_dir: str) -> DataFrame:
     lines = load_dump(scan_dump(spark, fx.line_dump(spark, sf_dir))).tables["line"]
     return lines.withColumns({c: F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice")})
@@ -387,6 +391,7 @@ QUERIES = {
     "load_dump_rows": load_dump_rows,
     "load_dump_articles": load_dump_articles,
     "load_dump_lines": load_dump_lines,
+    "load_dump_numbered": load_dump_numbered,
     "list_tables": list_tables,
     "normalize_ddl": normalize,
     "clean_ddl": clean,
