@@ -57,7 +57,8 @@ CLEAN_RULES = [
     (r"(?U),\s*\)", ")"),
 ]
 
-LITERAL = r"'(?:[^']++|'')*+'"
+# A text in single quotes, or in double ones, which dumps also use.
+LITERAL = r"(?:'(?:[^']++|'')*+'|\"(?:[^\"]++|\"\")*+\")"
 LEADING_COMMENTS = r"(?s)^(?:\s++|--[^\n]*+(?:\n|\z)|/\*.*?\*/)++"
 COMMENTS = r"(?s)(" + LITERAL + r")|--[^\n]*+|/\*.*?\*/"
 

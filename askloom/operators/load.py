@@ -14,10 +14,19 @@ from ..functions.ddl import LITERAL, statement_kind, strip_comments, table_name
 from ..functions.text import strip
 from ..storage import broadcast_if_small, new_folder, written
 
-_NESTED = r"\((?:[^'()]++|" + LITERAL + r"|\((?:[^'()]++|" + LITERAL + r")*+\))*+\)"
+
+def _parenthesised(depth: int) -> str:
+    """Balanced parentheses up to a depth; those inside texts do not count."""
+    inner = r"(?:[^'\"()]++|" + LITERAL + r")*+"
+    for _ in range(depth - 1):
+        inner = r"(?:[^'\"()]++|" + LITERAL + r"|\(" + inner + r"\))*+"
+    return r"\(" + inner + r"\)"
+
+
+_NESTED = _parenthesised(3)
 _NAME = r"(?:[`\"]?\w+[`\"]?\.)?[`\"]?\w+[`\"]?"
-_CREATE = r"(?isU)^create\s+table\s+(?:if\s+not\s+exists\s+)?" + _NAME + r"\s*\((.*)\)[^)]*$"
-_ITEM = r"(?:[^,()']++|" + LITERAL + r"|" + _NESTED + r")++"
+_CREATE = r"(?isU)^create\s+table\s+(?:if\s+not\s+exists\s+)?" + _NAME + r"\s*(" + _parenthesised(8) + r")"
+_ITEM = r"(?:[^,()'\"]++|" + LITERAL + r"|" + _parenthesised(7) + r")++"
 _CONSTRAINT = (
     r"(?isU)^(?:constraint\s|primary\s+key|foreign\s+key|check\s*\(|"
     r"unique\s*\(|unique\s+(?:key|index)\b|(?:key|index|fulltext|spatial)\s+[`\"\w]*\s*\()"
@@ -26,7 +35,7 @@ _KEY = r"(?isU)^(?:constraint\s+\S+\s+)?primary\s+key\s*\(\s*[`\"]?(\w+)[`\"]?\s
 _COLUMN = r"(?isU)^(?:[`\"]([^`\"]+)[`\"]|(\S+))\s*(.*)$"
 _INSERT = r"(?iU)^insert\s+into\s+" + _NAME + r"\s*(\([^()]*\))?\s*values\s*"
 _TUPLE_OR_REST = _NESTED + r"|[^\s,(][^(]*+|\("
-_FIELD = LITERAL + r"|[^',\s](?:[^',]*[^',\s])?"
+_FIELD = LITERAL + r"|[^'\",\s](?:[^'\",]*[^'\",\s])?"
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 _DEFAULT = r"(?isU)\bdefault\s+(" + LITERAL + r"|[+-]?[\d.]+|current_timestamp\b)"
 
@@ -47,17 +56,20 @@ def _names(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[()`\"\s]", ""))
 
 
+def _is_quoted(field: Column) -> Column:
+    return F.startswith(field, F.lit("'")) | F.startswith(field, F.lit('"'))
+
+
 def _value(field: Column) -> Column:
     """The text of a constant: unquoted, with NULL as null."""
-    quoted = F.startswith(field, F.lit("'"))
-    inner = F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit("''"), F.lit("'"))
-    return F.when(quoted, inner).when(F.upper(field) != "NULL", field)
+    quote = F.substring(field, F.lit(1), F.lit(1))
+    inner = F.substring(field, F.lit(2), F.length(field) - 2)
+    inner = F.replace(inner, F.concat(quote, quote), quote)
+    return F.when(_is_quoted(field), inner).when(F.upper(field) != "NULL", field)
 
 
 def _is_constant(field: Column) -> Column:
-    return (
-        F.startswith(field, F.lit("'")) | (F.upper(field) == "NULL") | field.rlike(_NUMBER)
-    )
+    return _is_quoted(field) | (F.upper(field) == "NULL") | field.rlike(_NUMBER)
 
 
 def dump_columns(statements: DataFrame) -> DataFrame:
@@ -70,7 +82,7 @@ def dump_columns(statements: DataFrame) -> DataFrame:
         *ids,
         F.lower(table_name(F.col("stmt"))).alias("table_name"),
         F.regexp_extract(strip_comments(F.col("stmt")), _CREATE, 1).alias("body"),
-    )
+    ).withColumn("body", F.expr("substring(body, 2, length(body) - 2)"))
     items = F.transform(F.regexp_extract_all("body", F.lit(_ITEM), F.lit(0)), strip)
     keys = F.filter("items", lambda item: F.rlike(item, F.lit(_KEY)))
     names = F.filter("items", lambda item: (item != "") & ~F.rlike(item, F.lit(_CONSTRAINT)))

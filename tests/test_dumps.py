@@ -219,6 +219,27 @@ def test_load(spark, tmp_path):
     ]
 
 
+def test_quotes_and_parentheses(spark, tmp_path):
+    text = """CREATE TABLE `t` (
+  `id` int(11) NOT NULL COMMENT 'the (id), and more',
+  name VARCHAR(20) DEFAULT "a, (b)", -- "quoted
+  size ENUM('s', 'm (x)') CHECK (size IN ('s', lower('M (X)'))),
+  "key" TEXT
+) ENGINE=InnoDB COMMENT='about (t), and so on';
+INSERT INTO t VALUES (1, "it's ""so"", (1)", 's', "x"), (2, 'say "hi"', "m", '');
+INSERT INTO t (id, "key") VALUES (3, "-- no comment");
+"""
+    loaded = load_dump(scan_dump(spark, write(tmp_path, "q.sql", text)))
+    table = loaded.tables["t"]
+    assert table.columns == ["id", "name", "size", "key"]
+    assert sorted(map(tuple, table.collect())) == [
+        (1, "it's \"so\", (1)", "s", "x"),
+        (2, 'say "hi"', "m", ""),
+        (3, "a, (b)", None, "-- no comment"),
+    ]
+    assert loaded.rejects.count() == 0
+
+
 def py_numbers(keys):
     out, top = [], 0
     for k in keys:

@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,16 @@ def test_csv_round_trip(spark, tmp_path):
     assert back == sorted([*ROWS, ROWS[1]])
 
 
+def test_csv_of_other_tools(spark, tmp_path):
+    """A table that was begun elsewhere and written by pandas can be gone on with."""
+    path, out = tmp_path / "old.csv", str(tmp_path / "table")
+    pd.DataFrame(ROWS, columns=table.PREDICTIONS.fieldNames()).to_csv(path, index=False, encoding="utf-8")
+    old = table.read_csv(spark, str(path))
+    assert sorted(map(tuple, old.collect())) == sorted(ROWS)
+    table.append_predictions(old, out)
+    assert sorted(r[0] for r in table.completed_indices(table.read_predictions(spark, out)).collect()) == [0, 1, 2, 3]
+
+
 def doc_rows(spark, *rows):
     df = spark.createDataFrame(list(rows), "db_id string, doc_no int, doc string")
     return df.withColumn("doc_id", F.concat(F.lit("schema_doc_"), "doc_no"))
