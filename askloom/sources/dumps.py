@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ddl import strip_leading_comments
-from ..storage import broadcast_if_small, small_enough, written
+from ..storage import BROADCAST_LIMIT_BYTES, broadcast_if_small, size_in_bytes, written
 
 # States between two pieces: outside, in a literal, in a block comment. A change is
 # the three states that a piece ends in when it starts in each of these.
@@ -81,15 +81,8 @@ def _splits(pieces: DataFrame) -> DataFrame:
     return sizes.withColumn("n_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
 
-def _changes(pieces: DataFrame, unclear: DataFrame, backslash_escapes: bool) -> DataFrame:
-    """Pieces that may change the state: (path, block, seq, change).
-
-    Only ``unclear`` files are looked at again, if their list is small enough to
-    broadcast, else all files.
-    """
-    rows = pieces
-    if small_enough(unclear):
-        rows = pieces.join(F.broadcast(unclear), "path", "left_semi")
+def _changes(pieces: DataFrame, backslash_escapes: bool) -> DataFrame:
+    """Pieces that may change the state: (path, block, seq, change)."""
     piece = F.col("piece")
     from_literal = _state_after(F.concat(F.lit("'"), piece), backslash_escapes)
     from_comment = _state_after(F.concat(F.lit("/*"), piece), backslash_escapes)
@@ -98,7 +91,7 @@ def _changes(pieces: DataFrame, unclear: DataFrame, backslash_escapes: bool) ->
         F.when(piece.contains("'"), from_literal).otherwise("S"),
         F.when(piece.contains("*/"), from_comment).otherwise("B"),
     )
-    changes = rows.select("path", "block", "seq", change.alias("change"))
+    changes = pieces.select("path", "block", "seq", change.alias("change"))
     return changes.where(F.col("change") != STATES)
 
 
@@ -210,13 +203,17 @@ def fold_pieces(
         (F.col("n_before") + F.col("seq") - F.col("first")).alias("stmt_no"),
         F.col("piece").alias("stmt"),
     )
+    # Files in which some piece does not end outside; only these are looked at again,
+    # if their list is small enough to broadcast, else all files.
     unclear = pieces.where(F.col("after") != OUTSIDE).select("path").distinct()
-    if unclear.isEmpty():
+    size = size_in_bytes(unclear)
+    if size == 0:
         return numbered.select(*columns)
+    again = pieces
+    if size <= BROADCAST_LIMIT_BYTES:
+        again = pieces.join(F.broadcast(unclear), "path", "left_semi")
 
-    changes = written(
-        _within_splits(_changes(pieces, unclear, backslash_escapes)), "dump-state-changes"
-    )
+    changes = written(_within_splits(_changes(again, backslash_escapes)), "dump-state-changes")
     at_end = changes.groupBy(*split).agg(F.max_by("change", "seq").alias("change"))
     entered = _across_splits(splits.join(at_end, split, "left").fillna({"change": STATES}))
     fragments = written(_fragments(changes, written(entered, "dump-split-states")), "dump-fragments")
