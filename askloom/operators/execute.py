@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -22,6 +23,12 @@ OUTCOMES = "db_id string, sql string, sql_key string, error string"
 RESULT_ROWS = "row_json string, sql_key string"
 
 
+# Quoted texts, what may stand after the end of a query, and anything else.
+PARTS = re.compile(
+    r"(?s)'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|(?P<after>--[^\n]*|/\*.*?\*/|;|\s)|."
+)
+
+
 @dataclass
 class QueryResult:
     """Rows of a query, or why there are none."""
@@ -36,7 +43,8 @@ def query(spark: SparkSession, sql: str) -> DataFrame:
     The text must also stand as a subquery: that admits WITH, VALUES and ORDER BY,
     while statements that change tables do not parse there and are never run.
     """
-    text = sql.strip(WHITESPACE).rstrip(";").strip(WHITESPACE)
+    ends = [part.end() for part in PARTS.finditer(sql) if not part["after"]]
+    text = sql[: ends[-1]].lstrip(WHITESPACE) if ends else ""
     spark.sql(f"SELECT * FROM (\n{text}\n)")
     return spark.sql(text)
 

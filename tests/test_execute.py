@@ -26,6 +26,8 @@ def numbers(spark):
         ("(SELECT 1) UNION ALL (SELECT 2)", 2),
         ("SELECT id FROM numbers ORDER BY id DESC LIMIT 2 -- two", 2),
         ("/* why */ SELECT 1", 1),
+        ("SELECT 1; -- done; really\n/* yes; */ ;", 1),
+        ("SELECT ';' AS a, '; --' AS b", 1),
         ("SELECT 1 WHERE false", 0),
     ],
 )
