@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from types import TracebackType
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,17 +14,18 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``.
+    """The folder all executors see: ``spark.checkpoint.dir``, else one below the warehouse.
 
-    Only a local master may do without the setting; a cluster must name a folder,
-    since one machine's temporary folder would be lost to the others.
+    A cluster must name one of the two: the warehouse's default is a folder of the
+    driver's machine, which only a local master may use.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
-    return tempfile.mkdtemp(prefix="askloom-")
+    context = spark.sparkContext
+    if context.master.startswith("local") or context.getConf().contains("spark.sql.warehouse.dir"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/askloom-staging"
+    raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -43,6 +44,36 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job has made, wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Staging:
+    """Intermediate tables of one job, below one folder that goes when the job ends.
+
+    What the job returns must not read them: write it with ``written`` first.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder = spark, new_folder(spark, name)
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, self.path(name))
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(
+        self, kind: type[BaseException] | None, value: BaseException | None, trace: TracebackType | None
+    ) -> None:
+        remove_folder(self.spark, self.folder)
+
+
 def read_or_empty(
     spark: SparkSession, path: str, schema: StructType | str, **options: str
 ) -> DataFrame:
