@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op3_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import OP9_SQL, op9_mix_sources
+from .toxicity import op2_toxicity
 from .url_filters import OP5_SQL, op5_url_filter
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_toxicity": op2_toxicity,
+    "op3_bpe": op3_bpe,
     "op5_url_filter": op5_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
