@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .minhash import OP7_SQL, op7_minhash
 from .mixing import OP9_SQL, op9_mix_sources
 from .toxicity import op2_toxicity
 from .url_filters import OP5_SQL, op5_url_filter
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op5_url_filter": op5_url_filter,
+    "op7_minhash": op7_minhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
@@ -23,6 +25,7 @@ QUERIES = {
 ORACLES = {
     "op1_warc": OP1_SQL,
     "op5_url_filter": OP5_SQL,
+    "op7_minhash": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_mix_sources": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
