@@ -78,6 +78,7 @@ class Codec:
         self.bytes_of = {n: b for b, n in vocabulary.ranks.items()} | {
             n: t.encode() for t, n in self.special.items()
         }
+        self.digits = [str(n).encode() for n in range(max(self.bytes_of) + 1)]
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("|".join(regex.escape(t) for t in self.special)) if self.special else None
 
@@ -230,7 +231,6 @@ def tree_joined(codec: Codec, nodes: list[Node], window: int = WINDOW_CHARS) ->
 
 # -- Over tables ----------------------------------------------------------------------
 
-_IDS = pa.list_(pa.int32())
 _CODECS: dict[str, Codec] = {}
 
 
@@ -247,16 +247,47 @@ def _ids_array(rows: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _short(path: str):
+def _ids_columns(codec: Codec, rows: list) -> list[pa.Array]:
+    return [_ids_array(rows)]
+
+
+def _digest_columns(codec: Codec, rows: list) -> list[pa.Array]:
+    counts, of_ids, of_texts = [], [], []
+    digits = codec.digits
+    for ids in rows:
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        counts.append(len(ids))
+        of_ids.append(hashlib.sha256(b",".join([digits[i] for i in ids])).hexdigest())
+        of_texts.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+    return [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())]
+
+
+def _both_columns(codec: Codec, rows: list) -> list[pa.Array]:
+    return [*_digest_columns(codec, rows), *_ids_columns(codec, rows)]
+
+
+_IDS = "ids array<int>"
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+#: What can be made of a text's tokens where they are found: its columns and their types.
+OUTPUTS = {
+    "ids": (_ids_columns, _IDS),
+    "digests": (_digest_columns, _DIGESTS),
+    "both": (_both_columns, f"{_DIGESTS}, {_IDS}"),
+}
+
+
+def _short(path: str, output: str):
     """Texts of one piece: all tokens at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path)
+        codec, (columns, ddl) = _codec(path), OUTPUTS[output]
+        names = [f.split()[0] for f in ddl.split(", ")]
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
                 ids = [codec.encode(t or "") for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], _ids_array(ids)], names=[*part.schema.names[1:], "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns(codec, ids)], names=[*part.schema.names[1:], *names])
 
     return run
 
@@ -301,11 +332,11 @@ def _encoded_pieces(path: str):
     return run
 
 
-def _joined_pieces(path: str, window: int):
+def _joined_pieces(path: str, window: int, output: str):
     """Pieces of one text to its tokens."""
 
     def run(table: pa.Table) -> pa.Table:
-        codec = _codec(path)
+        codec, (columns, ddl) = _codec(path), OUTPUTS[output]
         rows = sorted(table.to_pylist(), key=lambda r: (r["section"], r["piece"]))
         ids, nodes = [], []
         for n, row in enumerate(rows):
@@ -316,7 +347,8 @@ def _joined_pieces(path: str, window: int):
             if n + 1 == len(rows) or rows[n + 1]["section"] != row["section"]:
                 ids += tree_joined(codec, nodes, window).ids
                 nodes = []
-        return pa.table({"text_key": pa.array([rows[0]["text_key"]]), "ids": _ids_array([ids])})
+        names = [f.split()[0] for f in ddl.split(", ")]
+        return pa.table([pa.array([rows[0]["text_key"]]), *columns(codec, [ids])], names=["text_key", *names])
 
     return run
 
@@ -325,24 +357,29 @@ def encode(
     docs: DataFrame,
     tokenizer_path: str,
     text_col: str = "text",
+    keep: list[str] | None = None,
+    output: str = "ids",
     piece_chars: int = PIECE_CHARS,
     window: int = WINDOW_CHARS,
 ) -> DataFrame:
-    """Rows (row, ids): ``row`` is the whole input row, ``ids`` the tokens of its text.
+    """Rows (row, ...): ``row`` holds the columns ``keep`` of the input (all by default), so
+    none can clash with what follows: ``ids``, the tokens, or what else ``OUTPUTS`` names.
 
     A null text counts as empty and has no tokens. Strings of special tokens in a text are
     special tokens. ``tokenizer_path`` must be readable on the executors. A text longer than
     ``piece_chars`` is encoded once however many rows hold it; its tokens meet in the task
     that makes its row, since a row is one value.
     """
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
+    from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    schema = StructType([rows.schema["row"]]).add("ids", ArrayType(IntegerType()))
+    kept = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    rows = docs.select(text.alias("text"), kept.alias("row"))
+    ddl = OUTPUTS[output][1]
+    schema = StructType([rows.schema["row"], *StructType.fromDDL(ddl).fields])
     is_long = F.length("text") > piece_chars
-    short = rows.where(~is_long).mapInArrow(_short(tokenizer_path), schema)
+    short = rows.where(~is_long).mapInArrow(_short(tokenizer_path, output), schema)
     long_rows = rows.where(is_long).withColumn("text_key", F.sha2("text", 256))
     with Staging(spark, "bpe") as stage:
         long_texts = long_rows.select("text_key", "text").dropDuplicates(["text_key"])
@@ -350,10 +387,12 @@ def encode(
         spread = pieces.repartition("text_key", "section", "piece")
         encoded = stage.write(spread.mapInArrow(_encoded_pieces(tokenizer_path), _ENCODED), "pieces")
         joined = written(
-            encoded.groupBy("text_key").applyInArrow(_joined_pieces(tokenizer_path, window), "text_key string, ids array<int>"),
+            encoded.groupBy("text_key").applyInArrow(
+                _joined_pieces(tokenizer_path, window, output), f"text_key string, {ddl}"
+            ),
             "bpe-long",
         )
-    whole = long_rows.select("row", "text_key").join(joined, "text_key").select("row", "ids")
+    whole = long_rows.select("row", "text_key").join(joined, "text_key").select(*short.columns)
     return short.unionByName(whole)
 
 
@@ -376,32 +415,6 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: tup
     return chosen.mapInArrow(run, schema)
 
 
-_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-
-def digests(rows: DataFrame, tokenizer_path: str, id_name: str = "doc_id") -> DataFrame:
-    """Per row of (id, ids): number of tokens, digest of the ids, digest of the decoded text.
-
-    ``decode`` without the texts' way back through Spark.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(tokenizer_path)
-        digits = [str(i).encode() for i in range(max(codec.bytes_of) + 1)]
-        for batch in batches:
-            counts, ids_digests, text_digests = [], [], []
-            for ids in batch.column(1).to_pylist():
-                counts.append(len(ids))
-                ids_digests.append(hashlib.sha256(b",".join([digits[i] for i in ids])).hexdigest())
-                text_digests.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())],
-                names=[id_name, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return rows.mapInArrow(run, f"{id_name} long, {_DIGESTS}")
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -410,6 +423,6 @@ def default_tokenizer() -> str:
 
 def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """Every document encoded and decoded again."""
-    path = tokenizer_path or default_tokenizer()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(encode(docs, path).select("row.doc_id", "ids"), path)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    coded = encode(docs, tokenizer_path or default_tokenizer(), keep=["doc_id"], output="digests")
+    return coded.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

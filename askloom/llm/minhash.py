@@ -282,13 +282,14 @@ def near_groups(
         least = stage.write(named.groupBy("component").agg(F.min("doc").alias("component_id")), "least")
         of_set = stage.write(named.join(least, "component").select("id", "component_id"), "of-set")
         is_known = F.col("doc").isNotNull() & (F.col("n") > 0)
-        joined = signed.select("doc", "n", F.when(is_known, F.col("id")).alias("id")).join(of_set, "id", "left")
-        component = F.coalesce("component_id", "doc")
+        linked = signed.where(is_known).join(of_set, "id").select("doc", "n", "component_id")
+        alone = signed.where(~is_known).select("doc", "n", F.col("doc").alias("component_id"))
+        joined, component = linked.unionByName(alone), F.col("component_id")
         return written(
             joined.select(
                 F.col("doc").alias("id"),
                 F.col("n").alias("n_shingles"),
-                component.alias("component_id"),
+                "component_id",
                 component.eqNullSafe(F.col("doc")).alias("kept"),
             ),
             "near-groups",

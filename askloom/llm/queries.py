@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .cover_tree import OP4_SQL, op4_cover_tree
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .minhash import OP7_SQL, op7_minhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
+    "op4_cover_tree": op4_cover_tree,
     "op5_url_filter": op5_url_filter,
     "op7_minhash": op7_minhash,
     "op8_line_dedup": op8_line_dedup,
@@ -24,6 +26,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc": OP1_SQL,
+    "op4_cover_tree": OP4_SQL,
     "op5_url_filter": OP5_SQL,
     "op7_minhash": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
