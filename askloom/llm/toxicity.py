@@ -36,12 +36,12 @@ class Settings:
     """``max_train`` bounds the sample: so many rows with label 1, and at most ``negatives``
     times as many with label 0."""
 
-    max_train: int = 2000
+    max_train: int = 1500
     negatives: int = 3
     buckets: int = 1 << 18
     sizes: tuple[int, ...] = (3, 4, 5)
     dimensions: int = 4
-    epochs: int = 6
+    epochs: int = 10
     batch: int = 32
     rate: float = 1.0
     floor: float = 10.0
@@ -64,10 +64,22 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+WORDS_AT_ONCE = 20_000
+
+
 def word_buckets(words: list[str], buckets: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of the n-grams of ``<word>`` for all words, and where each word's begin
     (one more entry than words). Every word has at least one: those in it with its marks have
     three characters or more."""
+    parts, counts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        numbers, begins = _some_buckets(words[at : at + WORDS_AT_ONCE], buckets, sizes)
+        parts.append(numbers)
+        counts.append(np.diff(begins))
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+
+def _some_buckets(words: list[str], buckets: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     lengths = np.array([len(m) for m in marked], np.int64)
@@ -80,7 +92,7 @@ def word_buckets(words: list[str], buckets: int, sizes: tuple[int, ...]) -> tupl
         if n in sizes:
             inside = left[: len(value)] >= n
             mixed = (value[inside] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            found.append((mixed >> np.uint64(40)).astype(np.int64) % buckets)
+            found.append(((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32))
             owner.append(word[: len(value)][inside])
     numbers, owners = np.concatenate(found), np.concatenate(owner)
     order = np.argsort(owners, kind="stable")
@@ -107,7 +119,7 @@ def fit(texts: list[str | None], labels: list[int], settings: Settings = Setting
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
         own, counts = np.unique(np.array(ids, np.int64), return_counts=True)
         weight = 1 + np.log(counts)
-        bags.append((own, weight / max(1, weight.sum())))
+        bags.append((own.astype(np.int32), (weight / max(1, weight.sum())).astype(np.float32)))
     numbers, begins = word_buckets(list(vocabulary), settings.buckets, settings.sizes)
     random = np.random.default_rng(settings.seed)
     d = settings.dimensions
@@ -171,16 +183,17 @@ def score_texts(texts: list[str | None], model: Model, known: dict[str, float])
     """Probabilities of label 1. ``known`` keeps words' weights from call to call."""
     split = [words_of(t) for t in texts]
     new = list({w for words in split for w in words if w not in known})
-    if new:
-        numbers, begins = word_buckets(new, len(model.weights), model.sizes)
-        sums = np.add.reduceat(model.weights[numbers], begins[:-1]) / np.diff(begins)
-        known.update(zip(new, sums.tolist()))
+    for at in range(0, len(new), WORDS_AT_ONCE):
+        some = new[at : at + WORDS_AT_ONCE]
+        numbers, begins = word_buckets(some, len(model.weights), model.sizes)
+        means = np.add.reduceat(model.weights[numbers], begins[:-1]) / np.diff(begins)
+        known.update(zip(some, means.tolist()))
     odds = np.array([_mean(words, known) for words in split])
     return 1 / (1 + np.exp(-(odds + model.bias)))
 
 
-KNOWN_WORDS = 1_000_000  # kept per task; a cache, emptied when full
-BATCH_CHARS = 4_000_000  # of texts scored together
+KNOWN_WORDS = 400_000  # kept per task; a cache, emptied when full
+BATCH_CHARS = 2_000_000  # of texts scored together
 
 
 def _grouped(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -232,11 +245,15 @@ def train(
     found = texts.join(F.broadcast(chosen), "id").where("text IS NOT NULL").collect()
     chosen.unpersist()
     rows = sorted(((r["id"], r["text"], int(r["label"])) for r in found))
+    del found
     return fit([r[1] for r in rows], [r[2] for r in rows], settings)
 
 
-def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Rows (row, score): ``row`` is the whole input row, so no column can clash.
+def with_scores(
+    docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """Rows (row, score): ``row`` holds the columns ``keep`` of the input (all by default),
+    so none can clash with the score.
 
     Every word of every text counts. Texts without words, and nulls, get the score of the
     bias alone.
@@ -246,13 +263,16 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
-            scores = [score_texts(g, sent.value, known) for g in _grouped(batch.column(0).to_pylist())]
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-            values = np.concatenate([np.empty(0), *scores])
+            scores = [np.empty(0)]
+            for group in _grouped(batch.column(0).to_pylist()):
+                scores.append(score_texts(group, sent.value, known))
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+            values = np.concatenate(scores)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values)], names=["row", "score"])
 
-    rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), kept.alias("row"))
     return rows.mapInArrow(run, StructType([rows.schema["row"]]).add("score", DoubleType()))
 
 
@@ -260,7 +280,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str, settings: Settings = Settings
     """Every document's toxicity, by a model that never saw the held-out third."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), settings)
-    scored = with_scores(docs, model)
+    scored = with_scores(docs, model, keep=["doc_id"])
     return scored.select(
         "row.doc_id",
         is_held_out("row`.`doc_id").alias("held_out"),
