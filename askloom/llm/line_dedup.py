@@ -10,7 +10,6 @@ the tasks that read the texts, so only lines that are probably repeated meet the
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -290,6 +289,10 @@ class LineStore:
 
         return probe
 
+    def drop(self) -> None:
+        """Delete the store's folder. What ``clean`` has returned does not read it."""
+        remove_folder(self.spark, self.folder)
+
     def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``docs`` as rows of (row, id, text, n_lines, n_dropped).
 
@@ -358,16 +361,14 @@ def _schema(df: DataFrame, more: str):
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that at least three documents hold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     store = LineStore(spark)
     store.insert(docs)
-    return store.clean(docs).select(
+    cleaned = store.clean(docs)
+    store.drop()
+    return cleaned.select(
         F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
     )
 

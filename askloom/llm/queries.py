@@ -8,6 +8,7 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .minhash import OP7_SQL, op7_minhash
 from .mixing import OP9_SQL, op9_mix_sources
+from .suffix_dedup import op6_suffix_dedup
 from .toxicity import op2_toxicity
 from .url_filters import OP5_SQL, op5_url_filter
 from .warc import OP1_SQL, op1_warc
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_cover_tree": op4_cover_tree,
     "op5_url_filter": op5_url_filter,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash": op7_minhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
