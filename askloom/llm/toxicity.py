@@ -258,14 +258,15 @@ def with_scores(
     Every word of every text counts. Texts without words, and nulls, get the score of the
     bias alone.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
+        own = Model(*sent.value)
         for batch in batches:
             scores = [np.empty(0)]
             for group in _grouped(batch.column(0).to_pylist()):
-                scores.append(score_texts(group, sent.value, known))
+                scores.append(score_texts(group, own, known))
                 if len(known) > KNOWN_WORDS:
                     known.clear()
             values = np.concatenate(scores)
