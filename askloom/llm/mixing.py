@@ -33,7 +33,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     source; what is left over goes to the others by weight, again until none is above.
     The result has a closed form: with sources ordered by the share of a unit weight at
     which they are full, those up to some point are full and the others get the rest by
-    weight. One row per source; the sources, unlike the documents, are ordered as a whole.
+    weight. (What is left for a unit weight rises up to that point and falls after it.) One row per source; the sources, unlike the documents, are ordered as a whole.
     """
     cap = F.col("source_size") * F.lit(float(max_epochs))
     chosen = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("n") % len(weights)).cast("int") + 1)
@@ -48,7 +48,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
         .withColumn("full", F.coalesce(F.sum(cap).over(before), F.lit(0.0)))
         .withColumn("unit", (F.col("total") - F.col("full")) / F.sum("weight").over(rest))
         .withColumn("is_full", cap / F.col("weight") <= F.col("unit"))
-        .withColumn("level", F.min(F.when(~F.col("is_full"), F.col("unit"))).over(W.partitionBy()))
+        .withColumn("level", F.max(F.when(~F.col("is_full"), F.col("unit"))).over(W.partitionBy()))
     )
     target = F.when(F.col("is_full"), cap).otherwise(F.least(cap, F.col("level") * F.col("weight")))
     return leveled.select("source", "source_size", target.alias("target"))
@@ -181,7 +181,7 @@ WITH sized AS (
 ), wanted AS (
   SELECT source, source_size,
          CASE WHEN cap / weight <= unit THEN cap
-              ELSE least(cap, min(CASE WHEN cap / weight > unit THEN unit END) OVER () * weight) END AS target
+              ELSE least(cap, max(CASE WHEN cap / weight > unit THEN unit END) OVER () * weight) END AS target
   FROM leveled
 ), planned AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs
