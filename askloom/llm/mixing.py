@@ -18,8 +18,6 @@ WEIGHTS = (5, 2, 1)  # of the sources in order, repeating
 MAX_EPOCHS = 3  # no source, and so no document, is used more often
 SALT = "mix"
 
-_PLACED = "id long, source string, size long, rank string, range int"
-
 
 def word_count(text: Column) -> Column:
     """Number of words: runs without space, tab, newline, vertical tab, feed, return."""
@@ -33,7 +31,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     source; what is left over goes to the others by weight, again until none is above.
     The result has a closed form: with sources ordered by the share of a unit weight at
     which they are full, those up to some point are full and the others get the rest by
-    weight. (What is left for a unit weight rises up to that point and falls after it.) One row per source; the sources, unlike the documents, are ordered as a whole.
+    weight. (What is left for a unit weight rises up to that point and falls after it.)
+    One row per source; the sources, unlike the documents, are ordered as a whole.
     """
     cap = F.col("source_size") * F.lit(float(max_epochs))
     chosen = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("n") % len(weights)).cast("int") + 1)
@@ -56,7 +55,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
 
 def _placed(rows: DataFrame, stage: Staging) -> DataFrame:
     """Rows (id, source, size, rank) sorted into ranges, written with the range's number."""
-    ordered = rows.repartitionByRange("source", "rank", "id").withColumn("range", F.spark_partition_id())
+    ordered = rows.repartitionByRange("source", "rank", "id", "size").withColumn("range", F.spark_partition_id())
     return stage.write(ordered, "ranges")
 
 
@@ -72,10 +71,10 @@ def mix(
     """One row per document: id, source, size, source_size, target, copies.
 
     A source's documents are all used as many times as its target holds its size, and
-    once more, in random order, as long as the running sum stays within what remains. So
-    a source is short of its target by less than one document. The order is by a hash
-    of ``salt`` and the id, then the id, so runs agree. Rows with the same source and id
-    (nulls are equal to each other) are cut together: the whole tie fits or none does.
+    once more, in random order, up to what remains. The document across the cut is taken if
+    that comes nearer, so a source misses its target by half a document at most. The order
+    is by a hash of ``salt`` and the id, then id and size, so runs agree. Rows alike in source,
+    id and size (nulls are equal to each other) are cut together: all of them or none.
     A null text has no words; documents without words can be taken and weigh nothing.
     Other columns of ``docs`` are not read. Empty tables give an empty result.
     """
@@ -110,12 +109,12 @@ def mix(
             offsets.alias("o").join(wanted.alias("t"), on_source).select("o.*", "t.source_size", "t.target", "t.epochs", "t.rest"),
             "plan",
         )
-        inside = W.partitionBy("range", "source").orderBy("rank", "id")
+        inside = W.partitionBy("range", "source").orderBy("rank", "id", "size")
         running = placed.withColumn("running", F.sum("size").over(inside))
         same = (F.col("r.range") == F.col("p.range")) & F.col("r.source").eqNullSafe(F.col("p.source"))
         joined = running.alias("r").join(plan.alias("p"), same).select(
             "r.id", "r.source", "r.size", "p.source_size", "p.target", "p.epochs",
-            (F.col("p.offset") + F.col("r.running") <= F.col("p.rest")).alias("again"),
+            (F.col("p.offset") + F.col("r.running") - F.col("r.size") / 2 <= F.col("p.rest")).alias("again"),
         )
         copies = F.when(F.col("epochs") >= max_epochs, F.lit(max_epochs)).otherwise(
             F.col("epochs") + F.col("again").cast("long")
@@ -131,8 +130,8 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their columns only.
 
-    The mix is joined by id and source. Where several rows share both, they have the
-    same number of copies, so one of them speaks for all.
+    The mix is joined by id and source. Where several rows share both, the one with most
+    copies speaks for all.
     """
     plan = mix(docs, id_col, text_col, source_col, **options)
     times = plan.groupBy("id", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
@@ -188,12 +187,12 @@ WITH sized AS (
   FROM wanted
 ), summed AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, p.epochs,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.rank, d.doc_id) AS running
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.rank, d.doc_id, d.size) AS running
   FROM sized d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, size, source_size, target,
        CAST(size * CASE WHEN epochs >= 3 THEN 3
-                        ELSE epochs + CASE WHEN running <= target - epochs * source_size THEN 1 ELSE 0 END END
+                        ELSE epochs + CASE WHEN running - size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END END
             AS BIGINT) AS taken
 FROM summed
 """
