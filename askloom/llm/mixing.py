@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import Staging, written
+from ..storage import Staging, broadcast_if_small, written
 
 WEIGHTS = (5, 2, 1)  # of the sources in order, repeating
 MAX_EPOCHS = 3  # no source, and so no document, is used more often
@@ -71,10 +71,11 @@ def mix(
     """One row per document: id, source, size, source_size, target, copies.
 
     A source's documents are all used as many times as its target holds its size, and
-    once more, in random order, up to what remains. The document across the cut is taken if
-    that comes nearer, so a source misses its target by half a document at most. The order
-    is by a hash of ``salt`` and the id, then id and size, so runs agree. Rows alike in source,
-    id and size (nulls are equal to each other) are cut together: all of them or none.
+    once more, in random order, as long as the running sum stays within what remains. The gap
+    that is left then, smaller than the next document, gets the largest document behind the
+    cut that fits into it. The order is by a hash of ``salt`` and the id, then id and size, so
+    runs agree. Rows alike in source, id and size (nulls are equal to each other) are cut
+    together: all of them or none.
     A null text has no words; documents without words can be taken and weigh nothing.
     Other columns of ``docs`` are not read. Empty tables give an empty result.
     """
@@ -112,15 +113,31 @@ def mix(
         inside = W.partitionBy("range", "source").orderBy("rank", "id", "size")
         running = placed.withColumn("running", F.sum("size").over(inside))
         same = (F.col("r.range") == F.col("p.range")) & F.col("r.source").eqNullSafe(F.col("p.source"))
-        joined = running.alias("r").join(plan.alias("p"), same).select(
-            "r.id", "r.source", "r.size", "p.source_size", "p.target", "p.epochs",
-            (F.col("p.offset") + F.col("r.running") - F.col("r.size") / 2 <= F.col("p.rest")).alias("again"),
+        placed_in = stage.write(
+            running.alias("r").join(plan.alias("p"), same).select(
+                "r.id", "r.source", "r.size", "r.rank", "p.source_size", "p.target", "p.epochs", "p.rest",
+                (F.col("p.offset") + F.col("r.running")).alias("place"),
+            ),
+            "placed",
+        )
+        again = F.col("place") <= F.col("rest")
+        gaps = placed_in.groupBy("source").agg(
+            (F.first("rest") - F.coalesce(F.max(F.when(again, F.col("place"))), F.lit(0))).alias("gap")
+        )
+        best = F.struct("size", "rank", "id")
+        with_gap = placed_in.alias("d").join(
+            broadcast_if_small(stage.write(gaps, "gaps")).alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))
         )
+        fits = with_gap.where(~again & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+        fill = stage.write(fits.groupBy("d.source").agg(F.max(best).alias("fill")), "fill")
+        on_fill = F.col("d.source").eqNullSafe(F.col("f.source"))
+        filled = placed_in.alias("d").join(broadcast_if_small(fill).alias("f"), on_fill, "left").select("d.*", "f.fill")
+        taken = again | F.coalesce(best == F.col("fill"), F.lit(False))
         copies = F.when(F.col("epochs") >= max_epochs, F.lit(max_epochs)).otherwise(
-            F.col("epochs") + F.col("again").cast("long")
+            F.col("epochs") + taken.cast("long")
         )
         return written(
-            joined.select("id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")),
+            filled.select("id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")),
             "mixed",
         )
 
@@ -186,13 +203,21 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs
   FROM wanted
 ), summed AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.epochs,
+  SELECT d.doc_id, d.source, d.size, d.rank, p.source_size, p.target, p.epochs,
+         target - epochs * source_size AS rest,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.rank, d.doc_id, d.size) AS running
   FROM sized d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source
+), gaps AS (
+  SELECT *, rest - coalesce(max(CASE WHEN running <= rest THEN running END) OVER (PARTITION BY source), 0) AS gap
+  FROM summed
+), filled AS (
+  SELECT *, row_number() OVER (PARTITION BY source, running > rest AND size > 0 AND size <= gap
+                               ORDER BY size DESC, rank DESC, doc_id DESC) = 1
+            AND running > rest AND size > 0 AND size <= gap AS fills
+  FROM gaps
 )
 SELECT doc_id, size, source_size, target,
        CAST(size * CASE WHEN epochs >= 3 THEN 3
-                        ELSE epochs + CASE WHEN running - size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END END
-            AS BIGINT) AS taken
-FROM summed
+                        ELSE epochs + CASE WHEN running <= rest OR fills THEN 1 ELSE 0 END END AS BIGINT) AS taken
+FROM filled
 """
