@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, StructType
 
 from ..storage import Staging, written
 from .components import components
@@ -228,7 +229,7 @@ def _linked_cells(threshold: float):
 # -- Cells as tables ----------------------------------------------------------------------
 
 
-@F.arrow_udf("struct<child: int, away: double>")
+@F.arrow_udf(StructType().add("child", IntegerType()).add("away", DoubleType()))
 def _nearest(vec: pa.Array, pivots: pa.Array) -> pa.Array:
     """The pivot nearest to each vector, among those of its cell, and how far it is."""
     child, away, made = [], [], {}
@@ -248,12 +249,12 @@ def _nearest(vec: pa.Array, pivots: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(child, pa.int32()), pa.array(away, pa.float64())], ["child", "away"])
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def _joined_vectors(vecs: pa.Array) -> pa.Array:
     return pa.array([b"".join(v) for v in vecs.to_pylist()], pa.binary())
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(BooleanType())
 def _may_link(a: pa.Array, b: pa.Array, reach: pa.Array) -> pa.Array:
     """Whether two centers are near enough for their cells' radii; unknown centers may be."""
     found = []
