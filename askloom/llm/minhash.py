@@ -6,9 +6,11 @@ there are ``HALVES`` squared tables for ``2 * HALVES * ROWS`` minhashes: the num
 minhashes grows with the square root of what as many tables would need on their own.
 
 Candidates are verified on the full shingle sets. Texts with equal sets are one text from
-the start. In a bucket everything is first compared with one text, which settles large
-groups of near copies in linear work; what is then still in different groups of the same
-bucket is compared in pairs, so no link that a bucket holds is lost.
+the start. Texts that buckets connect form a cluster, and each text's set travels to its
+cluster once. A cluster is compared as a whole inside a task, by an index of its shingles; the
+task returns links that span its groups of near copies and never the pairs. A cluster too
+large for a task is cut into blocks, by size of the sets first since sets of very different
+size cannot be linked, and blocks are compared with each other.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from ..storage import Staging, written
 from .components import components
 
 WORDS, PERCENT = 5, 80  # of the library's near-duplicates unless a caller says otherwise
-HALVES, ROWS = 12, 2
+HALVES, ROWS = 20, 4
 SEED = 11
 BATCH_SHINGLES = 1 << 18
+BLOCK = 512  # sets on either side that a task compares
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -134,108 +137,125 @@ def _sets(words: int):
     return run
 
 
-def _is_linked(percent: int):
-    @F.arrow_udf("boolean")
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        found = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum())
-            found.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pa.array(found, pa.bool_())
-
-    return linked
-
-
-class _Verifier:
-    """Compares pairs of set representatives on their full shingle sets, each pair once."""
-
-    def __init__(self, texts: DataFrame, stage: Staging, words: int, percent: int) -> None:
-        self.texts, self.stage, self.words, self.percent = texts, stage, words, percent
-        self.tested: DataFrame | None = None
-        self.sets: DataFrame | None = None
-
-    def load(self, sets: DataFrame) -> None:
-        """The shingles of ``sets`` (id, doc), from the text of one document each."""
-        texts = self.texts.join(sets.select("doc"), "doc", "left_semi").select("text")
-        made = texts.mapInArrow(_sets(self.words), "id long, shingles binary")
-        # a document that has several rows may give sets that nobody asked for
-        self.sets = self.stage.write(
-            made.join(sets.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets"
-        )
+def _spanning_links(percent: int):
+    """Of the sets of one block, or of two, links that connect what all their links connect."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        two = bool(side.any())
+        # an index of the shingles that several of the sets hold
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]]))
+        begins, counts = edge[:-1], np.diff(edge)
+        entry = np.repeat(np.arange(len(counts)), counts)
+        shared = counts[entry] > 1
+        own_order = np.argsort(owner[shared], kind="stable")
+        own_entries, own_begins = entry[shared][own_order], np.searchsorted(owner[shared][own_order], np.arange(len(sets) + 1))
+        label = np.arange(len(sets))
+        first, second = [], []
+        for x in range(len(sets)):
+            if two and side[x]:
+                continue
+            held = own_entries[own_begins[x] : own_begins[x + 1]]
+            if 100 * len(held) < percent * sizes[x]:
+                continue
+            n = counts[held]
+            places = np.arange(n.sum()) + np.repeat(begins[held] - np.cumsum(n) + n, n)
+            both = np.bincount(owner[places], minlength=len(sets))
+            linked = 100 * both >= percent * (sizes[x] + sizes - both)
+            linked &= (side == 1) if two else (np.arange(len(sets)) > x)
+            found = np.flatnonzero(linked)
+            first.append(np.full(len(found), x))
+            second.append(found)
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (first, second))
+        while len(a):
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        joined = np.flatnonzero(label != np.arange(len(sets)))
+        return pa.table([ids[label[joined]], ids[joined]], schema=schema)
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Of ``pairs`` (a, b, n_a, n_b), a < b, the links (a, b). Sizes too different for the
-        limit need no comparison; a pair compared before is not compared again."""
-        near = pairs.where(
-            100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
-        ).select("a", "b").distinct()
-        if self.tested is not None:
-            near = near.join(self.tested, ["a", "b"], "left_anti")
-        near = self.stage.write(near, "pairs")
-        self.tested = near if self.tested is None else self.tested.unionByName(near)
-        first = near.join(self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-        both = first.join(self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        return self.stage.write(both.where(_is_linked(self.percent)("x", "y")).select("a", "b"), "linked")
+    return run
 
 
-def _buckets(signed: DataFrame, stage: Staging) -> DataFrame:
-    """(key, id, n): members of the tables' buckets that hold at least two sets.
+def _buckets(signed: DataFrame, stage: Staging, halves: int) -> DataFrame:
+    """(key, id): members of the tables' buckets that hold at least two sets.
 
     A pair of half keys can meet only where both do, so half keys that one set alone has
     are dropped before pairs are formed: most texts form none.
     """
-    halves = stage.write(signed.select("id", "n", F.explode("halves").alias("half")), "halves")
-    shared = stage.write(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1").select("half"), "shared")
+    own_halves = stage.write(signed.select("id", F.explode("halves").alias("half")), "halves")
+    shared = stage.write(own_halves.groupBy("half").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1").select("half"), "shared")
     place = F.col("half").bitwiseAND(63)
     own = (
-        halves.join(shared, "half", "left_semi")
-        .groupBy("id", "n")
+        own_halves.join(shared, "half", "left_semi")
+        .groupBy("id")
         .agg(
-            F.collect_list(F.when(place < HALVES, F.col("half"))).alias("first"),
-            F.collect_list(F.when(place >= HALVES, F.col("half"))).alias("second"),
+            F.collect_list(F.when(place < halves, F.col("half"))).alias("first"),
+            F.collect_list(F.when(place >= halves, F.col("half"))).alias("second"),
         )
     )  # 2 * HALVES keys at most
     keyed = stage.write(
-        own.select("id", "n", F.explode("first").alias("x"), "second")
-        .select("id", "n", "x", F.explode("second").alias("y"))
-        .select(F.xxhash64("x", "y").alias("key"), "id", "n"),
+        own.select("id", F.explode("first").alias("x"), "second")
+        .select("id", "x", F.explode("second").alias("y"))
+        .select(F.xxhash64("x", "y").alias("key"), "id"),
         "keyed",
     )
     full = stage.write(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1").select("key"), "full")
     return stage.write(keyed.join(full, "key", "left_semi"), "buckets")
 
 
-def _pairs_with_one(buckets: DataFrame, stage: Staging, pick) -> DataFrame:
-    """Every member of a bucket with one of its members, as (a, b, n_a, n_b) with a < b."""
-    centers = stage.write(buckets.groupBy("key").agg(pick(F.struct("id", "n")).alias("c")), "centers")
-    joined = buckets.join(centers, "key").where("id <> c.id")
-    member, center = F.struct("id", "n"), F.col("c")
-    return joined.select(F.least(member, center).alias("l"), F.greatest(member, center).alias("g")).select(
-        F.col("l.id").alias("a"), F.col("g.id").alias("b"), F.col("l.n").alias("n_a"), F.col("g.n").alias("n_b")
-    )
+def _clusters(buckets: DataFrame, stage: Staging) -> DataFrame:
+    """(id, cluster): sets that buckets connect, in a row or directly."""
+    centers = stage.write(buckets.groupBy("key").agg(F.min("id").alias("center")), "centers")
+    edges = buckets.join(centers, "key").where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"))
+    return components(edges).withColumnRenamed("component", "cluster")
 
 
-def _pairs_across(buckets: DataFrame, groups: DataFrame, stage: Staging) -> DataFrame:
-    """Members of a bucket that are still in different groups, as pairs."""
-    named = stage.write(
-        buckets.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "named"
-    )
-    mixed = stage.write(
-        named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"),
-        "mixed",
-    )
-    left = stage.write(named.join(mixed, "key", "left_semi"), "left")
-    others = left.select("key", "component").distinct().withColumnRenamed("component", "other")
-    apart = stage.write(left.join(others, "key").where("component < other"), "apart")
-    right = left.select("key", F.col("component").alias("other"), F.col("id").alias("id_2"), F.col("n").alias("n_2"))
-    pairs = apart.join(right, ["key", "other"])
-    one, two = F.struct("id", "n"), F.struct(F.col("id_2").alias("id"), F.col("n_2").alias("n"))
-    return pairs.select(F.least(one, two).alias("l"), F.greatest(one, two).alias("g")).select(
-        F.col("l.id").alias("a"), F.col("g.id").alias("b"), F.col("l.n").alias("n_a"), F.col("g.n").alias("n_b")
+def _blocks(members: DataFrame, stage: Staging, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Members (id, doc, n, cluster) with their place (cluster, band, part), and the pairs of places
+    to compare.
+
+    Small clusters share a place; none is cut. A large one is cut into bands by the
+    logarithm of the set's size, so that only neighbouring bands can be linked, and a band into
+    as many parts as it needs.
+    """
+    sizes = stage.write(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("of_cluster")), "sizes")
+    small = sizes.where(F.col("of_cluster") <= block).agg(F.sum("of_cluster")).first()[0] or 0
+    packs = max(1, -(-small // (block // 2)))
+    is_small = F.col("of_cluster") <= block
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - F.lit(1e-9)).cast("int")
+    banded = stage.write(
+        members.join(sizes, "cluster").select(
+            "id", "doc", "n", "of_cluster",
+            F.when(is_small, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.col("cluster")).alias("cluster"),
+            F.when(is_small, F.lit(-1)).otherwise(band).alias("band"),
+        ),
+        "banded",
+    )
+    large = banded.where(F.col("band") >= 0).groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    packed = banded.where(F.col("band") < 0).select("cluster", "band").distinct().withColumn("parts", F.lit(1))
+    bands = stage.write(large.unionByName(packed), "bands")
+    placed = banded.join(bands, ["cluster", "band"]).select(
+        "id", "doc", "cluster", "band", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")
     )
+    numbers = F.sequence(F.lit(0), F.col("parts") - 1)
+    one = bands.withColumn("part", F.explode(numbers))
+    same = one.select("cluster", "band", "part", F.col("band").alias("band_2"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("part_2"))
+    above = bands.where("band >= 0").select("cluster", (F.col("band") - 1).alias("band"), F.col("band").alias("band_2"), F.explode(numbers).alias("part_2"))
+    across = one.where("band >= 0").join(above, ["cluster", "band"]).select("cluster", "band", "part", "band_2", "part_2")
+    pairs = same.unionByName(across)
+    return placed, stage.write(pairs.withColumn("pair", F.xxhash64("cluster", "band", "part", "band_2", "part_2")), "block-pairs")
 
 
 def near_groups(
@@ -246,12 +266,13 @@ def near_groups(
     percent: int = PERCENT,
     halves: int = HALVES,
     rows: int = ROWS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     Texts are linked when at least ``percent`` of the union of their shingle sets is in both.
-    Two texts at exactly 80 % meet in a bucket with a probability of 0.99999 at the default
-    settings (0.64 for one half key; one of twelve in both collections); beyond that nothing
+    Two texts at exactly 80 % meet in a bucket with a probability of 0.99995 at the default
+    settings (0.41 for one half key; one of twenty in both collections); beyond that nothing
     is left to chance. Shingles and sets are known by 64-bit hashes. ``component_id`` is the
     smallest id that links reach; a text without words, or null, is linked with nothing. Rows
     with a null id are linked with nothing, keep a null component, and are kept. Rows with one id
@@ -266,15 +287,25 @@ def near_groups(
             known.groupBy("id").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("halves").alias("halves")),
             "distinct",
         )
-        buckets = _buckets(sets, stage)
-        verifier = _Verifier(texts, stage, words, percent)
-        verifier.load(stage.write(sets.select("id", "doc").join(buckets.select("id").distinct(), "id", "left_semi"), "wanted"))
-        links = verifier.linked(_pairs_with_one(buckets, stage, F.min))
-        links = links.unionByName(verifier.linked(_pairs_with_one(buckets, stage, F.max)))
+        buckets = _buckets(sets, stage, halves)
+        clusters = _clusters(buckets, stage)
+        members = stage.write(sets.select("id", "doc", "n").join(clusters, "id"), "members")
+        placed, pairs = _blocks(members, stage, percent, block)
+        asked = texts.join(members.select("doc"), "doc", "left_semi").select("text")
+        made = asked.mapInArrow(_sets(words), "id long, shingles binary")
+        # an id that has several rows gives sets that nobody asked for
+        full = stage.write(
+            made.join(placed, "id").dropDuplicates(["id"]).select("id", "cluster", "band", "part", "shingles"), "sets"
+        )
+        place = ["cluster", "band", "part"]
+        left = full.join(pairs.select("pair", *place), place).withColumn("side", F.lit(0))
+        other = pairs.where("band <> band_2 OR part <> part_2").select(
+            "pair", "cluster", F.col("band_2").alias("band"), F.col("part_2").alias("part")
+        )
+        right = full.join(other, place).withColumn("side", F.lit(1))
+        both = left.unionByName(right).select("pair", "side", "id", "shingles")
+        links = stage.write(both.groupBy("pair").applyInArrow(_spanning_links(percent), "a long, b long"), "links")
         groups = components(links)
-        across = verifier.linked(_pairs_across(buckets, groups, stage))
-        if not across.isEmpty():
-            groups = components(links.unionByName(across))
         named = stage.write(
             sets.select("id", "doc").join(groups, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component")),
             "groups",

@@ -81,16 +81,10 @@ def test_near_groups(spark, words, rows):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
-def test_pairs_across_groups_of_a_bucket_are_compared(spark):
-    """A bucket whose members are in different groups yields each such pair, and only those."""
-    from askloom.storage import Staging
-
-    rows = [(9, i, 10) for i in range(1, 7)]
-    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)], "id long, component long")
-    buckets = spark.createDataFrame(rows, "key long, id long, n long")
-    with Staging(spark, "test") as stage:
-        got = {(r.a, r.b) for r in minhash._pairs_across(buckets, groups, stage).collect()}
-    assert got == {(a, b) for a in (1, 2, 3) for b in (4, 5, 6)} | {(4, 6), (5, 6)}
+def test_large_clusters_are_compared_in_blocks(spark):
+    rows = near_copies(3, 2, 120) + [(3000 + k, " ".join(["same"] * 30 + [f"w{j}" for j in range(k)])) for k in range(1, 60)]
+    one, many = (minhash.near_groups(docs(spark, rows), words=4, block=b).collect() for b in (512, 8))
+    assert sorted(map(str, map(tuple, one))) == sorted(map(str, map(tuple, many)))
 
 
 # -- Vectors --------------------------------------------------------------------------
