@@ -59,8 +59,13 @@ CLEAN_RULES = [
 
 # A text in single quotes, or in double ones, which dumps also use.
 LITERAL = r"(?:'(?:[^']++|'')*+'|\"(?:[^\"]++|\"\")*+\")"
-LEADING_COMMENTS = r"(?s)^(?:\s++|--[^\n]*+(?:\n|\z)|/\*.*?\*/)++"
-COMMENTS = r"(?s)(" + LITERAL + r")|--[^\n]*+|/\*.*?\*/"
+LEADING_COMMENTS = r"(?s)^(?:\s++|(?:--|#)[^\n]*+(?:\n|\z)|/\*.*?\*/)++"
+COMMENTS = r"(?s)(" + LITERAL + r"|`[^`]*+`)|(?:--|#)[^\n]*+|/\*.*?\*/"
+# The start of a routine, whose statements are its own and not the dump's.
+ROUTINE = (
+    r"(?is)^create\s+(?:or\s+replace\s+)?(?:temp\s+|temporary\s+)?(?:definer\s*=\s*\S+\s+)?"
+    r"(?:trigger|procedure|function|event)\b"
+)
 
 
 def _apply(rules: list[tuple[str, str]], c: Column) -> Column:
@@ -83,7 +88,7 @@ def clean_ddl(stmt: Column) -> Column:
 
 def strip_leading_comments(stmt: Column) -> Column:
     bare = F.regexp_replace(stmt, LEADING_COMMENTS, "")
-    return strip(F.when(stmt.rlike(r"^(?:\s|--|/\*)"), bare).otherwise(stmt))
+    return strip(F.when(stmt.rlike(r"^(?:\s|--|#|/\*)"), bare).otherwise(stmt))
 
 
 def strip_comments(stmt: Column) -> Column:

@@ -137,6 +137,6 @@ def verify_store(expected: DataFrame, stored: DataFrame) -> None:
     wrong = store_count_check(expected, stored).where(~F.col("ok")).orderBy("db_id").first()
     if wrong is not None:
         raise ValueError(
-            f"Storage verification failed: expected {wrong['n_expected']} items, "
-            f"got {wrong['n_stored']} (db_id {wrong['db_id']!r})"
+            f"Database {wrong['db_id']!r} should have {wrong['n_expected']} stored documents "
+            f"and has {wrong['n_stored']}."
         )

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from itertools import islice
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE
@@ -19,7 +19,7 @@ from .joins import lookup_join
 # What stands before the text of a failure.
 EXECUTION_ERROR = "Execution error: "
 
-OUTCOMES = "db_id string, sql string, sql_key string, error string"
+OUTCOMES = "db_id string, sql string, sql_key string, n_rows long, error string"
 RESULT_ROWS = "row_json string, sql_key string"
 
 
@@ -29,6 +29,12 @@ PARTS = re.compile(
 )
 
 
+# Functions that call any code, and the plan node that runs a command.
+REFLECTION = re.compile(r"(?i)(?<![\w.])(?:java_method|reflect|try_reflect)\s*\(")
+SCRIPT = "ScriptTransformation"
+RELATION = re.compile(r"UnresolvedRelation \[(.*?)\], \[")
+
+
 @dataclass
 class QueryResult:
     """Rows of a query, or why there are none."""
@@ -37,48 +43,94 @@ class QueryResult:
     error: str | None = None
 
 
+class RefusedQuery(PySparkException):
+    """A text that is a query but reaches beyond the tables."""
+
+    def __init__(self, reason: str) -> None:
+        super().__init__(message=f"Refused: {reason}")
+
+
+def _refuse(spark: SparkSession, text: str) -> None:
+    """Fail for a text that runs commands, calls the JVM, or names a file as its table.
+
+    The parsed plan is looked at before anything is resolved, since resolving a file
+    already reads it. Names are those of tables and views the session knows; a name of
+    several parts that is none of them could only be a path.
+    """
+    bare = "".join(
+        part.group().strip("`") if part.group()[0] == "`" else " " if part["after"] or part.group()[0] in "'\"" else part.group()
+        for part in PARTS.finditer(text)
+    )
+    if REFLECTION.search(bare):
+        raise RefusedQuery("it calls code by reflection.")
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    if SCRIPT in plan:
+        raise RefusedQuery("it runs a command.")
+    for name in RELATION.findall(plan):
+        parts = name.split(", ")
+        quoted = ".".join("`%s`" % part.replace("`", "``") for part in parts)
+        if len(parts) > 1 and not spark.catalog.tableExists(quoted):
+            raise RefusedQuery(f"no table {quoted}.")
+
+
 def query(spark: SparkSession, sql: str) -> DataFrame:
     """The rows of any query form. What is not a query is refused and has no effect.
 
     The text must also stand as a subquery: that admits WITH, VALUES and ORDER BY,
-    while statements that change tables do not parse there and are never run.
+    while statements that change tables do not parse there and are never run. Queries
+    may read the session's tables and views and nothing else; see ``_refuse``.
     """
     ends = [part.end() for part in PARTS.finditer(sql) if not part["after"]]
     text = sql[: ends[-1]].lstrip(WHITESPACE) if ends else ""
+    _refuse(spark, f"SELECT * FROM (\n{text}\n)")
     spark.sql(f"SELECT * FROM (\n{text}\n)")
     return spark.sql(text)
 
 
-def execute_query(spark: SparkSession, sql: str, check: bool = False) -> QueryResult:
-    """Run one query; a failure becomes an error value.
+def _distinct_names(names: list[str]) -> list[str]:
+    """The names, a repeated one with its number."""
+    seen: dict[str, int] = {}
+    found = []
+    for name in names:
+        n = seen[name.lower()] = seen.get(name.lower(), 0) + 1
+        found.append(name if n == 1 else f"{name}_{n}")
+    return found
+
+
+def _written_in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` written once, read back in their order; a repeated column name gets a number."""
+    names = _distinct_names(rows.columns)
+    plain = rows.toDF(*names)
+    odd = {f.name: F.col("`%s`" % f.name.replace("`", "``")).cast("string") for f in plain.schema if f.dataType.typeName() in ("void", "interval")}
+    placed = plain.withColumns(odd).withColumn("__place", F.monotonically_increasing_id())
+    return written(placed, "query-rows").orderBy("__place").drop("__place")
+
 
-    The rows are lazy, so what fails only on some value would fail later, where they
-    are used. ``check`` runs the query once beforehand to have that error here too.
+def execute_query(spark: SparkSession, sql: str, lazy: bool = False) -> QueryResult:
+    """Run one query; a failure becomes an error value, also one that some value causes.
+
+    The query runs here, once, and its rows are written; the result reads them back in
+    their order. With ``lazy`` the rows are the query itself: it runs where they are
+    used, and what fails only on some value fails there.
     """
     try:
         rows = query(spark, sql)
-        if check:
-            rows.write.format("noop").mode("overwrite").save()
-        return QueryResult(rows)
+        return QueryResult(rows if lazy else _written_in_order(rows))
     except PySparkException as problem:
         return QueryResult(None, f"{EXECUTION_ERROR}{problem}")
 
 
 def as_json_rows(rows: DataFrame) -> DataFrame:
     """One JSON object per row, nulls kept; a repeated column name gets a number."""
-    seen: dict[str, int] = {}
-    names = []
-    for name in rows.columns:
-        n = seen[name.lower()] = seen.get(name.lower(), 0) + 1
-        names.append(name if n == 1 else f"{name}_{n}")
+    names = _distinct_names(rows.columns)
     renamed = rows.toDF(*names)
     row = F.struct(*[F.col("`%s`" % n.replace("`", "``")) for n in names])
     return renamed.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("row_json"))
 
 
 def sql_key(db_id: Column, sql: Column) -> Column:
-    """A short name for a text in a database, under which its rows are kept."""
-    return F.substring(F.sha2(F.concat(db_id, F.lit("\n"), sql), 256), 1, 32)
+    """A name for a text in a database, under which its rows are kept."""
+    return F.sha2(F.concat(db_id, F.lit("\n"), sql), 256)
 
 
 def _run_into(spark: SparkSession, text: Row, folder: str, by_database: bool) -> tuple:
@@ -88,12 +140,12 @@ def _run_into(spark: SparkSession, text: Row, folder: str, by_database: bool) ->
         if by_database:
             session = spark.newSession()
             session.catalog.setCurrentDatabase(db_id)
-        rows = as_json_rows(query(session, sql))
+        counted = Observation()
+        rows = as_json_rows(query(session, sql)).observe(counted, F.count(F.lit(1)).alias("n"))
         rows.write.mode("overwrite").parquet(f"{folder}/rows/sql_key={key}")
-        error = None
+        return db_id, sql, key, counted.get["n"], None
     except PySparkException as problem:
-        error = f"{EXECUTION_ERROR}{problem}"
-    return db_id, sql, key, error
+        return db_id, sql, key, 0, f"{EXECUTION_ERROR}{problem}"
 
 
 def _chunks(rows: Iterator, size: int) -> Iterator[list]:
@@ -112,9 +164,10 @@ def execute_batch(
     """Run the SQL of each row: (index, sql_key, outcome, n_rows, error).
 
     Equal texts are run once. Each query is a Spark job of its own that writes its
-    rows below ``folder`` (see ``result_rows``), so no result passes the driver. The
-    driver sees the distinct texts in turn, ``chunk`` at a time, and notes what
-    became of them; texts noted by an earlier run into the same folder are skipped.
+    rows below ``folder`` (see ``result_rows``) and counts them on the way, so no
+    result passes the driver and none is read again. The driver sees the distinct texts
+    in turn, ``chunk`` at a time, and notes what became of them; texts noted by an earlier
+    run into the same folder are skipped. One job per distinct text is the ceiling.
     With ``by_database`` each text runs in the database named by its row.
 
     Outcomes are ``rows``, ``empty`` and ``error``; one failure stops nothing else.
@@ -138,14 +191,10 @@ def execute_batch(
             )
 
     noted = read_or_empty(spark, f"{folder}/outcomes", OUTCOMES)
-    sizes = result_rows(spark, folder).groupBy("sql_key").agg(F.count(F.lit(1)).alias("n_rows"))
-    n_rows = F.coalesce("n_rows", F.lit(0)).cast("long")
     outcome = (
-        F.when(F.col("error").isNotNull(), "error").when(n_rows == 0, "empty").otherwise("rows")
-    )
-    outcomes = noted.join(sizes, "sql_key", "left").select(
-        "sql_key", outcome.alias("outcome"), n_rows.alias("n_rows"), "error"
+        F.when(F.col("error").isNotNull(), "error").when(F.col("n_rows") == 0, "empty").otherwise("rows")
     )
+    outcomes = noted.select("sql_key", outcome.alias("outcome"), "n_rows", "error")
     # Many questions may share one text, so this join must bear a hot key.
     return lookup_join(wanted.select("index", "sql_key"), outcomes, "sql_key", "index").select(
         "index", "sql_key", "outcome", "n_rows", "error"

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.ddl import LITERAL, statement_kind, strip_comments, table_name
 from ..functions.text import strip
-from ..storage import broadcast_if_small, new_folder, written
+from ..storage import new_folder, written
 
 
 def _parenthesised(depth: int) -> str:
@@ -23,10 +28,11 @@ def _parenthesised(depth: int) -> str:
     return r"\(" + inner + r"\)"
 
 
-_NESTED = _parenthesised(3)
+NESTING = 3  # of parentheses in a tuple that columns read; deeper ones are read in Python
+_NESTED = _parenthesised(NESTING)
+_PART = r"(?:[^'\"()]++|" + LITERAL + r")*+"
+_DEEPER = r"\(" + (_PART + r"\(") * NESTING
 _NAME = r"(?:[`\"]?\w+[`\"]?\.)?[`\"]?\w+[`\"]?"
-_CREATE = r"(?isU)^create\s+table\s+(?:if\s+not\s+exists\s+)?" + _NAME + r"\s*(" + _parenthesised(8) + r")"
-_ITEM = r"(?:[^,()'\"]++|" + LITERAL + r"|" + _parenthesised(7) + r")++"
 _CONSTRAINT = (
     r"(?isU)^(?:constraint\s|primary\s+key|foreign\s+key|check\s*\(|"
     r"unique\s*\(|unique\s+(?:key|index)\b|(?:key|index|fulltext|spatial)\s+[`\"\w]*\s*\()"
@@ -35,7 +41,7 @@ _KEY = r"(?isU)^(?:constraint\s+\S+\s+)?primary\s+key\s*\(\s*[`\"]?(\w+)[`\"]?\s
 _COLUMN = r"(?isU)^(?:[`\"]([^`\"]+)[`\"]|(\S+))\s*(.*)$"
 _INSERT = r"(?iU)^insert\s+into\s+" + _NAME + r"\s*(\([^()]*\))?\s*values\s*"
 _TUPLE_OR_REST = _NESTED + r"|[^\s,(][^(]*+|\("
-_FIELD = LITERAL + r"|[^'\",\s](?:[^'\",]*[^'\",\s])?"
+_FIELD = r"[xX]'[0-9a-fA-F]*+'|" + LITERAL + r"|[^'\",\s](?:[^'\",]*[^'\",\s])?"
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 _DEFAULT = r"(?isU)\bdefault\s+(" + LITERAL + r"|[+-]?[\d.]+|current_timestamp\b)"
 
@@ -44,11 +50,17 @@ INTEGERS = ("int", "integer", "bigint", "smallint", "mediumint", "tinyint")
 NUMBERED = ("int", "integer", "bigint", "tinyint")
 DECIMALS = ("decimal", "numeric")
 DOUBLES = ("float", "double", "real")
+MOST_DIGITS = 38  # of Spark's decimals; longer ones are read as texts
+
+# Constants that are words, and how numbers and bytes are written in base 16.
+WORDS = {"TRUE": "1", "FALSE": "0"}
+NOW = "CURRENT_TIMESTAMP"
+_HEX = r"(?i)^0x[0-9a-f]+$"
+_BYTES = r"(?i)^x'[0-9a-f]*'$"
 
 
 # The place of a row in its dump.
 PLACE = ["path", "stmt_no", "part_no", "row_no"]
-STATEMENTS_PER_GROUP = 100
 
 
 def _names(text: Column) -> Column:
@@ -60,16 +72,101 @@ def _is_quoted(field: Column) -> Column:
     return F.startswith(field, F.lit("'")) | F.startswith(field, F.lit('"'))
 
 
+def _now() -> Column:
+    """The time, in UTC, is that of loading."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+
+
 def _value(field: Column) -> Column:
-    """The text of a constant: unquoted, with NULL as null."""
+    """The text of a constant: unquoted, with NULL as null, truth as 1 or 0, numbers in
+    base 10, bytes as the text they are in UTF-8."""
     quote = F.substring(field, F.lit(1), F.lit(1))
     inner = F.substring(field, F.lit(2), F.length(field) - 2)
     inner = F.replace(inner, F.concat(quote, quote), quote)
-    return F.when(_is_quoted(field), inner).when(F.upper(field) != "NULL", field)
+    upper = F.upper(field)
+    found = F.when(_is_quoted(field), inner).when(upper == "NULL", F.lit(None))
+    for word, text in WORDS.items():
+        found = found.when(upper == word, text)
+    return (
+        found.when(upper == NOW, _now())
+        .when(field.rlike(_HEX), F.conv(F.substring(field, F.lit(3), F.length(field)), 16, 10))
+        .when(field.rlike(_BYTES), F.decode(F.unhex(F.substring(field, F.lit(3), F.length(field) - 3)), "UTF-8"))
+        .otherwise(field)
+    )
 
 
 def _is_constant(field: Column) -> Column:
-    return _is_quoted(field) | (F.upper(field) == "NULL") | field.rlike(_NUMBER)
+    return (
+        _is_quoted(field) | F.upper(field).isin("NULL", NOW, *WORDS)
+        | field.rlike(_NUMBER) | field.rlike(_HEX) | field.rlike(_BYTES)
+    )
+
+
+# -- Parentheses of any depth, for the declarations and the few tuples that have them ------
+
+_MARKS = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|([(),])")
+
+
+def _list_items(text: str) -> list[str]:
+    """A list cut at its commas, but for those in parentheses or quotes."""
+    items, depth, begin = [], 0, 0
+    for mark in _MARKS.finditer(text):
+        if mark[1] == ",":
+            if depth == 0:
+                items.append(text[begin : mark.start()])
+                begin = mark.end()
+        elif mark[1]:
+            depth += 1 if mark[1] == "(" else -1
+    return [*items, text[begin:]]
+
+
+def _declared_items(stmt: str) -> list[str]:
+    """What a CREATE TABLE declares, between its outer parentheses."""
+    depth, begin = 0, None
+    for mark in _MARKS.finditer(stmt):
+        if mark[1] == "(":
+            depth += 1
+            begin = mark.end() if begin is None else begin
+        elif mark[1] == ")":
+            depth -= 1
+            if depth == 0:
+                return _list_items(stmt[begin : mark.start()])
+    return []
+
+
+def _tuples(text: str) -> list[str]:
+    """The tuples of a VALUES list, and what stands between them."""
+    items, depth, begin = [], 0, 0
+
+    def between(end: int) -> None:
+        rest = text[begin:end].strip(" \t\r\n,")
+        if rest:
+            items.append(rest)
+
+    for mark in _MARKS.finditer(text):
+        if mark[1] == "(":
+            if depth == 0:
+                between(mark.start())
+                begin = mark.start()
+            depth += 1
+        elif mark[1] == ")" and depth:
+            depth -= 1
+            if depth == 0:
+                items.append(text[begin : mark.end()])
+                begin = mark.end()
+    if depth:  # not closed: no tuple, whatever it ends with
+        items.append(text[begin:].rstrip(")") or "(")
+    else:
+        between(len(text))
+    return items
+
+
+def _in_python(split: Callable[[str], list[str]]):
+    @F.arrow_udf(ArrayType(StringType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return run
 
 
 def dump_columns(statements: DataFrame) -> DataFrame:
@@ -81,9 +178,9 @@ def dump_columns(statements: DataFrame) -> DataFrame:
     tables = statements.where(statement_kind(F.col("stmt")) == "create_table").select(
         *ids,
         F.lower(table_name(F.col("stmt"))).alias("table_name"),
-        F.regexp_extract(strip_comments(F.col("stmt")), _CREATE, 1).alias("body"),
-    ).withColumn("body", F.expr("substring(body, 2, length(body) - 2)"))
-    items = F.transform(F.regexp_extract_all("body", F.lit(_ITEM), F.lit(0)), strip)
+        _in_python(_declared_items)(strip_comments(F.col("stmt"))).alias("declared"),
+    )
+    items = F.transform("declared", strip)
     keys = F.filter("items", lambda item: F.rlike(item, F.lit(_KEY)))
     names = F.filter("items", lambda item: (item != "") & ~F.rlike(item, F.lit(_CONSTRAINT)))
     columns = (
@@ -95,8 +192,11 @@ def dump_columns(statements: DataFrame) -> DataFrame:
     rest = F.regexp_extract("item", _COLUMN, 3)
     kind = F.lower(F.regexp_extract(rest, r"^\w+", 0))
     size = F.regexp_extract(rest, r"^\w+\s*\(\s*(\d+\s*(?:,\s*\d+)?)\s*\)", 1)
+    digits, places = F.split(size, ",")[0].try_cast("int"), F.coalesce(F.get(F.split(size, ","), F.lit(1)).try_cast("int"), F.lit(0))
+    fits = (digits <= MOST_DIGITS) & (places <= digits)
     spark_type = (
         F.when(kind.isin(*INTEGERS), "bigint")
+        .when(kind.isin(*DECIMALS) & (size != "") & ~F.coalesce(fits, F.lit(False)), "string")
         .when(kind.isin(*DECIMALS) & (size != ""), F.concat(F.lit("decimal("), size, F.lit(")")))
         .when(kind.isin(*DECIMALS), "decimal(38,10)")
         .when(kind.isin(*DOUBLES), "double")
@@ -123,24 +223,32 @@ class TableColumn(NamedTuple):
 
 
 def _default(constant: str | None) -> Column:
-    """A default as a constant; the time, in UTC, is that of loading."""
-    if constant is None or constant.upper() != "CURRENT_TIMESTAMP":
-        return F.lit(constant).cast("string")
-    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
-    return F.date_format(utc, "''yyyy-MM-dd HH:mm:ss''")
+    """A default as the constant it is written as."""
+    return F.lit(constant).cast("string")
 
 
-def dump_rows(statements: DataFrame) -> DataFrame:
+def is_deep(stmt: Column) -> Column:
+    """Whether parentheses are nested deeper than columns read them."""
+    return stmt.rlike(_DEEPER)
+
+
+def dump_rows(statements: DataFrame, deep: bool | None = None) -> DataFrame:
     """(path, stmt_no, part_no, table_name, names, row_no, fields, error, source).
 
     One row per tuple of each INSERT INTO. ``names`` is the column list if the
     statement has one, and ``fields`` the constants as written. What is no tuple
-    becomes a row with an ``error``; ``source`` is the text of each row.
+    becomes a row with an ``error``; ``source`` is the text of each row. ``deep`` says
+    whether statements are all, or none, such as ``is_deep`` finds.
     """
+    if deep is None:
+        is_deep_one = is_deep(F.col("stmt"))
+        plain = dump_rows(statements.where(~is_deep_one), deep=False)
+        return plain.unionByName(dump_rows(statements.where(is_deep_one), deep=True))
     ids = ["path", "stmt_no", "part_no", "table_name"]
     stmt = F.col("stmt")
-    has_comment = stmt.contains("--") | stmt.contains("/*")
-    items = F.regexp_extract_all("body", F.lit(_TUPLE_OR_REST), F.lit(0))
+    has_comment = stmt.contains("--") | stmt.contains("/*") | stmt.contains("#")
+    body = F.when(F.col("head") != "", F.expr("substring(stmt, length(head) + 1)"))
+    items = _in_python(_tuples)(F.col("body")) if deep else F.regexp_extract_all("body", F.lit(_TUPLE_OR_REST), F.lit(0))
     rows = (
         statements.where(statement_kind(stmt) == "insert")
         .select(
@@ -150,7 +258,7 @@ def dump_rows(statements: DataFrame) -> DataFrame:
         )
         .withColumn("head", F.regexp_extract("stmt", _INSERT, 0))
         .withColumn("list", F.regexp_extract("head", _INSERT, 1))
-        .withColumn("body", F.when(F.col("head") != "", F.expr("substring(stmt, length(head) + 1)")))
+        .withColumn("body", body)
         .withColumn("names", F.when(F.col("list") != "", _names(F.col("list"))))
         .withColumn("items", F.coalesce(items, F.array().cast("array<string>")))
         .withColumn("items", F.when(F.size("items") == 0, F.array("stmt")).otherwise(F.col("items")))
@@ -226,42 +334,45 @@ def number_rows(rows: DataFrame, key: str) -> DataFrame:
     """Fill in missing keys: each gets one more than the largest key before it.
 
     With c rows without a key up to a row, the largest key so far is c plus the
-    largest of 0 and e - c over the keys e given so far. Both are running values:
-    over groups of statements first, and then over one row per group.
+    largest of 0 and e - c over the keys e given so far. Both are running values: over
+    ranges of rows in the dump's order first, each a task's share however the rows are
+    spread over statements, and then over one pair of numbers per range, on the driver.
     """
-    group = [F.col("__path"), (F.col("__stmt_no") / STATEMENTS_PER_GROUP).cast("long")]
-    rows = rows.withColumns(dict(zip(["__file", "__group"], group)))
-    so_far = (
-        W.partitionBy("__file", "__group")
-        .orderBy("__stmt_no", "__part_no", "__row_no")
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
+    spark = rows.sparkSession
+    place = ["__path", "__stmt_no", "__part_no", "__row_no"]
+    ranged = rows.repartitionByRange(*place).withColumn("__range", F.spark_partition_id())
+    ranged = written(ranged, "numbering")
+    so_far = W.partitionBy("__range").orderBy(*place).rowsBetween(W.unboundedPreceding, W.currentRow)
     good = F.col("__error").isNull()
     missing = (good & F.col(f"`{key}`").isNull()).cast("long")
-    rows = rows.withColumn("__c", F.sum(missing).over(so_far))
+    ranged = ranged.withColumn("__c", F.sum(missing).over(so_far))
     given = F.when(good, F.col(f"`{key}`") - F.col("__c"))
-    rows = rows.withColumn("__top", F.max(given).over(so_far))
+    ranged = ranged.withColumn("__top", F.max(given).over(so_far))
 
-    groups = rows.groupBy("__file", "__group").agg(F.max("__c").alias("n"), F.max("__top").alias("top"))
-    earlier = W.orderBy("__file", "__group").rowsBetween(W.unboundedPreceding, -1)
-    groups = groups.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    groups = groups.withColumn("top_before", F.max(F.col("top") - F.col("before")).over(earlier))
-    groups = groups.select("__file", "__group", "before", "top_before")
+    ends = ranged.groupBy("__range").agg(F.max("__c").alias("n"), F.max("__top").alias("top"))
+    carried, before, top_before = [], 0, 0
+    for end in ends.orderBy("__range").collect():
+        carried.append((end["__range"], before, top_before))
+        top_before = max(top_before, 0 if end["top"] is None else end["top"] - before)
+        before += end["n"]
+    carried = spark.createDataFrame(carried, "__range int, before long, top_before long")
 
-    rows = rows.join(broadcast_if_small(groups), ["__file", "__group"])
+    ranged = ranged.join(F.broadcast(carried), "__range")  # a row per task
     top = F.greatest(F.lit(0), F.col("__top") - F.col("before"), F.col("top_before"))
     number = F.when(good, F.col("__c") + F.col("before") + top)
-    return rows.withColumn(key, F.coalesce(f"`{key}`", number)).drop(
-        "__file", "__group", "__c", "__top", "before", "top_before"
+    return ranged.withColumn(key, F.coalesce(f"`{key}`", number)).drop(
+        "__range", "__c", "__top", "before", "top_before"
     )
 
 
 @dataclass
 class LoadedDump:
-    """Tables by their lower-case name, and what none of them could take."""
+    """Tables by their lower-case name, what none of them could take, and the statements
+    that declare them."""
 
     tables: dict[str, DataFrame]
     rejects: DataFrame
+    declarations: DataFrame
 
     def register(self) -> list[str]:
         """Make the tables known to SQL in this session."""
@@ -295,42 +406,66 @@ def load_dump(statements: DataFrame, folder: str | None = None, concurrency: int
 
     The statements are first written apart by kind and table, so that each table's
     job reads its own; it parses and casts them in one pass and without a shuffle.
-    Only the table declarations reach the driver.
+    Only the table declarations reach the driver. A table that cannot be loaded stops
+    no other: its rows are among ``rejects``, with the reason.
     """
     spark = statements.sparkSession
     folder = folder or new_folder(spark, "dump-tables")
+    kind = statement_kind(F.col("stmt"))
     kept = statements.select(
         "*",
-        statement_kind(F.col("stmt")).alias("kind"),
+        F.when((kind == "insert") & is_deep(F.col("stmt")), "deep_insert").otherwise(kind).alias("kind"),
         F.lower(table_name(F.col("stmt"))).alias("for_table"),
     ).where(F.col("kind") != "other")
     kept.write.mode("overwrite").partitionBy("kind", "for_table").parquet(f"{folder}/statements")
     apart = spark.read.schema(kept.schema).parquet(f"{folder}/statements")
-    declared = declared_tables(apart.where(F.col("kind") == "create_table").drop("kind", "for_table"))
-    inserts = apart.where(F.col("kind") == "insert").drop("kind")
-
-    def load(name: str) -> DataFrame:
-        rows = dump_rows(inserts.where(F.col("for_table") == name).drop("for_table"))
-        table = written(type_rows(rows, declared[name]), name, f"{folder}/tables/{name}")
-        for c in declared[name]:
-            lacking = F.col("__error").isNull() & F.col(f"`{c.name}`").isNull()
-            if c.numbered and not table.where(lacking).isEmpty():
-                table = written(number_rows(table, c.name), name, f"{folder}/numbered/{name}")
-        return table
+    creates = apart.where(F.col("kind") == "create_table").drop("kind", "for_table")
+    declared = declared_tables(creates)
+    any_deep = not apart.where(F.col("kind") == "deep_insert").isEmpty()
+
+    def rows_of(chosen: Column) -> DataFrame:
+        plain = dump_rows(apart.where((F.col("kind") == "insert") & chosen).drop("kind", "for_table"), deep=False)
+        if not any_deep:
+            return plain
+        deep = apart.where((F.col("kind") == "deep_insert") & chosen).drop("kind", "for_table")
+        return plain.unionByName(dump_rows(deep, deep=True))
+
+    def load(name: str) -> DataFrame | PySparkException:
+        try:
+            rows = rows_of(F.col("for_table") == name)
+            table = written(type_rows(rows, declared[name]), name, f"{folder}/tables/{name}")
+            for c in declared[name]:
+                lacking = F.col("__error").isNull() & F.col(f"`{c.name}`").isNull()
+                if c.numbered and not table.where(lacking).isEmpty():
+                    table = written(number_rows(table, c.name), name, f"{folder}/numbered/{name}")
+            return table
+        except PySparkException as problem:
+            return problem
 
     with ThreadPoolExecutor(concurrency) as pool:
-        loaded = dict(zip(declared, pool.map(load, declared)))
+        results = dict(zip(declared, pool.map(load, declared)))
+    loaded = {name: r for name, r in results.items() if isinstance(r, DataFrame)}
+
+    def all_rejected(chosen: Column, reason: Column) -> DataFrame:
+        return rows_of(chosen).select("table_name", *PLACE, reason.alias("error"), "source")
 
-    strangers = ~F.coalesce("for_table", F.lit("")).isin(list(declared))
-    rejects = dump_rows(inserts.where(strangers).drop("for_table")).select(
+    known = spark.createDataFrame([(name,) for name in declared], "known string")
+    strangers = apart.where(F.col("kind").isin("insert", "deep_insert")).join(
+        F.broadcast(known), F.col("for_table").eqNullSafe(F.col("known")), "left_anti"
+    )  # a row per declared table
+    rejects = dump_rows(strangers.drop("kind", "for_table"), deep=None if any_deep else False).select(
         "table_name", *PLACE, F.lit("no such table").alias("error"), "source"
     )
     own = [f"__{c}" for c in (*PLACE, "error", "source")]
     tables = {}
-    for name, table in loaded.items():
-        tables[name] = table.where(F.col("__error").isNull()).drop(*own)
-        wrong = table.where(F.col("__error").isNotNull())
+    for name, result in results.items():
+        if name not in loaded:
+            reason = F.lit(f"table could not be loaded: {str(result)[:200]}")
+            rejects = rejects.unionByName(all_rejected(F.col("for_table") == name, reason))
+            continue
+        tables[name] = result.where(F.col("__error").isNull()).drop(*own)
+        wrong = result.where(F.col("__error").isNotNull())
         rejects = rejects.unionByName(
             wrong.select(F.lit(name).alias("table_name"), *[F.col(c).alias(c[2:]) for c in own])
         )
-    return LoadedDump(tables, rejects)
+    return LoadedDump(tables, rejects, creates)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from .joins import BROADCAST_LIMIT_BYTES, lookup_join
 
+NO_INDEX = "Missing index in sample."
+
 # Error texts of rows that cannot be tried.
 NO_DB_ID = "Missing db_id in sample."
 NO_QUESTION = "Missing question in sample."
@@ -33,9 +35,12 @@ def coerce_fields(samples: DataFrame) -> DataFrame:
 def slice_questions(questions: DataFrame, start: int = 0, limit: int = 0) -> DataFrame:
     """Rows whose index lies in [start, start + limit); no limit if it is 0 or less.
 
-    A filter on the index, so it is pushed to the scan and needs no order.
+    A filter on the index, so it is pushed to the scan and needs no order. Rows without a
+    usable index lie in no slice; where nothing is cut off they stay, to be reported.
     """
     start = max(0, start)
+    if start == 0 and limit <= 0:
+        return questions
     chosen = questions.where(F.col("index") >= start)
     return chosen if limit <= 0 else chosen.where(F.col("index") < start + limit)
 
@@ -47,8 +52,9 @@ def require_rows(questions: DataFrame) -> DataFrame:
 
 
 def resume_anti_join(questions: DataFrame, done: DataFrame) -> DataFrame:
-    """Questions whose index is not among the finished ones."""
-    return questions.join(done.select("index"), "index", "left_anti")
+    """Questions whose index is not among the finished ones; a null index is one of its own."""
+    known = done.select(F.col("index").alias("_done")).distinct()
+    return questions.join(known, F.col("index").eqNullSafe(F.col("_done")), "left_anti")
 
 
 def distinct_databases(questions: DataFrame) -> DataFrame:
@@ -73,7 +79,8 @@ def validate_rows(questions: DataFrame) -> DataFrame:
     """Add ``status`` and ``error``; the first thing that is missing counts."""
     no_file_head, no_file_tail = NO_SCHEMA_FILE.split("{db_id}")
     error = (
-        F.when(F.col("db_id") == "", NO_DB_ID)
+        F.when(F.col("index").isNull() | (F.col("index") < 0), NO_INDEX)
+        .when(F.col("db_id") == "", NO_DB_ID)
         .when(F.col("question") == "", NO_QUESTION)
         .when(~F.col("has_schema_file"), F.concat(F.lit(no_file_head), "db_id", F.lit(no_file_tail)))
         .when(F.coalesce("schema_text", F.lit("")) == "", NO_SCHEMA)

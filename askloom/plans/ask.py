@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import REVIEW_SEPARATOR
 from ..operators.catalog import schema_docs, schema_text_by_db
-from ..operators.execute import execute_batch, execute_query
+from ..operators.execute import execute_batch, execute_query, sql_key
+from ..operators.joins import lookup_join
 from ..operators.load import LoadedDump, load_dump
 from ..operators.model import Model, predict
 from ..operators.questions import attach_schema, coerce_fields, validate_rows
@@ -64,16 +65,28 @@ def answer_batch(
     none of these.
     """
     answers = answer_questions(samples, docs, model, reviewer)
-    ran = execute_batch(answers, folder, "sql", by_database=by_database)
-    return answers.join(ran.withColumnRenamed("error", "run_error"), "index", "left")
+    db = F.col("db_id") if by_database else F.lit("")
+    keyed = written(answers.withColumn("sql_key", F.when(F.col("sql") != "", sql_key(db, F.col("sql")))), "answers")
+    ran = execute_batch(keyed, folder, "sql", by_database=by_database)
+    outcomes = ran.select("sql_key", "outcome", "n_rows", F.col("error").alias("run_error")).dropDuplicates(["sql_key"])
+    # Questions without SQL stay apart, so that their null key is not a hot one.
+    asked = lookup_join(keyed.where("sql_key IS NOT NULL"), written(outcomes, "outcomes"), "sql_key", "index")
+    silent = keyed.where("sql_key IS NULL").withColumns(
+        {"outcome": F.lit(None).cast("string"), "n_rows": F.lit(None).cast("long"), "run_error": F.lit(None).cast("string")}
+    )
+    return asked.unionByName(silent)
+
 
+def open_dump(
+    spark: SparkSession, path: str, line_sep: str = ";\n", backslash_escapes: bool = False
+) -> tuple[LoadedDump, DataFrame]:
+    """Load a dump, register its tables and return it with its schema documents.
 
-def open_dump(spark: SparkSession, path: str) -> tuple[LoadedDump, DataFrame]:
-    """Load a dump, register its tables and return it with its schema documents."""
-    statements = written(scan_dump(spark, path), "dump-statements")
-    loaded = load_dump(statements)
+    ``line_sep`` and ``backslash_escapes`` are those of ``scan_dump``.
+    """
+    loaded = load_dump(scan_dump(spark, path, line_sep, backslash_escapes))
     loaded.register()
-    return loaded, schema_docs(statements, F.lit("dump"))
+    return loaded, schema_docs(loaded.declarations, F.lit("dump"))
 
 
 def ask(
@@ -82,11 +95,10 @@ def ask(
     docs: DataFrame,
     model: Model,
     reviewer: Model | None = None,
-    check: bool = False,
 ) -> Answer:
     """Generate, review and run the SQL for one question over the registered tables.
 
-    ``check`` is that of ``execute_query``.
+    The SQL runs once; whatever goes wrong with it is the answer's ``error``.
     """
     sample = spark.createDataFrame(
         [(0, "dump", question, "")], "index long, db_id string, question string, query string"
@@ -94,5 +106,5 @@ def ask(
     row = answer_questions(sample, docs, model, reviewer).first()
     if row["status"] == "error":
         return Answer("", "", False, None, row["error"])
-    result = execute_query(spark, row["sql"], check)
+    result = execute_query(spark, row["sql"])
     return Answer(row["sql"], row["summary"], row["reviewed"], result.rows, result.error)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import file_path
@@ -13,6 +15,7 @@ from ..operators.catalog import (
     schema_docs,
     schema_text_by_db,
     store_schema_docs,
+    verify_store,
 )
 from ..operators.model import GENERATION, Model, ModelSettings, predict
 from ..operators.questions import (
@@ -32,28 +35,36 @@ from ..storage import broadcast_if_small, written
 
 
 def schema_of_databases(
-    questions: DataFrame, root: str, store: str, refresh: bool = False
+    questions: DataFrame,
+    root: str,
+    store: str,
+    refresh: bool = False,
+    line_sep: str = ";\n",
+    backslash_escapes: bool = False,
 ) -> DataFrame:
     """(db_id, schema_text) of the databases asked about that have a schema file.
 
     Their dumps lie below ``<root>/database/<db_id>/``; only those files are read
     whose databases are not yet in ``store``. The driver holds their list, as it does
-    for any table of files.
+    for any table of files. What has been stored is counted and must be what was sent.
+    ``line_sep`` and ``backslash_escapes`` are those of ``scan_dump``.
     """
     spark = questions.sparkSession
     files = resolve_schema_files(list_schema_files(spark, root)).join(
         distinct_databases(questions), "db_id", "left_semi"
     )
-    files = files.select("db_id", "path")
+    files = written(files.select("db_id", "path"), "schema-files")
     fresh = files
     if not refresh:
         stored = read_schema_docs(spark, store).select("db_id").distinct()
         fresh = files.join(stored, "db_id", "left_anti")
     paths = [row["path"] for row in fresh.select(file_path(F.col("path")).alias("path")).toLocalIterator()]
     if paths:
-        statements = scan_dump(spark, paths).join(broadcast_if_small(fresh), "path")
-        docs = schema_docs(statements, F.col("db_id"))
+        statements = scan_dump(spark, paths, line_sep, backslash_escapes).join(broadcast_if_small(fresh), "path")
+        docs = written(schema_docs(statements, F.col("db_id")), "schema-docs")
         store_schema_docs(docs, store, refresh)
+        sent = docs.select("db_id")
+        verify_store(sent, read_schema_docs(spark, store).join(sent.distinct(), "db_id", "left_semi"))
     texts = schema_text_by_db(read_schema_docs(spark, store))
     return files.select("db_id").join(texts, "db_id", "left")
 
@@ -75,7 +86,7 @@ def run_batch(
 ) -> DataFrame:
     """Predict, append to the table at ``output``, and report on the whole table.
 
-    Rows are appended by jobs of ``flush_every`` indices each, by one job if it is 0
+    Rows are appended by jobs of ``flush_every`` rows each, by one job if it is 0
     or less. What has been appended stays when a later job fails, and a run with
     ``resume`` goes on from there. Nothing reads predictions before they are
     written, so no question is asked twice.
@@ -97,11 +108,27 @@ def run_batch(
 
 
 def _parts(questions: DataFrame, size: int) -> Iterator[DataFrame]:
-    """Ranges of the index, each a filter that the scan can use."""
+    """Ranges of the index that hold ``size`` rows each, as filters that the scan can use.
+
+    Indices are sorted into ranges of tasks and numbered through by the ranges' counts; the
+    driver gets every ``size``-th. Rows without an index are a part of their own.
+    """
     if size <= 0:
         yield questions
         return
-    ends = questions.agg(F.min("index").alias("lo"), F.max("index").alias("hi")).first()
-    if ends["lo"] is not None:
-        for lo in range(ends["lo"], ends["hi"] + 1, size):
-            yield questions.where((F.col("index") >= lo) & (F.col("index") < lo + size))
+    known = questions.where("index IS NOT NULL").select("index")
+    ranged = written(known.repartitionByRange("index").withColumn("range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect()
+    before = list(accumulate((row["n"] for row in counts), initial=0))
+    offsets = F.create_map(*[F.lit(x) for row, n in zip(counts, before) for x in (row["range"], n)]) if counts else None
+    if counts:
+        inside = F.row_number().over(W.partitionBy("range").orderBy("index"))
+        number = inside + offsets[F.col("range")] - 1
+        starts = ranged.withColumn("number", number).where(F.col("number") % size == 0).select("index")
+        cuts = sorted({row["index"] for row in starts.collect()})
+        for lo, hi in zip(cuts, [*cuts[1:], None]):
+            part = questions.where(F.col("index") >= lo)
+            yield part if hi is None else part.where(F.col("index") < hi)
+    lost = questions.where("index IS NULL")
+    if not lost.isEmpty():
+        yield lost

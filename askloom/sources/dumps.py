@@ -2,7 +2,7 @@
 
 A dump is read in pieces that end at ``;`` + newline, in parallel over the splits
 of every file. Nearly every piece is one statement and goes straight through. Only
-where a separator stands inside a literal or a comment do pieces belong together.
+where a separator stands inside a quoted text, a comment or a routine do pieces belong together.
 Whether it does depends on all the text before it, so the state at the end of each
 piece is followed through the file: for the few pieces that change it, first within
 each split and then over one small row per split. The text itself is never
@@ -16,18 +16,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ddl import strip_leading_comments
+from ..functions.ddl import ROUTINE, strip_leading_comments
 from ..storage import BROADCAST_LIMIT_BYTES, broadcast_if_small, size_in_bytes, written
 
-# States between two pieces: outside, in a literal, in a block comment. A change is
-# the three states that a piece ends in when it starts in each of these.
-STATES = "NSB"
+# States between two pieces: outside, in a literal, in a double-quoted or backticked
+# text, in a block comment; in small letters the same inside the body of a routine. A
+# change is the states that a piece ends in when it starts in each of these.
+STATES = "NSDKBnsdkb"
 OUTSIDE = "N"
+OPENERS = {"S": "'", "D": '"', "K": "`", "B": "/*"}
+CLOSERS = OPENERS | {"B": "*/"}
+
+DOUBLE_QUOTE = "\ue000"  # stands for an escaped one while its surroundings are looked at
 
 # What stands for a backslash and the character after it.
 ESCAPES = {
     "\\'": "''",
-    '\\"': '"',
+    '\\"': DOUBLE_QUOTE,
     "\\n": "\n",
     "\\r": "\r",
     "\\t": "\t",
@@ -38,15 +43,38 @@ ESCAPES = {
 
 
 def _tokens(backslash: bool) -> str:
-    literal = r"'(?:[^'\\]++|\\.)*+'" if backslash else r"'[^']*+'"
-    return r"[^;'\"`/-]++|" + literal + r"|\"[^\"]*+\"|`[^`]*+`|--[^\n]*+|/\*.*?\*/"
+    single = r"'(?:[^'\\]++|\\.)*+'" if backslash else r"'[^']*+'"
+    double = r"\"(?:[^\"\\]++|\\.)*+\"" if backslash else r"\"[^\"]*+\""
+    return r"[^;'\"`/#-]++|" + single + "|" + double + r"|`[^`]*+`|(?:--|#)[^\n]*+|/\*.*?\*/"
+
+
+def _left_open(text: Column, backslash: bool) -> Column:
+    """The state in which a text that starts outside ends, routines apart."""
+    opener = r"(?s)^(?:" + _tokens(backslash) + r"|[;-]|/(?!\*))*+('|\"|`|/\*)?"
+    mark = F.regexp_extract(text, opener, 1)
+    found = F.when(mark == "'", "S")
+    for state in "DKB":
+        found = found.when(mark == OPENERS[state], state)
+    return found.otherwise(OUTSIDE)
 
 
 def _state_after(text: Column, backslash: bool) -> Column:
-    """The state in which a text that starts outside ends."""
-    opener = r"(?s)^(?:" + _tokens(backslash) + r"|[;\"`-]|/(?!\*))*+('|/\*)?"
-    left_open = F.regexp_extract(text, opener, 1)
-    return F.when(left_open == "'", "S").when(left_open == "/*", "B").otherwise(OUTSIDE)
+    """The state in which a text that starts outside ends.
+
+    A routine with BEGIN goes on after its piece, unless the piece has its END too.
+    """
+    state = _left_open(text, backslash)
+    bare = strip_leading_comments(text)
+    opens = bare.rlike(ROUTINE) & bare.rlike(r"(?i)\bbegin\b") & ~bare.rlike(r"(?is);\s*end\s*$")
+    return F.when(opens, F.lower(state)).otherwise(state)
+
+
+def _state_in_routine(text: Column, backslash: bool) -> Column:
+    """The state in which a text that starts in the body of a routine ends: END closes it."""
+    is_end = strip_leading_comments(text).rlike(r"(?i)^end(?:\s+[`\"]?\w+[`\"]?)?\s*$") & ~strip_leading_comments(text).rlike(
+        r"(?i)^end\s+(?:if|case|loop|repeat|while)\s*$"
+    )
+    return F.when(is_end, OUTSIDE).otherwise(F.lower(_left_open(text, backslash)))
 
 
 def scan_pieces(
@@ -84,12 +112,14 @@ def _splits(pieces: DataFrame) -> DataFrame:
 def _changes(pieces: DataFrame, backslash_escapes: bool) -> DataFrame:
     """Pieces that may change the state: (path, block, seq, change)."""
     piece = F.col("piece")
-    from_literal = _state_after(F.concat(F.lit("'"), piece), backslash_escapes)
-    from_comment = _state_after(F.concat(F.lit("/*"), piece), backslash_escapes)
+
+    def from_inside(state: str) -> Column:
+        again = _left_open(F.concat(F.lit(OPENERS[state]), piece), backslash_escapes)
+        return F.when(piece.contains(CLOSERS[state]), again).otherwise(state)
+
+    inside = [from_inside(state) for state in STATES[1:5]]
     change = F.concat(
-        "after",
-        F.when(piece.contains("'"), from_literal).otherwise("S"),
-        F.when(piece.contains("*/"), from_comment).otherwise("B"),
+        "after", *inside, _state_in_routine(piece, backslash_escapes), *[F.lower(state) for state in inside]
     )
     changes = pieces.select("path", "block", "seq", change.alias("change"))
     return changes.where(F.col("change") != STATES)
@@ -101,7 +131,7 @@ def _in_turn() -> Callable[[str, str], str]:
 
     def then(first: str, second: str) -> str:
         if (first, second) not in known:
-            known[first, second] = first.translate(str.maketrans("NSB", second))
+            known[first, second] = first.translate(str.maketrans(STATES, second))
         return known[first, second]
 
     return then
@@ -111,7 +141,7 @@ def _within_splits(changes: DataFrame) -> DataFrame:
     """For each changing piece, the change from the start of its split to its end."""
 
     def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        then, so_far, out = _in_turn(), "NSB", []
+        then, so_far, out = _in_turn(), STATES, []
         rows = rows.sort_values("seq")
         for change in rows["change"]:
             so_far = then(so_far, change)
@@ -126,11 +156,11 @@ def _across_splits(splits: DataFrame) -> DataFrame:
     """The state at the start of each split, from the changes of the splits before it."""
 
     def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        state, starts = "N", []
+        state, starts = OUTSIDE, []
         rows = rows.sort_values("block")
         for change in rows["change"]:
             starts.append(state)
-            state = change["NSB".index(state)]
+            state = change[STATES.index(state)]
         return rows.assign(start=starts).drop(columns="change")
 
     schema = "path string, block long, first long, n long, n_before long, start string"
@@ -237,15 +267,24 @@ def standard_quotes(stmt: Column) -> Column:
         return part
 
     # Doubled backslashes are taken out first: what follows them is not escaped.
-    parts = F.transform(F.split(stmt, r"\\\\"), unescape)
-    return F.when(F.contains(stmt, F.lit("\\")), F.array_join(parts, "\\")).otherwise(stmt)
+    parts = F.array_join(F.transform(F.split(stmt, r"\\\\"), unescape), "\\")
+
+    def double_quote(part: Column) -> Column:
+        written_so = F.when(F.startswith(part, F.lit('"')), F.lit('""')).otherwise(F.lit('"'))
+        return F.replace(part, F.lit(DOUBLE_QUOTE), written_so)
+
+    # An escaped double quote is doubled in a text of double quotes, and else stays one.
+    quoted = F.regexp_extract_all(parts, F.lit(r"(?s)'(?:[^']++|'')*+'|\"[^\"]*+\"|[^'\"]++|['\"]"), F.lit(0))
+    whole = F.when(F.contains(parts, F.lit(DOUBLE_QUOTE)), F.array_join(F.transform(quoted, double_quote), "")).otherwise(parts)
+    return F.when(F.contains(stmt, F.lit("\\")), whole).otherwise(stmt)
 
 
 def split_statements(statements: DataFrame, backslash_escapes: bool = False) -> DataFrame:
     """Split what still holds several statements, and drop blanks and mere comments."""
     one = r"(?s)(?:" + _tokens(backslash_escapes) + r"|[/\"'`-])++"
+    is_routine = strip_leading_comments(F.col("stmt")).rlike(ROUTINE)
     several = F.when(
-        F.contains("stmt", F.lit(";")), F.regexp_extract_all("stmt", F.lit(one), F.lit(0))
+        F.contains("stmt", F.lit(";")) & ~is_routine, F.regexp_extract_all("stmt", F.lit(one), F.lit(0))
     ).otherwise(F.array("stmt"))
     parts = (
         statements.select("path", "stmt_no", F.posexplode_outer(several).alias("part_no", "part"))

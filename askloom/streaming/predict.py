@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,15 +35,15 @@ def stream_predictions(
 
     A micro-batch may be repeated after a failure, so each has a folder of its own
     that a repetition overwrites: every question is in the table once. The folder is
-    named after the checkpoint too, so streams with different checkpoints can share
-    a table.
+    named after the id that the checkpoint gives the stream, so streams can share a
+    table, and one that starts afresh at an old path overwrites nothing.
     """
     schema_by_db = written(schema_by_db, "schema-texts")
-    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        folder = f"stream_{run}/batch_{batch_id}"
+        started = spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()
+        folder = f"stream_{started['id']}/batch_{batch_id}"
         questions = coerce_fields(batch)
         if resume:
             # A repeated batch must not take its own earlier rows for finished work.

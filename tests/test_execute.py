@@ -62,10 +62,34 @@ def test_errors_are_values_and_change_nothing(numbers, sql):
 
 def test_errors_of_values(numbers):
     sql = "SELECT 1 / (id - 3) AS x FROM numbers"
-    assert execute_query(numbers, sql).error is None
-    checked = execute_query(numbers, sql, check=True)
+    checked = execute_query(numbers, sql)
     assert checked.rows is None and "DIVIDE_BY_ZERO" in checked.error
-    assert execute_query(numbers, "SELECT id FROM numbers", check=True).rows.count() == 5
+    assert execute_query(numbers, sql, lazy=True).error is None
+    odd = execute_query(numbers, "SELECT id, id, NULL AS n FROM numbers ORDER BY 1 DESC").rows
+    assert [tuple(r) for r in odd.collect()] == [(k, k, None) for k in (4, 3, 2, 1, 0)]
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM numbers",
+        "SELECT * FROM (SELECT TRANSFORM(id) USING 'cat' AS (x) FROM numbers) t",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT (SELECT max(`reflect` ('java.lang.System', 'lineSeparator')) FROM numbers)",
+        "SELECT try_reflect /* why */ ('java.lang.System', 'lineSeparator')",
+        "SELECT count(*) FROM text.`/etc/hostname`",
+        "SELECT id FROM numbers WHERE id IN (SELECT length(value) FROM text.`/etc/hostname`)",
+        "WITH t AS (SELECT * FROM csv.`/etc/hostname`) SELECT * FROM t",
+    ],
+)
+def test_queries_that_reach_beyond_the_tables_are_refused(numbers, sql):
+    result = execute_query(numbers, sql)
+    assert result.rows is None and "Refused" in result.error
+
+
+def test_words_of_refused_functions_in_texts(numbers):
+    sql = "SELECT 'reflect(1)' AS a, \"java_method(2)\" AS b -- reflect(3)\nFROM numbers"
+    assert execute_query(numbers, sql).rows.count() == 5
 
 
 def test_json_rows(spark):

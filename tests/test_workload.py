@@ -3,6 +3,8 @@
 import __spark_entry__ as driver
 import pytest
 from check import compare, connect
+from workload.oracles import ORACLES
+from workload.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,14 +13,15 @@ def con(sf_dir):
 
 
 def test_every_query_has_an_expected_result():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
 
 
 def test_entry(spark, sf_dir):
     assert driver.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("key", sorted(driver.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, con, sf_dir, key):
-    problem = compare(spark, con, sf_dir, driver.queries()[key], driver.oracle_sql()[key])
+    problem = compare(spark, con, sf_dir, QUERIES[key], ORACLES[key])
     assert problem is None, problem

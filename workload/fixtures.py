@@ -185,10 +185,9 @@ def line_dump(spark: SparkSession, sf_dir: str) -> str:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(index, db_id, question, query) of the user turns, a third of them for one database."""
+    """(index, db_id, question, query) of all turns, a third of them for one database."""
     return (
         read(spark, sf_dir, "conversations")
-        .where("role = 'user'")
         .selectExpr(
             "conv_id * 100 + turn AS index",
             "CASE WHEN conv_id % 11 = 0 THEN '  ' WHEN conv_id % 13 = 0 THEN 'nodb'"

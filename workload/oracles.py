@@ -124,7 +124,7 @@ QUESTIONS = f"""
       WHEN conv_id % 7 = 6 THEN '' ELSE 'db' || conv_id END AS db_id,
     CASE WHEN (conv_id + turn) % 17 = 0 THEN '' ELSE {_strip('text')} END AS question,
     CASE WHEN conv_id % 4 < 3 THEN 'SELECT count(*) FROM part_1' ELSE '' END AS gold_sql
-  FROM conversations WHERE role = 'user'"""
+  FROM conversations"""
 
 ATTACHED = f"""
   SELECT q.*, s.schema_text, d.db_id IS NOT NULL AS has_schema_file
@@ -272,7 +272,7 @@ ORACLES = {
             WHEN conv_id % 3 = 0 THEN ' db1' || chr(10) WHEN conv_id % 7 = 6 THEN NULL ELSE 'db' || conv_id END AS db_id,
           CASE WHEN (conv_id + turn) % 17 = 0 THEN ' ' || chr(10) ELSE '  ' || text || chr(10) END AS question,
           CASE WHEN conv_id % 4 < 3 THEN ' SELECT count(*) FROM part_1' || chr(10) END AS query
-        FROM conversations WHERE role = 'user'""",
+        FROM conversations""",
     "scan_dump_statements": f"SELECT shard, stmt_no, stmt FROM ({CLIENT_STATEMENTS}) s",
     "classify_statements": f"SELECT shard, stmt_no, kind FROM ({CLIENT_STATEMENTS}) s",
     "load_dump_rows": CLIENTS,

@@ -322,7 +322,7 @@ def preview(spark: Spark, sf_dir: str) -> DataFrame:
 def _conformance(key: str):
     def run(spark: Spark, sf_dir: str) -> DataFrame:
         fx.register(spark, sf_dir, spark_sql(key))
-        result = execute_query(spark, spark_sql(key))
+        result = execute_query(spark, spark_sql(key), lazy=True)
         if result.rows is None:
             raise ValueError(result.error)
         return result.rows

@@ -18,18 +18,16 @@ SQL = {
         JOIN customer ON o_custkey = c_custkey
         JOIN nation ON c_nationkey = n_nationkey
         GROUP BY n_name""",
-    # Every nation with every segment, also where no customer is: the list of
-    # segments is one short array, put beside each nation.
+    # Every nation with every segment, also where no customer is. The customers are
+    # counted first, so what is joined is nations times segments.
     "sql_cross_left_count": (
         """
         WITH counts AS (
           SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2
-        ), grid AS (
-          SELECT n_nationkey, n_name, explode((SELECT collect_set(c_mktsegment) FROM counts)) AS segment
-          FROM nation
         )
-        SELECT n_name, segment, coalesce(n, 0) AS n_customers
-        FROM grid LEFT JOIN counts ON c_nationkey = n_nationkey AND c_mktsegment = segment""",
+        SELECT n_name, s.c_mktsegment AS segment, coalesce(n, 0) AS n_customers
+        FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment FROM counts) s
+        LEFT JOIN counts c ON c.c_nationkey = n_nationkey AND c.c_mktsegment = s.c_mktsegment""",
         """
         SELECT n_name, s.c_mktsegment AS segment, count(c.c_custkey) AS n_customers
         FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s
