@@ -52,9 +52,11 @@ def require_rows(questions: DataFrame) -> DataFrame:
 
 
 def resume_anti_join(questions: DataFrame, done: DataFrame) -> DataFrame:
-    """Questions whose index is not among the finished ones; a null index is one of its own."""
-    known = done.select(F.col("index").alias("_done")).distinct()
-    return questions.join(known, F.col("index").eqNullSafe(F.col("_done")), "left_anti")
+    """Questions whose index is not among the finished ones.
+
+    One without an index cannot be known again, so every run reports it.
+    """
+    return questions.join(done.select("index"), "index", "left_anti")
 
 
 def distinct_databases(questions: DataFrame) -> DataFrame:

@@ -1,17 +1,20 @@
 """Model calls, prediction tables, whole jobs and the stream."""
 
+import itertools
 import json
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from askloom.functions.replies import parse_verdict, review_fold
 from askloom.operators import catalog
 from askloom.operators.model import GENERATION, generate_batch, predict
 from askloom.operators.report import preview, run_report
 from askloom.operators.review import review
-from askloom.plans.generate import run_batch, schema_of_databases
+from askloom.plans.generate import _parts, run_batch, schema_of_databases
 from askloom.sources import predictions as table
+from askloom.storage import remove_folder
 from askloom.streaming.predict import read_question_stream, stream_predictions
 
 
@@ -108,6 +111,7 @@ def test_review(spark):
         ({"a": "```sql\nFIXED: b\n```"}, "a", False),
         ({}, "a", False),
         ({"a": ""}, "a", False),
+        ({"a": "FIXED:", "": "FIXED: b", "b": "VALID"}, "b", True),
     ]
     df = spark.createDataFrame(
         [(i, json.dumps(s), "T", "a") for i, (s, _, _) in enumerate(cases)],
@@ -117,6 +121,27 @@ def test_review(spark):
     assert [(r["sql"], r["reviewed"]) for r in rows] == [(sql, ok) for _, sql, ok in cases]
 
 
+def test_review_is_its_replay(spark):
+    """Live and replayed, whatever the reviewer says to each SQL there can be."""
+    answers = ["VALID", "FIXED:", "FIXED: b", "INVALID", ""]
+    scripts = [dict(zip(["a", "", "b"], s)) for s in itertools.product(answers, repeat=3)]
+    said = []
+    for script in scripts:
+        sql, turns = "a", []
+        for _ in range(3):
+            turns.append(script[sql])
+            sql = turns[-1][7:] if turns[-1].startswith("FIXED:") else sql
+        said.append(turns)
+    rows = spark.createDataFrame(
+        [(i, json.dumps(s), "T", "a", t) for i, (s, t) in enumerate(zip(scripts, said))],
+        "index long, question string, schema_text string, predicted_sql string, replies array<string>",
+    )
+    live = {r["index"]: (r["sql"], r["reviewed"]) for r in review(rows, scripted_reviewer).collect()}
+    replay = review_fold(F.col("predicted_sql"), F.transform("replies", parse_verdict))
+    again = rows.select("index", replay.alias("r")).collect()
+    assert live == {r["index"]: (r["r"]["sql"], r["r"]["reviewed"]) for r in again}
+
+
 def test_reviewer_that_fails(spark):
     def broken(settings):
         raise OSError("gone")
@@ -243,7 +268,7 @@ def test_store_once_or_refresh(spark, tmp_path):
     stored = catalog.read_schema_docs(spark, path)
     assert stored.count() == 204 and stored.where("doc = 'old'").count() == 201
     catalog.verify_store(more, stored.where("db_id IN ('007', 'c')"))
-    with pytest.raises(ValueError, match="expected 2 items, got 1"):
+    with pytest.raises(ValueError, match="should have 2 stored documents and has 1"):
         catalog.verify_store(more, stored.where("db_id = 'c' OR doc_no = 1"))
 
 
@@ -274,3 +299,41 @@ def test_stream_takes_each_question_once(spark, tmp_path):
     assert run() == list(range(8))
     add("c", range(6, 12))
     assert run(resume=True) == list(range(12))
+
+
+def test_a_fresh_checkpoint_at_an_old_path_overwrites_nothing(spark, tmp_path):
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    schemas = spark.createDataFrame([("d", "T")], "db_id string, schema_text string")
+    for part in (range(3), range(10, 14)):
+        lines = tmp_path / f"in{part.start}"
+        lines.mkdir()
+        (lines / "a.json").write_text("\n".join(json.dumps({"index": i, "db_id": "d", "question": "q"}) for i in part))
+        stream = read_question_stream(spark, str(lines))
+        stream_predictions(stream, schemas, out, check, echo_model).awaitTermination()
+        remove_folder(spark, check)
+    found = table.read_predictions(spark, out)
+    assert sorted(r["index"] for r in found.collect()) == [0, 1, 2, 10, 11, 12, 13]
+
+
+def test_questions_without_an_index_are_reported(spark, root):
+    out = str(root / "out" / "predictions")
+    schemas = schema_of_databases(samples(spark), str(root), str(root / "store"))
+    rows = [(0, "shop", "q", ""), (None, "shop", "q", ""), (-4, "shop", "q", "")]
+    asked = spark.createDataFrame(rows, "index long, db_id string, question string, query string")
+    report = run_batch(asked, schemas, out, echo_model).first()
+    assert (report["n_rows"], report["n_ok"], report["n_error"]) == (3, 1, 2)
+    report = run_batch(asked, schemas, out, echo_model, resume=True, flush_every=2).first()
+    assert (report["n_rows"], report["n_ok"], report["n_error"]) == (4, 1, 3)
+    errors = {r["index"]: r["error"] for r in table.read_predictions(spark, out).where("status = 'error'").collect()}
+    assert errors == {None: "Missing index in sample.", -4: "Missing index in sample."}
+
+
+def test_flush_counts_rows_not_indices(spark, root):
+    out = root / "out" / "predictions"
+    schemas = schema_of_databases(samples(spark), str(root), str(root / "store"))
+    asked = samples(spark, 7).withColumn("index", F.col("index") * F.col("index") * 1000)
+    assert [p.count() for p in _parts(asked, 3)] == [3, 3, 1]
+    assert [p.count() for p in _parts(asked.limit(0), 3)] == []
+    sparse = samples(spark, 2).withColumn("index", F.col("index") * 2000)
+    assert run_batch(sparse, schemas, str(out), echo_model, flush_every=25).first()["n_rows"] == 2
+    assert len(list(out.glob("**/*.parquet"))) <= 2

@@ -264,10 +264,11 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"array(concat('```sql\\n', {fixed[0]}, '\\n```'), '', 'VALID')",
         f"array('', concat('Try ```', {fixed[1]}, '```'), 'maybe')",
         f"array(concat({fixed[0]}, ' FIXED: '), 'VALID', 'VALID')",
+        f"array('FIXED:', {fixed[0]}, 'VALID')",
     ]
     shape = " ".join(f"WHEN {i} THEN {a}" for i, a in enumerate(shapes))
     return read(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey AS index", f"{s} AS sql", f"CASE o_orderkey % 8 {shape} END AS replies"
+        "o_orderkey AS index", f"{s} AS sql", f"CASE o_orderkey % 9 {shape} END AS replies"
     )
 
 

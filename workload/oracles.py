@@ -196,22 +196,22 @@ CLEAN_SQL = f"""
   FROM {_BASE} JOIN ({PARSED}) p ON p.index = o_orderkey"""
 
 _VERDICTS = """(
-  SELECT o_orderkey, o_orderkey % 8 AS v, 'SELECT ' || o_orderkey AS s FROM orders) o"""
+  SELECT o_orderkey, o_orderkey % 9 AS v, 'SELECT ' || o_orderkey AS s FROM orders) o"""
 
 REVIEWED = f"""
   SELECT o_orderkey AS index,
-    CASE v WHEN 1 THEN s || ' + 1' WHEN 2 THEN s || ' + 3' WHEN 6 THEN s || ' + 2' WHEN 7 THEN s || ' + 1' ELSE s END AS sql,
-    v IN (0, 1, 4, 5, 7) AS reviewed,
+    CASE v WHEN 1 THEN s || ' + 1' WHEN 2 THEN s || ' + 3' WHEN 6 THEN s || ' + 2' WHEN 7 THEN s || ' + 1' WHEN 8 THEN s || ' + 1' ELSE s END AS sql,
+    v IN (0, 1, 4, 5, 7, 8) AS reviewed,
     CASE v WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 1 WHEN 7 THEN 2 ELSE 3 END AS rounds
   FROM {_VERDICTS}"""
 
 VERDICTS = f"""
   SELECT o_orderkey AS index,
     CASE v WHEN 5 THEN 'sql' || chr(10) || 'FIXED: ' || s || ' + 1' WHEN 0 THEN 'VALID' WHEN 3 THEN 'INVALID'
-      WHEN 4 THEN 'VALID' WHEN 6 THEN 'INVALID' WHEN 7 THEN 'FIXED: ' || s || ' + 1 FIXED:'
+      WHEN 4 THEN 'VALID' WHEN 6 THEN 'INVALID' WHEN 7 THEN 'FIXED: ' || s || ' + 1 FIXED:' WHEN 8 THEN 'FIXED:'
       ELSE 'FIXED: ' || s || ' + 1' END AS first,
     CASE v WHEN 0 THEN 'FIXED: ' || s || ' + 1' WHEN 1 THEN 'VALID' WHEN 2 THEN 'FIXED: ' || s || ' + 2' WHEN 3 THEN 'no'
-      WHEN 4 THEN 'FIXED: ' || s || ' + 1' WHEN 5 THEN 'INVALID' WHEN 6 THEN 'FIXED: ' || s || ' + 2' ELSE 'VALID' END AS second
+      WHEN 4 THEN 'FIXED: ' || s || ' + 1' WHEN 5 THEN 'INVALID' WHEN 6 THEN 'FIXED: ' || s || ' + 2' WHEN 8 THEN 'FIXED: ' || s || ' + 1' ELSE 'VALID' END AS second
   FROM {_VERDICTS}"""
 
 PREDICTIONS = f"""
@@ -225,11 +225,11 @@ PREDICTIONS = f"""
 
 EXECUTED = """
   SELECT c_custkey AS index,
-    CASE c_custkey % 6 WHEN 0 THEN 'rows' WHEN 1 THEN 'rows' WHEN 2 THEN 'error' WHEN 3 THEN 'empty' ELSE 'error' END AS outcome,
-    CASE c_custkey % 6
+    CASE c_custkey % 9 WHEN 0 THEN 'rows' WHEN 1 THEN 'rows' WHEN 2 THEN 'error' WHEN 3 THEN 'empty' ELSE 'error' END AS outcome,
+    CASE c_custkey % 9
       WHEN 0 THEN (SELECT count(DISTINCT c_nationkey) FROM customer i WHERE i.c_mktsegment = c.c_mktsegment)
       WHEN 1 THEN (SELECT count(*) FROM nation) ELSE 0 END AS n_rows,
-    c_custkey % 6 NOT IN (0, 1, 3) AS has_error
+    c_custkey % 9 NOT IN (0, 1, 3) AS has_error
   FROM customer c"""
 
 _SEGMENT_SQL = (
@@ -237,12 +237,12 @@ _SEGMENT_SQL = (
     "|| ''' GROUP BY c_nationkey'"
 )
 EXECUTED_ROWS = f"""
-  SELECT substr(sha256(chr(10) || {_SEGMENT_SQL}), 1, 32) AS sql_key,
+  SELECT sha256(chr(10) || {_SEGMENT_SQL}) AS sql_key,
     '{{"c_nationkey":' || c_nationkey || ',"n":' || count(*) || '}}' AS row_json
-  FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_custkey % 6 = 0)
+  FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_custkey % 9 = 0)
   GROUP BY c_mktsegment, c_nationkey
   UNION ALL
-  SELECT substr(sha256(chr(10) || 'WITH n AS (SELECT n_name FROM nation) SELECT * FROM n'), 1, 32),
+  SELECT sha256(chr(10) || 'WITH n AS (SELECT n_name FROM nation) SELECT * FROM n'),
     '{{"n_name":"' || n_name || '"}}' FROM nation"""
 
 # Here a database counts only if it has documents, so one without them is not found.

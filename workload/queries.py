@@ -331,14 +331,18 @@ def _conformance(key: str):
 
 
 def _executed(spark: Spark, sf_dir: str) -> tuple[DataFrame, str]:
-    """A predicted SQL for each customer, of six kinds; equal texts are run once."""
+    """A predicted SQL for each customer, of nine kinds, three of which reach beyond the
+    tables and are refused; equal texts are run once."""
     fx.register(spark, sf_dir, "customer nation")
     sql = F.expr(
-        "CASE c_custkey % 6 WHEN 0 THEN concat('SELECT c_nationkey, count(*) AS n FROM customer"
+        "CASE c_custkey % 9 WHEN 0 THEN concat('SELECT c_nationkey, count(*) AS n FROM customer"
         " WHERE c_mktsegment = \\'', c_mktsegment, '\\' GROUP BY c_nationkey')"
         " WHEN 1 THEN 'WITH n AS (SELECT n_name FROM nation) SELECT * FROM n'"
         " WHEN 2 THEN 'SELECT * FROM no_such_table' WHEN 3 THEN 'SELECT * FROM nation WHERE n_nationkey < 0'"
-        " WHEN 4 THEN 'DROP VIEW customer' ELSE 'SELECT 1 / (n_nationkey - n_nationkey) FROM nation' END"
+        " WHEN 4 THEN 'DROP VIEW customer' WHEN 5 THEN 'SELECT 1 / (n_nationkey - n_nationkey) FROM nation'"
+        " WHEN 6 THEN 'SELECT TRANSFORM(n_name) USING \\'cat\\' AS (x) FROM nation'"
+        " WHEN 7 THEN 'SELECT java_method(\\'java.lang.System\\', \\'lineSeparator\\')'"
+        " ELSE 'SELECT count(*) FROM text.`/etc/hostname`' END"
     )
     rows = fx.read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("index"), sql.alias("predicted_sql")
