@@ -170,7 +170,7 @@ def _hashed(rows: np.ndarray, seed: int) -> np.ndarray:
 
 def _gram_hash(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     made = [
-        _hashed(data[places[at : at + 65536, None] + np.arange(GRAM)], 1) for at in range(0, len(places), 65536)
+        _hashed(data[places[at : at + AT_ONCE, None] + np.arange(GRAM)], 1) for at in range(0, len(places), AT_ONCE)
     ]
     return np.concatenate([np.empty(0, np.uint64), *made])
 
@@ -251,7 +251,7 @@ def front_coded(keys: np.ndarray, left: np.ndarray, left_size: np.ndarray, ids:
     shared = np.zeros(len(keys), np.uint8)
     differs = keys[1:] != keys[:-1]
     shared[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), KEY)
-    rest = keys[np.arange(KEY)[None, :] >= shared[:, None]]
+    rest = keys[np.arange(KEY, dtype=np.uint8)[None, :] >= shared[:, None]]
     return _pack_arrays(shared, rest, left, left_size, ids, docs, places)
 
 
@@ -259,18 +259,28 @@ def decoded(run: bytes) -> tuple[np.ndarray, ...]:
     """(shared, keys, left, left_size, ids, docs, places) of a front-coded run."""
     shared, rest, left, left_size, ids, docs, places = _unpack_arrays(run, *_RUN_KINDS)
     n = len(shared)
-    mask = np.arange(KEY)[None, :] >= shared[:, None]
     keys = np.zeros((n, KEY), np.uint8)
-    keys[mask] = rest
-    # a byte that is not stored is the last one stored above it in its column
-    above = np.where(mask, np.arange(n)[:, None], 0)
-    np.maximum.accumulate(above, axis=0, out=above)
-    return shared, np.take_along_axis(keys, above, axis=0), left.reshape(n, LEFT), left_size, ids, docs, places
+    keys[np.arange(KEY, dtype=np.uint8)[None, :] >= shared[:, None]] = rest
+    rows = np.arange(n)
+    for k in range(KEY):
+        # a byte that is not stored is the last one stored above it in its column
+        above = np.maximum.accumulate(np.where(shared <= k, rows, 0))
+        keys[:, k] = keys[above, k]
+    return shared, keys, left.reshape(n, LEFT), left_size, ids, docs, places
+
+
+AT_ONCE = 8192  # places whose surroundings are gathered in one step
 
 
 def _contexts(data: np.ndarray, begins: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
     """(keys, left, left_size, doc) at each place: what follows and what precedes it in its
     document, padded with zeros. ``left`` reads away from the place."""
+    steps = range(0, max(1, len(places)), AT_ONCE)
+    parts = [_some_contexts(data, begins, places[at : at + AT_ONCE]) for at in steps]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _some_contexts(data: np.ndarray, begins: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
     doc = np.searchsorted(begins, places, side="right") - 1
     after, before = begins[doc + 1] - places, places - begins[doc]
     right_size, left_size = np.minimum(after, LENGTH), np.minimum(before, LEFT)
@@ -494,7 +504,7 @@ def _merged_part(table: pa.Table) -> pa.Table:
     # whole groups together, a bounded number of suffixes at once
     begin = 0
     while begin < len(open_):
-        end = min(len(open_), begin + 16384)
+        end = min(len(open_), begin + 4096)
         while end < len(open_) and group[open_[end]] == group[open_[end - 1]]:
             end += 1
         some = open_[begin:end]
