@@ -91,33 +91,37 @@ def _flags(dense: bool, data: bytes) -> np.ndarray:
     return flags
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The twice-set bits of each segment, from notes sorted by segment."""
+def _merged(at_least: int):
+    """The bits of each segment that were set once, or twice, from notes sorted by segment."""
 
-    def out(segment: int, twice: np.ndarray) -> pa.RecordBatch:
+    def out(segment: int, found: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict(
             {
                 "segment": pa.array([segment], pa.int32()),
-                "twice": pa.array([np.packbits(twice).tobytes()], pa.binary()),
+                "found": pa.array([np.packbits(found).tobytes()], pa.binary()),
             }
         )
 
-    now, once, twice = None, None, None
-    for batch in batches:
-        for note in batch.to_pylist():
-            if note["segment"] != now:
-                if now is not None:
-                    yield out(now, twice)
-                now, once, twice = note["segment"], np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
-            more = _flags(note["dense"], note["once"])
-            twice |= (once & more) | _flags(note["dense"], note["twice"])
-            once |= more
-    if now is not None:
-        yield out(now, twice)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, once, twice = None, None, None
+        for batch in batches:
+            for note in batch.to_pylist():
+                if note["segment"] != now:
+                    if now is not None:
+                        yield out(now, twice if at_least == 2 else once)
+                    now, once, twice = note["segment"], np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
+                more = _flags(note["dense"], note["once"])
+                twice |= (once & more) | _flags(note["dense"], note["twice"])
+                once |= more
+        if now is not None:
+            yield out(now, twice if at_least == 2 else once)
+
+    return run
 
 
-def repeated_filter(digests: DataFrame, bits: int) -> np.ndarray:
-    """The bits that the digests (a binary column of 32 bytes) set twice, packed.
+def repeated_filter(digests: DataFrame, bits: int, at_least: int = 2) -> np.ndarray:
+    """The bits that the digests (a binary column of 32 bytes) set twice, packed; with
+    ``at_least`` 1 those they set at all, a plain Bloom filter.
 
     Tasks send bit numbers, or bitmaps where those are shorter, to the task of each
     segment; the driver gets ``bits`` / 8 bytes at most.
@@ -126,12 +130,12 @@ def repeated_filter(digests: DataFrame, bits: int) -> np.ndarray:
     merged = (
         notes.repartition(max(1, bits // SEGMENT_BITS), "segment")
         .sortWithinPartitions("segment")
-        .mapInArrow(_merged, "segment int, twice binary")
+        .mapInArrow(_merged(at_least), "segment int, found binary")
     )
     packed = np.zeros(bits // 8, np.uint8)
     for row in merged.collect():
         begin = row["segment"] * SEGMENT_BITS // 8
-        packed[begin : begin + SEGMENT_BITS // 8] = np.frombuffer(row["twice"], np.uint8)
+        packed[begin : begin + SEGMENT_BITS // 8] = np.frombuffer(row["found"], np.uint8)
     return packed
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..storage import Staging, written
 from .components import components
+from .exact_dedup import filter_bits, maybe_repeated, repeated_filter
 
 WORDS, PERCENT = 5, 80  # of the library's near-duplicates unless a caller says otherwise
 HALVES, ROWS = 20, 4
@@ -291,9 +292,12 @@ def near_groups(
         clusters = _clusters(buckets, stage)
         members = stage.write(sets.select("id", "doc", "n").join(clusters, "id"), "members")
         placed, pairs = _blocks(members, stage, percent, block)
-        asked = texts.join(members.select("doc"), "doc", "left_semi").select("text")
-        made = asked.mapInArrow(_sets(words), "id long, shingles binary")
-        # an id that has several rows gives sets that nobody asked for
+        # A filter of the documents asked for, of bounded size, spares their texts a shuffle. What
+        # it lets through wrongly, and other rows of an id, give sets that the join drops.
+        name = F.unhex(F.sha2(F.col("doc").cast("string"), 256))
+        wanted = repeated_filter(members.select(name.alias("name")), filter_bits(members.count()), at_least=1)
+        asked = texts.where("doc IS NOT NULL").withColumn("name", name).where(maybe_repeated(spark, wanted, "name"))
+        made = asked.select("text").mapInArrow(_sets(words), "id long, shingles binary")
         full = stage.write(
             made.join(placed, "id").dropDuplicates(["id"]).select("id", "cluster", "band", "part", "shingles"), "sets"
         )
