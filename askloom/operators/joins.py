@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import BROADCAST_LIMIT_BYTES, small_enough
+from ..storage import BROADCAST_LIMIT_BYTES, small_enough, written
 
 HOT_KEYS = 1000
 
@@ -38,13 +38,17 @@ def salted_join(
     of hot keys are repeated once per salt. The salt is a hash of ``row_id``, so a
     task that is run again gives the same rows.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    share = F.greatest(F.ceil(F.col("total") / hot_keys), F.lit(1))
-    limit = total.select(share.alias("share")).first()["share"]
+    counts = written(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")), "key-counts")
+    share = F.greatest(F.ceil(F.sum("n") / hot_keys), F.lit(1))
+    limit = counts.agg(share.alias("share")).first()["share"] or 1
     hot = counts.where(F.col("n") > limit).select(
         F.col(key), F.ceil(F.col("n") / limit).cast("int").alias("salts")
     )
+    # A null key matches nothing, so its rows stay where they are.
+    lost = rows.where(F.col(key).isNull()).withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in lookup.schema if f.name != key}
+    )
+    rows = rows.where(F.col(key).isNotNull())
     salted = (
         rows.join(F.broadcast(hot), key, "left")
         .withColumn(
@@ -60,5 +64,6 @@ def salted_join(
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
         .drop("salts")
     )
-    return salted.join(repeated, [key, "salt"], "left").drop("salt")
+    joined = salted.join(repeated.hint("merge"), [key, "salt"], "left").drop("salt")
+    return joined.unionByName(lost)
 

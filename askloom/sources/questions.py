@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,5 +52,7 @@ def resolve_question_path(spark: SparkSession, root: str, name: str) -> str:
     try:
         spark.read.format("binaryFile").load(name).select("path").isEmpty()
         return name
-    except Exception:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return f"{root.rstrip('/')}/{name}"

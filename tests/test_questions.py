@@ -148,6 +148,16 @@ def test_hot_key_is_spread(spark):
     assert max(r["count"] for r in sizes) < 20000 / 3
 
 
+def test_the_salted_join_is_shuffled_and_bears_null_keys(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 else "hot") for i in range(300)] + [(300, "rare"), (301, "none")], "id long, k string")
+    lookup = spark.createDataFrame([("hot", 1), ("rare", 2)], "k string, v long")
+    joined = salted_join(rows, lookup, "k", "id", hot_keys=50)
+    assert "SortMergeJoin" in joined._jdf.queryExecution().simpleString()
+    got = {r["id"]: r["v"] for r in joined.collect()}
+    assert got == {**{i: None if i % 3 else 1 for i in range(300)}, 300: 2, 301: None}
+    assert salted_join(rows.limit(0), lookup, "k", "id").count() == 0
+
+
 PROMPT = """You are a SQL expert. Generate a SQL query for this question using ONLY the schema below.
 
 SCHEMA:
