@@ -202,7 +202,7 @@ class LineStore:
         limit = self.min_code_points
 
         def refs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _sliced(batches):
                 ids, keys = [], []
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     own = {k for k in line_keys(text, limit) if k is not None}
@@ -304,7 +304,7 @@ class LineStore:
         limit, probe = self.min_code_points, self._probe()
 
         def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _sliced(batches):
                 rows, ids, keys = [], [], []
                 for r, i, text in zip(*(c.to_pylist() for c in batch.columns)):
                     own = probe(list({k for k in line_keys(text, limit) if k is not None}))
@@ -316,9 +316,10 @@ class LineStore:
                 )
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _sliced(batches):
                 texts, lines, dropped = [], [], []
-                for text, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held = batch.column("row").field(text_col).to_pylist()
+                for text, gone in zip(held, batch.column("gone").to_pylist()):
                     own = (text or "").split("\n")
                     lines.append(len(own))
                     if gone:
@@ -330,17 +331,15 @@ class LineStore:
                         dropped.append(0)
                         texts.append(text or "")
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[2:], pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
-                    names=[*batch.schema.names[2:], "text", "n_lines", "n_dropped"],
+                    [*batch.columns[1:], pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
+                    names=[*batch.schema.names[1:], "text", "n_lines", "n_dropped"],
                 )
 
         ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
         holder = F.coalesce(ident.cast("string"), F.concat(F.lit("~"), F.sha2(F.coalesce(text, F.lit("")), 256)))
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), holder.alias("holder"), ident.alias("id"), text.alias("text"))
         with Staging(self.spark, "line-clean") as stage:
-            found = stage.write(
-                rows.select("holder", "id", "text").mapInArrow(suspects, "holder string, id long, key binary"), "suspects"
-            )
+            probed = docs.select(holder.alias("holder"), ident.alias("id"), text.alias("text"))
+            found = stage.write(probed.mapInArrow(suspects, "holder string, id long, key binary"), "suspects")
             gone = (
                 found.join(self.counts, "key")
                 .where("id IS NULL OR id < last_id OR id > last_id")
@@ -348,13 +347,25 @@ class LineStore:
                 .agg(F.collect_set("key").alias("gone"))
             )  # a document's own lines at most
             gone = written(gone, "line-drops")
+        # the text travels once, inside its row
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), holder.alias("holder"), ident.alias("id"))
         return (
             rows.join(gone, "holder", "left")
-            .select("text", "gone", "row", "id")
+            .select("gone", "row", "id")
             .mapInArrow(drop, _schema(rows.select("row", "id"), "text string, n_lines long, n_dropped long"))
         )
 
 
+ROWS_AT_ONCE = 512
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few enough rows to be held as Python values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _schema(df: DataFrame, more: str):
     from pyspark.sql.types import StructType
 

@@ -111,7 +111,7 @@ def _signed(words: int, halves: int, rows: int):
 
         for batch in batches:
             ids, sets, held = [], [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, text in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1))):
                 ids.append(i)
                 sets.append(shingle_set(text, words))
                 held += len(sets[-1])

@@ -192,20 +192,8 @@ def score_texts(texts: list[str | None], model: Model, known: dict[str, float])
     return 1 / (1 + np.exp(-(odds + model.bias)))
 
 
-KNOWN_WORDS = 400_000  # kept per task; a cache, emptied when full
-BATCH_CHARS = 2_000_000  # of texts scored together
-
-
-def _grouped(texts: list[str | None]) -> Iterator[list[str | None]]:
-    group, held = [], 0
-    for text in texts:
-        group.append(text)
-        held += len(text or "")
-        if held >= BATCH_CHARS:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
+KNOWN_WORDS = 200_000  # kept per task; a cache, emptied when full
+ROWS_AT_ONCE = 512  # texts held as Python values
 
 
 def is_held_out(doc_id: str = "doc_id"):
@@ -264,16 +252,18 @@ def with_scores(
         known: dict[str, float] = {}
         own = Model(*sent.value)
         for batch in batches:
-            scores = [np.empty(0)]
-            for group in _grouped(batch.column(0).to_pylist()):
-                scores.append(score_texts(group, own, known))
+            texts = batch.column("row").field(text_col) if keep is None else batch.column("text")
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                scores = score_texts(texts.slice(at, ROWS_AT_ONCE).to_pylist(), own, known)
                 if len(known) > KNOWN_WORDS:
                     known.clear()
-            values = np.concatenate(scores)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values)], names=["row", "score"])
+                rows = batch.column("row").slice(at, ROWS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([rows, pa.array(scores)], names=["row", "score"])
 
     kept = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
-    rows = docs.select(F.col(f"`{text_col}`").alias("text"), kept.alias("row"))
+    # the text travels once: inside its row, if that is kept whole
+    apart = [] if keep is None else [F.col(f"`{text_col}`").alias("text")]
+    rows = docs.select(kept.alias("row"), *apart)
     return rows.mapInArrow(run, StructType([rows.schema["row"]]).add("score", DoubleType()))
 
 
