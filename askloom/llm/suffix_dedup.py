@@ -43,6 +43,7 @@ PART_BYTES = 16 << 20  # of texts for each part of the anchors' table
 RUN_ITEMS = 60_000  # suffixes merged by one task, about
 SPLITTER_BYTES = 32  # not more than an anchor, so that equal anchors meet
 SAMPLES = 100_000  # keys from which splitters are taken, about; what the driver sees
+LEVEL = 5  # of compression: what is packed is staged once and shuffled twice
 HOT = 50_000  # occurrences from which an anchor's strings are grouped as rows
 
 LAST = np.iinfo(np.int64).max  # stands for a null id: after all others
@@ -66,7 +67,7 @@ def _packed_row(ids: list, texts: list[bytes]) -> pa.RecordBatch:
         {
             "pack": pa.array([int.from_bytes(os.urandom(8), "little", signed=True)], pa.int64()),
             "raw_bytes": pa.array([len(raw)], pa.int64()),
-            "data": pa.array([zstandard.ZstdCompressor(level=1).compress(raw)], pa.binary()),
+            "data": pa.array([zstandard.ZstdCompressor(level=LEVEL).compress(raw)], pa.binary()),
         }
     )
 
@@ -230,7 +231,7 @@ _FOUND = "kind int, pack long, n long, data binary"
 def _pack_arrays(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value."""
     head = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack_arrays(data: bytes, *kinds) -> list[np.ndarray]:
