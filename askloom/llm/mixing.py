@@ -17,6 +17,7 @@ from ..storage import Staging, broadcast_if_small, written
 WEIGHTS = (5, 2, 1)  # of the sources in order, repeating
 MAX_EPOCHS = 3  # no source, and so no document, is used more often
 SALT = "mix"
+FEW = 50_000  # documents that may still fill gaps, from which on the driver goes through them
 
 
 def word_count(text: Column) -> Column:
@@ -59,6 +60,54 @@ def _placed(rows: DataFrame, stage: Staging) -> DataFrame:
     return stage.write(ordered, "ranges")
 
 
+def _fill(behind: DataFrame, stage: Staging) -> DataFrame:
+    """(source, range, no) of the rows (source, range, no, size, gap) that fill the gaps.
+
+    Each source's rows are gone through in the order of range and number, and each that fits
+    into what is left of the gap is taken. As jobs: those that fit the gap are taken up to the
+    first that does not fit behind the others. What is left is smaller than that one, so fewer
+    are tried in the next round. The last ``FEW`` are gone through on the driver.
+    """
+    key, chosen = ["source", "range", "no"], []
+    behind = stage.write(behind.where("size > 0 AND size <= gap"), "behind")
+    while behind.count() > FEW:
+        inside = W.partitionBy("range", "source").orderBy("no")
+        running = behind.withColumn("running", F.sum("size").over(inside))
+        earlier = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+        sums = behind.groupBy("source", "range").agg(F.sum("size").alias("n"))
+        offsets = stage.write(
+            sums.select("source", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")), "offsets"
+        )
+        same = (F.col("r.range") == F.col("p.range")) & F.col("r.source").eqNullSafe(F.col("p.source"))
+        tried = stage.write(
+            running.alias("r").join(offsets.alias("p"), same).select(
+                "r.source", "r.range", "r.no", "r.size", "r.gap", (F.col("p.offset") + F.col("r.running")).alias("place")
+            ),
+            "tried",
+        )
+        fits = F.col("place") <= F.col("gap")
+        chosen.append(tried.where(fits).select(*key))
+        left = stage.write(
+            tried.groupBy("source").agg((F.first("gap") - F.max(F.when(fits, F.col("place")))).alias("gap")), "left"
+        )
+        behind = stage.write(
+            tried.where(~fits).drop("gap", "place").alias("d")
+            .join(broadcast_if_small(left).alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
+            .where("d.size <= g.gap").select("d.*", "g.gap"),
+            "behind",
+        )
+    gaps, last = {}, []
+    for r in sorted(behind.collect(), key=lambda r: (r["range"], r["no"])):
+        left_over = gaps.get(r["source"], r["gap"])
+        if r["size"] <= left_over:
+            gaps[r["source"]] = left_over - r["size"]
+            last.append((r["source"], r["range"], r["no"]))
+    taken = behind.sparkSession.createDataFrame(last, behind.select(*key).schema)
+    for more in chosen:
+        taken = taken.unionByName(more)
+    return stage.write(taken, "fill")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -67,13 +116,15 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     salt: str = SALT,
+    one_filler: bool = False,
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies.
 
     A source's documents are all used as many times as its target holds its size, and
-    once more, in random order, as long as the running sum stays within what remains. The gap
-    that is left then, smaller than the next document, gets the largest document behind the
-    cut that fits into it. The order is by a hash of ``salt`` and the id, then id and size, so
+    once more, in random order, as long as the running sum stays within what remains. Behind
+    that cut each document with words that fits into what is then left is taken, in the same
+    order, so no document that is left out would fit. With ``one_filler`` only one is taken
+    there, the largest that fits: the rule of ``OP9_SQL``. The order is by a hash of ``salt`` and the id, then id and size, so
     runs agree. Rows alike in source, id and size (nulls are equal to each other) are cut
     together: all of them or none.
     A null text has no words; documents without words can be taken and weigh nothing.
@@ -111,11 +162,11 @@ def mix(
             "plan",
         )
         inside = W.partitionBy("range", "source").orderBy("rank", "id", "size")
-        running = placed.withColumn("running", F.sum("size").over(inside))
+        running = placed.withColumn("running", F.sum("size").over(inside)).withColumn("no", F.row_number().over(inside))
         same = (F.col("r.range") == F.col("p.range")) & F.col("r.source").eqNullSafe(F.col("p.source"))
         placed_in = stage.write(
             running.alias("r").join(plan.alias("p"), same).select(
-                "r.id", "r.source", "r.size", "r.rank", "p.source_size", "p.target", "p.epochs", "p.rest",
+                "r.id", "r.source", "r.size", "r.rank", "r.range", "r.no", "p.source_size", "p.target", "p.epochs", "p.rest",
                 (F.col("p.offset") + F.col("r.running")).alias("place"),
             ),
             "placed",
@@ -128,16 +179,24 @@ def mix(
         with_gap = placed_in.alias("d").join(
             broadcast_if_small(stage.write(gaps, "gaps")).alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))
         )
-        fits = with_gap.where(~again & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
-        fill = stage.write(fits.groupBy("d.source").agg(F.max(best).alias("fill")), "fill")
+        behind = with_gap.where(~again).select("d.source", "range", "no", "size", "rank", "id", "gap")
+        if one_filler:
+            fits = behind.where("size > 0 AND size <= gap")
+            fill = stage.write(fits.groupBy("source").agg(F.max(best).alias("fill")), "fill")
+            filler = best == F.col("f.fill")
+        else:
+            fill = _fill(behind.drop("rank", "id"), stage)
+            filler = F.col("f.no").isNotNull()
         on_fill = F.col("d.source").eqNullSafe(F.col("f.source"))
-        filled = placed_in.alias("d").join(broadcast_if_small(fill).alias("f"), on_fill, "left").select("d.*", "f.fill")
-        taken = again | F.coalesce(best == F.col("fill"), F.lit(False))
+        if not one_filler:
+            on_fill &= (F.col("d.range") == F.col("f.range")) & (F.col("d.no") == F.col("f.no"))
+        taken = again | F.coalesce(filler, F.lit(False))
         copies = F.when(F.col("epochs") >= max_epochs, F.lit(max_epochs)).otherwise(
             F.col("epochs") + taken.cast("long")
         )
+        filled = placed_in.alias("d").join(broadcast_if_small(fill).alias("f"), on_fill, "left")
         return written(
-            filled.select("id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")),
+            filled.select("id", "d.source", "size", "source_size", "target", copies.cast("long").alias("copies")),
             "mixed",
         )
 
@@ -163,9 +222,9 @@ def mixed_documents(
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it."""
+    """Every document with the words that the mix takes of it, by the rule of its SQL."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).select(
+    return mix(docs, one_filler=True).select(
         F.col("id").alias("doc_id"),
         "size",
         "source_size",

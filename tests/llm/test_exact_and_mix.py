@@ -119,3 +119,30 @@ def test_mixed_documents_repeat_rows_with_their_columns(spark):
 def test_empty_mix(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert mixing.mixed_documents(docs(spark, [])).count() == 0
+
+
+def chosen(sizes, rest):
+    """Ids of (id, size), in order of their hash, that are taken within ``rest`` words: up to the
+    first that does not fit, and behind it each with words that fits."""
+    left, cut, found = rest, False, []
+    for i, size in sorted(sizes, key=lambda d: hashlib.md5(f"mix:{d[0]}".encode()).hexdigest()):
+        cut = cut or size > left
+        if size <= left and (size or not cut):
+            left -= size
+            found.append(i)
+    return found
+
+
+@pytest.mark.parametrize("few", [mixing.FEW, 0])
+def test_every_document_that_still_fits_is_taken(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)
+    own = {s: [300 if k % 9 == 0 else 0 if k % 23 == 0 else 1 + k * p % 40 for k in range(90)]
+           for s, p in (("a", 7), ("b", 11), (None, 13))}
+    rows = [(n * 100 + k, " ".join(["w"] * size), s) for n, (s, sizes) in enumerate(own.items()) for k, size in enumerate(sizes)]
+    got = mixing.mix(docs(spark, rows).repartition(5)).collect()
+    target = shares({s: sum(x) for s, x in own.items()})
+    for n, (s, sizes) in enumerate(own.items()):
+        epochs = int(target[s] // sum(sizes))
+        more = chosen([(n * 100 + k, size) for k, size in enumerate(sizes)], target[s] - epochs * sum(sizes))
+        assert sorted(r.id for r in got if r.source == s and r.copies > epochs) == sorted(more)
+    assert plain(mixing.mix(docs(spark, rows).repartition(2)).collect()) == plain(got)
