@@ -125,8 +125,9 @@ def mix(
     that cut each document with words that fits into what is then left is taken, in the same
     order, so no document that is left out would fit. With ``one_filler`` only one is taken
     there, the largest that fits: the rule of ``OP9_SQL``. The order is by a hash of ``salt`` and the id, then id and size, so
-    runs agree. Rows alike in source, id and size (nulls are equal to each other) are cut
-    together: all of them or none.
+    runs agree. Rows alike in source, id and size (nulls are equal to each other) are cut one by
+    one; with ``one_filler``, as in ``OP9_SQL``, the running sum takes all of them or none, and
+    one of them can be the filler.
     A null text has no words; documents without words can be taken and weigh nothing.
     Other columns of ``docs`` are not read. Empty tables give an empty result.
     """
@@ -162,7 +163,9 @@ def mix(
             "plan",
         )
         inside = W.partitionBy("range", "source").orderBy("rank", "id", "size")
-        running = placed.withColumn("running", F.sum("size").over(inside)).withColumn("no", F.row_number().over(inside))
+        # rows alike in the order share a sum with those of their rank, and have one of their own by rows
+        frame = inside if one_filler else inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+        running = placed.withColumn("running", F.sum("size").over(frame)).withColumn("no", F.row_number().over(inside))
         same = (F.col("r.range") == F.col("p.range")) & F.col("r.source").eqNullSafe(F.col("p.source"))
         placed_in = stage.write(
             running.alias("r").join(plan.alias("p"), same).select(
@@ -175,22 +178,20 @@ def mix(
         gaps = placed_in.groupBy("source").agg(
             (F.first("rest") - F.coalesce(F.max(F.when(again, F.col("place"))), F.lit(0))).alias("gap")
         )
-        best = F.struct("size", "rank", "id")
+        best = F.struct("size", "rank", "id", "range", "no")  # one row, also among rows that are alike
         with_gap = placed_in.alias("d").join(
             broadcast_if_small(stage.write(gaps, "gaps")).alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))
         )
         behind = with_gap.where(~again).select("d.source", "range", "no", "size", "rank", "id", "gap")
         if one_filler:
             fits = behind.where("size > 0 AND size <= gap")
-            fill = stage.write(fits.groupBy("source").agg(F.max(best).alias("fill")), "fill")
-            filler = best == F.col("f.fill")
+            largest = fits.groupBy("source").agg(F.max(best).alias("fill"))
+            fill = stage.write(largest.select("source", "fill.range", "fill.no"), "fill")
         else:
             fill = _fill(behind.drop("rank", "id"), stage)
-            filler = F.col("f.no").isNotNull()
         on_fill = F.col("d.source").eqNullSafe(F.col("f.source"))
-        if not one_filler:
-            on_fill &= (F.col("d.range") == F.col("f.range")) & (F.col("d.no") == F.col("f.no"))
-        taken = again | F.coalesce(filler, F.lit(False))
+        on_fill &= (F.col("d.range") == F.col("f.range")) & (F.col("d.no") == F.col("f.no"))
+        taken = again | F.col("f.no").isNotNull()
         copies = F.when(F.col("epochs") >= max_epochs, F.lit(max_epochs)).otherwise(
             F.col("epochs") + taken.cast("long")
         )
@@ -206,21 +207,46 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their columns only.
 
-    The mix is joined by id and source. Where several rows share both, the one with most
-    copies speaks for all.
+    The mix is joined by id and source. Where rows that share both are taken unequally often, they
+    are numbered by their texts within their size, and the first of each size are used once more.
     """
     plan = mix(docs, id_col, text_col, source_col, **options)
-    times = plan.groupBy("id", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
+    times = plan.groupBy("id", "source").agg(F.max("copies").alias("copies"), F.min("copies").alias("least"))
+    times = written(times.where("copies > 0"), "times")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
     )
     same = F.col("r.id").eqNullSafe(F.col("t.id")) & F.col("r.source").eqNullSafe(F.col("t.source"))
-    taken = rows.alias("r").join(times.alias("t"), same).select("r.row", "t.copies")
+    taken = rows.alias("r").join(times.where("copies = least").alias("t"), same).select("r.row", "t.copies")
+    apart = times.where("copies > least")
+    if not apart.isEmpty():
+        taken = taken.unionByName(_numbered(rows, plan, apart, text_col))
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
+def _numbered(rows: DataFrame, plan: DataFrame, apart: DataFrame, text_col: str) -> DataFrame:
+    """(row, copies) of the rows whose id and source are in ``apart``, if there are any."""
+    same = F.col("r.id").eqNullSafe(F.col("t.id")) & F.col("r.source").eqNullSafe(F.col("t.source"))
+    alike = F.col("r.size").eqNullSafe(F.col("t.size")) & same
+    text = F.col("row").getField(text_col)
+    own = written(
+        rows.alias("r").join(apart.alias("t"), same).select("r.*", "t.least")
+        .withColumn("size", word_count(text)).withColumn("at", F.monotonically_increasing_id()),
+        "apart",
+    )
+    more = plan.alias("r").join(apart.alias("t"), same).where("r.copies > t.least")
+    more = written(more.groupBy("r.id", "r.source", "size").agg(F.count(F.lit(1)).alias("n")), "more")
+    # numbers without the texts: a task holds little of rows that are alike
+    order = W.partitionBy("id", "source", "size").orderBy("digest", "at")
+    numbers = own.select("id", "source", "size", "at", F.xxhash64(text).alias("digest")).withColumn("no", F.row_number().over(order))
+    first = written(numbers.alias("r").join(more.alias("t"), alike).where("r.no <= t.n").select("r.at"), "first")
+    again = own.join(first.withColumn("extra", F.lit(1)), "at", "left")
+    copies = F.col("least") + F.coalesce(F.col("extra"), F.lit(0))
+    return again.select("row", copies.alias("copies")).where("copies > 0")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it, by the rule of its SQL."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from askloom.llm import exact_dedup, mixing
@@ -146,3 +147,35 @@ def test_every_document_that_still_fits_is_taken(spark, monkeypatch, few):
         more = chosen([(n * 100 + k, size) for k, size in enumerate(sizes)], target[s] - epochs * sum(sizes))
         assert sorted(r.id for r in got if r.source == s and r.copies > epochs) == sorted(more)
     assert plain(mixing.mix(docs(spark, rows).repartition(2)).collect()) == plain(got)
+
+
+TIES = [(None, "w " * 10 + str(k), "a") for k in range(100)] + [(7, "w " * 9, "b")] * 60
+TIES += [(k, "w " * 30, "c") for k in range(100, 120)] + [(None, "w " * k, "c") for k in (3, 3, 3, 5, 5, 40)]
+
+
+def test_rows_alike_are_cut_one_by_one(spark):
+    frame = docs(spark, TIES).repartition(3)
+    target, taken, own = shares({"a": 1100, "b": 540, "c": 659}), {}, {"a": 11, "b": 9, "c": 3}
+    got = mixing.mix(frame).collect()
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.size * r.copies
+    assert all(0 <= target[s] - n < own[s] for s, n in taken.items() if s != "c") and taken["c"] <= target["c"]
+    mixed = mixing.mixed_documents(frame).collect()
+    words = dict.fromkeys(taken, 0)
+    for r in mixed:
+        words[r.source] += len(r.text.split())
+    assert words == taken and len(mixed) == sum(r.copies for r in got)
+    # none of the different texts of one id is used for another
+    most = max(r.copies for r in got if r.source == "a")
+    times = [sum(1 for r in mixed if r.source == "a" and r.text == t) for _, t, s in TIES if s == "a"]
+    assert set(times) <= {most - 1, most}
+
+
+def test_rows_alike_in_the_query_and_its_sql(spark, tmp_path):
+    frame = docs(spark, TIES).select("doc_id", "text", "source")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = mixing.op9_mix_sources(spark, str(tmp_path)).collect()
+    want = con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.OP9_SQL})").fetchall()
+    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, want))
