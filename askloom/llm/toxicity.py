@@ -213,8 +213,8 @@ def train(
     """A model from the labelled rows that are not held out.
 
     Of each class the rows with the smallest hash of their id are taken, as many as
-    ``settings`` allow, with their whole texts. Ids with several labels count as 1 if one of them is; null labels, and
-    ids without a text, are left out.
+    ``settings`` allow, with their whole texts. Ids with several labels count as 1 if one of them is, and of ids with
+    several texts the one with the smallest hash is taken; null labels, and ids without a text, are left out.
     """
     known = (
         labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"))
@@ -230,7 +230,8 @@ def train(
     chosen = chosen.cache()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # at most (1 + negatives) * max_train ids, so their broadcast is bounded
-    found = texts.join(F.broadcast(chosen), "id").where("text IS NOT NULL").collect()
+    own = texts.join(F.broadcast(chosen), "id").where("text IS NOT NULL")
+    found = own.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).collect()
     chosen.unpersist()
     rows = sorted(((r["id"], r["text"], int(r["label"])) for r in found))
     del found

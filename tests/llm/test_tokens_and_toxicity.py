@@ -116,6 +116,18 @@ def test_scores_of_odd_texts(spark, model):
     assert toxicity.with_scores(docs(spark, []), model).count() == 0
 
 
+def test_training_uses_one_text_of_a_repeated_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, settings: seen.append(list(zip(texts, labels))))
+    rows = [(i, f"text {i}") for i in range(60)] + [(2, None)] + [(i, f"other {k}") for i in (0, 1, 7, 8) for k in range(50)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    for parts in (1, 5):
+        toxicity.train(docs(spark, rows).repartition(parts), marks)
+    own = {i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {0, 1, 7, 8} <= own and len(seen[0]) == len(own) and seen[0] == seen[1]
+    assert {(f"text {i}", i % 2) for i in own - {0, 1, 7, 8}} <= set(seen[0])
+
+
 def test_training_uses_no_held_out_row(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "fit", lambda texts, labels, settings: seen.extend(zip(texts, labels)))
