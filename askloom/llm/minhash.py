@@ -32,6 +32,7 @@ HALVES, ROWS = 20, 4
 SEED = 11
 BATCH_SHINGLES = 1 << 18
 BLOCK = 512  # sets on either side that a task compares
+BLOCK_SHINGLES = 1 << 20  # and their shingles, on average at most; one set may hold more
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -223,18 +224,23 @@ def _clusters(buckets: DataFrame, stage: Staging) -> DataFrame:
     return components(edges).withColumnRenamed("component", "cluster")
 
 
-def _blocks(members: DataFrame, stage: Staging, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(
+    members: DataFrame, stage: Staging, percent: int, block: int, block_shingles: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Members (id, doc, n, cluster) with their place (cluster, band, part), and the pairs of places
     to compare.
 
     Small clusters share a place; none is cut. A large one is cut into bands by the
     logarithm of the set's size, so that only neighbouring bands can be linked, and a band into
-    as many parts as it needs.
+    as many parts as it needs, by its shingles as by its sets.
     """
-    sizes = stage.write(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("of_cluster")), "sizes")
-    small = sizes.where(F.col("of_cluster") <= block).agg(F.sum("of_cluster")).first()[0] or 0
-    packs = max(1, -(-small // (block // 2)))
-    is_small = F.col("of_cluster") <= block
+    limit = block_shingles or BLOCK_SHINGLES
+    sizes = stage.write(
+        members.groupBy("cluster").agg(F.count(F.lit(1)).alias("of_cluster"), F.sum("n").alias("shingles_of")), "sizes"
+    )
+    is_small = (F.col("of_cluster") <= block) & (F.col("shingles_of") <= limit // 4)
+    small = sizes.where(is_small).agg(F.sum("of_cluster"), F.sum("shingles_of")).first()
+    packs = max(1, -(-(small[0] or 0) // (block // 2)), -(-(small[1] or 0) // max(1, limit // 2)))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - F.lit(1e-9)).cast("int")
     banded = stage.write(
         members.join(sizes, "cluster").select(
@@ -244,7 +250,8 @@ def _blocks(members: DataFrame, stage: Staging, percent: int, block: int) -> tup
         ),
         "banded",
     )
-    large = banded.where(F.col("band") >= 0).groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / limit)).cast("int")
+    large = banded.where(F.col("band") >= 0).groupBy("cluster", "band").agg(parts.alias("parts"))
     packed = banded.where(F.col("band") < 0).select("cluster", "band").distinct().withColumn("parts", F.lit(1))
     bands = stage.write(large.unionByName(packed), "bands")
     placed = banded.join(bands, ["cluster", "band"]).select(
@@ -268,6 +275,7 @@ def near_groups(
     halves: int = HALVES,
     rows: int = ROWS,
     block: int = BLOCK,
+    block_shingles: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
@@ -291,7 +299,7 @@ def near_groups(
         buckets = _buckets(sets, stage, halves)
         clusters = _clusters(buckets, stage)
         members = stage.write(sets.select("id", "doc", "n").join(clusters, "id"), "members")
-        placed, pairs = _blocks(members, stage, percent, block)
+        placed, pairs = _blocks(members, stage, percent, block, block_shingles)
         # A filter of the documents asked for, of bounded size, spares their texts a shuffle. What
         # it lets through wrongly, and other rows of an id, give sets that the join drops.
         name = F.unhex(F.sha2(F.col("doc").cast("string"), 256))

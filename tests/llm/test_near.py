@@ -87,6 +87,23 @@ def test_large_clusters_are_compared_in_blocks(spark):
     assert sorted(map(str, map(tuple, one))) == sorted(map(str, map(tuple, many)))
 
 
+def test_long_texts_get_smaller_blocks(spark):
+    sets = [(i, i, 50_000 + i, 1) for i in range(100)] + [(1000 + i, i, 20_000, 10 + i // 2) for i in range(400)]
+    with minhash.Staging(spark, "blocks") as stage:
+        members = spark.createDataFrame(sets, "id long, doc long, n long, cluster long")
+        placed, pairs = (x.collect() for x in minhash._blocks(members, stage, 80, 512))
+    held, place, n = {}, {}, {i: n for i, _, n, _ in sets}
+    for r in placed:
+        place[r.id] = (r.cluster, r.band, r.part)
+        held[place[r.id]] = held.get(place[r.id], 0) + n[r.id]
+    assert len(place) == len(sets) and max(held.values()) < 3 << 20
+    met = {frozenset([(p.cluster, p.band, p.part), (p.cluster, p.band_2, p.part_2)]) for p in pairs}
+    assert all(frozenset([place[a], place[b]]) in met for a, _, _, c in sets for b, _, _, d in sets if a < b and c == d)
+    rows = near_copies(4, 3, 20)
+    one, many = (minhash.near_groups(docs(spark, rows), words=4, block_shingles=s).collect() for s in (None, 200))
+    assert sorted(map(str, map(tuple, one))) == sorted(map(str, map(tuple, many)))
+
+
 # -- Vectors --------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<double>, label string, id string, cell int, n_links string"
