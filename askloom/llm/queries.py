@@ -10,6 +10,7 @@ from .minhash import OP7_SQL, op7_minhash
 from .mixing import OP9_SQL, op9_mix_sources
 from .suffix_dedup import op6_suffix_dedup
 from .toxicity import op2_toxicity
+from .quality_rules import OP13_SQL, op13_quality_rules
 from .url_filters import OP5_SQL, op5_url_filter
 from .warc import OP1_SQL, op1_warc
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLES = {
@@ -34,4 +36,5 @@ ORACLES = {
     "op8_line_dedup": OP8_SQL,
     "op9_mix_sources": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op13_quality_rules": OP13_SQL,
 }
