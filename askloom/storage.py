@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from types import TracebackType
 
 from pyspark.errors import AnalysisException
@@ -28,8 +30,30 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
 
 
+_open_sweeps: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for names in _open_sweeps:
+        names.append(folder)
+    return folder
+
+
+@contextmanager
+def swept(spark: SparkSession, keep: Iterable[str] = ()) -> Iterator[None]:
+    """Delete at the end every folder that jobs inside have named by ``new_folder``, but ``keep``.
+
+    For a caller who has written what it needs: tables that a job returns unread lie there too.
+    """
+    names: list[str] = []
+    _open_sweeps.append(names)
+    try:
+        yield
+    finally:
+        _open_sweeps[:] = [x for x in _open_sweeps if x is not names]
+        for folder in set(names) - set(keep):
+            remove_folder(spark, folder)
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
