@@ -6,11 +6,13 @@ from .bpe import op3_bpe
 from .cover_tree import OP4_SQL, op4_cover_tree
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .minhash import OP7_SQL, op7_minhash
 from .mixing import OP9_SQL, op9_mix_sources
+from .phrases import OP11_SQL, op11_phrases
+from .quality_rules import OP13_SQL, op13_quality_rules
 from .suffix_dedup import op6_suffix_dedup
 from .toxicity import op2_toxicity
-from .quality_rules import OP13_SQL, op13_quality_rules
 from .url_filters import OP5_SQL, op5_url_filter
 from .warc import OP1_SQL, op1_warc
 
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_phrases": op11_phrases,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_quality_rules": op13_quality_rules,
 }
 
@@ -36,5 +40,7 @@ ORACLES = {
     "op8_line_dedup": OP8_SQL,
     "op9_mix_sources": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_phrases": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
     "op13_quality_rules": OP13_SQL,
 }
