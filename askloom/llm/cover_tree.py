@@ -381,7 +381,7 @@ def embedding_groups(
             .applyInArrow(_linked_cells(threshold), "id long, n_links long, other long"),
             "links",
         )
-        groups = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
+        groups = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")), stage)
         counts = found.groupBy("id").agg(F.sum("n_links").alias("n"))
         of_node = (
             named.select("label", "key", "copies", F.col("id").alias("least"), F.col("node").alias("id"))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..storage import Staging, written
 
@@ -139,7 +140,7 @@ def repeated_filter(digests: DataFrame, bits: int, at_least: int = 2) -> np.ndar
     return packed
 
 
-def maybe_repeated(spark: SparkSession, packed: np.ndarray, digest: str) -> Column:
+def maybe_repeated(spark: SparkSession, packed: np.ndarray, digest: str | Column) -> Column:
     """False where a digest is certainly unique."""
     bits, sent = len(packed) * 8, spark.sparkContext.broadcast(packed)
 
@@ -149,7 +150,23 @@ def maybe_repeated(spark: SparkSession, packed: np.ndarray, digest: str) -> Colu
         is_set = (found[numbers >> 3] >> (7 - (numbers & 7)).astype(np.uint8)) & 1
         return pa.array(is_set.all(axis=1))
 
-    return probe(F.col(digest))
+    return probe(F.col(digest) if isinstance(digest, str) else digest)
+
+
+def parted(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` may be in ``keys`` (a column of that name), and those where it is not.
+
+    A Bloom filter of bounded size tells them apart inside the tasks that read the rows, so only
+    the first need a shuffle to be matched. Nothing in ``keys`` is among the second. The key
+    is compared as text; null is a key like any other.
+    """
+
+    def name(value: Column) -> Column:
+        return F.unhex(F.sha2(F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("-")), 256))
+
+    packed = repeated_filter(keys.select(name(F.col("key"))), filter_bits(keys.count()), at_least=1)
+    maybe = maybe_repeated(rows.sparkSession, packed, name(key))
+    return rows.where(maybe), rows.where(~maybe)
 
 
 def exact_groups(
@@ -162,7 +179,7 @@ def exact_groups(
 
     Texts are equal when their bytes are (null counts as empty); SHA-256 stands for
     the text. Of equal texts the row with the largest id stays. Rows that share id and
-    text cannot be told apart and are kept alike. A null id is smaller than all
+    text cannot be told apart and are kept alike. Ids are of any type that has an order. A null id is smaller than all
     others; a group of nulls alone has a null ``keep_id`` and is kept. Other columns
     of ``docs`` are not read. An empty table gives an empty result.
     """
@@ -177,7 +194,7 @@ def exact_groups(
         packed = repeated_filter(rows.select("digest"), bits)
         path = stage.path("probed")
         rows.withColumn("maybe", maybe_repeated(spark, packed, "digest")).write.partitionBy("maybe").parquet(path)
-        probed = spark.read.schema("id long, digest binary, maybe boolean").parquet(path)
+        probed = spark.read.schema(StructType([*rows.schema.fields, StructField("maybe", BooleanType())])).parquet(path)
         maybe, alone = probed.where("maybe"), probed.where("NOT maybe")
         groups = stage.write(
             maybe.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),

@@ -9,8 +9,10 @@ Candidates are verified on the full shingle sets. Texts with equal sets are one
 the start. Texts that buckets connect form a cluster, and each text's set travels to its
 cluster once. A cluster is compared as a whole inside a task, by an index of its shingles; the
 task returns links that span its groups of near copies and never the pairs. A cluster too
-large for a task is cut into blocks, by size of the sets first since sets of very different
-size cannot be linked, and blocks are compared with each other.
+large for a task is first compared with a few of its own sets. Most of a group of near copies is
+joined by that and needs no further comparison with itself. The rest is cut into blocks, by size
+of the sets first since sets of very different size cannot be linked, and compared with all that it
+is not yet joined with; what is joined counts as one there, so links stay few.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import Staging, written
@@ -33,6 +35,7 @@ SEED = 11
 BATCH_SHINGLES = 1 << 18
 BLOCK = 512  # sets on either side that a task compares
 BLOCK_SHINGLES = 1 << 20  # and their shingles, on average at most; one set may hold more
+STARS = 4  # sets of a large cluster that all others are compared with first
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -85,12 +88,12 @@ def half_keys(sets: list[np.ndarray], halves: int = HALVES, rows: int = ROWS) ->
     return keys.view(np.int64)
 
 
-_SIGNED = "doc long, id long, n long, halves array<long>"
+_SIGNED = "doc long, digest binary, n long, halves array<long>"
 
 
-def _set_id(shingles: np.ndarray) -> int:
-    """A signed 64-bit hash of a set, which stands for it."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
+def _set_digest(shingles: np.ndarray) -> bytes:
+    """A 128-bit hash of a set, which stands for it."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def _signed(words: int, halves: int, rows: int):
@@ -104,7 +107,7 @@ def _signed(words: int, halves: int, rows: int):
             return pa.RecordBatch.from_pydict(
                 {
                     "doc": pa.array(ids, pa.int64()),
-                    "id": pa.array([_set_id(s) for s in sets], pa.int64()),
+                    "digest": pa.array([_set_digest(s) for s in sets], pa.binary()),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "halves": pa.array(lists, pa.list_(pa.int64())),
                 }
@@ -131,7 +134,7 @@ def _sets(words: int):
             sets = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "id": pa.array([_set_id(s) for s in sets], pa.int64()),
+                    "digest": pa.array([_set_digest(s) for s in sets], pa.binary()),
                     "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
                 }
             )
@@ -140,7 +143,10 @@ def _sets(words: int):
 
 
 def _spanning_links(percent: int):
-    """Of the sets of one block, or of two, links that connect what all their links connect."""
+    """Of the sets of one block, or of two, links that connect what all their links connect.
+
+    Sets with the same ``joined``, if that is no -1, are connected already.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -148,6 +154,11 @@ def _spanning_links(percent: int):
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         sizes = np.array([len(x) for x in sets])
         two = bool(side.any())
+        # what is joined is one: the first of it stands for all
+        stands = np.arange(len(sets))
+        joined = table.column("joined").to_numpy()
+        _, first_of, back = np.unique(joined, return_index=True, return_inverse=True)
+        stands[joined >= 0] = first_of[back][joined >= 0]
         # an index of the shingles that several of the sets hold
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(flat, kind="stable")
@@ -171,8 +182,9 @@ def _spanning_links(percent: int):
             both = np.bincount(owner[places], minlength=len(sets))
             linked = 100 * both >= percent * (sizes[x] + sizes - both)
             linked &= (side == 1) if two else (np.arange(len(sets)) > x)
-            found = np.flatnonzero(linked)
-            first.append(np.full(len(found), x))
+            linked &= stands != stands[x]
+            found = np.unique(stands[linked])
+            first.append(np.full(len(found), stands[x]))
             second.append(found)
         a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (first, second))
         while len(a):
@@ -184,8 +196,8 @@ def _spanning_links(percent: int):
             if (new == label).all():
                 break
             label = new
-        joined = np.flatnonzero(label != np.arange(len(sets)))
-        return pa.table([ids[label[joined]], ids[joined]], schema=schema)
+        moved = np.flatnonzero(label != np.arange(len(sets)))
+        return pa.table([ids[label[moved]], ids[moved]], schema=schema)
 
     return run
 
@@ -221,49 +233,86 @@ def _clusters(buckets: DataFrame, stage: Staging) -> DataFrame:
     """(id, cluster): sets that buckets connect, in a row or directly."""
     centers = stage.write(buckets.groupBy("key").agg(F.min("id").alias("center")), "centers")
     edges = buckets.join(centers, "key").where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"))
-    return components(edges).withColumnRenamed("component", "cluster")
+    return components(edges, stage).withColumnRenamed("component", "cluster")
+
+
+def _parts(limit: int, block: int) -> Column:
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / limit)).cast("int")
 
 
 def _blocks(
     members: DataFrame, stage: Staging, percent: int, block: int, block_shingles: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Members (id, doc, n, cluster) with their place (cluster, band, part), and the pairs of places
-    to compare.
+    """Members (id, n, cluster, is_small, joined) with their place (cluster, joined, band, part), and
+    the pairs of places to compare.
 
     Small clusters share a place; none is cut. A large one is cut into bands by the
     logarithm of the set's size, so that only neighbouring bands can be linked, and a band into
-    as many parts as it needs, by its shingles as by its sets.
+    what is ``joined`` and what is not (-1), and these into as many parts as they need, by their
+    shingles as by their sets. Places of the same ``joined`` are not compared.
     """
     limit = block_shingles or BLOCK_SHINGLES
-    sizes = stage.write(
-        members.groupBy("cluster").agg(F.count(F.lit(1)).alias("of_cluster"), F.sum("n").alias("shingles_of")), "sizes"
-    )
-    is_small = (F.col("of_cluster") <= block) & (F.col("shingles_of") <= limit // 4)
-    small = sizes.where(is_small).agg(F.sum("of_cluster"), F.sum("shingles_of")).first()
+    small = members.where("is_small").agg(F.count(F.lit(1)), F.sum("n")).first()
     packs = max(1, -(-(small[0] or 0) // (block // 2)), -(-(small[1] or 0) // max(1, limit // 2)))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - F.lit(1e-9)).cast("int")
     banded = stage.write(
-        members.join(sizes, "cluster").select(
-            "id", "doc", "n", "of_cluster",
-            F.when(is_small, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.col("cluster")).alias("cluster"),
-            F.when(is_small, F.lit(-1)).otherwise(band).alias("band"),
+        members.select(
+            "id", "n", "joined",
+            F.when(F.col("is_small"), F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.col("cluster")).alias("cluster"),
+            F.when(F.col("is_small"), F.lit(-1)).otherwise(band).alias("band"),
         ),
         "banded",
     )
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / limit)).cast("int")
-    large = banded.where(F.col("band") >= 0).groupBy("cluster", "band").agg(parts.alias("parts"))
-    packed = banded.where(F.col("band") < 0).select("cluster", "band").distinct().withColumn("parts", F.lit(1))
+    key = ["cluster", "joined", "band"]
+    large = banded.where(F.col("band") >= 0).groupBy(*key).agg(_parts(limit, block).alias("parts"))
+    packed = banded.where(F.col("band") < 0).select(*key).distinct().withColumn("parts", F.lit(1))
     bands = stage.write(large.unionByName(packed), "bands")
-    placed = banded.join(bands, ["cluster", "band"]).select(
-        "id", "doc", "cluster", "band", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")
+    placed = banded.join(bands, key).select("id", *key, F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    one = bands.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    same = one.where("joined < 0").select(
+        *key, "part", F.col("joined").alias("joined_2"), F.col("band").alias("band_2"),
+        F.explode(F.sequence("part", F.col("parts") - 1)).alias("part_2"),
+    )
+    other = one.where("band >= 0").select(
+        "cluster", F.col("joined").alias("joined_2"), F.col("band").alias("band_2"), F.col("part").alias("part_2")
+    )
+    beside = one.where("band >= 0").withColumn("band_2", F.explode(F.array("band", F.col("band") + 1)))
+    across = beside.join(other, ["cluster", "band_2"]).where(
+        "(band < band_2 AND (joined < 0 OR joined <> joined_2)) OR (band = band_2 AND joined < joined_2)"
     )
-    numbers = F.sequence(F.lit(0), F.col("parts") - 1)
-    one = bands.withColumn("part", F.explode(numbers))
-    same = one.select("cluster", "band", "part", F.col("band").alias("band_2"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("part_2"))
-    above = bands.where("band >= 0").select("cluster", (F.col("band") - 1).alias("band"), F.col("band").alias("band_2"), F.explode(numbers).alias("part_2"))
-    across = one.where("band >= 0").join(above, ["cluster", "band"]).select("cluster", "band", "part", "band_2", "part_2")
-    pairs = same.unionByName(across)
-    return placed, stage.write(pairs.withColumn("pair", F.xxhash64("cluster", "band", "part", "band_2", "part_2")), "block-pairs")
+    names = [*key, "part", "joined_2", "band_2", "part_2"]
+    pairs = same.select(*names).unionByName(across.select(*names))
+    return placed, stage.write(pairs.withColumn("pair", F.xxhash64(*names)), "block-pairs")
+
+
+def _sized(members: DataFrame, stage: Staging, block: int, limit: int) -> DataFrame:
+    """Members (id, digest, doc, n, cluster) with ``is_small``: whether a task can take their cluster."""
+    sizes = members.groupBy("cluster").agg(
+        ((F.count(F.lit(1)) <= block) & (F.sum("n") <= limit // 4)).alias("is_small")
+    )
+    return stage.write(members.join(stage.write(sizes, "sizes"), "cluster"), "sized")
+
+
+def _star_links(full: DataFrame, stage: Staging, percent: int, block: int, limit: int) -> DataFrame:
+    """Links (a, b) of the sets of large clusters to those few that stand out by a hash."""
+    large = full.where("NOT is_small")
+    order = F.struct(F.xxhash64("id"), F.col("id"))
+    # the least by hash of each of STARS shares: no cluster is sorted
+    share = F.pmod(F.xxhash64(F.lit("star"), "id"), F.lit(STARS))
+    centers = large.select("cluster", share.alias("share"), "id", order.alias("order"))
+    centers = stage.write(centers.groupBy("cluster", "share").agg(F.min_by("id", "order").alias("id")).drop("share"), "stars")
+    parts = stage.write(large.groupBy("cluster").agg(_parts(limit, block).alias("parts")), "star-parts")
+    of_part = F.pmod(F.xxhash64("id"), "parts").cast("int")
+    members = large.join(parts, "cluster").select(
+        F.xxhash64("cluster", of_part).alias("pair"), F.lit(0).alias("side"), "id", F.lit(-1).cast("long").alias("joined"), "shingles"
+    )
+    repeated = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    stars = stage.write(large.join(centers, ["cluster", "id"], "left_semi").select("cluster", "id", "shingles"), "star-sets")
+    beside = stars.join(repeated, "cluster").select(
+        F.xxhash64("cluster", "part").alias("pair"), F.lit(1).alias("side"), "id", F.lit(-1).cast("long").alias("joined"), "shingles"
+    )
+    both = members.unionByName(beside)
+    return stage.write(both.groupBy("pair").applyInArrow(_spanning_links(percent), "a long, b long"), "star-links")
 
 
 def near_groups(
@@ -282,7 +331,7 @@ def near_groups(
     Texts are linked when at least ``percent`` of the union of their shingle sets is in both.
     Two texts at exactly 80 % meet in a bucket with a probability of 0.99995 at the default
     settings (0.41 for one half key; one of twenty in both collections); beyond that nothing
-    is left to chance. Shingles and sets are known by 64-bit hashes. ``component_id`` is the
+    is left to chance. Shingles are known by hashes of 64 bits, equal sets by such of 128. ``component_id`` is the
     smallest id that links reach; a text without words, or null, is linked with nothing. Rows
     with a null id are linked with nothing, keep a null component, and are kept. Rows with one id
     are judged by their own texts. Other columns are not read.
@@ -292,40 +341,45 @@ def near_groups(
     with Staging(spark, "minhash") as stage:
         signed = stage.write(texts.mapInArrow(_signed(words, halves, rows), _SIGNED), "signed")
         known = signed.where("doc IS NOT NULL AND n > 0")
-        sets = stage.write(
-            known.groupBy("id").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("halves").alias("halves")),
-            "distinct",
-        )
+        distinct = known.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+        sets = stage.write(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
         buckets = _buckets(sets, stage, halves)
         clusters = _clusters(buckets, stage)
-        members = stage.write(sets.select("id", "doc", "n").join(clusters, "id"), "members")
-        placed, pairs = _blocks(members, stage, percent, block, block_shingles)
+        limit = block_shingles or BLOCK_SHINGLES
+        members = _sized(sets.select("id", "digest", "doc", "n").join(clusters, "id"), stage, block, limit)
         # A filter of the documents asked for, of bounded size, spares their texts a shuffle. What
         # it lets through wrongly, and other rows of an id, give sets that the join drops.
         name = F.unhex(F.sha2(F.col("doc").cast("string"), 256))
         wanted = repeated_filter(members.select(name.alias("name")), filter_bits(members.count()), at_least=1)
         asked = texts.where("doc IS NOT NULL").withColumn("name", name).where(maybe_repeated(spark, wanted, "name"))
-        made = asked.select("text").mapInArrow(_sets(words), "id long, shingles binary")
+        made = asked.select("text").mapInArrow(_sets(words), "digest binary, shingles binary")
         full = stage.write(
-            made.join(placed, "id").dropDuplicates(["id"]).select("id", "cluster", "band", "part", "shingles"), "sets"
+            made.join(members, "digest").dropDuplicates(["id"]).select("id", "n", "cluster", "is_small", "shingles"), "sets"
         )
-        place = ["cluster", "band", "part"]
-        left = full.join(pairs.select("pair", *place), place).withColumn("side", F.lit(0))
-        other = pairs.where("band <> band_2 OR part <> part_2").select(
-            "pair", "cluster", F.col("band_2").alias("band"), F.col("part_2").alias("part")
+        stars = _star_links(full, stage, percent, block, limit)
+        joined = components(stars, stage).select("id", F.col("component").alias("joined"))
+        rest = members.select("id", "n", "cluster", "is_small").join(joined, "id", "left")
+        placed, pairs = _blocks(rest.fillna(-1, ["joined"]), stage, percent, block, limit)
+        place = ["cluster", "joined", "band", "part"]
+        at_place = full.select("id", "shingles").join(placed, "id")
+        left = at_place.join(pairs.select("pair", *place), place).withColumn("side", F.lit(0))
+        other = pairs.where("band <> band_2 OR part <> part_2 OR joined <> joined_2").select(
+            "pair", "cluster", *[F.col(f"{c}_2").alias(c) for c in ("joined", "band", "part")]
         )
-        right = full.join(other, place).withColumn("side", F.lit(1))
-        both = left.unionByName(right).select("pair", "side", "id", "shingles")
-        links = stage.write(both.groupBy("pair").applyInArrow(_spanning_links(percent), "a long, b long"), "links")
-        groups = components(links)
+        right = at_place.join(other, place).withColumn("side", F.lit(1))
+        both = left.unionByName(right).select("pair", "side", "id", "joined", "shingles")
+        found = both.groupBy("pair").applyInArrow(_spanning_links(percent), "a long, b long")
+        links = stage.write(found.unionByName(stars), "links")
+        groups = components(links, stage)
         named = stage.write(
-            sets.select("id", "doc").join(groups, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component")),
+            sets.select("id", "digest", "doc").join(groups, "id", "left")
+            .select("digest", "doc", F.coalesce("component", "id").alias("component")),
             "groups",
         )
         least = stage.write(named.groupBy("component").agg(F.min("doc").alias("component_id")), "least")
-        of_set = stage.write(named.join(least, "component").select("id", "component_id"), "of-set")
+        of_set = stage.write(named.join(least, "component").select("digest", "component_id"), "of-set")
         is_known = F.col("doc").isNotNull() & (F.col("n") > 0)
-        linked = signed.where(is_known).join(of_set, "id").select("doc", "n", "component_id")
+        linked = signed.where(is_known).join(of_set, "digest").select("doc", "n", "component_id")
         alone = signed.where(~is_known).select("doc", "n", F.col("doc").alias("component_id"))
         joined, component = linked.unionByName(alone), F.col("component_id")
         return written(

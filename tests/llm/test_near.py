@@ -91,7 +91,8 @@ def test_long_texts_get_smaller_blocks(spark):
     sets = [(i, i, 50_000 + i, 1) for i in range(100)] + [(1000 + i, i, 20_000, 10 + i // 2) for i in range(400)]
     with minhash.Staging(spark, "blocks") as stage:
         members = spark.createDataFrame(sets, "id long, doc long, n long, cluster long")
-        placed, pairs = (x.collect() for x in minhash._blocks(members, stage, 80, 512))
+        sized = minhash._sized(members, stage, 512, minhash.BLOCK_SHINGLES).selectExpr("*", "-1L AS joined")
+        placed, pairs = (x.collect() for x in minhash._blocks(sized, stage, 80, 512))
     held, place, n = {}, {}, {i: n for i, _, n, _ in sets}
     for r in placed:
         place[r.id] = (r.cluster, r.band, r.part)
@@ -104,6 +105,39 @@ def test_long_texts_get_smaller_blocks(spark):
     assert sorted(map(str, map(tuple, one))) == sorted(map(str, map(tuple, many)))
 
 
+def copies(n):
+    random_ = random.Random(n)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(n):
+        own = list(base)
+        for _ in range(random_.randrange(1, 4)):
+            own[random_.randrange(60)] = f"n{random_.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_links_do_not_grow_with_the_square(spark, monkeypatch):
+    seen = []
+    own = minhash.components
+
+    def counted(links, *into):
+        seen[-1].append(links.count())
+        return own(links, *into)
+
+    monkeypatch.setattr(minhash, "components", counted)
+    for n in (300, 1200):
+        rows = copies(n)
+        seen.append([])
+        got = {r.id: r.component_id for r in minhash.near_groups(docs(spark, rows), words=4, block=64).collect()}
+        sets = {i: shingles(t, 4) for i, t in rows}
+        if n == 300:
+            links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+            assert got == reachable(links, sets)
+    (_, _, few), (_, _, many) = seen  # of buckets, of stars, of all that is verified
+    assert many / 1200 < 1.2 * few / 300
+
+
 # -- Vectors --------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<double>, label string, id string, cell int, n_links string"
