@@ -80,6 +80,19 @@ def test_errors_of_values(numbers):
         "SELECT count(*) FROM text.`/etc/hostname`",
         "SELECT id FROM numbers WHERE id IN (SELECT length(value) FROM text.`/etc/hostname`)",
         "WITH t AS (SELECT * FROM csv.`/etc/hostname`) SELECT * FROM t",
+        "SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT IDENTIFIER('builtin.reflect')('java.lang.System', 'lineSeparator')",
+        "SELECT id, IDENTIFIER('java' || '_method')('java.lang.System', 'lineSeparator') FROM numbers",
+        "SELECT count(*) FROM IDENTIFIER('text.`/etc/hostname`')",
+        "SELECT id FROM numbers WHERE EXISTS (SELECT 1 FROM IDENTIFIER('text' || '.`/etc/hostname`'))",
+        "SELECT transform(array(1), x -> java_method('java.lang.System', 'lineSeparator'))",
+        "SELECT sum(id) OVER (ORDER BY reflect('java.lang.System', 'lineSeparator')) FROM numbers",
+        "SELECT system.builtin.java_method('java.lang.System', 'lineSeparator')",
+        "SELECT * FROM numbers PIVOT (max(id) FOR id IN (1, 2)) JOIN text.`/etc/hostname`",
+        "SELECT * FROM numbers, LATERAL (SELECT * FROM json.`/etc/hostname`)",
+        "SELECT * FROM sql_keywords()",
+        "SELECT '${system:user.home}'",
+        "SELECT * FROM numbers LIMIT (SELECT count(*) FROM orc.`/etc`)",
     ],
 )
 def test_queries_that_reach_beyond_the_tables_are_refused(numbers, sql):
@@ -87,6 +100,57 @@ def test_queries_that_reach_beyond_the_tables_are_refused(numbers, sql):
     assert result.rows is None and "Refused" in result.error
 
 
+@pytest.mark.parametrize(
+    "sql,n",
+    [
+        ("SELECT IDENTIFIER('id') FROM IDENTIFIER('numbers')", 5),
+        ("SELECT IDENTIFIER('upper')('x'), IDENTIFIER('numbers.id') FROM numbers", 5),
+        ("SELECT n.id, count(*) FILTER (WHERE n.id > 1), max(n.id) OVER (PARTITION BY n.id ROWS 2 PRECEDING) FROM numbers n GROUP BY ALL", 5),
+        ("SELECT * FROM range(3) t(a) CROSS JOIN numbers TABLESAMPLE (100 PERCENT)", 15),
+        ("SELECT k, v FROM numbers LATERAL VIEW explode(map('a', id)) AS k, v WHERE id BETWEEN 1 AND 3", 3),
+        ("SELECT * FROM (SELECT id % 2 AS g, id FROM numbers) PIVOT (sum(id) AS s FOR g IN (0 AS even, 1 AS odd))", 1),
+        ("SELECT * FROM (SELECT 1 AS a, 2 AS b) UNPIVOT (v FOR n IN (a, b))", 2),
+        ("SELECT id FROM numbers INTERSECT SELECT 1 EXCEPT SELECT 2", 1),
+        ("SELECT id FROM numbers MINUS SELECT 1 ORDER BY id DESC NULLS LAST LIMIT 3 OFFSET 1", 3),
+        ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 4) SELECT * FROM t", 4),
+        ("SELECT CASE WHEN id IN (SELECT 1) THEN 'a' ELSE id::string || '!' END, transform(array(id), x -> x + 1)[0] FROM numbers", 5),
+        ("SELECT g, grouping(g) FROM (SELECT id % 2 AS g FROM numbers) GROUP BY ROLLUP (g) HAVING count(*) > 0 WINDOW w AS (ORDER BY g)", 3),
+        ("SELECT DATE '2020-01-01' + INTERVAL 1 DAY, EXTRACT(YEAR FROM current_date()), substring('abc' FROM 2 FOR 1), trim(BOTH 'x' FROM 'xax'), "
+         "current_date, 'a' LIKE 'b%' ESCAPE '!', 'a' RLIKE 'b', 1 <=> NULL, NOT true, -id, id div 2, named_struct('a', 1).a, "
+         "position('b' IN 'abc'), CAST(id AS DECIMAL(5, 2)), TRY_CAST('x' AS INT), id IS NOT DISTINCT FROM 1, "
+         "percentile_cont(0.5) WITHIN GROUP (ORDER BY id), any_value(id), TIMESTAMPADD(DAY, 1, TIMESTAMP '2020-01-01') "
+         "FROM numbers GROUP BY id", 5),
+        ("SELECT /*+ BROADCAST(a) */ a.id FROM numbers a JOIN numbers b USING (id) LEFT SEMI JOIN numbers c ON a.id = c.id", 5),
+        ("SELECT DISTINCT * EXCEPT (k) FROM (SELECT id, 1 AS k FROM numbers NATURAL JOIN numbers m)", 5),
+        ("FROM numbers |> WHERE id > 1 |> SELECT id", 3),
+    ],
+)
+def test_what_queries_may_say(numbers, sql, n):
+    result = execute_query(numbers, sql)
+    assert result.error is None and result.rows.count() == n
+
+
+def test_texts_that_plan_the_same_run_once(numbers, tmp_path):
+    texts = [
+        "SELECT id AS x FROM numbers WHERE id < 3", "select  ID as x\nfrom NUMBERS where id<3", "SELECT n.id AS x FROM numbers AS n WHERE n.id < 3 -- why",
+        "SELECT id AS y FROM numbers WHERE id < 3", "SELECT id AS x FROM numbers WHERE id < 4", "SELECT 1 / (id - id) AS z FROM numbers",
+        "SELECT 1/(ID-ID) AS z FROM numbers", "SELECT nope FROM numbers",
+    ]
+    rows = numbers.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "index long, predicted_sql string")
+    for chunk in (512, 2):
+        folder = tmp_path / f"alike{chunk}"
+        got = execute_batch(rows, str(folder), chunk=chunk).collect()
+        assert sorted((r["index"] % 8, r["outcome"], r["n_rows"]) for r in got) == sorted(
+            [(i, "rows", 3) for i in range(4)] * 3 + [(4, "rows", 4)] * 3 + [(i, "error", 0) for i in (5, 6, 7)] * 3
+        )
+        found = [(r["sql_key"], r["row_json"]) for r in result_rows(numbers, str(folder)).collect()]
+        name = {r["sql_key"]: texts[r["index"] % 8] for r in got}
+        for text, column, n in [(texts[0], "x", 3), (texts[1], "x", 3), (texts[2], "x", 3), (texts[3], "y", 3), (texts[4], "x", 4)]:
+            assert sorted(j for k, j in found if name[k] == text) == ['{"%s":%d}' % (column, i) for i in range(n)]
+        runs = [p for p in (folder / "rows").iterdir() if p.name.startswith("run_key=") and list(p.glob("*.parquet"))]
+        assert len(runs) == 2 if chunk == 512 else len(runs) <= 4
+
+
 def test_words_of_refused_functions_in_texts(numbers):
     sql = "SELECT 'reflect(1)' AS a, \"java_method(2)\" AS b -- reflect(3)\nFROM numbers"
     assert execute_query(numbers, sql).rows.count() == 5
