@@ -6,11 +6,13 @@ import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -18,6 +20,8 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions.ddl import LITERAL, statement_kind, strip_comments, table_name
 from ..functions.text import strip
 from ..storage import new_folder, written
+from .derived import CREATE_AS, INSERT_SELECT, before, derived_statements, is_create_as, is_insert_select, selected_rows
+from .keys import without_repeats
 
 
 def _parenthesised(depth: int) -> str:
@@ -38,6 +42,11 @@ _CONSTRAINT = (
     r"unique\s*\(|unique\s+(?:key|index)\b|(?:key|index|fulltext|spatial)\s+[`\"\w]*\s*\()"
 )
 _KEY = r"(?isU)^(?:constraint\s+\S+\s+)?primary\s+key\s*\(\s*[`\"]?(\w+)[`\"]?\s*\)"
+_KEYS = (
+    r"(?isU)^(?:constraint(?:\s+[`\"]?\w+[`\"]?)?\s+)?(?:primary\s+key|unique(?:\s+(?:key|index))?)"
+    r"(?:\s+[`\"]?\w+[`\"]?)?(?:\s+using\s+\w+)?\s*\(((?:[^()]|\(\s*\d+\s*\))*)\)"
+)
+_PART_OF_KEY = r"(?iU)\(\s*\d+\s*\)|\s+(?:asc|desc)\b"
 _COLUMN = r"(?isU)^(?:[`\"]([^`\"]+)[`\"]|(\S+))\s*(.*)$"
 _INSERT = r"(?iU)^insert\s+into\s+" + _NAME + r"\s*(\([^()]*\))?\s*values\s*"
 _TUPLE_OR_REST = _NESTED + r"|[^\s,(][^(]*+|\("
@@ -59,6 +68,8 @@ _HEX = r"(?i)^0x[0-9a-f]+$"
 _BYTES = r"(?i)^x'[0-9a-f]*'$"
 
 
+MISSING = "missing value"
+
 # The place of a row in its dump.
 PLACE = ["path", "stmt_no", "part_no", "row_no"]
 
@@ -169,27 +180,38 @@ def _in_python(split: Callable[[str], list[str]]):
     return run
 
 
-def dump_columns(statements: DataFrame) -> DataFrame:
-    """(path, stmt_no, part_no, table_name, col_no, col_name, spark_type, default, numbered).
+_IDS = ["path", "stmt_no", "part_no"]
 
-    ``numbered`` marks an integer primary key: a row without one gets the next number.
-    """
-    ids = ["path", "stmt_no", "part_no"]
+
+def _declared(statements: DataFrame) -> DataFrame:
+    """(path, stmt_no, part_no, table_name, items): what each CREATE TABLE declares."""
     tables = statements.where(statement_kind(F.col("stmt")) == "create_table").select(
-        *ids,
+        *_IDS,
         F.lower(table_name(F.col("stmt"))).alias("table_name"),
         _in_python(_declared_items)(strip_comments(F.col("stmt"))).alias("declared"),
     )
-    items = F.transform("declared", strip)
+    return tables.withColumn("items", F.transform("declared", strip))
+
+
+def _columns_among(items: str) -> Column:
+    return F.filter(items, lambda item: (item != "") & ~F.rlike(item, F.lit(_CONSTRAINT)))
+
+
+def dump_columns(statements: DataFrame) -> DataFrame:
+    """(path, stmt_no, part_no, table_name, col_no, col_name, spark_type, default, numbered, required).
+
+    ``numbered`` marks an integer primary key: a row without one gets the next number.
+    ``required`` marks the other columns that are NOT NULL.
+    """
     keys = F.filter("items", lambda item: F.rlike(item, F.lit(_KEY)))
-    names = F.filter("items", lambda item: (item != "") & ~F.rlike(item, F.lit(_CONSTRAINT)))
     columns = (
-        tables.withColumn("items", items)
+        _declared(statements)
         .withColumn("key", F.lower(F.regexp_extract(F.get(keys, F.lit(0)), _KEY, 1)))
-        .select(*ids, "table_name", "key", F.posexplode_outer(names).alias("col_no", "item"))
+        .select(*_IDS, "table_name", "key", F.posexplode_outer(_columns_among("items")).alias("col_no", "item"))
         .where(F.col("col_no").isNotNull())
     )
     rest = F.regexp_extract("item", _COLUMN, 3)
+    bare = F.regexp_replace(rest, LITERAL, "''")
     kind = F.lower(F.regexp_extract(rest, r"^\w+", 0))
     size = F.regexp_extract(rest, r"^\w+\s*\(\s*(\d+\s*(?:,\s*\d+)?)\s*\)", 1)
     digits, places = F.split(size, ",")[0].try_cast("int"), F.coalesce(F.get(F.split(size, ","), F.lit(1)).try_cast("int"), F.lit(0))
@@ -202,24 +224,44 @@ def dump_columns(statements: DataFrame) -> DataFrame:
         .when(kind.isin(*DOUBLES), "double")
         .otherwise("string")
     )
-    name = F.concat(F.regexp_extract("item", _COLUMN, 1), F.regexp_extract("item", _COLUMN, 2))
+    name = _column_name()
     is_key = rest.rlike(r"(?i)\bprimary\s+key\b") | (F.lower(name) == F.col("key"))
+    numbered = F.coalesce(kind.isin(*NUMBERED) & (size == "") & is_key, F.lit(False))
     return columns.select(
-        *ids,
+        *_IDS,
         "table_name",
         "col_no",
         name.alias("col_name"),
         F.regexp_replace(spark_type, r"\s+", "").alias("spark_type"),
         F.nullif(F.regexp_extract(rest, _DEFAULT, 1), F.lit("")).alias("default"),
-        F.coalesce(kind.isin(*NUMBERED) & (size == "") & is_key, F.lit(False)).alias("numbered"),
+        numbered.alias("numbered"),
+        (bare.rlike(r"(?i)\bnot\s+null\b") & ~numbered).alias("required"),
     )
 
 
+def _column_name() -> Column:
+    return F.concat(F.regexp_extract("item", _COLUMN, 1), F.regexp_extract("item", _COLUMN, 2))
+
+
+def dump_keys(statements: DataFrame) -> DataFrame:
+    """(path, stmt_no, part_no, table_name, key_no, columns): PRIMARY KEY and UNIQUE, of a column
+    or of the table, in the order they are declared. ``columns`` are in lower case."""
+    items = _declared(statements).select(*_IDS, "table_name", F.posexplode_outer("items").alias("key_no", "item"))
+    bare = F.regexp_replace(F.regexp_extract("item", _COLUMN, 3), LITERAL, "''")
+    of_table = F.regexp_extract("item", _KEYS, 1)
+    of_column = bare.rlike(r"(?i)\b(?:primary\s+key|unique)\b") & ~F.rlike("item", F.lit(_CONSTRAINT))
+    found = F.when(of_table != "", F.split(_names(F.regexp_replace(of_table, _PART_OF_KEY, "")), ",")).when(
+        of_column, F.array(F.lower(_column_name()))
+    )
+    return items.select(*_IDS, "table_name", "key_no", found.alias("columns")).where("columns IS NOT NULL")
+
+
 class TableColumn(NamedTuple):
     name: str
     type: str
     default: str | None = None
     numbered: bool = False
+    required: bool = False
 
 
 def _default(constant: str | None) -> Column:
@@ -319,8 +361,11 @@ def type_rows(rows: DataFrame, columns: list[TableColumn]) -> DataFrame:
     rows = rows.withColumns(cast)
     # A cast that fails gives one null more than the row was written with.
     nulls = sum((F.col(name).isNull().cast("int") for name in cast), F.lit(0))
-    error = F.when(F.col("_early").isNotNull(), F.col("_early")).when(
-        nulls != F.col("_nulls"), "value does not fit its column"
+    missing = reduce(or_, (F.col(name).isNull() for name, c in zip(cast, columns) if c.required), F.lit(False))
+    error = (
+        F.when(F.col("_early").isNotNull(), F.col("_early"))
+        .when(nulls != F.col("_nulls"), "value does not fit its column")
+        .when(missing, MISSING)
     )
     return rows.withColumn("__error", error).select(
         *[F.col(value).alias(c.name) for value, c in zip(cast, columns)],
@@ -387,85 +432,202 @@ class LoadedDump:
             table.write.mode("overwrite").saveAsTable(f"`{database}`.`{name}`")
 
 
-def declared_tables(statements: DataFrame) -> dict[str, list[TableColumn]]:
-    """The columns of each table of one database; of two declarations the first counts."""
+def _first_declarations(statements: DataFrame) -> DataFrame:
+    """Of two declarations of a table the first counts."""
     named = statements.where(statement_kind(F.col("stmt")) == "create_table").groupBy(
         F.lower(table_name(F.col("stmt"))).alias("table_name")
     )
-    first = named.agg(F.min(F.struct("path", "stmt_no", "part_no", "stmt")).alias("first"))
-    columns = dump_columns(first.select("first.*")).orderBy("table_name", "col_no")
+    return named.agg(F.min(F.struct("path", "stmt_no", "part_no", "stmt")).alias("first")).select("first.*")
+
+
+def declared_tables(statements: DataFrame) -> dict[str, list[TableColumn]]:
+    """The columns of each table of one database."""
+    columns = dump_columns(_first_declarations(statements)).orderBy("table_name", "col_no")
     tables: dict[str, list[TableColumn]] = {}
     for c in columns.toLocalIterator():
-        column = TableColumn(c["col_name"], c["spark_type"], c["default"], c["numbered"])
+        column = TableColumn(c["col_name"], c["spark_type"], c["default"], c["numbered"], c["required"])
         tables.setdefault(c["table_name"], []).append(column)
     return tables
 
 
-def load_dump(statements: DataFrame, folder: str | None = None, concurrency: int = 4) -> LoadedDump:
-    """The tables of one database, written below ``folder`` as Parquet.
+def declared_keys(statements: DataFrame) -> dict[str, list[tuple[str, ...]]]:
+    """The keys of each table of one database, each once."""
+    found = dump_keys(_first_declarations(statements)).orderBy("table_name", "key_no")
+    tables: dict[str, list[tuple[str, ...]]] = {}
+    for k in found.toLocalIterator():
+        keys = tables.setdefault(k["table_name"], [])
+        if tuple(k["columns"]) not in keys:
+            keys.append(tuple(k["columns"]))
+    return tables
 
-    The statements are first written apart by kind and table, so that each table's
-    job reads its own; it parses and casts them in one pass and without a shuffle.
-    Only the table declarations reach the driver. A table that cannot be loaded stops
-    no other: its rows are among ``rejects``, with the reason.
-    """
-    spark = statements.sparkSession
-    folder = folder or new_folder(spark, "dump-tables")
-    kind = statement_kind(F.col("stmt"))
-    kept = statements.select(
-        "*",
-        F.when((kind == "insert") & is_deep(F.col("stmt")), "deep_insert").otherwise(kind).alias("kind"),
-        F.lower(table_name(F.col("stmt"))).alias("for_table"),
-    ).where(F.col("kind") != "other")
-    kept.write.mode("overwrite").partitionBy("kind", "for_table").parquet(f"{folder}/statements")
-    apart = spark.read.schema(kept.schema).parquet(f"{folder}/statements")
-    creates = apart.where(F.col("kind") == "create_table").drop("kind", "for_table")
-    declared = declared_tables(creates)
-    any_deep = not apart.where(F.col("kind") == "deep_insert").isEmpty()
 
-    def rows_of(chosen: Column) -> DataFrame:
+class _Loading:
+    """The tables of a dump while they are loaded: typed rows, and what constraints leave of them."""
+
+    def __init__(self, spark: SparkSession, folder: str, apart: DataFrame) -> None:
+        self.spark, self.folder, self.apart = spark, folder, apart
+        creates = apart.where(F.col("kind") == "create_table")
+        self.columns = declared_tables(creates)
+        self.keys = {
+            name: [k for k in keys if set(k) <= {c.name.lower() for c in self.columns[name]}]
+            for name, keys in declared_keys(creates).items()
+            if name in self.columns
+        }
+        self.any_deep = not apart.where(F.col("kind") == "deep_insert").isEmpty()
+        self.typed: dict[str, DataFrame] = {}
+        self.done: dict[str, DataFrame] = {}
+        self.broken: dict[str, str] = {}
+        self.failures: list[tuple] = []
+        self.begun: dict[str, Row] = {}
+
+    def rows_of(self, chosen: Column) -> DataFrame:
+        apart = self.apart
         plain = dump_rows(apart.where((F.col("kind") == "insert") & chosen).drop("kind", "for_table"), deep=False)
-        if not any_deep:
+        if not self.any_deep:
             return plain
         deep = apart.where((F.col("kind") == "deep_insert") & chosen).drop("kind", "for_table")
         return plain.unionByName(dump_rows(deep, deep=True))
 
-    def load(name: str) -> DataFrame | PySparkException:
+    def read(self, name: str) -> None:
+        """The table's VALUES, typed."""
         try:
-            rows = rows_of(F.col("for_table") == name)
-            table = written(type_rows(rows, declared[name]), name, f"{folder}/tables/{name}")
-            for c in declared[name]:
+            rows = self.rows_of(F.col("for_table") == name)
+            self.typed[name] = written(type_rows(rows, self.columns[name]), name, f"{self.folder}/tables/{name}")
+        except PySparkException as problem:
+            self.broken[name] = str(problem)
+
+    def accepted(self, name: str) -> DataFrame:
+        """The table's rows so far: numbered, and with an error where they repeat a key."""
+        if name not in self.done:
+            table = self.typed[name]
+            for c in self.columns[name]:
                 lacking = F.col("__error").isNull() & F.col(f"`{c.name}`").isNull()
                 if c.numbered and not table.where(lacking).isEmpty():
-                    table = written(number_rows(table, c.name), name, f"{folder}/numbered/{name}")
-            return table
+                    table = written(number_rows(table, c.name), name, new_folder(self.spark, f"numbered-{name}"))
+            self.done[name] = without_repeats(table, self.keys.get(name, []), name, new_folder(self.spark, f"keyed-{name}"))
+        return self.done[name]
+
+    def finish(self, name: str) -> None:
+        try:
+            self.accepted(name)
         except PySparkException as problem:
-            return problem
+            self.broken[name] = str(problem)
 
-    with ThreadPoolExecutor(concurrency) as pool:
-        results = dict(zip(declared, pool.map(load, declared)))
-    loaded = {name: r for name, r in results.items() if isinstance(r, DataFrame)}
+    def derive(self, statement: Row) -> None:
+        """Run one INSERT .. SELECT or CREATE TABLE .. AS SELECT; a failure is noted and stops nothing."""
+        name = statement["table_name"]
+        try:
+            if statement["kind"] == CREATE_AS:
+                if name in self.columns:
+                    if not statement["spares"]:
+                        raise PySparkException(message=f"table {name} exists.")
+                    return
+                rows = selected_rows(self.spark, statement, set(self.typed), self.accepted)
+                self.columns[name] = [
+                    TableColumn(f.name, f.dataType.simpleString()) for f in rows.schema if not f.name.startswith("__")
+                ]
+                self.begun[name] = statement
+                later = type_rows(self.rows_of(F.col("for_table") == name), self.columns[name]).where(~before(statement))
+                self.typed[name] = _fitted(rows, self.columns[name], None).unionByName(later)
+            elif name not in self.typed:
+                raise PySparkException(message=f"no such table: {name}.")
+            else:
+                rows = selected_rows(self.spark, statement, set(self.typed), self.accepted)
+                given = statement["list"].split(",") if statement["list"] else None
+                self.typed[name] = self.typed[name].unionByName(_fitted(rows, self.columns[name], given))
+                self.done.pop(name, None)
+        except PySparkException as problem:
+            place = (statement["path"], statement["stmt_no"], statement["part_no"])
+            self.failures.append((name, *place, 0, str(problem)[:500], statement["stmt"]))
+
+
+def _fitted(rows: DataFrame, columns: list[TableColumn], given: list[str] | None) -> DataFrame:
+    """Selected rows as those of a table: columns by their order or as ``given``, defaults, errors."""
+    own = [c for c in rows.columns if not c.startswith("__")]
+    names = given or [c.name.lower() for c in columns]
+    if len(names) != len(own):
+        raise PySparkException(message=f"{len(own)} values for {len(names)} columns.")
+    if unknown := set(names) - {c.name.lower() for c in columns}:
+        raise PySparkException(message=f"unknown column {sorted(unknown)[0]}.")
+    source = dict(zip(names, own))
+    values, misfit, missing = [], F.lit(False), F.lit(False)
+    for c in columns:
+        if c.name.lower() in source:
+            text = F.col(f"`{source[c.name.lower()]}`")
+            value = text.cast("string").try_cast(c.type) if c.type == "bigint" or c.type.startswith("decimal") else text.try_cast(c.type)
+            misfit = misfit | (text.isNotNull() & value.isNull())
+        else:
+            value = _value(_default(c.default)).try_cast(c.type)
+        missing = missing | value.isNull() if c.required else missing
+        values.append(value.alias(c.name))
+    error = F.when(misfit, "value does not fit its column").when(missing, MISSING)
+    as_text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in own]), {"ignoreNullFields": "false"})
+    return rows.select(
+        *values,
+        *[F.col(f"__{c}") for c in PLACE],
+        error.alias("__error"),
+        F.when(error.isNotNull(), as_text).alias("__source"),
+    )
 
-    def all_rejected(chosen: Column, reason: Column) -> DataFrame:
-        return rows_of(chosen).select("table_name", *PLACE, reason.alias("error"), "source")
 
-    known = spark.createDataFrame([(name,) for name in declared], "known string")
+def load_dump(statements: DataFrame, folder: str | None = None, concurrency: int = 4) -> LoadedDump:
+    """The tables of one database, written below ``folder`` as Parquet.
+
+    The statements are first written apart by kind and table, so that each table's
+    job reads its own; it parses and casts them in one pass and without a shuffle. Rows without a
+    value that is NOT NULL, and those that repeat a PRIMARY KEY or UNIQUE value of a row before
+    them, are refused. INSERT .. SELECT and CREATE TABLE .. AS SELECT run in the dump's order
+    over what the statements before them have loaded; see ``derived``.
+    Only the table declarations and these statements reach the driver. A table that cannot be loaded
+    stops no other: its rows are among ``rejects``, with the reason, as are all that are refused.
+    """
+    spark = statements.sparkSession
+    folder = folder or new_folder(spark, "dump-tables")
+    stmt, kind = F.col("stmt"), statement_kind(F.col("stmt"))
+    told = (
+        F.when((kind == "insert") & is_insert_select(stmt), INSERT_SELECT)
+        .when((kind == "create_table") & is_create_as(stmt), CREATE_AS)
+        .when((kind == "insert") & is_deep(stmt), "deep_insert")
+        .otherwise(kind)
+    )
+    kept = statements.select("*", told.alias("kind"), F.lower(table_name(stmt)).alias("for_table")).where(F.col("kind") != "other")
+    kept.write.mode("overwrite").partitionBy("kind", "for_table").parquet(f"{folder}/statements")
+    apart = spark.read.schema(kept.schema).parquet(f"{folder}/statements")
+    loading = _Loading(spark, folder, apart)
+    declared = list(loading.columns)
+    with ThreadPoolExecutor(concurrency) as pool:
+        list(pool.map(loading.read, declared))
+        for statement in derived_statements(apart).toLocalIterator():
+            loading.derive(statement)
+        list(pool.map(loading.finish, list(loading.typed)))
+
+    known = spark.createDataFrame([(name,) for name in loading.columns], "known string")
     strangers = apart.where(F.col("kind").isin("insert", "deep_insert")).join(
         F.broadcast(known), F.col("for_table").eqNullSafe(F.col("known")), "left_anti"
     )  # a row per declared table
-    rejects = dump_rows(strangers.drop("kind", "for_table"), deep=None if any_deep else False).select(
-        "table_name", *PLACE, F.lit("no such table").alias("error"), "source"
-    )
+
+    def all_rejected(rows: DataFrame, reason: str) -> DataFrame:
+        return rows.select("table_name", *PLACE, F.lit(reason).alias("error"), "source")
+
+    no_table = "no such table"
+    rejects = all_rejected(dump_rows(strangers.drop("kind", "for_table"), deep=None if loading.any_deep else False), no_table)
+    for name, begun in loading.begun.items():
+        early = loading.rows_of(F.col("for_table") == name)
+        rejects = rejects.unionByName(all_rejected(early.where(before(begun, "")), no_table))
+    for name, problem in loading.broken.items():
+        reason = f"table could not be loaded: {problem[:200]}"
+        rejects = rejects.unionByName(all_rejected(loading.rows_of(F.col("for_table") == name), reason))
+    if loading.failures:
+        rejects = rejects.unionByName(spark.createDataFrame(loading.failures, rejects.schema))
     own = [f"__{c}" for c in (*PLACE, "error", "source")]
     tables = {}
-    for name, result in results.items():
-        if name not in loaded:
-            reason = F.lit(f"table could not be loaded: {str(result)[:200]}")
-            rejects = rejects.unionByName(all_rejected(F.col("for_table") == name, reason))
+    for name, result in loading.done.items():
+        if name in loading.broken:
             continue
         tables[name] = result.where(F.col("__error").isNull()).drop(*own)
         wrong = result.where(F.col("__error").isNotNull())
         rejects = rejects.unionByName(
             wrong.select(F.lit(name).alias("table_name"), *[F.col(c).alias(c[2:]) for c in own])
         )
+    creates = apart.where(F.col("kind").isin("create_table", CREATE_AS)).drop("kind", "for_table")
     return LoadedDump(tables, rejects, creates)

@@ -83,9 +83,10 @@ def _quoted(c: Column) -> Column:
 
 
 def _write_dump(
-    rows: DataFrame, key: str, table: str, declaration: str, per_insert: int, per_file: int
+    rows: DataFrame, key: str, table: str, declaration: str, per_insert: int, per_file: int, closing: tuple[Column, ...] = ()
 ) -> str:
-    """One dump file per ``per_file`` keys; its inserts hold ``per_insert`` keys each."""
+    """One dump file per ``per_file`` keys; its inserts hold ``per_insert`` keys each, and after
+    them come the statements in ``closing``, which may name the file's ``shard``."""
     spark = rows.sparkSession
     columns = ", ".join(rows.columns)
     values = [
@@ -113,6 +114,7 @@ def _write_dump(
                 F.struct(F.lit(0).cast("long").alias("ord"), F.lit(f"-- it's a new file\nDROP TABLE IF EXISTS {table}").alias("stmt")),
                 F.struct(F.lit(1).cast("long").alias("ord"), F.lit(f"CREATE TABLE {table} ({declaration})").alias("stmt")),
                 F.struct(F.lit(1 << 40).alias("ord"), F.lit(f"UPDATE {table} SET a = 'b'").alias("stmt")),
+                *[F.struct(F.lit((1 << 39) + i).alias("ord"), stmt.alias("stmt")) for i, stmt in enumerate(closing)],
             )
         ).alias("s"),
     ).select("shard", "s.*")
@@ -166,11 +168,46 @@ def visit_dump(spark: SparkSession, sf_dir: str) -> str:
     return _write_dump(rows, "c_custkey", "visit", VISIT, 10, 500)
 
 
+MEMBER = (
+    "m_nation INT, m_code INT, m_name VARCHAR(60) NOT NULL, m_segment VARCHAR(20) DEFAULT 'none' NOT NULL, "
+    "CONSTRAINT pk PRIMARY KEY (m_nation, m_code DESC), KEY k (m_name)"
+)
+
+
+def member_dump(spark: SparkSession, sf_dir: str) -> str:
+    """Customers under keys that repeat within and across inserts and files, some of them null."""
+    rows = read(spark, sf_dir, "customer").selectExpr(
+        "c_nationkey AS m_nation", "nullif(c_custkey % 40, 7) AS m_code",
+        "CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS m_name", "c_mktsegment AS m_segment", "c_custkey AS m_customer",
+    )
+    return _write_dump(rows, "m_customer", "member", MEMBER + ", m_customer BIGINT", 100, 500)
+
+
+def tally_dump(spark: SparkSession, sf_dir: str) -> str:
+    """Customers, and in each file statements that count those read so far and list some of them.
+
+    The first file's list is the table; the others find it there. Every fourth count is repeated.
+    """
+    shard = F.col("shard").cast("string")
+    count = F.concat(
+        F.lit("INSERT INTO tally (t_file, segment, n) SELECT "), shard,
+        F.lit(", c_mktsegment, count(*) FROM client GROUP BY c_mktsegment"),
+    )
+    again = F.concat(F.lit("INSERT INTO tally\n(SELECT t_file, segment, 0, 'again' FROM tally WHERE t_file = "), shard, F.lit(" AND n % 4 = 0)"))
+    closing = (
+        F.lit("CREATE TABLE tally (t_file INT, segment VARCHAR(20), n INT NOT NULL, note TEXT DEFAULT 'first', UNIQUE KEY u (t_file, segment))"),
+        count,
+        again,
+        F.lit("CREATE TABLE IF NOT EXISTS rich AS\nSELECT c_custkey, c_acctbal * 2 AS twice FROM `client` WHERE c_acctbal > 5000"),
+    )
+    return _write_dump(read(spark, sf_dir, "customer"), "c_custkey", "client", CLIENT, 100, 500, closing)
+
+
 LINE = (
     "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
     "l_quantity DECIMAL(12,2), l_extendedprice DECIMAL(12,2), l_discount DOUBLE, l_tax DOUBLE, "
     "l_returnflag VARCHAR(1), l_linestatus VARCHAR(1), l_shipdate DATETIME, "
-    "PRIMARY KEY (l_orderkey, l_linenumber)"
+    "KEY k_line (l_orderkey, l_linenumber)"
 )
 
 

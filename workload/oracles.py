@@ -225,11 +225,11 @@ PREDICTIONS = f"""
 
 EXECUTED = """
   SELECT c_custkey AS index,
-    CASE c_custkey % 9 WHEN 0 THEN 'rows' WHEN 1 THEN 'rows' WHEN 2 THEN 'error' WHEN 3 THEN 'empty' ELSE 'error' END AS outcome,
-    CASE c_custkey % 9
+    CASE c_custkey % 13 WHEN 0 THEN 'rows' WHEN 1 THEN 'rows' WHEN 3 THEN 'empty' WHEN 11 THEN 'rows' ELSE 'error' END AS outcome,
+    CASE c_custkey % 13
       WHEN 0 THEN (SELECT count(DISTINCT c_nationkey) FROM customer i WHERE i.c_mktsegment = c.c_mktsegment)
-      WHEN 1 THEN (SELECT count(*) FROM nation) ELSE 0 END AS n_rows,
-    c_custkey % 9 NOT IN (0, 1, 3) AS has_error
+      WHEN 1 THEN (SELECT count(*) FROM nation) WHEN 11 THEN (SELECT count(*) FROM nation) ELSE 0 END AS n_rows,
+    c_custkey % 13 NOT IN (0, 1, 3, 11) AS has_error
   FROM customer c"""
 
 _SEGMENT_SQL = (
@@ -239,11 +239,21 @@ _SEGMENT_SQL = (
 EXECUTED_ROWS = f"""
   SELECT sha256(chr(10) || {_SEGMENT_SQL}) AS sql_key,
     '{{"c_nationkey":' || c_nationkey || ',"n":' || count(*) || '}}' AS row_json
-  FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_custkey % 9 = 0)
+  FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_custkey % 13 = 0)
   GROUP BY c_mktsegment, c_nationkey
   UNION ALL
   SELECT sha256(chr(10) || 'WITH n AS (SELECT n_name FROM nation) SELECT * FROM n'),
-    '{{"n_name":"' || n_name || '"}}' FROM nation"""
+    '{{"n_name":"' || n_name || '"}}' FROM nation
+  UNION ALL
+  SELECT sha256(chr(10) || 'SELECT n_name FROM IDENTIFIER(''nation'')'), '{{"n_name":"' || n_name || '"}}' FROM nation"""
+
+# Members in the order of the dump; of those that share a whole key the first stays.
+_FILE = "CAST(c_custkey // 500 AS VARCHAR)"
+MEMBERS = f"""
+  SELECT CAST(c_nationkey AS BIGINT) AS m_nation, nullif(c_custkey % 40, 7) AS m_code,
+    CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS m_name, c_mktsegment AS m_segment, c_custkey AS m_customer,
+    row_number() OVER (PARTITION BY c_nationkey, c_custkey % 40, c_custkey % 11 = 0 ORDER BY {_FILE}, c_custkey) AS turn
+  FROM customer"""
 
 # Here a database counts only if it has documents, so one without them is not found.
 _SPARK_PROMPT = _filled(
@@ -280,6 +290,19 @@ ORACLES = {
     "load_dump_numbered": """
         SELECT row_number() OVER (ORDER BY CAST(c_custkey // 500 AS VARCHAR), c_custkey) AS v_id, c_custkey, c_name
         FROM customer""",
+    "load_dump_keys": f"""
+        SELECT * EXCLUDE (turn) FROM ({MEMBERS}) m WHERE m_name IS NOT NULL AND (turn = 1 OR m_code IS NULL)""",
+    "load_dump_refused": f"""
+        SELECT 'member' AS table_name, CASE WHEN m_name IS NULL THEN 'missing value' ELSE 'duplicate key: m_nation, m_code' END AS error,
+          count(*) AS n
+        FROM ({MEMBERS}) m WHERE m_name IS NULL OR (turn > 1 AND m_code IS NOT NULL) GROUP BY ALL""",
+    "load_dump_tally": f"""
+        SELECT f.k AS t_file, c_mktsegment AS segment, count(*) AS n, 'first' AS note
+        FROM (SELECT DISTINCT c_custkey // 500 AS k FROM customer) f JOIN customer ON {_FILE} <= CAST(f.k AS VARCHAR)
+        GROUP BY f.k, c_mktsegment""",
+    "load_dump_derived": f"""
+        SELECT c_custkey, c_acctbal * 2 AS twice FROM customer
+        WHERE c_acctbal > 5000 AND {_FILE} = (SELECT min({_FILE}) FROM customer)""",
     "load_dump_lines": """
         SELECT * REPLACE (CAST(l_linenumber AS BIGINT) AS l_linenumber, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate)
         FROM lineitem""",

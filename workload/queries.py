@@ -76,6 +76,23 @@ def load_dump_numbered(spark: Spark, sf_dir: str) -> DataFrame:
     return load_dump(scan_dump(spark, fx.visit_dump(spark, sf_dir))).tables["visit"]
 
 
+def load_dump_keys(spark: Spark, sf_dir: str) -> DataFrame:
+    return load_dump(scan_dump(spark, fx.member_dump(spark, sf_dir))).tables["member"]
+
+
+def load_dump_refused(spark: Spark, sf_dir: str) -> DataFrame:
+    rejects = load_dump(scan_dump(spark, fx.member_dump(spark, sf_dir))).rejects
+    return rejects.groupBy("table_name", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+def load_dump_tally(spark: Spark, sf_dir: str) -> DataFrame:
+    return load_dump(scan_dump(spark, fx.tally_dump(spark, sf_dir))).tables["tally"]
+
+
+def load_dump_derived(spark: Spark, sf_dir: str) -> DataFrame:
+    return load_dump(scan_dump(spark, fx.tally_dump(spark, sf_dir))).tables["rich"]
+
+
 def load_dump_lines(spark: Spark, sf_dir: str) -> DataFrame:
     lines = load_dump(scan_dump(spark, fx.line_dump(spark, sf_dir))).tables["line"]
     return lines.withColumns({c: F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice")})
@@ -331,17 +348,21 @@ def _conformance(key: str):
 
 
 def _executed(spark: Spark, sf_dir: str) -> tuple[DataFrame, str]:
-    """A predicted SQL for each customer, of nine kinds, three of which reach beyond the
+    """A predicted SQL for each customer, of 13 kinds, six of which reach beyond the
     tables and are refused; equal texts are run once."""
     fx.register(spark, sf_dir, "customer nation")
     sql = F.expr(
-        "CASE c_custkey % 9 WHEN 0 THEN concat('SELECT c_nationkey, count(*) AS n FROM customer"
+        "CASE c_custkey % 13 WHEN 0 THEN concat('SELECT c_nationkey, count(*) AS n FROM customer"
         " WHERE c_mktsegment = \\'', c_mktsegment, '\\' GROUP BY c_nationkey')"
         " WHEN 1 THEN 'WITH n AS (SELECT n_name FROM nation) SELECT * FROM n'"
         " WHEN 2 THEN 'SELECT * FROM no_such_table' WHEN 3 THEN 'SELECT * FROM nation WHERE n_nationkey < 0'"
         " WHEN 4 THEN 'DROP VIEW customer' WHEN 5 THEN 'SELECT 1 / (n_nationkey - n_nationkey) FROM nation'"
         " WHEN 6 THEN 'SELECT TRANSFORM(n_name) USING \\'cat\\' AS (x) FROM nation'"
         " WHEN 7 THEN 'SELECT java_method(\\'java.lang.System\\', \\'lineSeparator\\')'"
+        " WHEN 8 THEN 'SELECT IDENTIFIER(\\'java_method\\')(\\'java.lang.System\\', \\'lineSeparator\\')'"
+        " WHEN 9 THEN 'SELECT count(*) FROM IDENTIFIER(\\'text.`/etc/hostname`\\')'"
+        " WHEN 10 THEN 'SELECT 1 WHERE 0 < (SELECT count(*) FROM IDENTIFIER(\\'text\\' || \\'.`/etc/hostname`\\'))'"
+        " WHEN 11 THEN 'SELECT n_name FROM IDENTIFIER(\\'nation\\')'"
         " ELSE 'SELECT count(*) FROM text.`/etc/hostname`' END"
     )
     rows = fx.read(spark, sf_dir, "customer").select(
@@ -396,6 +417,10 @@ QUERIES = {
     "load_dump_articles": load_dump_articles,
     "load_dump_lines": load_dump_lines,
     "load_dump_numbered": load_dump_numbered,
+    "load_dump_keys": load_dump_keys,
+    "load_dump_refused": load_dump_refused,
+    "load_dump_tally": load_dump_tally,
+    "load_dump_derived": load_dump_derived,
     "list_tables": list_tables,
     "normalize_ddl": normalize,
     "clean_ddl": clean,
