@@ -31,13 +31,36 @@ REVIEW = ModelSettings(temperature=0.2, max_tokens=300)
 # It runs on the executors, once per task.
 Model = Callable[[ModelSettings], Callable[[list], list]]
 
+BATCH_BYTES = 4 * 1024 * 1024  # of prompts that are sent at once
+
+
+def packed(sizes: list[int], batch_size: int, batch_bytes: int) -> Iterator[range]:
+    """Runs of prompts, in order, of at most ``batch_size`` prompts and ``batch_bytes`` bytes together.
+
+    A prompt that alone has more bytes is a run of its own.
+    """
+    begin, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > begin and (i - begin >= batch_size or held + size > batch_bytes):
+            yield range(begin, i)
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield range(begin, len(sizes))
+
 
 def ask_model(
-    prompt: Column, model: Model, settings: ModelSettings = GENERATION, batch_size: int = 32
+    prompt: Column,
+    model: Model,
+    settings: ModelSettings = GENERATION,
+    batch_size: int = 32,
+    batch_bytes: int = BATCH_BYTES,
 ) -> Column:
     """struct<reply, error, elapsed_sec> for each prompt; null prompts are not sent.
 
-    Only the prompt travels to Python. A batch that fails is asked again one prompt
+    Only the prompt travels to Python. Prompts are sent in batches bounded by their number and by
+    their bytes, so that a large schema in each makes batches small and not requests large. A
+    batch that fails is asked again one prompt
     at a time, so that one bad prompt spoils no other row. ``elapsed_sec`` is the
     time of the call shared among the prompts of its batch.
     """
@@ -68,8 +91,9 @@ def ask_model(
         for batch in batches:
             rows = [(None, None, 0.0)] * len(batch)
             asked = [i for i, p in enumerate(batch) if p is not None]
-            for at in range(0, len(asked), batch_size):
-                some = asked[at : at + batch_size]
+            sizes = [len(batch.iloc[i].encode()) for i in asked]
+            for run in packed(sizes, batch_size, batch_bytes):
+                some = [asked[k] for k in run]
                 for i, row in zip(some, timed([batch.iloc[i] for i in some])):
                     rows[i] = row
             yield pd.DataFrame(rows, columns=["reply", "error", "elapsed_sec"])
@@ -84,6 +108,7 @@ def generate_batch(
     settings: ModelSettings = GENERATION,
     batch_size: int = 32,
     concurrency: int | None = None,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Add the column ``call`` to rows with a ``prompt``; at most ``concurrency`` calls at once.
 
@@ -92,7 +117,7 @@ def generate_batch(
     """
     if concurrency:
         prompts = prompts.coalesce(concurrency)
-    return prompts.withColumn("call", ask_model(F.col("prompt"), model, settings, batch_size))
+    return prompts.withColumn("call", ask_model(F.col("prompt"), model, settings, batch_size, batch_bytes))
 
 
 def predict(
@@ -102,6 +127,7 @@ def predict(
     settings: ModelSettings = GENERATION,
     batch_size: int = 32,
     concurrency: int | None = None,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Prediction rows of validated questions; each question gets a row, whatever happens."""
     tried = questions.withColumn(
@@ -110,7 +136,7 @@ def predict(
             F.col("status") == "ok", build_prompt(F.col("schema_text"), F.col("question"), dialect)
         ),
     ).drop("schema_text", "has_schema_file")
-    called = generate_batch(tried, model, settings, batch_size, concurrency)
+    called = generate_batch(tried, model, settings, batch_size, concurrency, batch_bytes)
     parsed = parse_replies(called.withColumn("reply", F.coalesce("call.reply", F.lit(""))))
     failed = F.col("call.error").isNotNull()
     valid = F.col("status") == "ok"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import build_review_prompt
 from ..functions.replies import VALID, fixed_sql, parse_verdict
-from .model import REVIEW, Model, ModelSettings, ask_model
+from .model import BATCH_BYTES, REVIEW, Model, ModelSettings, ask_model
 
 ROUNDS = 3
 
@@ -18,6 +18,7 @@ def review(
     rounds: int = ROUNDS,
     settings: ModelSettings = REVIEW,
     batch_size: int = 32,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Add ``sql`` and ``reviewed`` to rows with question, schema_text and predicted_sql.
 
@@ -32,7 +33,7 @@ def review(
     for _ in range(rounds):
         prompt = build_review_prompt(F.col("schema_text"), F.col("question"), F.col("sql"))
         wanted = ~F.col("reviewed") & (F.col("predicted_sql") != "")
-        rows = rows.withColumn("call", ask_model(F.when(wanted, prompt), model, settings, batch_size))
+        rows = rows.withColumn("call", ask_model(F.when(wanted, prompt), model, settings, batch_size, batch_bytes))
         rows = rows.withColumn("verdict", parse_verdict(F.col("call.reply")))
         rows = rows.withColumn(
             "sql", F.when(F.col("reviewed"), F.col("sql")).otherwise(

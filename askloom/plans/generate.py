@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -17,19 +18,19 @@ from ..operators.catalog import (
     store_schema_docs,
     verify_store,
 )
-from ..operators.model import GENERATION, Model, ModelSettings, predict
+from ..operators.model import BATCH_BYTES, GENERATION, Model, ModelSettings, predict
 from ..operators.questions import (
     attach_schema,
     coerce_fields,
     distinct_databases,
     require_rows,
-    resume_anti_join,
     slice_questions,
     validate_rows,
 )
 from ..operators.report import run_report
 from ..sources.dumps import scan_dump
-from ..sources.predictions import append_predictions, completed_indices, read_predictions
+from ..sources.finished import note_finished, runs_folder, without_finished
+from ..sources.predictions import append_predictions, read_predictions
 from ..sources.schema_files import list_schema_files, resolve_schema_files
 from ..storage import broadcast_if_small, written
 
@@ -83,27 +84,31 @@ def run_batch(
     settings: ModelSettings = GENERATION,
     batch_size: int = 32,
     concurrency: int | None = None,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Predict, append to the table at ``output``, and report on the whole table.
 
     Rows are appended by jobs of ``flush_every`` rows each, by one job if it is 0
     or less. What has been appended stays when a later job fails, and a run with
-    ``resume`` goes on from there. Nothing reads predictions before they are
+    ``resume`` goes on from there: what is finished it takes from bitmaps beside the table.
+    Nothing reads predictions before they are
     written, so no question is asked twice.
     """
     spark = samples.sparkSession
     questions = require_rows(slice_questions(coerce_fields(samples), start, limit))
     if resume:
-        done = completed_indices(read_predictions(spark, output), retry_errors)
-        questions = resume_anti_join(questions, done)
+        questions = without_finished(questions, output, retry_errors)
     if resume or flush_every > 0:
         questions = written(questions, "questions")
     schema_by_db = written(schema_by_db, "schema-texts")
-    for part in _parts(questions, flush_every):
+    writer = f"run_{uuid.uuid4().hex}"
+    for number, part in enumerate(_parts(questions, flush_every)):
         part = part.repartition(concurrency) if concurrency else part
         ready = validate_rows(attach_schema(part, schema_by_db))
-        predictions = predict(ready, model, dialect, settings, batch_size, concurrency)
-        append_predictions(predictions, output)
+        predictions = predict(ready, model, dialect, settings, batch_size, concurrency, batch_bytes)
+        folder = runs_folder(writer, number)
+        append_predictions(predictions, f"{output}/{folder}")
+        note_finished(spark, output, writer, number, folder)
     return run_report(read_predictions(spark, output))
 
 

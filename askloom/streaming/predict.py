@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.model import GENERATION, Model, ModelSettings, predict
-from ..operators.questions import attach_schema, coerce_fields, resume_anti_join, validate_rows
-from ..sources.predictions import PREDICTIONS, completed_indices, read_predictions
+from ..operators.model import BATCH_BYTES, GENERATION, Model, ModelSettings, predict
+from ..operators.questions import attach_schema, coerce_fields, validate_rows
+from ..sources.finished import note_finished, runs_folder, without_finished
+from ..sources.predictions import PREDICTIONS
 from ..sources.questions import QUESTION_LINES
 from ..storage import written
 
@@ -30,33 +30,35 @@ def stream_predictions(
     settings: ModelSettings = GENERATION,
     batch_size: int = 32,
     concurrency: int | None = None,
+    batch_bytes: int = BATCH_BYTES,
 ) -> StreamingQuery:
     """Predict what has arrived and stop; a later run goes on where this one ended.
 
     A micro-batch may be repeated after a failure, so each has a folder of its own
     that a repetition overwrites: every question is in the table once. The folder is
     named after the id that the checkpoint gives the stream, so streams can share a
-    table, and one that starts afresh at an old path overwrites nothing.
+    table, and one that starts afresh at an old path overwrites nothing. With ``resume``
+    a micro-batch reads bitmaps of finished indices for the segments of its own questions, and
+    no predictions; see ``sources.finished``.
     """
     schema_by_db = written(schema_by_db, "schema-texts")
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         started = spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()
-        folder = f"stream_{started['id']}/batch_{batch_id}"
+        writer = f"stream_{started['id']}"
+        folder = runs_folder(writer, batch_id)
         questions = coerce_fields(batch)
         if resume:
             # A repeated batch must not take its own earlier rows for finished work.
-            others = read_predictions(spark, output).where(
-                ~F.col("_metadata.file_path").contains(f"/{folder}/")
-            )
-            questions = resume_anti_join(questions, completed_indices(others))
+            questions = without_finished(questions, output, repeats=(writer, batch_id))
         questions = questions.repartition(concurrency) if concurrency else questions
         ready = validate_rows(attach_schema(questions, schema_by_db))
-        predictions = predict(ready, model, dialect, settings, batch_size, concurrency)
+        predictions = predict(ready, model, dialect, settings, batch_size, concurrency, batch_bytes)
         predictions.select(PREDICTIONS.fieldNames()).write.mode("overwrite").parquet(
             f"{output}/{folder}"
         )
+        note_finished(spark, output, writer, batch_id, folder)
 
     return (
         samples.writeStream.foreachBatch(append)

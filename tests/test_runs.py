@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from askloom.functions.replies import parse_verdict, review_fold
 from askloom.operators import catalog
-from askloom.operators.model import GENERATION, generate_batch, predict
+from askloom.operators.model import GENERATION, generate_batch, packed, predict
 from askloom.operators.report import preview, run_report
 from askloom.operators.review import review
 from askloom.plans.generate import _parts, run_batch, schema_of_databases
+from askloom.sources import finished
 from askloom.sources import predictions as table
 from askloom.storage import remove_folder
 from askloom.streaming.predict import read_question_stream, stream_predictions
@@ -52,6 +53,25 @@ def test_one_bad_prompt_spoils_no_other(spark):
             assert (call["reply"], call["error"]) == ("re " + prompt, None)
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    sizes = [5, 5, 5, 100, 1, 9, 10, 11, 0, 0, 0, 3]
+    runs = [list(r) for r in packed(sizes, 3, 10)]
+    assert [i for r in runs for i in r] == list(range(len(sizes)))
+    assert all(len(r) <= 3 and (len(r) == 1 or sum(sizes[i] for i in r) <= 10) for r in runs)
+    assert all(len(a) == 3 or sum(sizes[i] for i in [*a, b[0]]) > 10 for a, b in zip(runs, runs[1:]))
+    assert list(packed([], 3, 10)) == []
+
+    def counting(settings):
+        return lambda prompts: [f"{len(prompts)} {sum(len(p.encode()) for p in prompts)}" for _ in prompts]
+
+    prompts = [None if i == 7 else "é" * 40_000 if i == 11 else f"prompt {i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(prompts)), "index long, prompt string").coalesce(1)
+    for r in generate_batch(df, counting, batch_size=16, batch_bytes=50).collect():
+        if r["prompt"] is not None:
+            n, size = map(int, r["call"]["reply"].split())
+            assert (n == 1 and size == 80_000) if r["index"] == 11 else (1 < n <= 6 and size <= 50) or r["index"] in (10, 59)
+
+
 def test_model_that_cannot_be_opened(spark):
     def broken(settings):
         raise OSError("no server")
@@ -301,6 +321,58 @@ def test_stream_takes_each_question_once(spark, tmp_path):
     assert run(resume=True) == list(range(12))
 
 
+def noted(spark, out, indices):
+    questions = spark.createDataFrame([(i, "d") for i in indices], "index long, db_id string")
+    return sorted(str(r["index"]) for r in finished.without_finished(questions, out).collect())
+
+
+def test_finished_indices(spark, tmp_path):
+    out = str(tmp_path / "out")
+    asked = [0, 1, -1, -5, 32768, 32769, 65536, 10**12, None]
+
+    def write(folder, rows):
+        df = spark.createDataFrame([(i, "error" if bad else "ok") for i, bad in rows], "index long, status string")
+        df.write.mode("overwrite").parquet(f"{out}/{folder}")
+
+    assert noted(spark, out, asked) == sorted(map(str, asked))
+    write("stream_a/batch_0", [(0, False), (32768, True), (10**12, False), (None, False)])
+    finished.note_finished(spark, out, "stream_a", 0, "stream_a/batch_0")
+    left = [1, -1, -5, 32769, 65536, None]
+    assert noted(spark, out, asked) == sorted(map(str, left))
+    # not noted, since the writer broke off: read from the rows
+    write("stream_a/batch_1", [(1, False)])
+    write("run_b/batch_0", [(-5, False)])
+    assert noted(spark, out, asked) == sorted(map(str, [-1, 32769, 65536, None]))
+    # the same batch again does not count its own rows, noted or not
+    questions = spark.createDataFrame([(i, "d") for i in asked], "index long, db_id string")
+    again = finished.without_finished(questions, out, repeats=("stream_a", 1))
+    assert sorted(str(r["index"]) for r in again.collect()) == sorted(map(str, [1, -1, 32769, 65536, None]))
+    finished.note_finished(spark, out, "stream_a", 1, "stream_a/batch_1")
+    assert sorted(str(r["index"]) for r in finished.without_finished(questions, out, repeats=("stream_a", 1)).collect()) == sorted(
+        map(str, [1, -1, 32769, 65536, None])
+    )
+    assert noted(spark, out, asked) == sorted(map(str, [-1, 32769, 65536, None]))
+    retried = finished.without_finished(questions, out, retry_errors=True).collect()
+    assert sorted(str(r["index"]) for r in retried) == sorted(map(str, [-1, 32768, 32769, 65536, None]))
+    assert table.read_predictions(spark, out).count() == 6
+
+
+def test_what_a_batch_reads_does_not_grow(spark, tmp_path):
+    out, sizes = str(tmp_path / "out"), []
+    for batch in range(12):
+        indices = range(batch * 50, batch * 50 + 50)
+        questions = spark.createDataFrame([(i, "d") for i in indices], "index long, db_id string")
+        read = finished._newest(spark, out, finished.segments_of(questions))
+        sizes.append(sum(p.stat().st_size for f in read for p in (tmp_path / "out.finished").joinpath(f.split("/out.finished/")[1]).glob("*.parquet")))
+        assert finished._unnoted(spark, out) == [] and finished.without_finished(questions, out).count() == 50
+        folder = finished.runs_folder("stream_a", batch)
+        questions.selectExpr("index", "'ok' AS status", "'a long text' AS question").write.parquet(f"{out}/{folder}")
+        finished.note_finished(spark, out, "stream_a", batch, folder)
+    assert len(list((tmp_path / "out.finished").glob("*/segment=*/batch=*"))) <= 4
+    assert sizes[0] == 0 and max(sizes[2:]) < 1.5 * sizes[2]
+    assert noted(spark, out, range(605)) == sorted(map(str, range(600, 605)))
+
+
 def test_a_fresh_checkpoint_at_an_old_path_overwrites_nothing(spark, tmp_path):
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     schemas = spark.createDataFrame([("d", "T")], "db_id string, schema_text string")
