@@ -27,6 +27,10 @@ OUTSIDE = "N"
 OPENERS = {"S": "'", "D": '"', "K": "`", "B": "/*"}
 CLOSERS = OPENERS | {"B": "*/"}
 
+RESET = OUTSIDE * len(STATES)  # the change of a piece after which nothing is open any more
+
+MAX_STATEMENT_BYTES = 2_000_000_000  # of one value
+
 DOUBLE_QUOTE = "\ue000"  # stands for an escaped one while its surroundings are looked at
 
 # What stands for a backslash and the character after it.
@@ -153,17 +157,16 @@ def _within_splits(changes: DataFrame) -> DataFrame:
 
 
 def _across_splits(splits: DataFrame) -> DataFrame:
-    """The state at the start of each split, from the changes of the splits before it."""
+    """The states at the start and end of each split, from the changes of the splits before it."""
 
     def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        state, starts = OUTSIDE, []
+        states = [OUTSIDE]
         rows = rows.sort_values("block")
         for change in rows["change"]:
-            starts.append(state)
-            state = change[STATES.index(state)]
-        return rows.assign(start=starts).drop(columns="change")
+            states.append(change[STATES.index(states[-1])])
+        return rows.assign(start=states[:-1], end=states[1:]).drop(columns="change")
 
-    schema = "path string, block long, first long, n long, n_before long, start string"
+    schema = "path string, block long, first long, n long, n_before long, start string, end string"
     return splits.groupBy("path").applyInPandas(follow, schema)
 
 
@@ -218,8 +221,58 @@ def _fragments(changes: DataFrame, splits: DataFrame) -> DataFrame:
     )
 
 
+def _runaways(pieces: DataFrame, fragments: DataFrame, states: DataFrame, max_bytes: int) -> DataFrame:
+    """(path, block, seq) of the piece, in each file, that opens the first statement which has no end.
+
+    That is one still open where its file ends, but for a comment, or one of more than ``max_bytes``: most
+    likely a quote that belongs to no pair. Only lengths are added up, over the pieces in question.
+    """
+    last = states.groupBy("path").agg(F.max_by("end", "block").alias("end"))
+    unclosed = last.where(~F.col("end").isin(OUTSIDE, "B", "b")).select("path")
+    of_file = fragments.join(unclosed, "path").groupBy("path").agg(F.max("stmt_no").alias("stmt_no"))
+    lengths = pieces.select("path", "block", "seq", (F.octet_length("piece") + 2).cast("long").alias("n"))
+    sizes = lengths.join(fragments, ["path", "block", "seq"]).groupBy("path", "stmt_no").agg(F.sum("n").alias("n"))
+    too_long = sizes.where(F.col("n") > max_bytes).groupBy("path").agg(F.min("stmt_no").alias("stmt_no"))
+    first = of_file.unionByName(too_long).groupBy("path").agg(F.min("stmt_no").alias("stmt_no"))
+    opened = fragments.join(first, ["path", "stmt_no"]).groupBy("path").agg(F.min(F.struct("block", "seq")).alias("at"))
+    return opened.select("path", "at.block", "at.seq")
+
+
+def _followed(
+    pieces: DataFrame, splits: DataFrame, backslash_escapes: bool, max_bytes: int
+) -> DataFrame:
+    """The pieces of statements of several pieces, runaway ones given up; see ``_fragments``.
+
+    Of a runaway statement the first piece stands alone, and what follows is read as if it had
+    ended there: by its rejects it is known, and all other statements of its file are
+    found. The states of the files concerned are followed again for each.
+    """
+    split = ["path", "block"]
+    raw = written(_changes(pieces, backslash_escapes), "dump-changes")
+    resets = None
+    while True:
+        changed = raw
+        if resets is not None:
+            given_up = resets.withColumn("given_up", F.lit(True))
+            changed = raw.join(broadcast_if_small(given_up), [*split, "seq"], "left").select(
+                *split, "seq", F.when(F.col("given_up"), RESET).otherwise(F.col("change")).alias("change")
+            )
+        changes = written(_within_splits(changed), "dump-state-changes")
+        at_end = changes.groupBy(*split).agg(F.max_by("change", "seq").alias("change"))
+        entered = _across_splits(splits.join(at_end, split, "left").fillna({"change": STATES}))
+        states = written(entered, "dump-split-states")
+        fragments = written(_fragments(changes, states.drop("end")), "dump-fragments")
+        found = written(_runaways(pieces, fragments, states, max_bytes), "dump-runaways")
+        if found.isEmpty():
+            return fragments
+        resets = found if resets is None else written(resets.unionByName(found), "dump-resets")
+
+
 def fold_pieces(
-    pieces: DataFrame, line_sep: str = ";\n", backslash_escapes: bool = False
+    pieces: DataFrame,
+    line_sep: str = ";\n",
+    backslash_escapes: bool = False,
+    max_statement_bytes: int = MAX_STATEMENT_BYTES,
 ) -> DataFrame:
     """(path, stmt_no, stmt): pieces as statements, those that belong together joined.
 
@@ -243,11 +296,7 @@ def fold_pieces(
     if size <= BROADCAST_LIMIT_BYTES:
         again = pieces.join(F.broadcast(unclear), "path", "left_semi")
 
-    changes = written(_within_splits(_changes(again, backslash_escapes)), "dump-state-changes")
-    at_end = changes.groupBy(*split).agg(F.max_by("change", "seq").alias("change"))
-    entered = _across_splits(splits.join(at_end, split, "left").fillna({"change": STATES}))
-    fragments = written(_fragments(changes, written(entered, "dump-split-states")), "dump-fragments")
-    fragments = broadcast_if_small(fragments)
+    fragments = broadcast_if_small(_followed(again, splits, backslash_escapes, max_statement_bytes))
     whole = numbered.join(fragments, [*split, "seq"], "left_anti").select(*columns)
     parts = F.sort_array(F.collect_list(F.struct("block", "seq", "piece")))
     folded = (
@@ -300,6 +349,7 @@ def scan_dump(
     line_sep: str = ";\n",
     backslash_escapes: bool = False,
     staging: str | None = None,
+    max_statement_bytes: int = MAX_STATEMENT_BYTES,
 ) -> DataFrame:
     """The statements of SQL dumps: (path, stmt_no, part_no, stmt), without their ``;``.
 
@@ -307,8 +357,10 @@ def scan_dump(
     share a line. The pieces are written once to ``staging`` (by default below
     ``spark.checkpoint.dir``), since their numbers must not be derived twice. Use
     ``line_sep=";\\r\\n"`` for dumps with Windows line ends, and
-    ``backslash_escapes`` for dumps that write a quote as ``\\'``.
+    ``backslash_escapes`` for dumps that write a quote as ``\\'``. A quote that is never closed
+    costs the statement it stands in and no other, and so does one that would make a statement of
+    more than ``max_statement_bytes``.
     """
     pieces = scan_pieces(spark, paths, line_sep, backslash_escapes)
     pieces = written(pieces, "dump-pieces", staging)
-    return split_statements(fold_pieces(pieces, line_sep, backslash_escapes), backslash_escapes)
+    return split_statements(fold_pieces(pieces, line_sep, backslash_escapes, max_statement_bytes), backslash_escapes)
