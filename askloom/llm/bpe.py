@@ -397,7 +397,8 @@ def encode(
 
 
 def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("row",)) -> DataFrame:
-    """The columns ``keep`` with ``decoded``, the text of the tokens; null ids give a null."""
+    """The columns ``keep`` with ``decoded``, the text of the tokens; null ids give a null. The
+    ids' own column can be among ``keep``."""
     from pyspark.sql.types import StringType, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,10 +408,11 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: tup
                 part = batch.slice(at, BATCH_ROWS)
                 texts = [None if i is None else codec.decode(i) for i in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(texts, pa.string())], names=[*part.schema.names[1:], "decoded"]
+                    [*part.column(1).flatten(), pa.array(texts, pa.string())], names=[*keep, "decoded"]
                 )
 
-    chosen = rows.select(F.col(ids_col).alias("ids"), *keep)
+    # apart from what is kept, so that no name can clash
+    chosen = rows.select(F.col(f"`{ids_col}`").alias("ids"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"))
     schema = StructType([rows.schema[c] for c in keep]).add("decoded", StringType())
     return chosen.mapInArrow(run, schema)
 

@@ -14,6 +14,7 @@ any other node is a hot key. The paths of siblings, collected downwards, are rev
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -203,9 +204,10 @@ def prove(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
     """
     spark = manifest.leaves.sparkSession
     empty = F.array().cast(_PATH)
-    leaves = manifest.leaves if requests is None else manifest.leaves.join(requests, ["place", "rank"], "left_semi")
-    stage = Staging(spark, "descent")
-    with stage:
+    leaves = manifest.leaves
+    if requests is not None:
+        leaves = leaves.join(requests, ["place", "rank"], "left_semi").select(*leaves.columns)
+    with Staging(spark, "descent") as stage:
         tall = manifest.groups.agg(F.max("depth").alias("d")).first()["d"] or 0
         places = None if requests is None else requests.select(F.lit(0).cast("long").alias("place"), F.col("place").alias("rank"))
         by_place = _wanted(places, "rank", stage, manifest.top_depth)
@@ -242,7 +244,7 @@ def prove(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
         path = F.when(F.size("children") == 0, upwards).otherwise(F.concat(F.array(own), upwards)).cast(_PATH)
         same = (F.col("l.place") == F.col("p.place")) & (F.floor(F.col("l.rank") / ARITY) == F.col("p.at"))
         found = leaves.alias("l").join(stage.write(parents, "parents").alias("p"), same).select("l.*", path.alias("path"))
-        return written(found, "proofs", f"{manifest.folder}/proofs")
+        return written(found, "proofs", f"{manifest.folder}/proofs-{uuid.uuid4().hex}")
 
 
 def proof_digest(path: Column) -> Column:

@@ -107,12 +107,12 @@ def test_long_texts_get_smaller_blocks(spark):
 
 def copies(n):
     random_ = random.Random(n)
-    base = [f"w{k}" for k in range(60)]
+    base = [f"w{k}" for k in range(200)]
     rows = []
     for k in range(n):
         own = list(base)
-        for _ in range(random_.randrange(1, 4)):
-            own[random_.randrange(60)] = f"n{random_.randrange(10**6)}"
+        for _ in range(random_.randrange(1, 3)):
+            own[random_.randrange(200)] = f"n{random_.randrange(10**6)}"
         rows.append((k, " ".join(own)))
     return rows
 

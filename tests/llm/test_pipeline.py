@@ -22,7 +22,7 @@ def test_query(spark, sf_dir, key):
 def test_the_driver_has_every_query():
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
     assert set(ORACLES) <= set(driver.oracle_sql())
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_stages(spark, sf_dir):
