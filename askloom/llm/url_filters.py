@@ -42,11 +42,16 @@ def digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit(SEPARATOR), path), 256)
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and what follows each of its dots."""
+def labels_of(host: Column) -> Column:
+    return F.size(F.split(host, r"\.", -1))
+
+
+def host_suffixes(host: Column, most: int) -> Column:
+    """The host and what follows each of its dots, of these the last ones of up to ``most`` labels:
+    a rule with fewer labels fits no longer suffix, so that hosts of any length are cheap."""
     parts = F.split(host, r"\.", -1)
     return F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
+        F.sequence(F.greatest(F.size(parts) - most + 1, F.lit(1)), F.size(parts)),
         lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."),
     )
 
@@ -62,7 +67,8 @@ def judge_urls(
     is ``default``: an address on no list passes. A null url, or one without ``://``, has an
     empty host and path. Rules with null parts fit nothing; repeated rules count once. Only
     path lengths that rules of that length have are expanded: their list is at most as long as
-    the longest path of a rule.
+    the longest path of a rule; and only host suffixes of as many labels as a rule's host has at most.
+    Hosts and paths may be of any length.
     """
     rules = rules.select(
         F.translate("host", _UPPER, _LOWER).alias("host"), F.col("path"), F.col("verdict")
@@ -78,9 +84,10 @@ def judge_urls(
         ).alias("match"),
     )
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    most = rules.agg(F.max(labels_of(F.col("host")))).first()[0] or 1
     known = urls.select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     expressions = (
-        known.withColumn("suffix", F.explode(host_suffixes(F.col("host"))))
+        known.withColumn("suffix", F.explode(host_suffixes(F.col("host"), most)))
         .withColumn("cut", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")))
         .where(F.col("cut") <= F.length("path"))
         .select("url", digest(F.col("suffix"), F.expr("left(path, cut)")).alias("full"))

@@ -151,3 +151,10 @@ def test_no_urls_and_no_rules(spark, rules):
     assert url_filters.filter_urls(pages(spark, []), rules).count() == 0
     got = url_filters.filter_urls(pages(spark, [(1, "http://x.com/de/", "")]), rules.limit(0)).first()
     assert (got.rule, got.verdict) == (None, "allow")
+
+
+def test_hosts_of_very_many_labels(spark, rules):
+    long = "x." * 100_000
+    urls = [(1, f"http://{long}example.org/es/1", ""), (2, f"http://{long}/es/", ""), (3, "http://" + "." * 100_000 + "com/de/", "")]
+    got = {r.id: (r.rule, r.verdict) for r in url_filters.filter_urls(pages(spark, urls), rules).collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: (None, "allow"), 3: ("com/de/", "block")}
