@@ -40,13 +40,13 @@ class Settings:
     negatives: int = 3
     buckets: int = 1 << 18
     sizes: tuple[int, ...] = (3, 4, 5)
-    dimensions: int = 4
+    dimensions: int = 8
     epochs: int = 10
-    batch: int = 32
-    rate: float = 1.0
-    floor: float = 10.0
-    sparsity: float = 1.0
-    start_bias: float = -4.0
+    batch: int = 8
+    rate: float = 1.5
+    floor: float = 1.0
+    sparsity: float = 2.0
+    start_bias: float = -2.0
     bias_rate: float = 0.05
     seed: int = 7
 
@@ -188,8 +188,17 @@ def score_texts(texts: list[str | None], model: Model, known: dict[str, float])
         numbers, begins = word_buckets(some, len(model.weights), model.sizes)
         means = np.add.reduceat(model.weights[numbers], begins[:-1]) / np.diff(begins)
         known.update(zip(some, means.tolist()))
-    odds = np.array([_mean(words, known) for words in split])
-    return 1 / (1 + np.exp(-(odds + model.bias)))
+    odds = np.array([_mean(words, known) for words in split]) + model.bias
+    return 1 / (1 + np.exp(-_tempered(odds)))
+
+
+SURE = 10.0  # log-odds beyond which only their logarithm counts
+
+
+def _tempered(odds: np.ndarray) -> np.ndarray:
+    """Log-odds in the same order, but none so large that a score is exactly 0 or 1."""
+    beyond = np.maximum(np.abs(odds) - SURE, 0)
+    return np.clip(odds, -SURE, SURE) + np.sign(odds) * np.log1p(beyond)
 
 
 KNOWN_WORDS = 200_000  # kept per task; a cache, emptied when full

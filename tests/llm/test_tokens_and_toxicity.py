@@ -1,8 +1,11 @@
 """BPE against the tokenizer library, and the toxicity model on held-out rows."""
 
+import math
 import random
+import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from askloom.llm import bpe, toxicity
@@ -108,6 +111,72 @@ def test_misspellings_share_the_subwords(model):
     assert toxic > misspelt > clean and toxic > 0.7
 
 
+def plain_buckets(word, buckets, sizes):
+    """The n-grams of ``<word>`` hashed one by one, as many as there are."""
+    marked, found = [ord(c) for c in f"<{word}>"], []
+    for n in sizes:
+        for i in range(len(marked) - n + 1):
+            value = marked[i]
+            for code in marked[i + 1 : i + n]:
+                value = (value * 0x100000001B3 + code) % 2**64
+            found.append(((value + n) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % buckets)
+    return found
+
+
+def plain_score(text, model):
+    """The score of a text by loops over its words and their n-grams."""
+    words = re.findall(r"\w+", (text or "").lower())
+    total, weights = 0.0, 0.0
+    for word in set(words):
+        own = [model.weights[b] for b in plain_buckets(word, len(model.weights), model.sizes)]
+        weight = 1 + math.log(words.count(word))
+        total, weights = total + weight * sum(own) / len(own), weights + weight
+    odds = total / max(1, weights) + model.bias
+    if abs(odds) > 10:
+        odds = math.copysign(10 + math.log(1 + abs(odds) - 10), odds)
+    return 1 / (1 + math.exp(-odds))
+
+
+def test_scores_against_plain_loops(model):
+    texts = [None, "", "!", "a", "wretched abcde", "Wretched ÄÖ É日本 wretched", "abcde " * 30 + "fgh", "x" * 300, "a_b 12 c'd"]
+    got = toxicity.score_texts(texts, model, {})
+    assert got.tolist() == pytest.approx([plain_score(t, model) for t in texts], rel=1e-9)
+    assert len(set(got.round(15))) > 5 and all(0 < s < 1 for s in got)
+
+
+def test_a_training_step_against_plain_loops():
+    """One step over two texts, each gradient by hand."""
+    texts, labels = ["ab cd cd", "ef"], [1, 0]
+    s = toxicity.Settings(buckets=64, sizes=(3,), dimensions=2, epochs=1, batch=2, rate=1.0, floor=1.0, sparsity=0.0, start_bias=-4.0)
+    got = toxicity.fit(texts, labels, s)
+    random_ = np.random.default_rng(s.seed)
+    vectors = random_.normal(0, 0.1, (64, 2)).astype(np.float32)
+    layer, bias = random_.normal(0, 0.1, (2, 2)), [2.0, -2.0]
+    grads, to_layer, to_bias = np.zeros((64, 2)), np.zeros((2, 2)), np.zeros(2)
+    for text, y in zip(texts, labels):
+        words = text.split()
+        weight = {w: 1 + math.log(words.count(w)) for w in words}
+        share = {w: np.float32(v / sum(weight.values())) for w, v in weight.items()}
+        means = {w: np.mean([vectors[b] for b in plain_buckets(w, 64, (3,))], axis=0) for w in weight}
+        hidden = sum(share[w] * means[w] for w in weight)
+        odds = hidden @ layer + bias
+        error = (np.exp(odds) / np.exp(odds).sum() - np.eye(2)[y]) / 2  # two texts, equal weights
+        to_layer += np.outer(hidden, error)
+        to_bias += error
+        for w in weight:
+            own = plain_buckets(w, 64, (3,))
+            for b in own:
+                grads[b] += share[w] * (error @ layer.T) / len(own)
+    seen = (grads**2).mean(axis=1)
+    touched = grads.any(axis=1)
+    moved = vectors.astype(float)
+    moved[touched] -= grads[touched] / np.sqrt(seen[touched] + seen.mean())[:, None]
+    layer = layer - to_layer / np.sqrt(1e-8 + (to_layer**2).mean())
+    bias = np.array(bias) - 0.05 * to_bias / np.sqrt(1e-8 + (to_bias**2).mean())
+    assert got.weights == pytest.approx(moved @ (layer[:, 1] - layer[:, 0]), abs=1e-5)
+    assert got.bias == pytest.approx(bias[1] - bias[0])
+
+
 def test_scores_of_odd_texts(spark, model):
     rows = [(1, None), (2, ""), (3, "!!!"), (4, "wretched " * 100_000), (None, "wretched"), (2, "wretched")]
     got = [(r.row.doc_id, r.score) for r in toxicity.with_scores(docs(spark, rows), model).collect()]
