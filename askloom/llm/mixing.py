@@ -25,6 +25,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _rank(ident: Column, salt: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(ident.cast("string"), F.lit("null"))))
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Source sizes (source, source_size) with ``target``: each source's share in words.
 
@@ -116,23 +120,20 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     salt: str = SALT,
-    one_filler: bool = False,
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies.
 
     A source's documents are all used as many times as its target holds its size, and
     once more, in random order, as long as the running sum stays within what remains. Behind
     that cut each document with words that fits into what is then left is taken, in the same
-    order, so no document that is left out would fit. With ``one_filler`` only one is taken
-    there, the largest that fits: the rule of ``OP9_SQL``. The order is by a hash of ``salt`` and the id, then id and size, so
-    runs agree. Rows alike in source, id and size (nulls are equal to each other) are cut one by
-    one; with ``one_filler``, as in ``OP9_SQL``, the running sum takes all of them or none, and
-    one of them can be the filler.
+    order, so no document that is left out would fit. The order is by a hash of ``salt`` and the id,
+    then id and size, so runs agree. Rows alike in source, id and size (nulls are equal to each other)
+    are cut one by one.
     A null text has no words; documents without words can be taken and weigh nothing.
     Other columns of ``docs`` are not read. Empty tables give an empty result.
     """
     spark = docs.sparkSession
-    rank = F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    rank = _rank(F.col("id"), salt)
     with Staging(spark, "mix") as stage:
         rows = stage.write(
             docs.select(
@@ -163,8 +164,7 @@ def mix(
             "plan",
         )
         inside = W.partitionBy("range", "source").orderBy("rank", "id", "size")
-        # rows alike in the order share a sum with those of their rank, and have one of their own by rows
-        frame = inside if one_filler else inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+        frame = inside.rowsBetween(W.unboundedPreceding, W.currentRow)  # also rows alike in the order have sums of their own
         running = placed.withColumn("running", F.sum("size").over(frame)).withColumn("no", F.row_number().over(inside))
         same = (F.col("r.range") == F.col("p.range")) & F.col("r.source").eqNullSafe(F.col("p.source"))
         placed_in = stage.write(
@@ -178,17 +178,10 @@ def mix(
         gaps = placed_in.groupBy("source").agg(
             (F.first("rest") - F.coalesce(F.max(F.when(again, F.col("place"))), F.lit(0))).alias("gap")
         )
-        best = F.struct("size", "rank", "id", "range", "no")  # one row, also among rows that are alike
         with_gap = placed_in.alias("d").join(
             broadcast_if_small(stage.write(gaps, "gaps")).alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))
         )
-        behind = with_gap.where(~again).select("d.source", "range", "no", "size", "rank", "id", "gap")
-        if one_filler:
-            fits = behind.where("size > 0 AND size <= gap")
-            largest = fits.groupBy("source").agg(F.max(best).alias("fill"))
-            fill = stage.write(largest.select("source", "fill.range", "fill.no"), "fill")
-        else:
-            fill = _fill(behind.drop("rank", "id"), stage)
+        fill = _fill(with_gap.where(~again).select("d.source", "range", "no", "size", "gap"), stage)
         on_fill = F.col("d.source").eqNullSafe(F.col("f.source"))
         on_fill &= (F.col("d.range") == F.col("f.range")) & (F.col("d.no") == F.col("f.no"))
         taken = again | F.col("f.no").isNotNull()
@@ -203,23 +196,43 @@ def mix(
 
 
 def mixed_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    salt: str = SALT,
 ) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their columns only.
 
-    The mix is joined by id and source. Where rows that share both are taken unequally often, they
-    are numbered by their texts within their size, and the first of each size are used once more.
+    Texts do not move. In the random order a source's rows before its first one that is not taken
+    once more are taken alike, and those behind alike, but for the few that fill the gap there:
+    a source's rule is one row, and those few are no more than the words of one document hold.
+    Where rows that share id and source are taken unequally often, they are numbered by
+    their texts within their size, and the first of each size are used once more.
     """
-    plan = mix(docs, id_col, text_col, source_col, **options)
-    times = plan.groupBy("id", "source").agg(F.max("copies").alias("copies"), F.min("copies").alias("least"))
-    times = written(times.where("copies > 0"), "times")
+    plan = mix(docs, id_col, text_col, source_col, weights, max_epochs, salt).withColumn("rank", _rank(F.col("id"), salt))
+    firsts = plan.groupBy("source", "copies").agg(F.min("rank").alias("rank"))
+    rule = firsts.groupBy("source").agg(F.min(F.struct("copies", "rank")).alias("first"), F.max("copies").alias("many"))
+    rule = written(rule.select("source", F.col("first.copies").alias("few"), F.col("first.rank").alias("cut"), "many"), "rule")
+    of_source = F.col("r.source").eqNullSafe(F.col("s.source"))
+    behind = plan.alias("r").join(broadcast_if_small(rule).alias("s"), of_source).where("r.rank >= s.cut")
+    times = behind.groupBy("r.id", "r.source").agg(
+        F.max("copies").alias("copies"), F.min("copies").alias("least"), F.first("few").alias("few")
+    )
+    times = written(times.where("copies > few").drop("few"), "times")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
     )
     same = F.col("r.id").eqNullSafe(F.col("t.id")) & F.col("r.source").eqNullSafe(F.col("t.source"))
-    taken = rows.alias("r").join(times.where("copies = least").alias("t"), same).select("r.row", "t.copies")
+    usual = F.when(_rank(F.col("r.id"), salt) < F.col("s.cut"), F.col("s.many")).otherwise(F.col("s.few"))
+    ruled = rows.alias("r").join(broadcast_if_small(rule).alias("s"), of_source).select("r.*", usual.alias("usual"))
+    each = ruled.alias("r").join(broadcast_if_small(times).alias("t"), same, "left")
+    copies = F.coalesce("t.copies", "r.usual").alias("copies")
+    taken = each.where("t.copies IS NULL OR t.copies = t.least").select("r.row", copies).where("copies > 0")
     apart = times.where("copies > least")
     if not apart.isEmpty():
         taken = taken.unionByName(_numbered(rows, plan, apart, text_col))
@@ -248,9 +261,9 @@ def _numbered(rows: DataFrame, plan: DataFrame, apart: DataFrame, text_col: str)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it, by the rule of its SQL."""
+    """Every document with the words that the mix takes of it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs, one_filler=True).select(
+    return mix(docs).select(
         F.col("id").alias("doc_id"),
         "size",
         "source_size",
@@ -260,7 +273,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS rank
@@ -287,22 +300,24 @@ WITH sized AS (
 ), planned AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs
   FROM wanted
-), summed AS (
-  SELECT d.doc_id, d.source, d.size, d.rank, p.source_size, p.target, p.epochs,
-         target - epochs * source_size AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.rank, d.doc_id, d.size) AS running
+), summed AS MATERIALIZED (
+  SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.epochs, target - epochs * source_size AS rest,
+         sum(d.size) OVER w AS running, row_number() OVER w AS no
   FROM sized d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source
-), gaps AS (
-  SELECT *, rest - coalesce(max(CASE WHEN running <= rest THEN running END) OVER (PARTITION BY source), 0) AS gap
-  FROM summed
-), filled AS (
-  SELECT *, row_number() OVER (PARTITION BY source, running > rest AND size > 0 AND size <= gap
-                               ORDER BY size DESC, rank DESC, doc_id DESC) = 1
-            AND running > rest AND size > 0 AND size <= gap AS fills
-  FROM gaps
+  WINDOW w AS (PARTITION BY d.source ORDER BY d.rank, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), behind AS MATERIALIZED (
+  SELECT source, no, size FROM summed WHERE running > rest AND size > 0
+), fill AS (
+  SELECT source, max(CASE WHEN running <= rest THEN no ELSE 0 END) AS no,
+         any_value(rest) - coalesce(max(CASE WHEN running <= rest THEN running END), 0) AS gap
+  FROM summed GROUP BY source
+  UNION ALL
+  SELECT f.source, min(b.no), f.gap - arg_min(b.size, b.no)
+  FROM fill f JOIN behind b ON f.source IS NOT DISTINCT FROM b.source AND b.no > f.no AND b.size <= f.gap
+  GROUP BY f.source, f.no, f.gap
 )
-SELECT doc_id, size, source_size, target,
-       CAST(size * CASE WHEN epochs >= 3 THEN 3
-                        ELSE epochs + CASE WHEN running <= rest OR fills THEN 1 ELSE 0 END END AS BIGINT) AS taken
-FROM filled
+SELECT s.doc_id, s.size, s.source_size, s.target,
+       CAST(s.size * CASE WHEN epochs >= 3 THEN 3
+                          ELSE epochs + CASE WHEN running <= rest OR f.no IS NOT NULL THEN 1 ELSE 0 END END AS BIGINT) AS taken
+FROM summed s LEFT JOIN fill f ON s.source IS NOT DISTINCT FROM f.source AND s.no = f.no AND s.running > s.rest
 """

@@ -44,6 +44,23 @@ def test_exact_groups(spark, rows):
     assert plain((r.id, r.keep_id, r.group_size, r.kept, bytes(r.digest).hex()) for r in got) == plain(expected_groups(rows))
 
 
+def test_ids_of_other_types(spark):
+    rows = [("b", "x"), ("a", "x"), (None, "x"), ("c", None), ("d", "")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert plain((r.id, r.keep_id, r.group_size, r.kept) for r in got) == plain(
+        [("b", "b", 3, True), ("a", "b", 3, False), (None, "b", 3, False), ("c", "d", 2, False), ("d", "d", 2, True)]
+    )
+
+
+def test_rows_parted_by_a_filter(spark):
+    rows = spark.createDataFrame([(k if k % 10 else None, k) for k in range(2000)], "id long, n int")
+    keys = rows.where("n % 7 = 0").select(F.col("id").alias("key")).distinct()
+    maybe, never = exact_dedup.parted(rows, F.col("id"), keys)
+    wanted = {r.key for r in keys.collect()}
+    assert {r.id for r in never.collect()}.isdisjoint(wanted)
+    assert maybe.count() + never.count() == 2000 and sum(r.id in wanted for r in maybe.collect()) > 0.9 * maybe.count()
+
+
 def test_a_full_filter_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "repeated_filter", lambda digests, bits: np.full(bits // 8, 255, np.uint8))
     rows = [(k, f"text {k // 2 if k % 5 == 0 else k}", "a") for k in range(500)]
