@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import Staging, written
+from .memory import lean
 
 PIECE_CHARS = 16_384  # longer texts are cut
 WINDOW_CHARS = 64  # on either side of a join at first; doubled until both sides agree
@@ -379,13 +380,13 @@ def encode(
     ddl = OUTPUTS[output][1]
     schema = StructType([rows.schema["row"], *StructType.fromDDL(ddl).fields])
     is_long = F.length("text") > piece_chars
-    short = rows.where(~is_long).mapInArrow(_short(tokenizer_path, output), schema)
+    short = rows.where(~is_long).mapInArrow(lean(_short(tokenizer_path, output)), schema)
     long_rows = rows.where(is_long).withColumn("text_key", F.sha2("text", 256))
     with Staging(spark, "bpe") as stage:
         long_texts = long_rows.select("text_key", "text").dropDuplicates(["text_key"])
-        pieces = long_texts.mapInArrow(_pieces(tokenizer_path, piece_chars), _PIECE)
+        pieces = long_texts.mapInArrow(lean(_pieces(tokenizer_path, piece_chars)), _PIECE)
         spread = pieces.repartition("text_key", "section", "piece")
-        encoded = stage.write(spread.mapInArrow(_encoded_pieces(tokenizer_path), _ENCODED), "pieces")
+        encoded = stage.write(spread.mapInArrow(lean(_encoded_pieces(tokenizer_path)), _ENCODED), "pieces")
         joined = written(
             encoded.groupBy("text_key").applyInArrow(
                 _joined_pieces(tokenizer_path, window, output), f"text_key string, {ddl}"
@@ -414,7 +415,7 @@ def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: tup
     # apart from what is kept, so that no name can clash
     chosen = rows.select(F.col(f"`{ids_col}`").alias("ids"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"))
     schema = StructType([rows.schema[c] for c in keep]).add("decoded", StringType())
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(lean(run), schema)
 
 
 def default_tokenizer() -> str:

@@ -162,13 +162,30 @@ def parted(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, Da
     """
 
     def name(value: Column) -> Column:
-        return F.unhex(F.sha2(F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("-")), 256))
+        return F.sha2(F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("-")), 256)
 
-    packed = repeated_filter(keys.select(name(F.col("key"))), filter_bits(keys.count()), at_least=1)
-    maybe = maybe_repeated(rows.sparkSession, packed, name(key))
+    packed = repeated_filter(keys.select(F.unhex(name(F.col("key")))), filter_bits(keys.count()), at_least=1)
+    maybe = in_filter(rows.sparkSession, packed, name(key))
     return rows.where(maybe), rows.where(~maybe)
 
 
+def in_filter(spark: SparkSession, packed: np.ndarray, digest: Column) -> Column:
+    """Whether a filter has all bits of a digest, given in base 16, by column functions alone: no
+    row with a text waits for a Python worker, and no second worker runs beside one that reads texts.
+    The filter, of bounded size, is the value of a scalar subquery.
+    """
+    bits = len(packed) * 8
+    held = spark.createDataFrame([(bytearray(packed.tobytes()),)], "packed binary").scalar()
+    found = F.lit(True)
+    for k in range(HASHES):
+        octets = [F.substring(digest, 16 * k + 2 * b + 1, 2) for b in (3, 2, 1, 0)]  # the lowest bits come first
+        number = F.conv(F.concat(*octets), 16, 10).cast("long").bitwiseAND(bits - 1)
+        octet = F.conv(F.hex(F.substring(held, F.floor(number / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        mask = F.element_at(F.array(*[F.lit(1 << (7 - i)) for i in range(8)]), (number % 8).cast("int") + 1)
+        found = found & (octet.bitwiseAND(mask) != 0)
+    return found
+
+
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",

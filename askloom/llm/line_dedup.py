@@ -4,8 +4,10 @@ A store is a folder of three tables. ``refs`` says which document holds which li
 ``counts`` how many documents hold each repeated line and which is the largest, and
 ``filters`` has, for each shard of the line hashes, a cuckoo filter of the repeated
 lines. Documents are inserted and deleted; only the lines they hold are counted anew,
-and their fingerprints enter or leave the filters. Cleaning probes the filters inside
-the tasks that read the texts, so only lines that are probably repeated meet the counts.
+and their fingerprints enter or leave the filters. Cleaning probes the filters, so only lines
+that are probably repeated meet the counts: inside the tasks that read the texts as long as
+all filters fit there, else each line's hash goes to the filter of its shard. There are as
+many shards as the number of repeated lines asks for, so that a filter stays small.
 """
 
 from __future__ import annotations
@@ -19,10 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import Staging, new_folder, remove_folder, written
+from .exact_dedup import parted
+from .memory import lean
 
 MIN_DOCS = 3
 MIN_CODE_POINTS = 20
-SHARDS = 64
+SHARDS = 64  # at least
+SHARD_KEYS = 1 << 16  # repeated lines in a shard, on average, before there are more shards
 FILTERS_BROADCAST_BYTES = 32 * 1024 * 1024
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -47,7 +52,7 @@ def line_keys(text: str | None, min_code_points: int = MIN_CODE_POINTS) -> list[
 
 
 def _shard(key: bytes, shards: int) -> int:
-    return int.from_bytes(key[:2], "little") % shards
+    return int.from_bytes(key[8:12], "big") % shards
 
 
 # -- Cuckoo filter --------------------------------------------------------------------
@@ -171,6 +176,22 @@ def _full_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out()
 
 
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard, its filter first, then keys: those that are probably in the filter."""
+    now, made = None, None
+    for batch in batches:
+        shards, filters = batch.column("shard").to_pylist(), batch.column("filter")
+        keep = np.zeros(batch.num_rows, bool)
+        for i, key in enumerate(batch.column("key").to_pylist()):
+            if shards[i] != now:
+                now, made = shards[i], None
+            if key is None:
+                made = CuckooFilter(data=filters[i].as_py())
+            else:
+                keep[i] = made is not None and key in made
+        yield batch.select(["holder", "id", "key"]).filter(pa.array(keep))
+
+
 # -- Store ----------------------------------------------------------------------------
 
 
@@ -192,6 +213,7 @@ class LineStore:
     ) -> None:
         self.spark, self.folder = spark, folder or new_folder(spark, "line-store")
         self.min_docs, self.min_code_points, self.shards = min_docs, min_code_points, shards
+        self.broadcast_bytes = FILTERS_BROADCAST_BYTES
         self.version = ""
         self.refs = spark.createDataFrame([], "key binary, id long")
         self.counts = spark.createDataFrame([], "key binary, n_docs long, last_id long")
@@ -211,7 +233,7 @@ class LineStore:
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "id": pa.array(ids, pa.int64())})
 
         rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-        found = rows.where("id IS NOT NULL").mapInArrow(refs, "key binary, id long")
+        found = rows.where("id IS NOT NULL").mapInArrow(lean(refs), "key binary, id long")
         with Staging(self.spark, "line-insert") as stage:
             new = stage.write(found, "new")
             if self.version:
@@ -242,6 +264,14 @@ class LineStore:
         rest = self.counts if keys is None else self.counts.join(keys, "key", "left_anti")
         before = self.counts if keys is None else self.counts.join(keys, "key", "left_semi")
         counts = written(rest.unionByName(recounted), "counts", f"{place}/counts")
+        n_lines, shards = counts.count(), self.shards
+        while n_lines > shards * SHARD_KEYS:
+            shards *= 2
+        if not self.version or shards != self.shards:
+            self.shards = shards
+            made = counts.select(self._shard_column(), "key").repartition("shard").sortWithinPartitions("shard")
+            self._next(version, refs, counts, made.mapInArrow(_full_filters, "shard int, filter binary"))
+            return
         entered = recounted.join(before, "key", "left_anti").select("key", F.lit(1).alias("change"))
         left = before.join(recounted, "key", "left_anti").select("key", F.lit(-1).alias("change"))
         shard = self._shard_column()
@@ -262,7 +292,12 @@ class LineStore:
             .sortWithinPartitions("shard")
             .mapInArrow(_full_filters, "shard int, filter binary")
         )
-        filters = written(made.where(F.length("filter") > 0).unionByName(again), "filters", f"{place}/filters")
+        self._next(version, refs, counts, made.where(F.length("filter") > 0).unionByName(again))
+
+    def _next(self, version: str, refs: DataFrame, counts: DataFrame, filters: DataFrame) -> None:
+        """Write what is left of a version and drop the one before it."""
+        place = f"{self.folder}/{version}"
+        filters = written(filters, "filters", f"{place}/filters")
         refs = written(refs.select("key", "id"), "refs", f"{place}/refs")
         old, self.version = self.version, version
         self.refs, self.counts, self.filters = refs, counts, filters
@@ -270,15 +305,23 @@ class LineStore:
             remove_folder(self.spark, f"{self.folder}/{old}")
 
     def _shard_column(self):
-        first, second = F.conv(F.hex(F.substring("key", 1, 1)), 16, 10), F.conv(F.hex(F.substring("key", 2, 1)), 16, 10)
-        return ((first.cast("int") + second.cast("int") * 256) % self.shards).alias("shard")
+        number = F.conv(F.hex(F.substring("key", 9, 4)), 16, 10).cast("long")
+        return (number % self.shards).cast("int").alias("shard")
+
+    def _filters_fit(self) -> bool:
+        """Whether the filters are small enough together to be sent to the tasks."""
+        return (self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0) <= self.broadcast_bytes
+
+    def _routed(self, keys: DataFrame) -> DataFrame:
+        """Of rows (holder, id, key) those whose key the filter of its shard has."""
+        nothing = {"holder": F.lit(None).cast("string"), "id": F.lit(None).cast("long"), "key": F.lit(None).cast("binary")}
+        rows = keys.select("*", self._shard_column(), F.lit(None).cast("binary").alias("filter"))
+        both = rows.unionByName(self.filters.withColumns(nothing))
+        order = ["shard", F.col("filter").isNull()]
+        return both.repartition("shard").sortWithinPartitions(*order).mapInArrow(_probed, "holder string, id long, key binary")
 
     def _probe(self) -> Callable[[list[bytes]], list[bytes]]:
-        """Of some keys those that are probably repeated. The filters are sent to the tasks
-        if they are small enough together; beyond that every key goes to the exact counts."""
-        size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-        if size > FILTERS_BROADCAST_BYTES:
-            return lambda keys: keys
+        """Of some keys those that are probably repeated, by filters that are sent to the tasks."""
         sent = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in self.filters.collect()})
         shards, made = self.shards, {}
 
@@ -301,7 +344,8 @@ class LineStore:
         but for those in the largest of these documents. In a row with a null id all lines
         with such a key are dropped. A null or empty text is one empty line.
         """
-        limit, probe = self.min_code_points, self._probe()
+        limit, fit = self.min_code_points, self._filters_fit()
+        probe = self._probe() if fit else list
 
         def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _sliced(batches):
@@ -339,7 +383,8 @@ class LineStore:
         holder = F.coalesce(ident.cast("string"), F.concat(F.lit("~"), F.sha2(F.coalesce(text, F.lit("")), 256)))
         with Staging(self.spark, "line-clean") as stage:
             probed = docs.select(holder.alias("holder"), ident.alias("id"), text.alias("text"))
-            found = stage.write(probed.mapInArrow(suspects, "holder string, id long, key binary"), "suspects")
+            keys = probed.mapInArrow(lean(suspects), "holder string, id long, key binary")
+            found = stage.write(keys if fit else self._routed(keys), "suspects")
             gone = (
                 found.join(self.counts, "key")
                 .where("id IS NULL OR id < last_id OR id > last_id")
@@ -347,12 +392,16 @@ class LineStore:
                 .agg(F.collect_set("key").alias("gone"))
             )  # a document's own lines at most
             gone = written(gone, "line-drops")
-        # the text travels once, inside its row
+        # texts that lose nothing stay where they are; the others travel once, inside their rows. The
+        # join is a shuffle at any size, so a plan found on a small table holds on a large one.
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), holder.alias("holder"), ident.alias("id"))
-        return (
-            rows.join(gone, "holder", "left")
-            .select("gone", "row", "id")
-            .mapInArrow(drop, _schema(rows.select("row", "id"), "text string, n_lines long, n_dropped long"))
+        losing, whole = parted(rows, F.col("holder"), gone.select(F.col("holder").alias("key")))
+        losing = losing.join(gone.hint("merge"), "holder", "left").select("gone", "row", "id")
+        cleaned = losing.mapInArrow(lean(drop), _schema(rows.select("row", "id"), "text string, n_lines long, n_dropped long"))
+        same = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+        n_lines = F.size(F.split(same, "\n", -1)).cast("long")
+        return cleaned.unionByName(
+            whole.select("row", "id", same.alias("text"), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
         )
 
 

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from ..storage import Staging, written
 from .components import components
-from .exact_dedup import filter_bits, maybe_repeated, repeated_filter
+from .exact_dedup import parted
+from .memory import lean
 
 WORDS, PERCENT = 5, 80  # of the library's near-duplicates unless a caller says otherwise
 HALVES, ROWS = 20, 4
@@ -339,7 +340,7 @@ def near_groups(
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     with Staging(spark, "minhash") as stage:
-        signed = stage.write(texts.mapInArrow(_signed(words, halves, rows), _SIGNED), "signed")
+        signed = stage.write(texts.mapInArrow(lean(_signed(words, halves, rows)), _SIGNED), "signed")
         known = signed.where("doc IS NOT NULL AND n > 0")
         distinct = known.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("halves").alias("halves"))
         sets = stage.write(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
@@ -349,10 +350,8 @@ def near_groups(
         members = _sized(sets.select("id", "digest", "doc", "n").join(clusters, "id"), stage, block, limit)
         # A filter of the documents asked for, of bounded size, spares their texts a shuffle. What
         # it lets through wrongly, and other rows of an id, give sets that the join drops.
-        name = F.unhex(F.sha2(F.col("doc").cast("string"), 256))
-        wanted = repeated_filter(members.select(name.alias("name")), filter_bits(members.count()), at_least=1)
-        asked = texts.where("doc IS NOT NULL").withColumn("name", name).where(maybe_repeated(spark, wanted, "name"))
-        made = asked.select("text").mapInArrow(_sets(words), "digest binary, shingles binary")
+        asked, _ = parted(texts.where("doc IS NOT NULL"), F.col("doc"), members.select(F.col("doc").alias("key")))
+        made = asked.select("text").mapInArrow(lean(_sets(words)), "digest binary, shingles binary")
         full = stage.write(
             made.join(members, "digest").dropDuplicates(["id"]).select("id", "n", "cluster", "is_small", "shingles"), "sets"
         )

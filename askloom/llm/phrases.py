@@ -2,16 +2,19 @@
 
 A stripe belongs to a prefix of up to three words and counts, word by word, what comes next; the
 empty prefix's counts the words themselves. Merged elementwise over all texts, one table of stripes
-has all that phrases are judged by: an entry is the count of a phrase (prefix and word), a stripe's
-total that of its prefix, and its largest entry says whether a longer phrase subsumes the prefix.
+has all that phrases are judged by: an entry is the count of a phrase (prefix and word), so a prefix's
+total is its entry in the stripe of the prefix without its last word, and a stripe's largest entry
+says whether a longer phrase subsumes its prefix.
 
 Nearly all sequences of two or more words are rare, and a phrase cannot be frequent if the bucket
-of its hash is not. So stripes are made in two passes. The first counts hashes of 48 bits: a block
+of its hash is not. So stripes are made in two passes. The first counts hashes of 40 bits: a block
 of texts sends its hashes, each once with a count, sorted and cut by range, and every range finds
 the hashes that reach the least count over all blocks and tells each block which of its own these
-are. In the second pass a block makes stripes with entries for those only, and all else as one
-entry without a word. Hashes that collide let more entries through, and lose none: stripes hold
-the words themselves, so the counts are exact.
+are. In the second pass a block makes stripes with entries for those only; the empty prefix has all
+other words as one entry without a word. Hashes that collide let more entries through, and lose
+none: stripes hold the words themselves, so the counts are exact. (Nearly all sequences occur once
+or twice, so it takes some ten to a hash before their sums reach the least count: 40 bits are
+enough for 10^13 different ones.)
 
 A block gets its own list back, not everyone's, so nothing is broadcast and a task holds no more
 than its block. Words of one block are numbered, and counted as arrays.
@@ -39,10 +42,10 @@ UNKNOWN = "und"
 SCORE_UNITS = 2_000_000
 SUBSUMED_PERCENT = 80
 
-BLOCK_BYTES = 8 * 1024 * 1024  # of texts that are counted together
+BLOCK_BYTES = 12 * 1024 * 1024  # of texts that are counted together
 CHUNK_BYTES = 2 * 1024 * 1024  # of texts in a row; a longer piece is a row of its own
 RANGE_WORDS = 500_000  # words of all texts for each range of hashes
-HASH_BITS = 48
+HASH_BITS = 40
 
 #: A-Z in lower case, tabs as spaces, and all that ends a piece as a newline.
 _FOLDED = bytes(
@@ -144,7 +147,7 @@ class _Words:
         return self.pieces[: len(self.pieces) - n + 1] == self.pieces[n - 1 :]
 
     def hashes(self) -> Iterator[tuple[int, np.ndarray]]:
-        """For n from 1 on: the hash, of 48 bits, of the n words from each place on."""
+        """For n from 1 on: the hash of the n words from each place on."""
         state = self.first.copy()
         for n in range(1, MAX_WORDS + 1):
             if n > 1:
@@ -255,8 +258,8 @@ def _is_in(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
 def stripes_of(words: _Words, listed: np.ndarray) -> Iterator[tuple[list[str], list[str | None], np.ndarray]]:
     """Prefixes, next words and counts of one row's stripes.
 
-    Entries for sequences whose hash is listed; a prefix's other occurrences are counted under None.
-    A prefix that is not listed itself has no listed extension, and no stripe, but for the empty one.
+    Entries for sequences whose hash is listed; the empty prefix's other words are counted under None.
+    A prefix that is not listed itself has no stripe, but for the empty one.
     """
     size = len(words.ids)
     prefix = np.zeros(size, np.int64)  # number of the prefix that begins at a place, -1 for none
@@ -271,10 +274,8 @@ def stripes_of(words: _Words, listed: np.ndarray) -> Iterator[tuple[list[str], l
         seen, back, counts = np.unique(pairs, return_inverse=True, return_counts=True)
         heads, nexts = seen // width, seen % width
         yield [names[h] for h in heads], [texts[w] for w in nexts], counts
-        others = np.bincount(prefix[prefix >= 0], minlength=len(names))
-        others -= np.bincount(heads, weights=counts, minlength=len(names)).astype(others.dtype)
-        rest = np.flatnonzero(others)
-        yield [names[h] for h in rest], [None] * len(rest), others[rest]
+        if n == 1 and counts.sum() < size:
+            yield [""], [None], np.array([size - counts.sum()])
         if n == MAX_WORDS:
             return
         names = [f"{names[h]} {texts[w]}" if names[h] else texts[w] for h, w in zip(heads, nexts)]
@@ -325,8 +326,9 @@ def stripes(
     """Merged stripes (lang, prefix, word, n), prefixes of up to three words joined by spaces.
 
     Every phrase of up to four words with ``min_count`` occurrences is an entry with its exact
-    count, and every such phrase of up to three words a prefix, whose entries, with the one
-    whose word is null, add up to its count. A few rarer ones are there too, as exact.
+    count. The entries of the empty prefix, with the one whose word is null, add up to all words of
+    the language. Parts of frequent phrases are as frequent, so they are entries too. A few rarer
+    phrases are there as well, as exact.
     The caller removes the folder that the result lies in.
     """
     with Staging(docs.sparkSession, "phrases") as stage:
@@ -335,7 +337,8 @@ def stripes(
         path = stage.path("chunks")
         texts.mapInArrow(_chunks(block_bytes, chunk_bytes), _CHUNKS).write.option("compression", "zstd").parquet(path)
         chunks = docs.sparkSession.read.schema(_CHUNKS).parquet(path)
-        total = chunks.agg(F.sum("n_words").alias("n")).first()["n"] or 0
+        found = chunks.agg(F.sum("n_words").alias("words"), F.count_distinct("block").alias("blocks")).first()
+        total, blocks = found["words"] or 0, max(1, found["blocks"])
         part_bits = (total // range_words).bit_length()  # ranges are powers of two, so that none is searched for
         messages = chunks.select("block", "lang", "data").mapInArrow(_messages(part_bits), _MESSAGES)
         lists = stage.write(
@@ -344,7 +347,7 @@ def stripes(
         )
         rows = chunks.select("block", "lang", "data").unionByName(lists.withColumn("lang", F.lit(None).cast("string")))
         entries = (
-            rows.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("lang")).mapInArrow(_entries, _ENTRIES)
+            rows.repartition(blocks, "block").sortWithinPartitions("block", F.asc_nulls_first("lang")).mapInArrow(_entries, _ENTRIES)
         )
         merged = entries.groupBy("lang", "prefix", "word").agg(F.sum("n").alias("n"))
         return written(merged, "stripes")
@@ -363,19 +366,17 @@ def collocations(found: DataFrame, stage: Staging, min_count: int = MIN_COUNT) -
     A phrase is left out if one that is longer by a word at either end, which need not stay itself, has
     80 % of its occurrences: any longer one that has them holds one of these.
     """
-    named = F.when(F.col("word").isNotNull(), F.col("n"))
-    totals = stage.write(found.groupBy("lang", "prefix").agg(F.sum("n").alias("f"), F.max(named).alias("after")), "totals")
-    phrase = F.concat_ws(" ", "prefix", "word")
-    entries = found.where((F.col("word").isNotNull()) & (F.col("prefix") != "") & (F.col("n") >= min_count))
+    phrase = F.when(F.col("prefix") == "", F.col("word")).otherwise(F.concat_ws(" ", "prefix", "word"))
+    known = found.where(F.col("word").isNotNull())
+    totals = stage.write(known.select("lang", phrase.alias("phrase"), F.col("n").alias("f")), "totals")
+    entries = known.where((F.col("prefix") != "") & (F.col("n") >= min_count))
     phrases = stage.write(entries.select("lang", "prefix", phrase.alias("phrase"), F.col("n").alias("a")), "phrases")
 
     # the largest phrase that ends with this one, and the largest that begins with it
     before = phrases.select("lang", F.expr("substr(phrase, instr(phrase, ' ') + 1)").alias("phrase"), "a")
     before = before.groupBy("lang", "phrase").agg(F.max("a").alias("before"))
-    after = totals.select("lang", F.col("prefix").alias("phrase"), "after")
+    after = entries.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("n").alias("after"))
     longest = F.greatest(F.coalesce("before", F.lit(0)), F.coalesce("after", F.lit(0)))
-    # a longer phrase must be a candidate itself
-    longest = F.when(longest >= min_count, longest).otherwise(0)
     subsumed = _exact(longest) * 100 >= _exact(F.col("a")) * SUBSUMED_PERCENT
     alone = phrases.join(before, ["lang", "phrase"], "left").join(after, ["lang", "phrase"], "left").where(~subsumed)
 
@@ -388,12 +389,12 @@ def collocations(found: DataFrame, stage: Staging, min_count: int = MIN_COUNT) -
         F.array_join(F.slice(words, F.col("k") + 1, F.size(words) - F.col("k")), " ").alias("right"),
     )
     counted = (
-        cuts.join(totals.select("lang", F.col("prefix").alias("left"), F.col("f").alias("l")), ["lang", "left"])
-        .join(totals.select("lang", F.col("prefix").alias("right"), F.col("f").alias("r")), ["lang", "right"])
+        cuts.join(totals.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
+        .join(totals.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
     )
     score = F.expr(f"CAST(a AS DECIMAL(38, 0)) * {SCORE_UNITS} DIV (CAST(l AS DECIMAL(38, 0)) + r)")
     lowest = counted.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
-    sizes = totals.where("prefix = ''").select("lang", F.col("f").alias("n"))
+    sizes = found.where("prefix = ''").groupBy("lang").agg(F.sum("n").alias("n"))
     return lowest.join(sizes, "lang").select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
 

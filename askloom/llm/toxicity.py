@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from .memory import lean
+
 THRESHOLD = 0.7
 HELD_OUT_REMAINDER, FOLDS = 1, 3
 
@@ -274,7 +276,7 @@ def with_scores(
     # the text travels once: inside its row, if that is kept whole
     apart = [] if keep is None else [F.col(f"`{text_col}`").alias("text")]
     rows = docs.select(kept.alias("row"), *apart)
-    return rows.mapInArrow(run, StructType([rows.schema["row"]]).add("score", DoubleType()))
+    return rows.mapInArrow(lean(run), StructType([rows.schema["row"]]).add("score", DoubleType()))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+from askloom.llm import line_dedup
 from askloom.llm.line_dedup import CuckooFilter, LineStore, line_keys
 
 DOCS = "doc_id long, text string, row int, holder string, n_lines long, key string"
@@ -74,6 +75,26 @@ def test_insert_and_delete_are_reversible(spark):
     store.drop()
 
 
+def test_filters_beyond_what_can_be_sent(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    rows = texts(5, 200) + [(1000 + i, "\n".join(f"line that three documents hold {k}" for k in range(i // 3, i // 3 + 40))) for i in range(150)] + EDGES
+    store, kept = LineStore(spark, shards=2), []
+    store.broadcast_bytes = 0
+    own = store._routed
+    monkeypatch.setattr(store, "_routed", lambda keys: kept.append((keys.count(), own(keys).count())) or own(keys))
+    store.insert(docs(spark, rows[:120]))
+    assert store.shards >= store.counts.count() / 2
+    store.insert(docs(spark, rows[120:]))
+    assert store.counts.count() <= store.shards <= 2 * store.counts.count() and store.filters.count() > 10
+    assert got(store, docs(spark, rows).repartition(3)) == sorted(str(x) for x in expected(rows, rows))
+    (every, some) = kept[-1]
+    assert some < every - 100  # the filters spare the exact counts the lines that few hold
+    store.delete(spark.createDataFrame([(i,) for i, _ in rows[:60] if i is not None], "doc_id long"))
+    left = [r for r in rows if r[0] not in {i for i, _ in rows[:60]}]
+    assert got(store, docs(spark, rows)) == sorted(str(x) for x in expected(left, rows))
+    store.drop()
+
+
 def test_empty_store_and_table(spark):
     store = LineStore(spark)
     store.insert(docs(spark, []))

@@ -1,5 +1,7 @@
 """The pipeline's stages, each on what the one before it kept, and the registered queries."""
 
+import hashlib
+
 import __spark_entry__ as driver
 import corpus_pipeline
 import pytest
@@ -70,3 +72,38 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, kept int"
+
+
+def odd_documents():
+    """Null and repeated ids, repeated rows, null and empty texts, near copies, shared lines."""
+    rows = []
+    for k in range(40):
+        body = " ".join(f"w{(k // 2) * 31 + j}" for j in range(30))
+        rows.append((None if k % 9 == 0 else k, f"A line that several documents hold\n{body}\nlast {k}", "en", f"s{k % 3}"))
+    rows += [rows[5], rows[5], (5, "another text of this id " * 6, "en", "s0"), (100, None, None, None), (101, "", "de", None), (None, None, None, None)]
+    return [(*r, 0 if r[1] is None else len(r[1]), "x", 1) for r in rows]
+
+
+@pytest.mark.parametrize("rows", [odd_documents(), []])
+def test_run_on_odd_rows(spark, tmp_path, rows):
+    spark.createDataFrame(rows, DOCS).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(1, 1), (2, 0), (None, 1), (999, 1)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), name, new_folder(spark, name))
+        seen[name] = docs.collect()
+        assert docs.columns == [f.split()[0] for f in DOCS.split(", ")]
+    assert len(seen["line_dedup"]) == len(seen["toxicity"])
+    cleaned, kept = seen["line_dedup"], seen["minhash_near_dedup"]
+    assert sum(r.doc_id is None for r in kept) == sum(r.doc_id is None for r in cleaned)
+    ids = {r.doc_id for r in kept}
+    assert all(r.doc_id in ids or any(abs(r.doc_id - i) == 1 for i in ids if i is not None) for r in cleaned)
+    result = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(result) == len(seen["mix_sources"]) and bool(result) == bool(rows)
+    assert sorted(str(r.doc_id) for r in result) == sorted(str(r.doc_id) for r in seen["mix_sources"])
+    texts = {hashlib.sha256((r.text or "").encode()).hexdigest() for r in seen["mix_sources"]}
+    assert {r.decoded_sha256 for r in result} == texts
