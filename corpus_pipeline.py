@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 import askloom
 from askloom.llm import bpe, line_dedup, minhash, mixing, toxicity
-from askloom.storage import new_folder, remove_folder, written
+from askloom.llm.exact_dedup import parted
+from askloom.storage import new_folder, remove_folder, swept, written
 
 cloudpickle.register_pickle_by_value(askloom)  # executors need not have this folder on their path
 
@@ -41,9 +42,14 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies. Rows with one id are one
-    document; rows without an id stay."""
-    kept = minhash.near_groups(docs).where("kept AND id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    document; rows without an id stay. Shingles are of five words, as in all stages that are not
+    told otherwise; the query of the operator alone takes four. Only the texts of documents that may
+    go are moved to be matched."""
+    groups = minhash.near_groups(docs).where("id IS NOT NULL").groupBy(F.col("id").alias("key")).agg(F.max("kept").alias("kept"))
+    gone = written(groups.where("NOT kept").select("key"), "near-copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("key"))
+    maybe, stay = parted(rows, F.col("key"), gone)
+    return maybe.join(gone.hint("merge"), "key", "left_anti").select("row.*").unionByName(stay.select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +81,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         folder = new_folder(spark, f"pipeline-{name}")
-        docs = written(stage(spark, docs, sf_dir), name, folder)
+        with swept(spark):  # the stage's own tables, once its rows are written
+            docs = written(stage(spark, docs, sf_dir), name, folder)
         if before:
             remove_folder(spark, before)
         before = folder
