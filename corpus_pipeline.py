@@ -20,8 +20,19 @@ from askloom.storage import new_folder, remove_folder, swept, written
 cloudpickle.register_pickle_by_value(askloom)  # executors need not have this folder on their path
 
 
+ROWS_AT_ONCE = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    """Let few rows at a time go to Python, for the rest of the session: rows here are whole texts, of
+    which the usual ten thousand are tens of megabytes in the executor and in its workers alike."""
+    spark.conf.set(_BATCH, str(min(ROWS_AT_ONCE, int(spark.conf.get(_BATCH)) or ROWS_AT_ONCE)))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted on the labelled ones among them, does not find toxic."""
+    _in_small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.with_scores(docs, model).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
@@ -29,6 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that at least three of them hold, but for the largest of
     these; ``n_chars`` follows the text. A document that has lost all its lines is empty."""
+    _in_small_batches(spark)
     store = line_dedup.LineStore(spark)
     store.insert(docs)
     cleaned = store.clean(docs)
@@ -45,6 +57,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     document; rows without an id stay. Shingles are of five words, as in all stages that are not
     told otherwise; the query of the operator alone takes four. Only the texts of documents that may
     go are moved to be matched."""
+    _in_small_batches(spark)
     groups = minhash.near_groups(docs).where("id IS NOT NULL").groupBy(F.col("id").alias("key")).agg(F.max("kept").alias("kept"))
     gone = written(groups.where("NOT kept").select("key"), "near-copies")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("key"))
@@ -54,11 +67,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's share of the mix takes them."""
+    _in_small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of every document, with digests of them and of the text decoded again."""
+    _in_small_batches(spark)
     coded = bpe.encode(docs, bpe.default_tokenizer(), keep=["doc_id", "lang", "source"], output="both")
     return coded.select("row.*", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
