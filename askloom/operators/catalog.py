@@ -37,15 +37,16 @@ def schema_docs(statements: DataFrame, db_id: Column | None = None) -> DataFrame
     """(db_id, doc_no, doc_id, doc) from the CREATE TABLE statements of dumps.
 
     Numbers follow the order of the statements. The window holds one database's
-    table declarations, the same text that ends up in each of its prompts.
+    table declarations, the same text that ends up in each of its prompts. Rewriting a
+    declaration costs far more than moving it, so they are dealt out first: the files they
+    come from may be few, and small.
     """
     db_id = file_stem(F.col("path")) if db_id is None else db_id
-    tables = statements.where(statement_kind(F.col("stmt")) == "create_table").select(
-        db_id.alias("db_id"),
-        "path",
-        "stmt_no",
-        "part_no",
-        normalize_ddl(F.concat("stmt", F.lit(";"))).alias("doc"),
+    found = statements.where(statement_kind(F.col("stmt")) == "create_table").select(
+        db_id.alias("db_id"), "path", "stmt_no", "part_no", "stmt"
+    )
+    tables = found.repartition("path", "stmt_no", "part_no").select(
+        "db_id", "path", "stmt_no", "part_no", normalize_ddl(F.concat("stmt", F.lit(";"))).alias("doc")
     )
     order = W.partitionBy("db_id").orderBy("path", "stmt_no", "part_no")
     numbered = tables.withColumn("doc_no", F.row_number().over(order) - 1)
