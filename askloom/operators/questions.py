@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..storage import written
 from .joins import BROADCAST_LIMIT_BYTES, lookup_join
 
 NO_INDEX = "Missing index in sample."
@@ -65,13 +66,15 @@ def distinct_databases(questions: DataFrame) -> DataFrame:
 
 
 def attach_schema(
-    questions: DataFrame, schema_by_db: DataFrame, broadcast_limit: int = BROADCAST_LIMIT_BYTES
+    questions: DataFrame, schema_by_db: DataFrame, broadcast_limit: int = BROADCAST_LIMIT_BYTES, stored: bool = False
 ) -> DataFrame:
     """Add ``schema_text`` and ``has_schema_file`` to each question.
 
     ``schema_by_db`` has a row per database with a schema file; its text is null or
-    empty if the file declares no table.
+    empty if the file declares no table. It is measured and then joined, and so written once before,
+    unless it is ``stored`` already.
     """
+    schema_by_db = schema_by_db if stored else written(schema_by_db.select("db_id", "schema_text"), "schema-texts")
     lookup = schema_by_db.select("db_id", "schema_text", F.lit(True).alias("has_schema_file"))
     joined = lookup_join(questions, lookup, "db_id", "index", broadcast_limit)
     return joined.withColumn("has_schema_file", F.coalesce("has_schema_file", F.lit(False)))

@@ -104,7 +104,7 @@ def run_batch(
     writer = f"run_{uuid.uuid4().hex}"
     for number, part in enumerate(_parts(questions, flush_every)):
         part = part.repartition(concurrency) if concurrency else part
-        ready = validate_rows(attach_schema(part, schema_by_db))
+        ready = validate_rows(attach_schema(part, schema_by_db, stored=True))
         predictions = predict(ready, model, dialect, settings, batch_size, concurrency, batch_bytes)
         folder = runs_folder(writer, number)
         append_predictions(predictions, f"{output}/{folder}")

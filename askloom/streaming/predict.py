@@ -53,7 +53,7 @@ def stream_predictions(
             # A repeated batch must not take its own earlier rows for finished work.
             questions = without_finished(questions, output, repeats=(writer, batch_id))
         questions = questions.repartition(concurrency) if concurrency else questions
-        ready = validate_rows(attach_schema(questions, schema_by_db))
+        ready = validate_rows(attach_schema(questions, schema_by_db, stored=True))
         predictions = predict(ready, model, dialect, settings, batch_size, concurrency, batch_bytes)
         predictions.select(PREDICTIONS.fieldNames()).write.mode("overwrite").parquet(
             f"{output}/{folder}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions.prompts import build_prompt, build_review_prompt
 from askloom.functions.text import WHITESPACE, shorten, strip
+from askloom.operators import catalog
 from askloom.operators.joins import lookup_join, salted_join
 from askloom.operators.questions import (
     attach_schema,
@@ -212,3 +213,23 @@ def test_schema_files(spark, tmp_path):
         "one": "schema.sql", "two": "two.sql", "three": "a.sql", "with space": "x y.sql",
         "a+b%": "c+d é.sql",
     }
+
+
+def test_declarations_are_dealt_out_and_schemas_made_once(spark):
+    """However few files declare the tables; a lookup that is measured and joined is not made twice."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    rows = [(f"db{i // 2}", i % 2, 0, f"CREATE TABLE t{i} (id INT)") for i in range(40)]
+    statements = spark.createDataFrame(rows, "path string, stmt_no int, part_no int, stmt string").coalesce(1)
+    docs = catalog.schema_docs(statements, F.col("path"))
+    assert "REPARTITION_BY_COL" in docs._jdf.queryExecution().executedPlan().toString()
+    texts = catalog.schema_text_by_db(docs).withColumn("schema_text", counted("schema_text"))
+    asked = spark.createDataFrame([(i, f"db{i}", "q", "") for i in range(22)], "index long, db_id string, question string, gold_sql string")
+    found = {r["index"]: r["schema_text"] for r in attach_schema(asked, texts).collect()}
+    assert "t6" in found[3] and "t7" in found[3]
+    assert found[20] is None and made.value == 20
