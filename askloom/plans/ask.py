@@ -37,15 +37,16 @@ def answer_questions(
 
     The result is a written table, so using it twice asks the model no second time.
     """
+    docs = docs if reviewer is None else written(docs, "schema-docs")
     texts = written(schema_text_by_db(docs), "schema-texts")
-    ready = validate_rows(attach_schema(coerce_fields(samples), texts))
+    ready = validate_rows(attach_schema(coerce_fields(samples), texts, stored=True))
     predictions = written(predict(ready, model, DIALECT), "predictions")
     if reviewer is None:
         return predictions.withColumn("sql", F.col("predicted_sql")).withColumn(
             "reviewed", F.lit(False)
         )
     texts = written(schema_text_by_db(docs, REVIEW_SEPARATOR), "schema-texts")
-    to_review = attach_schema(predictions, texts)
+    to_review = attach_schema(predictions, texts, stored=True)
     reviewed = review(to_review, reviewer).drop("schema_text", "has_schema_file")
     return written(reviewed, "reviewed-predictions")
 
