@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import WHITESPACE, strip
 
 # The dialect rewrites for schema documents, in order, as
 # (pattern, replacement). Flags: i = any case, s = dot matches line ends,
@@ -87,8 +87,13 @@ def clean_ddl(stmt: Column) -> Column:
 
 
 def strip_leading_comments(stmt: Column) -> Column:
+    """A statement without the comments before it; most begin and end with neither comment nor white
+    space, and are told by two characters instead of by all."""
     bare = F.regexp_replace(stmt, LEADING_COMMENTS, "")
-    return strip(F.when(stmt.rlike(r"^(?:\s|--|#|/\*)"), bare).otherwise(stmt))
+    stripped = strip(F.when(stmt.rlike(r"^(?:\s|--|#|/\*)"), bare).otherwise(stmt))
+    may_begin = F.contains(F.lit(WHITESPACE + "-#/"), F.substring(stmt, 1, 1))
+    may_end = F.contains(F.lit(WHITESPACE), F.substring(stmt, -1, 1))
+    return F.when(may_begin | may_end, stripped).otherwise(stmt)
 
 
 def strip_comments(stmt: Column) -> Column:
@@ -98,9 +103,10 @@ def strip_comments(stmt: Column) -> Column:
 
 def statement_kind(stmt: Column) -> Column:
     """``create_table``, ``insert`` or ``other``, told by how the statement starts."""
+    word = F.lower(F.substring(stmt, 1, 6))  # a pattern that fails is tried at every character
     return (
-        F.when(stmt.rlike(r"(?i)^create\s+table\b"), "create_table")
-        .when(stmt.rlike(r"(?i)^insert\s+into\b"), "insert")
+        F.when((word == "create") & stmt.rlike(r"(?i)^create\s+table\b"), "create_table")
+        .when((word == "insert") & stmt.rlike(r"(?i)^insert\s+into\b"), "insert")
         .otherwise("other")
     )
 

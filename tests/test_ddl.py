@@ -130,3 +130,5 @@ def test_comments(spark):
         strip_leading_comments,
         [("-- a\n/* b\n */ -- c\n CREATE -- d", "CREATE -- d"), ("-- a", ""), ("/*! x */", "")],
     )
+    edges = [("-1", "-1"), ("/x", "/x"), ("a\u3000", "a"), ("\x85a", "a"), ("a /* b */", "a /* b */"), ("", ""), (" ", ""), (None, None)]
+    check(spark, strip_leading_comments, edges)

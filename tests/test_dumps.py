@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 
 from askloom.operators.catalog import list_tables, schema_docs
-from askloom.operators.load import load_dump
+from askloom.operators.load import TableColumn, _read_rows, dump_rows, load_dump, type_rows
 from askloom.sources.dumps import scan_dump
 
 
@@ -240,6 +240,59 @@ INSERT INTO t (id, "key") VALUES (3, "-- no comment");
     assert loaded.rejects.count() == 0
 
 
+# Tuples of (a BIGINT, b DOUBLE, c TEXT DEFAULT 'it''s', d DECIMAL(6,2) NOT NULL): whether they are plain, and what is read.
+TUPLES = [
+    ("(1, 2.5, 'x', 3)", True, (1, 2.5, "x", Decimal("3.00"))),
+    ("(+1,-.5,' x ',3.)", True, (1, -0.5, " x ", Decimal("3.00"))),
+    ("(NULL, 1e3, 'is NULL', 0.005)", True, (None, 1000.0, "is NULL", Decimal("0.01"))),
+    ("(1, NULL, '', 3)", True, (1, None, "", Decimal("3.00"))),
+    ("('7', '1', 'a(b)', '2')", True, (7, 1.0, "a(b)", Decimal("2.00"))),
+    ("(1, 2, 'x', NULL)", True, "missing value"),
+    ("(1.5, 2, 'x', 3)", True, "value does not fit its column"),
+    ("(NULL, 'z', NULL, 3)", True, "value does not fit its column"),
+    ("(1, 2, 'x')", True, "wrong number of values"),
+    ("(1, 2, 'NULL', 3)", False, (1, 2.0, "NULL", Decimal("3.00"))),
+    ("(1, 2, null, 3)", False, (1, 2.0, None, Decimal("3.00"))),
+    ("(1, 2, 'a, b', 3)", False, (1, 2.0, "a, b", Decimal("3.00"))),
+    ("(1, 2, 'a''b', 3)", False, (1, 2.0, "a'b", Decimal("3.00"))),
+    ("(1, 2, \"a\", 3)", False, (1, 2.0, "a", Decimal("3.00"))),
+    ("( 1 , 2,  'x', TRUE)", False, (1, 2.0, "x", Decimal("1.00"))),
+    ("(1, 2, 'x'\n, 0x10)", False, (1, 2.0, "x", Decimal("16.00"))),
+    ("(1, 2, now(), 3)", False, "not a constant"),
+    ("(1 2, 2, 'x', 3)", False, "not a constant"),
+    ("()", False, "wrong number of values"),
+]
+
+
+@pytest.mark.parametrize("deep", [False, True])
+def test_plain_tuples_are_cut_at_their_commas(spark, deep):
+    columns = [TableColumn("a", "bigint"), TableColumn("b", "double"), TableColumn("c", "string", "'it''s'")]
+    columns.append(TableColumn("d", "decimal(6,2)", required=True))
+    stmt = "INSERT INTO t VALUES " + ",\n".join(t for t, _, _ in TUPLES)
+    stmts = spark.createDataFrame([("p", 1, 0, stmt)], "path string, stmt_no long, part_no int, stmt string")
+    rows = _read_rows(stmts, deep)
+    # Their constants are not told apart one by one: they have no fields.
+    assert [(r["fields"] is None) for r in rows.orderBy("row_no").collect()] == [plain for _, plain, _ in TUPLES]
+    for read in (rows, dump_rows(stmts, deep)):
+        typed = type_rows(read, columns).orderBy("__row_no").collect()
+        assert [r["__error"] or (r["a"], r["b"], r["c"], r["d"]) for r in typed] == [want for _, _, want in TUPLES]
+        assert [r["__source"] for r in typed] == [t if isinstance(want, str) else None for t, _, want in TUPLES]
+
+
+def test_plain_tuples_in_another_order(spark):
+    columns = [TableColumn("a", "bigint"), TableColumn("b", "string", "'it''s'"), TableColumn("c", "bigint", "5")]
+    stmts = [
+        ("p", i, 0, f"INSERT INTO t ({names}) VALUES {t}")
+        for i, (names, t) in enumerate([("c, a", "(1, NULL)"), ("b, A", "('x', 2)"), ("a, b, c", "(1, 'y', 2)"), ("a, z", "(1, 2)"), ("a", "(1, 2)")])
+    ]
+    stmts = spark.createDataFrame(stmts, "path string, stmt_no long, part_no int, stmt string")
+    for read in (_read_rows(stmts, False), dump_rows(stmts, False)):
+        typed = type_rows(read, columns).orderBy("__stmt_no").collect()
+        assert [r["__error"] or (r["a"], r["b"], r["c"]) for r in typed] == [
+            (None, "it's", 1), (2, "x", 5), (1, "y", 2), "unknown column", "wrong number of values",
+        ]
+
+
 def py_numbers(keys):
     out, top = [], 0
     for k in keys:
