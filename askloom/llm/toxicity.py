@@ -66,7 +66,7 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-WORDS_AT_ONCE = 20_000
+WORDS_AT_ONCE = 5_000  # their n-grams take over 1 KB a word while they are hashed
 
 
 def word_buckets(words: list[str], buckets: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def _tempered(odds: np.ndarray) -> np.ndarray:
     return np.clip(odds, -SURE, SURE) + np.sign(odds) * np.log1p(beyond)
 
 
-KNOWN_WORDS = 200_000  # kept per task; a cache, emptied when full
+KNOWN_WORDS = 100_000  # kept per task; a cache, emptied when full
 ROWS_AT_ONCE = 512  # texts held as Python values
 
 

@@ -1,9 +1,13 @@
 """The pipeline's stages, each on what the one before it kept, and the registered queries."""
 
+import base64
 import hashlib
+import random
+import tracemalloc
 
 import __spark_entry__ as driver
 import corpus_pipeline
+import pyarrow.parquet as pq
 import pytest
 from askloom.llm import bpe, toxicity
 from askloom.llm.queries import ORACLES, QUERIES
@@ -107,3 +111,29 @@ def test_run_on_odd_rows(spark, tmp_path, rows):
     assert sorted(str(r.doc_id) for r in result) == sorted(str(r.doc_id) for r in seen["mix_sources"])
     texts = {hashlib.sha256((r.text or "").encode()).hexdigest() for r in seen["mix_sources"]}
     assert {r.decoded_sha256 for r in result} == texts
+
+
+def test_stages_hold_little_of_the_texts_at_once(spark, tmp_path):
+    made = random.Random(1)
+    rows = [(i, base64.b64encode(made.randbytes(9000)).decode(), "en", "s0", 12000) for i in range(2500)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / "in"))
+    mixed = corpus_pipeline.mix_sources(spark, spark.read.parquet(str(tmp_path / "in")), str(tmp_path))
+    mixed.coalesce(1).write.parquet(str(tmp_path / "out"))  # 30 MB in one task
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "out").glob("*.parquet")]
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == len(rows)
+    assert max(g.total_byte_size for g in groups) < 16e6
+    assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(rows)
+
+
+def test_words_are_hashed_few_at_a_time():
+    made = random.Random(2)
+    words = ["".join(made.choices("abcdefgh", k=made.randint(1, 14))) for _ in range(25_000)]
+    tracemalloc.start()
+    numbers, begins = toxicity.word_buckets(words, 1 << 18, (3, 4, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
+    for k in (0, 4_999, 5_000, 19_999, 20_000, 24_999):
+        assert numbers[begins[k] : begins[k + 1]].tolist() == toxicity.word_buckets([words[k]], 1 << 18, (3, 4, 5))[0].tolist()
