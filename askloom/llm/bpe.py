@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import Staging, written
+from ..storage import written
 from .memory import lean
 
 PIECE_CHARS = 16_384  # longer texts are cut
@@ -80,6 +80,7 @@ class Codec:
             n: t.encode() for t, n in self.special.items()
         }
         self.digits = [str(n).encode() for n in range(max(self.bytes_of) + 1)]
+        self.packed = np.dtype("<u2" if max(self.bytes_of) < 1 << 16 else "<u4")  # a token on its way between tasks
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("|".join(regex.escape(t) for t in self.special)) if self.special else None
 
@@ -293,8 +294,9 @@ def _short(path: str, output: str):
     return run
 
 
-_PIECE = "text_key string, section int, piece int, special int, text string"
-_ENCODED = f"{_PIECE}, ids array<int>"
+_PLACE = "text_key string, section int, piece int, special int"
+_PIECE = f"{_PLACE}, text string"
+_ENCODED = f"{_PLACE}, ids binary"
 
 
 def _pieces(path: str, piece_chars: int):
@@ -319,16 +321,19 @@ def _pieces(path: str, piece_chars: int):
 
 
 def _encoded_pieces(path: str):
+    """The tokens of each piece in place of its text, which they spell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
                 ids = [
-                    np.array([special], np.uint32) if special >= 0 else codec.encode_plain(text)
+                    np.array([special]) if special >= 0 else codec.encode_plain(text)
                     for special, text in zip(part.column(3).to_pylist(), part.column(4).to_pylist())
                 ]
-                yield pa.RecordBatch.from_arrays([*part.columns, _ids_array(ids)], names=[*part.schema.names, "ids"])
+                packed = pa.array([i.astype(codec.packed).tobytes() for i in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], packed], names=[*part.schema.names[:4], "ids"])
 
     return run
 
@@ -341,10 +346,11 @@ def _joined_pieces(path: str, window: int, output: str):
         rows = sorted(table.to_pylist(), key=lambda r: (r["section"], r["piece"]))
         ids, nodes = [], []
         for n, row in enumerate(rows):
+            own = np.frombuffer(row["ids"], codec.packed).tolist()
             if row["special"] >= 0:
-                ids += row["ids"]
+                ids += own
                 continue
-            nodes.append(Node(row["text"], row["ids"]))
+            nodes.append(Node(codec.decode(own), own))
             if n + 1 == len(rows) or rows[n + 1]["section"] != row["section"]:
                 ids += tree_joined(codec, nodes, window).ids
                 nodes = []
@@ -369,11 +375,11 @@ def encode(
     A null text counts as empty and has no tokens. Strings of special tokens in a text are
     special tokens. ``tokenizer_path`` must be readable on the executors. A text longer than
     ``piece_chars`` is encoded once however many rows hold it; its tokens meet in the task
-    that makes its row, since a row is one value.
+    that makes its row, since a row is one value. Its pieces are cut where it is read, and each
+    moves once, as text, to where it is encoded; from there on tokens alone move.
     """
     from pyspark.sql.types import StructType
 
-    spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     kept = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
     rows = docs.select(text.alias("text"), kept.alias("row"))
@@ -382,17 +388,13 @@ def encode(
     is_long = F.length("text") > piece_chars
     short = rows.where(~is_long).mapInArrow(lean(_short(tokenizer_path, output)), schema)
     long_rows = rows.where(is_long).withColumn("text_key", F.sha2("text", 256))
-    with Staging(spark, "bpe") as stage:
-        long_texts = long_rows.select("text_key", "text").dropDuplicates(["text_key"])
-        pieces = long_texts.mapInArrow(lean(_pieces(tokenizer_path, piece_chars)), _PIECE)
-        spread = pieces.repartition("text_key", "section", "piece")
-        encoded = stage.write(spread.mapInArrow(lean(_encoded_pieces(tokenizer_path)), _ENCODED), "pieces")
-        joined = written(
-            encoded.groupBy("text_key").applyInArrow(
-                _joined_pieces(tokenizer_path, window, output), f"text_key string, {ddl}"
-            ),
-            "bpe-long",
-        )
+    pieces = long_rows.select("text_key", "text").mapInArrow(lean(_pieces(tokenizer_path, piece_chars)), _PIECE)
+    once = pieces.dropDuplicates(["text_key", "section", "piece"])
+    encoded = once.mapInArrow(lean(_encoded_pieces(tokenizer_path)), _ENCODED)
+    joined = written(
+        encoded.groupBy("text_key").applyInArrow(_joined_pieces(tokenizer_path, window, output), f"text_key string, {ddl}"),
+        "bpe-long",
+    )
     whole = long_rows.select("row", "text_key").join(joined, "text_key").select(*short.columns)
     return short.unionByName(whole)
 

@@ -1,5 +1,7 @@
 """BPE against the tokenizer library, and the toxicity model on held-out rows."""
 
+import base64
+import hashlib
 import math
 import random
 import re
@@ -69,6 +71,28 @@ def test_encode_and_decode_tables(spark, library, output):
     assert coded.count() == len(TEXTS) + 2
 
 
+def test_the_text_of_a_long_document_moves_once(spark, library, tmp_path):
+    random_ = random.Random(5)
+    texts = [base64.b64encode(random_.randbytes(90_000)).decode() for _ in range(20)]  # nothing compresses these much
+    frame = docs(spark, [*enumerate(texts), *((100 + n, t) for n, t in enumerate(texts))]).coalesce(1)
+    frame.write.parquet(f"{tmp_path}/docs")
+    rows = spark.read.parquet(f"{tmp_path}/docs")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {str(f.getName()): f.length() for d in disk.localDirs() for sub in d.listFiles() or () for f in sub.listFiles() or ()
+                if str(f.getName()).endswith(".data")}
+
+    before = shuffled()
+    got = {r.row.doc_id: (r.n_tokens, r.ids_sha256) for r in bpe.encode(rows, PATH, keep=["doc_id"], output="digests").collect()}
+    moved = sum(size for name, size in shuffled().items() if name not in before)
+    for n, text in enumerate(texts):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert got[n] == got[100 + n] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    tokens = sum(got[n][0] for n in range(len(texts)))
+    assert moved < 1.2 * (sum(map(len, texts)) + 2 * tokens)  # the characters, and a token's two bytes
+
+
 def test_encode_nothing(spark):
     assert bpe.encode(docs(spark, []), PATH).count() == 0
 
