@@ -203,8 +203,8 @@ def _spanning_links(percent: int):
     return run
 
 
-def _buckets(signed: DataFrame, stage: Staging, halves: int) -> DataFrame:
-    """(key, id): members of the tables' buckets that hold at least two sets.
+def _edges(signed: DataFrame, stage: Staging, halves: int) -> DataFrame:
+    """(a, b): the smallest set of each of the tables' buckets with each of the others in it.
 
     A pair of half keys can meet only where both do, so half keys that one set alone has
     are dropped before pairs are formed: most texts form none.
@@ -226,15 +226,14 @@ def _buckets(signed: DataFrame, stage: Staging, halves: int) -> DataFrame:
         .select(F.xxhash64("x", "y").alias("key"), "id"),
         "keyed",
     )
-    full = stage.write(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1").select("key"), "full")
-    return stage.write(keyed.join(full, "key", "left_semi"), "buckets")
+    least = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_sets"), F.min("id").alias("center"))
+    centers = stage.write(least.where("n_sets > 1").select("key", "center"), "centers")
+    return keyed.join(centers, "key").where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"))
 
 
-def _clusters(buckets: DataFrame, stage: Staging) -> DataFrame:
+def _clusters(sets: DataFrame, stage: Staging, halves: int) -> DataFrame:
     """(id, cluster): sets that buckets connect, in a row or directly."""
-    centers = stage.write(buckets.groupBy("key").agg(F.min("id").alias("center")), "centers")
-    edges = buckets.join(centers, "key").where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"))
-    return components(edges, stage).withColumnRenamed("component", "cluster")
+    return components(_edges(sets, stage, halves), stage).withColumnRenamed("component", "cluster")
 
 
 def _parts(limit: int, block: int) -> Column:
@@ -344,8 +343,7 @@ def near_groups(
         known = signed.where("doc IS NOT NULL AND n > 0")
         distinct = known.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("halves").alias("halves"))
         sets = stage.write(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
-        buckets = _buckets(sets, stage, halves)
-        clusters = _clusters(buckets, stage)
+        clusters = _clusters(sets, stage, halves)
         limit = block_shingles or BLOCK_SHINGLES
         members = _sized(sets.select("id", "digest", "doc", "n").join(clusters, "id"), stage, block, limit)
         # A filter of the documents asked for, of bounded size, spares their texts a shuffle. What

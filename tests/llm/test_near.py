@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from askloom import storage
 from askloom.llm import components, cover_tree, minhash
 
 
@@ -29,6 +30,32 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("last", [0, 30, 1 << 17])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, last):
+    monkeypatch.setattr(components, "LAST", last)
+    random_ = random.Random(7)
+    links = [(i, i + 1) for i in range(60)] + [(random_.randrange(100, 300), random_.randrange(100, 300)) for _ in range(120)]
+    links += [(-5, 400), (400, 7), (1 << 60, 401), (401, (1 << 60) + 1)]
+    frame = spark.createDataFrame([*links, (None, 3), (4, None), (9, 9)], "a long, b long").repartition(5)
+    got = {r.id: r.component for r in components.components(frame).collect()}
+    assert got == reachable([p for p in links if p[0] != p[1]], {x for p in links if p[0] != p[1] for x in p})
+
+
+def tables_written(monkeypatch, run):
+    names, own = [], storage.written
+    monkeypatch.setattr(storage, "written", lambda df, name, *path: names.append(name) or own(df, name, *path))
+    run()
+    monkeypatch.undo()
+    return len(names)
+
+
+def test_few_links_take_few_tables(spark, monkeypatch):
+    chain = spark.createDataFrame([(k * 7919 % 3001, (k + 1) * 7919 % 3001) for k in range(3000)], "a long, b long")
+    assert tables_written(monkeypatch, lambda: components.components(chain).count()) <= 2
+    rows = copies(300) + [(1000 + k, " ".join(f"w{j}" for j in range(k, k + 60))) for k in range(0, 600, 3)]
+    assert tables_written(monkeypatch, lambda: minhash.near_groups(docs(spark, rows), words=4, block=64).count()) <= 27
+
+
 # -- Texts ----------------------------------------------------------------------------
 
 DOCS = "doc_id long, text string, id string, n string, halves int, component_id string"
