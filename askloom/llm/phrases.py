@@ -14,15 +14,17 @@ entry without a word. Hashes that collide let more entries through, and lose non
 the words themselves, so the counts are exact.
 
 A block gets its own list back, not everyone's, so nothing is broadcast and a task holds no more
-than its block. Words of one block are numbered, and counted as arrays.
+than its block. Words of one block are numbered, and counted as arrays; phrases are text only in Arrow,
+and come out some thousand at a time, however many of a block's are frequent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -31,6 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import Staging, written
+from .memory import lean, small_batches
 
 MIN_COUNT = 30
 MAX_WORDS = 4
@@ -40,9 +43,11 @@ SCORE_UNITS = 2_000_000
 SUBSUMED_PERCENT = 80
 
 BLOCK_BYTES = 8 * 1024 * 1024  # of texts that are counted together
-CHUNK_BYTES = 2 * 1024 * 1024  # of texts in a row; a longer piece is a row of its own
+CHUNK_BYTES = 256 * 1024  # of texts in a row; a longer piece is a row of its own
 RANGE_WORDS = 500_000  # words of all texts for each range of hashes
 HASH_BITS = 48
+BATCH_BYTES = 1024 * 1024  # of rows that come from Python together
+BATCH_ROWS = 16 * 1024  # of stripes
 
 #: A-Z in lower case, tabs as spaces, and all that ends a piece as a newline.
 _FOLDED = bytes(
@@ -132,9 +137,9 @@ class _Words:
             pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters.tobytes())]
         ).dictionary_encode()
         self.ids = column.indices.to_numpy()
-        self.words = column.dictionary.to_pylist()
+        self.words = column.dictionary
         seed = xxhash.xxh3_64_intdigest(lang.encode())
-        hashes = [xxhash.xxh3_64_intdigest(w, seed) for w in self.words]
+        hashes = [xxhash.xxh3_64_intdigest(w.as_buffer(), seed) for w in self.words]
         self.first = np.array(hashes, np.uint64)[self.ids] if len(self.ids) else np.empty(0, np.uint64)
 
     def whole(self, n: int) -> np.ndarray:
@@ -186,27 +191,49 @@ def _messages(part_bits: int):
         for batch in batches:
             for block, lang, data in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "data"))):
                 if block != now and found:
-                    yield _message(now, found, part_bits)
+                    yield from _message(now, found, part_bits)
                     found = []
                 now, words = block, _Words(lang, data)
                 for n, hashes in words.hashes():
                     found.append(hashes[words.whole(n)])
         if found:
-            yield _message(now, found, part_bits)
+            yield from _message(now, found, part_bits)
 
     return run
 
 
-def _message(block: int, found: list[np.ndarray], part_bits: int) -> pa.RecordBatch:
-    hashes, counts = np.unique(np.concatenate(found), return_counts=True)
+def _message(block: int, found: list[np.ndarray], part_bits: int) -> Iterator[pa.RecordBatch]:
+    """The messages of one block; ``found`` is empty afterwards."""
+    every = np.concatenate(found)
+    found.clear()
+    every.sort()
+    first = np.flatnonzero(np.diff(every, prepend=~every[:1]))
+    hashes, counts = every[first], np.diff(first, append=len(every))
+    del every, first
     parts = (hashes >> np.uint64(HASH_BITS - part_bits)).astype(np.int64)
     begin = np.flatnonzero(np.diff(parts, prepend=-1))
-    ends = [*begin[1:], len(parts)]
-    data = [_packed(hashes[a:b], np.minimum(counts[a:b], 0xFFFFFFFF)) for a, b in zip(begin, ends)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(parts[begin], pa.int64()), pa.array([block] * len(data), pa.int64()), pa.array(data, pa.binary())],
-        ["part", "block", "data"],
-    )
+    ends, numbers = [*begin[1:], len(parts)], parts[begin]
+    del parts
+    rows = ((part, block, _packed(hashes[a:b], np.minimum(counts[a:b], 0xFFFFFFFF))) for part, a, b in zip(numbers, begin, ends))
+    yield from _blobs(rows, ["part", "block", "data"])
+
+
+def _blobs(rows: Iterable[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole numbers and, last, bytes, ``BATCH_BYTES`` at a time."""
+    some, held = [], 0
+
+    def batch() -> pa.RecordBatch:
+        *numbers, data = zip(*some)
+        return pa.RecordBatch.from_arrays([*[pa.array(n, pa.int64()) for n in numbers], pa.array(data, pa.binary())], names)
+
+    for row in rows:
+        some.append(row)
+        held += len(row[-1])
+        if held > BATCH_BYTES:
+            yield batch()
+            some, held = [], 0
+    if some:
+        yield batch()
 
 
 def _frequent(least: int):
@@ -220,11 +247,7 @@ def _frequent(least: int):
         for own, _ in columns:
             out.append(own[enough[at : at + len(own)]])
             at += len(own)
-        rows = [(b, _packed(own)) for b, own in zip(blocks, out) if len(own)]
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.binary())], ["block", "data"]
-            )
+        yield from _blobs(((b, _packed(own)) for b, own in zip(blocks, out) if len(own)), ["block", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks, data = None, [], []
@@ -253,15 +276,20 @@ def _is_in(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
 
 
 def stripes_of(words: _Words, listed: np.ndarray) -> Iterator[tuple[list[str], list[str | None], np.ndarray]]:
-    """Prefixes, next words and counts of one row's stripes.
+    """Prefixes, next words and counts of one row's stripes, as lists."""
+    for prefixes, nexts, counts in _stripes(words, listed):
+        yield prefixes.to_pylist(), nexts.to_pylist(), counts
+
+
+def _stripes(words: _Words, listed: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Prefixes, next words and counts of one row's stripes, ``BATCH_ROWS`` at a time.
 
     Entries for sequences whose hash is listed; a prefix's other occurrences are counted under None.
     A prefix that is not listed itself has no listed extension, and no stripe, but for the empty one.
     """
     size = len(words.ids)
     prefix = np.zeros(size, np.int64)  # number of the prefix that begins at a place, -1 for none
-    names = [""]
-    texts = [w.decode() for w in words.words]
+    names, texts = pa.array([""], pa.large_string()), words.words.cast(pa.large_string())
     for n, hashes in words.hashes():
         width = len(texts)
         here = words.whole(n) & _is_in(hashes, listed)
@@ -269,15 +297,21 @@ def stripes_of(words: _Words, listed: np.ndarray) -> Iterator[tuple[list[str], l
         places = np.flatnonzero(here)
         pairs = prefix[places] * width + words.ids[places + n - 1]
         seen, back, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-        heads, nexts = seen // width, seen % width
-        yield [names[h] for h in heads], [texts[w] for w in nexts], counts
+        heads, nexts = (seen // width, seen % width) if width else (seen, seen)
+        del pairs, seen
+        for a in range(0, len(heads), BATCH_ROWS):
+            b = a + BATCH_ROWS
+            yield names.take(pa.array(heads[a:b])).cast(pa.string()), texts.take(pa.array(nexts[a:b])).cast(pa.string()), counts[a:b]
         others = np.bincount(prefix[prefix >= 0], minlength=len(names))
         others -= np.bincount(heads, weights=counts, minlength=len(names)).astype(others.dtype)
         rest = np.flatnonzero(others)
-        yield [names[h] for h in rest], [None] * len(rest), others[rest]
+        for a in range(0, len(rest), BATCH_ROWS):
+            some = rest[a : a + BATCH_ROWS]
+            yield names.take(pa.array(some)).cast(pa.string()), pa.nulls(len(some), pa.string()), others[some]
         if n == MAX_WORDS:
             return
-        names = [f"{names[h]} {texts[w]}" if names[h] else texts[w] for h, w in zip(heads, nexts)]
+        after = texts.take(pa.array(nexts))
+        names = after if n == 1 else pc.binary_join_element_wise(names.take(pa.array(heads)), after, pa.scalar(" ", pa.large_string()))
         prefix = np.full(size, -1, np.int64)
         prefix[places] = back
 
@@ -287,19 +321,19 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, lists, listed, held = None, [], np.empty(0, np.uint64), []
 
     def counted(lang: str) -> Iterator[pa.RecordBatch]:
-        for prefixes, nexts, counts in stripes_of(_Words(lang, b"".join(held)), listed):
-            if len(prefixes):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(prefixes)), pa.array(prefixes), pa.array(nexts, pa.string()), pa.array(counts, pa.int64())],
-                    ["lang", "prefix", "word", "n"],
-                )
+        words = _Words(lang, b"".join(held))
+        held.clear()
+        for prefixes, nexts, counts in _stripes(words, listed):
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(lang), len(prefixes)), prefixes, nexts, pa.array(counts, pa.int64())],
+                ["lang", "prefix", "word", "n"],
+            )
 
     for batch in batches:
         for block, lang, data in zip(*(batch.column(c).to_pylist() for c in ("block", "lang", "data"))):
             if (block, lang) != now:
                 if held:
                     yield from counted(now[1])
-                    held = []
                 if now is None or now[0] != block:
                     lists, listed = [], np.empty(0, np.uint64)
                 elif lists:
@@ -329,22 +363,22 @@ def stripes(
     whose word is null, add up to its count. A few rarer ones are there too, as exact.
     The caller removes the folder that the result lies in.
     """
-    with Staging(docs.sparkSession, "phrases") as stage:
+    with Staging(docs.sparkSession, "phrases") as stage, small_batches(docs.sparkSession):
         lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN))
         texts = docs.select(lang.alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
         path = stage.path("chunks")
-        texts.mapInArrow(_chunks(block_bytes, chunk_bytes), _CHUNKS).write.option("compression", "zstd").parquet(path)
+        texts.mapInArrow(lean(_chunks(block_bytes, chunk_bytes)), _CHUNKS).write.option("compression", "zstd").parquet(path)
         chunks = docs.sparkSession.read.schema(_CHUNKS).parquet(path)
         total = chunks.agg(F.sum("n_words").alias("n")).first()["n"] or 0
         part_bits = (total // range_words).bit_length()  # ranges are powers of two, so that none is searched for
-        messages = chunks.select("block", "lang", "data").mapInArrow(_messages(part_bits), _MESSAGES)
+        messages = chunks.select("block", "lang", "data").mapInArrow(lean(_messages(part_bits)), _MESSAGES)
         lists = stage.write(
-            messages.repartition(1 << max(0, part_bits - 2), "part").sortWithinPartitions("part").mapInArrow(_frequent(min_count), _LISTS),
+            messages.repartition(1 << max(0, part_bits - 2), "part").sortWithinPartitions("part").mapInArrow(lean(_frequent(min_count)), _LISTS),
             "lists",
         )
         rows = chunks.select("block", "lang", "data").unionByName(lists.withColumn("lang", F.lit(None).cast("string")))
         entries = (
-            rows.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("lang")).mapInArrow(_entries, _ENTRIES)
+            rows.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("lang")).mapInArrow(lean(_entries), _ENTRIES)
         )
         merged = entries.groupBy("lang", "prefix", "word").agg(F.sum("n").alias("n"))
         return written(merged, "stripes")

@@ -5,8 +5,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from askloom.llm import phrases
+from askloom.llm.memory import small_batches
 
 DOCS = "doc_id long, text string, lang string, word string, n int, block string"
 
@@ -123,6 +125,42 @@ def test_stripes_hold_totals_and_extensions(spark):
         assert found[lang][""] == sum(c for p, c in counts.items() if len(p) == 1)
 
 
+def test_batches_stay_small(monkeypatch):
+    """However much of a block is frequent, its messages, lists and stripes come out a few at a time."""
+    monkeypatch.setattr(phrases, "BATCH_ROWS", 50, raising=False)
+    monkeypatch.setattr(phrases, "BATCH_BYTES", 500, raising=False)
+    data = b"".join(b"a%d b%d c%d d%d\n" % (i, i % 90, i % 7, i) for i in range(2000))
+
+    def batch(block, lang, data):
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([lang], pa.string()), pa.array([data], pa.binary())], ["block", "lang", "data"])
+
+    sent = list(phrases._messages(6)(iter([batch(1, "en", data)])))
+    lists = list(phrases._frequent(1)(iter([b for b in sent])))
+    rows = [batch(block, None, d) for b in lists for block, d in zip(b["block"].to_pylist(), b["data"].to_pylist())]
+    stripes = list(phrases._entries(iter([*rows, batch(1, "en", data)])))
+    assert len(sent) > 9 and max(sum(len(d) for d in b["data"].to_pylist()[:-1]) for b in sent) <= 500
+    assert max(b.num_rows for b in stripes) == 50
+    counts = {(r["prefix"], r["word"]): r["n"] for b in stripes for r in b.to_pylist()}
+    assert counts["", "c3"] == 2000 // 7 + 1 and counts["a5 b5 c5", "d5"] == 1
+    assert len(counts) == sum(b.num_rows for b in stripes)
+
+
+def test_rows_reach_python_in_small_batches(spark):
+    """Chunks of texts are long, and a whole partition of them is not one batch."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    long = spark.range(0, 60, 1, 1).selectExpr("id", "repeat('x', 200000) AS x")
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    with small_batches(spark):
+        assert max(r.n for r in long.mapInArrow(sizes, "n long").collect()) < 5 << 20
+    assert spark.conf.get(setting) == before
+    assert phrases.CHUNK_BYTES <= 1 << 19  # two copies of a row are below what the JVM has to place by itself
+
+
 def test_packed_numbers_come_back():
     random_ = np.random.default_rng(1)
     for n in (0, 1, 5000):
