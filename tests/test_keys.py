@@ -6,7 +6,8 @@ from pathlib import Path
 
 import pytest
 
-from askloom.operators import joins, keys
+from askloom.operators import guard, joins, keys
+from askloom.operators import load as loading
 from askloom.operators.load import declared_keys, declared_tables, load_dump
 from askloom.sources.dumps import scan_dump
 
@@ -171,3 +172,32 @@ def test_statements_run_together_as_if_one_after_the_other(spark, tmp_path):
     found = reasons(loaded)
     assert found.count(("t", "duplicate key: file")) == 12 and sum("DIVIDE_BY_ZERO" in e for _, e in found) == 1
     assert made < 30  # of 43 statements
+
+
+def test_statements_are_fitted_to_their_table_together(spark, tmp_path, monkeypatch):
+    """Columns that are named differently are one relation; refused rows keep the names of their own statement."""
+    fitted, own = [], loading._fitted
+    monkeypatch.setattr(loading, "_fitted", lambda *a: fitted.append(a) or own(*a))
+    texts = ["CREATE TABLE s (id INT, v TEXT);\nCREATE TABLE t (a INT, b TEXT NOT NULL, c INT);\nINSERT INTO s VALUES (0, 'x'), (1, NULL);\n"]
+    texts += [f"INSERT INTO t (a, b) SELECT {i}, v AS `a \"{i}\\é` FROM s WHERE id = {i % 2};\n" for i in range(12)]
+    texts += ["INSERT INTO t SELECT 1.5 AS `__path`, 'odd', 7, 8 FROM s;\nINSERT INTO t SELECT 'no number', 'y', id AS `c0` FROM s WHERE id = 0;\n"]
+    loaded = load(spark, tmp_path, *texts)
+    assert len(fitted) <= 4
+    assert table(loaded, "t") == sorted([f"({i}, 'x', None)" for i in range(0, 12, 2)])
+    sources = {r.source for r in loaded.rejects.collect()}
+    assert {f'{{"{i}":{i},"a \\"{i}\\\\é":null}}' for i in range(1, 12, 2)} < sources
+    assert '{"no number":"no number","y":"y","c0":0}' in sources
+
+
+def test_a_walk_asks_what_a_class_is_once(spark, monkeypatch):
+    """A look at a query costs a few messages to the JVM for each object in its plan, not a dozen."""
+    sql = "SELECT 1, v, count(*) FROM s WHERE id + 1 > 2 GROUP BY v"
+    assert guard.relations(spark, sql) == {"s"}
+    asked, own = [], guard._Tree.kind
+    monkeypatch.setattr(guard._Tree, "kind", lambda self, found: asked.append(found) or own(self, found))
+    sent, gateway = [], spark.sparkContext._gateway._gateway_client
+    send = gateway.send_command
+    monkeypatch.setattr(gateway, "send_command", lambda command, *a, **k: sent.append(command) or send(command, *a, **k))
+    assert guard.relations(spark, sql) == {"s"}
+    calls = [c for c in sent if c.startswith("c\n")]
+    assert not any("\nisInstance\n" in c for c in calls) and 0 < len(asked) and len(calls) < 6 * len(asked) + 30
